@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, pii, secrets
+from . import decontaminate, jaccard, licenses, pii, secrets
 
-MODULES = (pii, decontaminate, licenses, secrets)
+MODULES = (pii, decontaminate, licenses, secrets, jaccard)
 
 
 def queries() -> dict:
