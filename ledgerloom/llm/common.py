@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,6 +116,11 @@ def text_column(kind: T.DataType, make: Callable[[], Callable[[list], list]]):
     return column
 
 
+def broadcast_object(spark: SparkSession, value: object):
+    """A broadcast of the value's pickle, with its class, so that executors need no copy of this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one where none is set, as in tests."""
     sc = spark.sparkContext

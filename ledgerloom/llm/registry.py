@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, licenses, pii, secrets
+from . import decontaminate, jaccard, language, licenses, pii, secrets
 
-MODULES = (pii, decontaminate, licenses, secrets, jaccard)
+MODULES = (pii, decontaminate, licenses, language, secrets, jaccard)
 
 
 def queries() -> dict:
