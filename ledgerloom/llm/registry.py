@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, licenses, pii, secrets
+from . import decontaminate, html, jaccard, language, licenses, pii, quality, secrets
 
-MODULES = (pii, decontaminate, licenses, language, secrets, jaccard)
+MODULES = (pii, decontaminate, licenses, html, quality, language, secrets, jaccard)
 
 
 def queries() -> dict:
