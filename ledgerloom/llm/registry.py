@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, jaccard, language, licenses, pii, quality, secrets
+from . import decontaminate, html, jaccard, language, licenses, pii, quality, secrets, sentencepieces
 
-MODULES = (pii, decontaminate, licenses, html, quality, language, secrets, jaccard)
+MODULES = (pii, decontaminate, licenses, sentencepieces, html, quality, language, secrets, jaccard)
 
 
 def queries() -> dict:
