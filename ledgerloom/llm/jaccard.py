@@ -5,10 +5,11 @@ A document is the set of its distinct 5-word shingles (64-bit hashes); two link
 1. A scan gives each document's set size and a 128-bit digest of its set. Equal sets are one class from here on, named
    by its smallest doc_id: copies are never expanded into pairs. The scan also counts shingles that are frequent within
    a task's chunk; their sums name the hot shingles (a bounded number, broadcast).
-2. Each class gives keys: the KEYS smallest of its ordinary and, if at least half of its shingles are hot, of its hot
-   shingles. Two sets with similarity s share none of their 32 smallest hashes with probability (1 - s)^32: below 1e-19
-   at 0.75, and below 3e-10 at 0.5, which covers every pair whose hot parts alone wouldn't reach the threshold. Sets of
-   at most KEYS shingles give all of them. No key, candidate or partner is capped.
+2. Each class gives keys: its KEYS smallest ordinary shingles and, if at least half of its shingles are hot, its
+   HOT_KEYS smallest hot ones. Two sets with similarity s share none of their m smallest hashes with probability
+   (1 - s)^m. If two sets reach 0.75, their ordinary parts reach 0.5 (missed with (1/2)^32 < 3e-10) or both are at least
+   half hot and their hot parts reach 0.75 (missed with (1/4)^16 < 3e-10). Sets of at most HOT_KEYS shingles give all
+   of them. No key, candidate or partner is capped.
 3. Each key's classes are linked to the key's smallest class (a star, never all pairs): candidates are first bounded by
    bitmaps, then their sets compared. Components follow.
 4. What is left are pairs of different components under one key. Classes of a key form signature trees: nodes hold the
@@ -36,14 +37,14 @@ from .components import components
 SHINGLE = 5
 #: Similarity of at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 3, 4
-KEYS = 32
+KEYS, HOT_KEYS = 32, 16
 BITS = 1024
 #: Hot shingles that are broadcast at most (8 bytes each), and the count from which one is hot.
 HOT_MOST, HOT_LEAST = 1 << 18, 64
 #: Shingles of a chunk within which local counts are taken, and the least local count that is reported.
 CHUNK, LOCAL_LEAST = 2_000_000, 4
 #: Classes of one key that one tree holds.
-BLOCK = 256
+BLOCK = 1024
 #: Ids that are broadcast at most to pick out documents (8 bytes each); beyond it, they are joined.
 IDS_MOST = 1 << 20
 
@@ -165,7 +166,7 @@ def class_keys(texts: DataFrame, hot: np.ndarray) -> DataFrame:
                 at = np.searchsorted(hot, s) if len(hot) else None
                 is_hot = hot[np.minimum(at, len(hot) - 1)] == s if len(hot) else np.zeros(len(s), bool)
                 own, shared = s[~is_hot], s[is_hot]
-                keys = own[:KEYS] if len(shared) < len(own) else np.concatenate([own[:KEYS], shared[:KEYS]])
+                keys = own[:KEYS] if len(shared) < len(own) else np.concatenate([own[:KEYS], shared[:HOT_KEYS]])
                 for column, value in zip(out, (doc_id, sig, len(s), keys.view(np.int64), bitmap_of(s)), strict=True):
                     column.append(value)
                 if len(out[0]) >= SLICE_ROWS:
