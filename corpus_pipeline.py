@@ -1,17 +1,30 @@
 """A training corpus from raw documents, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-stage's docs. All stages but the last return the columns of documents.
+stage's docs. All stages but the last return the columns of documents; the last returns each document's tokens.
+
+Stages work on whole texts and handle nulls, empty tables and repeated rows as their operators state. Documents with
+null text go in the first stage, which keeps what has a language.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, pii
+from ledgerloom.llm import decontaminate, jaccard, language, pii, sentencepieces
 from ledgerloom.llm.common import stage_written, table
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no letter in the text) go."""
+    return language.keep_known(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the smallest doc_id stays."""
+    return jaccard.keep_one_of_each(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -22,7 +35,18 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pii.redact(docs)
 
 
-STAGES = [("decontamination", decontamination), ("personal_data", personal_data)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, tokens, round_trip and the decoded text of every document."""
+    return sentencepieces.encode_documents(docs, with_text=True)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal data", personal_data),
+    ("tokens", tokens),
+]
 
 #: The language model, the field's weights and the tokenizer have no SQL form.
 ORACLE_SQL = None
@@ -32,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stage_written(stage(spark, docs, sf_dir), name)
+        docs = stage_written(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
     return docs
