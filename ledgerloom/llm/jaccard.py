@@ -377,10 +377,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that name their class of near-duplicates (smallest doc_id), with their columns. Repeated rows of
-    that document, and rows without a doc_id, stay."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
+    """The rows of docs that name their class of near-duplicates (smallest doc_id), with their columns. Of rows equal in
+    all columns one stays; rows that share a doc_id but differ are one document and stay, as do rows without a doc_id."""
+    gone = checkpointed(near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id")).distinct())
+    few = gone.limit(IDS_MOST + 1).count() <= IDS_MOST
+    kept = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
+    repeated = checkpointed(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__again_id")))
+    if repeated.isEmpty():
+        return kept
+    again = kept["doc_id"] == repeated["__again_id"]
+    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates())
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
