@@ -46,7 +46,8 @@ def keyword(ticker: Column) -> Column:
 def lexicon_score(clean: Column, lexicon: dict[str, float]) -> Column:
     """Sum of word valences, normalised to (-1, 1) by s / sqrt(s^2 + 15)."""
     words = F.split(F.lower(clean), " ")
-    total = sum((F.lit(round(v * 100)) * F.size(F.filter(words, lambda x, t=t: x == t)) for t, v in lexicon.items()), F.lit(0))
+    count = lambda word: F.size(F.filter(words, lambda x: x == word))
+    total = sum((F.lit(round(v * 100)) * count(word) for word, v in lexicon.items()), F.lit(0))
     s = total / F.lit(100.0)
     return s / F.sqrt(s * s + 15.0)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import portfolio
+from ledgerloom.plans import analytics, market, monitor, news, portfolio, streams
 from ledgerloom.sources.tables import with_views
 
-MODULES = (portfolio,)
+MODULES = (portfolio, market, monitor, news, analytics, streams)
 
 
 def queries() -> dict:
