@@ -10,6 +10,10 @@ from ledgerloom.operators import market, monitor, news, positions
 from ledgerloom.sources import tables as src
 
 
+#: When the monitor runs: bars before the one, scores until the other instant.
+BARS_BEFORE, SCORES_UNTIL = "2024-01-30 00:00:00", "2024-01-29 22:55:00"
+
+
 def walk_bars(spark: SparkSession, d: str) -> DataFrame:
     """A random walk of each ticker from its ticks: up by clicks and purchases, down by others."""
     step = F.when(F.col("event_type").isin("click", "purchase"), F.col("price_c")).otherwise(-F.col("price_c"))
@@ -30,13 +34,13 @@ def _open(spark: SparkSession, d: str) -> DataFrame:
 
 def _ticker_number(spark: SparkSession, d: str) -> DataFrame:
     """Scores are of news tickers; ticker Tn of the positions follows the news ticker n % 6 of the keyword list."""
-    change = monitor.sentiment_change(sentiment_scores(spark, d))
+    change = monitor.sentiment_change(sentiment_scores(spark, d).where(F.col("ts") <= F.lit(SCORES_UNTIL).cast("timestamp_ntz")))
     held = _open(spark, d).select("ticker").distinct().withColumn("news", src.pick(src.KEYWORDS, F.substring("ticker", 2, 9).cast("int") % 6))
     return held.join(change.withColumnRenamed("ticker", "news"), "news").select("ticker", "change")
 
 
 def _last(series: DataFrame, value: str) -> DataFrame:
-    return series.groupBy("ticker").agg(F.max_by(value, F.struct("ts", "event_id")).alias(value))
+    return series.where(F.col("ts") < F.lit(BARS_BEFORE).cast("timestamp_ntz")).groupBy("ticker").agg(F.max_by(value, F.struct("ts", "event_id")).alias(value))
 
 
 def rsi14_series(spark: SparkSession, d: str) -> DataFrame:
@@ -137,9 +141,9 @@ _RSI = """SELECT ticker, ts, event_id, CASE WHEN n = 14 AND l > 0 THEN 100 - 100
 SELECT ticker, ts, event_id, count(d) OVER w AS n, CAST(sum(CASE WHEN d > 0 THEN d ELSE 0 END) OVER w AS BIGINT) AS g, CAST(sum(CASE WHEN d < 0 THEN -d ELSE 0 END) OVER w AS BIGINT) AS l
 FROM (SELECT *, close_c - lag(close_c) OVER (PARTITION BY ticker ORDER BY ts, event_id) AS d FROM v_bars) WINDOW w AS (PARTITION BY ticker ORDER BY ts, event_id ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))"""
 _VOLUME = "SELECT ticker, ts, event_id, CASE WHEN n = 20 THEN volume_c * 20 > t * 3 END AS spike FROM (SELECT ticker, ts, event_id, volume_c, count(*) OVER w AS n, CAST(sum(volume_c) OVER w AS BIGINT) AS t FROM v_bars WINDOW w AS (PARTITION BY ticker ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"
-_ALERTS = f"""WITH rsi AS (SELECT ticker, arg_max_null(rsi, (ts, event_id)) AS rsi FROM ({_RSI}) GROUP BY ticker),
-vol AS (SELECT ticker, arg_max_null(spike, (ts, event_id)) AS spike FROM ({_VOLUME}) GROUP BY ticker),
-two AS (SELECT ticker, score, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, id DESC) AS n FROM v_sentiment QUALIFY n <= 2),
+_ALERTS = f"""WITH rsi AS (SELECT ticker, arg_max_null(rsi, (ts, event_id)) AS rsi FROM ({_RSI}) WHERE ts < TIMESTAMP '{BARS_BEFORE}' GROUP BY ticker),
+vol AS (SELECT ticker, arg_max_null(spike, (ts, event_id)) AS spike FROM ({_VOLUME}) WHERE ts < TIMESTAMP '{BARS_BEFORE}' GROUP BY ticker),
+two AS (SELECT ticker, score, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, id DESC) AS n FROM v_sentiment WHERE ts <= TIMESTAMP '{SCORES_UNTIL}' QUALIFY n <= 2),
 chg AS (SELECT a.ticker, a.score - b.score AS change FROM two a JOIN two b ON a.ticker = b.ticker AND a.n = 1 AND b.n = 2),
 pos AS (SELECT p.user_id, p.ticker, l.price, avg_cost * (1 - sl_pct / 100) AS sl, avg_cost * (1 + tg_pct / 100) AS tg, r.rsi, v.spike, c.change
   FROM v_open p JOIN v_live l ON l.ticker = p.ticker LEFT JOIN v_limits m ON m.user_id = p.user_id AND m.ticker = p.ticker LEFT JOIN rsi r ON r.ticker = p.ticker LEFT JOIN vol v ON v.ticker = p.ticker
