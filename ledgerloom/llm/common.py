@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import tempfile
 import uuid
@@ -84,6 +85,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = SLICE_ROWS) -> Iterator[None]:
+    """While it is open, Arrow batches hold so many rows at most: for scans that run in it, beside large shuffles."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def hash_sample(df: DataFrame, key: str, total: int, wanted: int, seed: int = 17) -> DataFrame:
     """About `wanted` of `total` rows, by a hash of the key: the same rows whatever the partitioning."""
     if total <= wanted:

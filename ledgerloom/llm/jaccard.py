@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, blank_words_of, checkpointed, long_text, scan_many, table
+from .common import SLICE_ROWS, blank_words_of, checkpointed, long_text, scan_many, small_batches, table
 from .components import components
 
 SHINGLE = 5
@@ -42,7 +42,7 @@ BITS = 1024
 #: Hot shingles that are broadcast at most (8 bytes each), and the count from which one is hot.
 HOT_MOST, HOT_LEAST = 1 << 18, 64
 #: Shingles of a chunk within which local counts are taken, and the least local count that is reported.
-CHUNK, LOCAL_LEAST = 2_000_000, 4
+CHUNK, LOCAL_LEAST = 1_000_000, 4
 #: Classes of one key that one tree holds.
 BLOCK = 1024
 #: Ids that are broadcast at most to pick out documents (8 bytes each); beyond it, they are joined.
@@ -350,6 +350,11 @@ def left_over(keyed: DataFrame, groups: DataFrame, labels: DataFrame, about: Dat
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = long_text(docs, id_col, text_col).toDF("doc_id", "text")
     first = checkpointed(sizes_and_frequent(texts))
     rows = first.where("token IS NULL").select("doc_id", "n", "sig")
