@@ -193,7 +193,7 @@ class Encoder:
         width = 1
         while width < depth:
             after = np.zeros(n, np.int64)
-            after[: n - width] = rank[width:] + 1
+            after[: max(0, n - width)] = rank[width:] + 1
             rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64)
             width *= 2
         suffixes = np.argsort(rank, kind="stable")
