@@ -2,8 +2,8 @@
 
 Nodes are the tokens (between white space) that hold a digit or an @; every other token is certainly ordinary text and
 cuts the chain. Chain edges join neighbouring nodes. Skip edges join a token to the next one in the document with the
-same letters and digits, or with the same long digit string in another format, so a value that is recognised in one
-place is recognised where its format alone doesn't tell. Loopy sum-product messages run over all documents of a slice at
+same characters, or that ends a number with the same last digits in another format, so a value that is recognised in
+one place is recognised where its format alone doesn't tell. Loopy sum-product messages run over all documents of a slice at
 once; beliefs give the labels.
 
 The base patterns give the kinds email, ip, card and phone; their spans always stay and hold their tokens' labels. The
@@ -37,6 +37,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Documents, about, that the weights are fitted on.
 TRAIN_DOCS = 4000
 ROUNDS = 8
+#: Tokens are the same from so many characters on; numbers are similar if so many last digits agree, of runs of neighbours.
+SAME_LEAST, TAIL, RUN = 5, 7, 24
 #: Belief from which a token gets a label.
 LEAST_BELIEF = 0.6
 
@@ -150,12 +152,12 @@ def features_of(text: str, start: int, stop: int, before: str) -> list[int]:
     return [INDEX[x] for x in names]
 
 
-def keys_of(token: str) -> list[tuple[str, str]]:
-    """What makes two tokens the same or similar."""
-    out = [("same", token.lower())]
-    digits = re.sub(r"[^0-9]", "", token)
-    if len(digits) >= 7 and len(digits) * 2 > len(token):
-        out.append(("digits", digits))
+def keys_of(token: str, run: str) -> list[tuple[str, str]]:
+    """What makes two tokens the same or similar: their characters, or the last digits of a long number, in whatever
+    format, that ends with them. run: all digits of the neighbouring tokens up to this one."""
+    out = [("same", token.lower())] if len(token) >= SAME_LEAST else []
+    if len(run) >= TAIL:
+        out.append(("tail", run[-TAIL:]))
     return out
 
 
@@ -168,7 +170,7 @@ class Graph:
         for d, text in enumerate(texts):
             last: dict = {}
             spans = sorted(((a, b, 1 + KINDS.index(k)) for k, a, b in base[d]))
-            first, end = 0, -1
+            first, end, run = 0, -1, ""
             for start, stop in tokens_of(text):
                 i = len(self.doc)
                 gap = text[end:start] if end >= 0 else None
@@ -180,9 +182,14 @@ class Graph:
                 while first < len(spans) and spans[first][1] <= start:
                     first += 1
                 self.base.append(next((k for a, b, k in spans[first : first + 4] if a < stop and start < b), -1))
+                token = text[start:stop]
+                digits = re.sub(r"[^0-9]", "", token)
                 if gap is not None and len(gap) <= 3 and not gap.strip(EDGE + " \t\n"):
                     self.chain.append((i - 1, i))
-                for key in keys_of(text[start:stop]):
+                    run = (run + digits)[-RUN:]
+                else:
+                    run = digits[-RUN:]
+                for key in keys_of(token, run):
                     if key in last and (not self.skip or self.skip[-1] != (last[key], i)):
                         self.skip.append((last[key], i))
                     last[key] = i
