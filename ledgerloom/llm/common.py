@@ -85,16 +85,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def use_small_batches(spark: SparkSession, rows: int = SLICE_ROWS) -> None:
+    """From now on Arrow batches of the session hold so many rows at most, so long texts need little memory."""
+    spark.conf.set(BATCH_ROWS, rows)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = SLICE_ROWS) -> Iterator[None]:
     """While it is open, Arrow batches hold so many rows at most: for scans that run in it, beside large shuffles."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+    before = spark.conf.get(BATCH_ROWS)
+    use_small_batches(spark, rows)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(BATCH_ROWS, before)
 
 
 def hash_sample(df: DataFrame, key: str, total: int, wanted: int, seed: int = 17) -> DataFrame:

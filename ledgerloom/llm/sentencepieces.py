@@ -32,6 +32,8 @@ BLANK = "▁"
 BATCH_ROWS, BATCH_CHARS = 512, 2_000_000
 #: Different stretches whose pieces a task remembers at most.
 REMEMBERED = 200_000
+#: Characters of stretches that one suffix array indexes, about; bounds the memory for its windows and edges.
+INDEXED_CHARS = 200_000
 TABLE = 0x250
 
 
@@ -163,7 +165,18 @@ class Encoder:
     # ---- stretches
 
     def learn(self, stretches: list[str]) -> None:
-        """Pieces of new stretches, through one suffix array over all of them."""
+        """Pieces of new stretches, through a suffix array over as many of them as INDEXED_CHARS allows at a time."""
+        block, chars = [], 0
+        for s in stretches:
+            block.append(s)
+            chars += len(s)
+            if chars >= INDEXED_CHARS:
+                self._learn(block)
+                block, chars = [], 0
+        if block:
+            self._learn(block)
+
+    def _learn(self, stretches: list[str]) -> None:
         v = self.v
         plain = [s for s in stretches if len(s) > 1 or s in v.known]
         ids: dict[str, np.ndarray] = {s: v.byte_ids[list(s.encode("utf-8", "surrogatepass"))] for s in stretches if not (len(s) > 1 or s in v.known)}
