@@ -54,6 +54,7 @@ def all_alerts(positions: DataFrame, live: DataFrame, limits: DataFrame, change:
     two = lambda c: F.format_string("%.2f", half_up(F.col(c)))
     one = F.format_string("%.1f", half_up(F.col("rsi"), 1))
     t = F.col("ticker")
+    # Kinds, signals and message texts of alerts, in their order.
     checks = (
         (F.col("price") <= F.col("sl_price"), "STOP_LOSS_BREACH", "SELL", F.concat(t, F.lit(" down from your buy price. Stop-loss at "), two("sl_price"), F.lit(" breached."))),
         (F.col("price") >= F.col("tg_price"), "TARGET_HIT", "SELL", F.concat(t, F.lit(" up from your buy price. Target at "), two("tg_price"), F.lit(" hit."))),
