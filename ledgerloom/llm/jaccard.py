@@ -224,7 +224,8 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     total = F.size("tokens_a") + F.size("tokens_b")
-    return both.where((DENOMINATOR + NUMERATOR) * common >= NUMERATOR * total).select("a", "b").distinct()
+    # no distinct here: it would tie a large class's pairs to one task, which the join alone may split
+    return both.where((DENOMINATOR + NUMERATOR) * common >= NUMERATOR * total).select("a", "b")
 
 
 class SignatureTree:
