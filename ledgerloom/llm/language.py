@@ -48,8 +48,10 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters_of(text: str | None) -> bytes:
-    """Small letters with single blanks between words and around."""
-    return b"" if not text or not (line := NOT_LETTERS.sub(" ", text.lower()).strip()) else f" {line} ".encode("utf-8", "surrogatepass")
+    """Small letters with single blanks between words and around; nothing if no character is a letter."""
+    if not text or not any(map(str.isalpha, text)):
+        return b""
+    return f" {NOT_LETTERS.sub(' ', text.lower()).strip()} ".encode("utf-8", "surrogatepass")
 
 
 def trigrams(line: bytes) -> np.ndarray:

@@ -42,3 +42,8 @@ def test_odd_rows(odd, none, make):
     assert language.identify(none).count() == 0 and language.keep_known(none).count() == 0
     unlabelled = make([(1, "some text", None), (2, None, None)])
     assert {r.lang_pred for r in language.identify(unlabelled).collect()} == {"und"}
+
+
+def test_numerals_are_no_letters():
+    assert all(language.letters_of(t) == b"" for t in (None, "", "½ ² 12_3", "..."))
+    assert language.letters_of("½ A1b") == "½ a b".encode().join((b" ", b" "))
