@@ -9,7 +9,7 @@
 Winning paths are broadcast while they are few (HOSTS_MOST), joined by host beyond.
 
 Within the main element, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are left out; character references are decoded, white space within a block becomes one space, blocks are joined by one
+are left out, by element or by name (a wrapper that holds the article stays, whatever its name); character references are decoded, white space within a block becomes one space, blocks are joined by one
 newline. Null or empty html gives an empty text. A null url is a host of its own. Each input row gives one row, repeated
 rows too.
 """
@@ -19,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +37,12 @@ CONTAINERS = frozenset("article main section div td body blockquote center".spli
 OUTSIDE = frozenset("nav header footer aside form button menu dialog head label".split())
 #: An opening tag that closes an open element of the same row.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Words of class or id that mark what is not main text.
-BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adbox|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|sidebar|aside|widget|related|recommended|share|sharing|social|comment|comments|respond|disqus|cookie|cookies|consent|gdpr|notice|notification|popup|modal|newsletter|subscribe|signup|login|search|pagination|pager|toolbar|skip)(?=$|[\s_-])", re.I)
+#: Words of class, id or role that mark what is not main text.
+BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social comment comments respond disqus cookie cookies consent gdpr notice notification popup modal newsletter subscribe signup login search pagination pager toolbar skip".split())
+#: Parts that may follow such a word in a longer name, and parts whose names tell of a state or of the content instead.
+FURNITURE = frozenset("area bar body block bottom box button buttons col column container form group holder inner item items left link links list outer panel right section slot top unit wrap wrapper".split())
+STATES = frozenset("content has have hide is layout no non not off on with without".split())
+PARTS = re.compile(r"[_-]+")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -47,10 +52,11 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 class Node:
-    __slots__ = ("outside", "path", "pieces", "tag", "text", "up")
+    __slots__ = ("named", "outside", "path", "pieces", "tag", "text", "up")
 
-    def __init__(self, tag: str, path: str, up: Node | None, outside: bool) -> None:
+    def __init__(self, tag: str, path: str, up: Node | None, outside: bool, named: int = 0) -> None:
         self.tag, self.path, self.up, self.outside = tag, path, up, outside
+        self.named = named  # as boilerplate, see named_as()
         self.text = 0.0  # characters of own running text less links; then of blocks inside
         self.pieces: list = []  # in page order: strings, BREAK, or nodes
 
@@ -58,9 +64,54 @@ class Node:
 BREAK = None
 
 
-def parse(page: str) -> Node:
+@lru_cache(4096)
+def named_as(label: str) -> int:
+    """2 if one of the names in a label is a word of boilerplate, 1 if a longer name ends in one, 0 otherwise."""
+    found = 0
+    for name in label.lower().split():
+        if name in BOILERPLATE:
+            return 2
+        parts = PARTS.split(name.strip("_-"))
+        if STATES.isdisjoint(parts):
+            while len(parts) > 1 and (parts[-1] in FURNITURE or parts[-1].isdigit()):
+                parts.pop()
+            found |= parts[-1] in BOILERPLATE
+    return int(found)
+
+
+def settle(root: Node) -> None:
+    """Puts outside what is named as boilerplate, with all that it holds. A longer name counts for less: such an element
+    stays if it holds an article while none is elsewhere, or half of the page's running text. One that is named by the
+    word itself stays only if it holds the largest article while none is elsewhere."""
+    nodes = nodes_of(root)
+    if not any(n.named for n in nodes):
+        return
+    size, weak, best, inside = {}, dict.fromkeys(map(id, nodes), 0.0), dict.fromkeys(map(id, nodes), 0.0), {}
+    for n in nodes:
+        inside[id(n)] = n.up is not None and (inside[id(n.up)] or n.up.named and n.up.tag not in ("article", "main"))
+        size[id(n)] = 0.0 if n.outside else max(0.0, n.text)
+    elsewhere = False
+    for n in reversed(nodes):
+        all_of, k = size[id(n)], id(n)
+        weak[k] += 0.0 if n.outside else max(0.0, n.text)
+        if n.tag in ("article", "main") and not n.named and not n.outside and all_of > 0:
+            best[k] = max(best[k], all_of)
+            elsewhere |= not inside[k]
+        if n.up is not None:
+            size[id(n.up)] += all_of
+            weak[id(n.up)] += 0.0 if n.named == 2 else weak[k]
+            best[id(n.up)] = max(best[id(n.up)], best[k])
+    page, most = weak[id(root)], best[id(root)]
+    for n in nodes:
+        k = id(n)
+        holds = not elsewhere and best[k] > 0
+        stays = not n.named or n.tag in ("html", "body", "article", "main") or (holds and best[k] == most if n.named == 2 else holds or weak[k] > 0 and 2 * weak[k] >= page)
+        n.outside = n.outside or not stays or n.up is not None and n.up.outside
+
+
+def parse(page: str, by_names: bool = True) -> Node:
     """The tree of a page. Unknown closing tags are skipped; a closing tag closes what is open inside its element; a
-    block closes an open paragraph."""
+    block closes an open paragraph. by_names: what is named as boilerplate is outside."""
     root = top = Node("html", "", None, False)
     stack, at, links = [root], 0, 0
     while True:
@@ -71,6 +122,8 @@ def parse(page: str) -> Node:
             if not top.outside and not data.isspace():
                 top.text += -len(data) if links else len(data)
         if not m:
+            if by_names:
+                settle(root)
             return root
         at = m.end()
         tag = (m.group(2) or "").lower()
@@ -117,9 +170,9 @@ def parse(page: str) -> Node:
             continue
         names = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m.group(3))} if m.group(3) else {}
         label = f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}".strip()
-        outside = top.outside or tag in OUTSIDE or "hidden" in names or bool(label and tag not in ("html", "body", "article", "main") and BOILERPLATE.search(label))
+        outside = top.outside or tag in OUTSIDE or "hidden" in names
         classes = ".".join(sorted(set(DIGITS.sub("0", names.get("class", "")).lower().split())))
-        node = Node(tag, f"{top.path}/{tag}{'.' + classes if classes else ''}" if tag not in ("html", "body") else top.path, top, outside)
+        node = Node(tag, f"{top.path}/{tag}{'.' + classes if classes else ''}" if tag not in ("html", "body") else top.path, top, outside, named_as(label) if label and tag not in ("html", "body") else 0)
         top.pieces.append(node)
         stack.append(node)
         top = node
@@ -180,7 +233,8 @@ def text_of(nodes: list[Node]) -> str:
 
 
 def extract(page: str | None, path: str | None) -> str:
-    """The main text: of the outermost elements at the path, or of the page's own best container."""
+    """The main text: of the outermost elements at the path, or of the page's own best container; where all text is in
+    elements named as boilerplate, names don't count."""
     if not page:
         return ""
     root = parse(page)
@@ -194,7 +248,7 @@ def extract(page: str | None, path: str | None) -> str:
                 stack += [p for p in reversed(n.pieces) if isinstance(p, Node)]
         if found and (text := text_of(found)):
             return text
-    return text_of([best_container(root)[0]])
+    return text_of([best_container(root)[0]]) or text_of([best_container(parse(page, False))[0]])
 
 
 def host_votes(pages: DataFrame) -> DataFrame:

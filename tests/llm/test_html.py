@@ -24,6 +24,24 @@ def test_article_without_boilerplate(spark):
     assert got[1].url == "http://a.b/c"
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "layout no-sidebar", "site header-fixed", "entry has-comments", "sidebar-wrap", "main-sidebar", "header"])
+def test_wrappers_named_like_boilerplate(name):
+    for wrap in ("<article>{}</article>", "<div class='post'>{}</div>")[: 1 if name == "header" else 2]:
+        body = page("", wrap=f"<div class='{name}'>{wrap}</div><div class='sidebar'><p>other posts</p></div><div id='site-footer'><p>all rights</p></div>")
+        assert html.extract(body, None) == WANT
+        assert html.best_container(html.parse(body))[0].path.endswith(("/article", "/div.post"))
+
+
+def test_names_of_boilerplate():
+    assert [html.named_as(x) for x in ("ad", "x comments", "site-footer", "comment-list", "widget_area-2", "post")] == [2, 2, 1, 1, 1, 0]
+    replies = "<div id='comments'><article class='comment-body'><p>" + "reply " * 200 + "</p></article></div>"
+    assert html.extract(page("", wrap="<div class='content-sidebar-wrap'><article>{}</article>" + replies + "</div>"), None) == WANT
+
+
+def test_page_all_in_boilerplate():
+    assert html.extract("<body><div class='header'><p>only text</p></div>", None) == "only text"
+
+
 def test_hosts_vote(spark):
     long = "<p>" + "teaser text " * 60 + "</p>"
     usual = "<div class='content'><p>" + "real words " * 90 + "</p></div>"
