@@ -11,6 +11,7 @@ Null text is empty text: no words. Each input row gives one row, repeated rows t
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Callable
 
@@ -74,47 +75,50 @@ class NoticeSearch:
             self.notices.append((notice, label, k, regex.compile(f"(?b)(?:{regex.escape(notice, special_only=True, literal_spaces=True)}){{e<={k}}}")))
             for offset, piece in pieces(notice, k):
                 seeds[piece].append((t, offset))
+        self.longest = max(len(notice) + k for notice, _, k, _ in self.notices)
         self.seeds = ahocorasick.Automaton()
         for piece, uses in seeds.items():
             self.seeds.add_word(piece, (len(piece), uses))
         self.seeds.make_automaton()
 
     def search(self, text: str) -> list[tuple[int, int, int, str, float]]:
-        """(start, stop, errors, label, score) of notices in words joined by blanks, without overlaps: fewest errors for
-        their length first."""
-        windows = defaultdict(list)
+        """(start, stop, errors, label, score) of notices in words joined by blanks. Places of one label don't overlap:
+        fewest errors for their length first. A place with errors falls to another label's that has fewer at the place.
+
+        Each candidate has a window of its own, which is wider than the notice by its errors only, so a better match
+        nearby hides no other one."""
+        windows = defaultdict(set)
         for last, (n, uses) in self.seeds.iter(text):
             for t, offset in uses:
                 k, size = self.notices[t][2], len(self.notices[t][0])
                 a = last + 1 - n - offset
-                windows[t].append((max(0, a - k), min(len(text), a + size + k)))
-        found = []
+                windows[t].add((max(0, a - k), min(len(text), a + size + k)))
+        found = set()
         for t, own in windows.items():
             notice, label, _, pattern = self.notices[t]
-            own.sort()
-            merged = [list(own[0])]
-            for a, b in own[1:]:
-                if a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
+            for a, b in own:
                 for m in pattern.finditer(text, a, b):
                     errors = sum(m.fuzzy_counts)
-                    found.append((m.start(), m.end(), errors, label, 1 - errors / len(notice)))
-        found.sort(key=lambda x: (-x[4], -(x[1] - x[0]), x[0], x[3]))
+                    found.add((m.start(), m.end(), errors, label, 1 - errors / len(notice)))
         kept: list = []
-        taken = bytearray(len(text) + 1) if found else b""
-        for x in found:
-            if not any(taken[x[0] : x[1]]):
-                taken[x[0] : x[1]] = b"\1" * (x[1] - x[0])
+        taken: dict = defaultdict(lambda: bytearray(len(text) + 1))
+        for x in sorted(found, key=lambda x: (-x[4], -(x[1] - x[0]), x[0], x[3])):
+            if not any(taken[x[3]][x[0] : x[1]]):
+                taken[x[3]][x[0] : x[1]] = b"\1" * (x[1] - x[0])
                 kept.append(x)
-        return sorted(kept)
+        kept.sort()
+        starts = [x[0] for x in kept]
+
+        def explained(x: tuple) -> bool:
+            near = kept[bisect_left(starts, x[0] - self.longest) : bisect_right(starts, x[0] + x[2])]
+            return any(y[2] < x[2] and y[3] != x[3] and max(0, y[0] - x[0]) + max(0, x[1] - y[1]) <= x[2] for y in near)
+
+        return [x for x in kept if not x[2] or not explained(x)]
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, notices for every row of docs.
-    notices: label:first word:last word:errors of each fuzzy place, in order."""
+    notices: label:first word:last word:errors of each fuzzy place, in order; places of different labels may overlap."""
     phrases = [(f" {p} ".encode(), label) for p, label in PHRASES.items()]
 
     def factory() -> Callable:

@@ -47,6 +47,26 @@ def test_every_notice_within_its_errors_is_found():
             assert label in {x[3] for x in search.search(" zz " + "".join(t) + " zz ")} or search.search("".join(t))
 
 
+def test_overlapping_notices_of_other_labels_stay():
+    search = licenses.NoticeSearch()
+    for text, want in (
+        (" licensed under the gnu general public license version 2 ", {"gpl", "gpl-2"}),
+        (" under the terms of the gnu general public license version 3 ", {"gpl", "gpl-3"}),
+        (" licensed under the gnu generel public license version 3 ", {"gpl", "gpl-3"}),
+        (" licensed under cc by nd ", {"cc-by-nd"}),
+    ):
+        assert {x[3] for x in search.search(text)} == want
+
+
+def test_every_one_of_adjacent_notices_is_found():
+    search, one, two = licenses.NoticeSearch(), "licensed under the mit licence", "licensed under the mit license"
+    assert [x[:4] for x in search.search(f" {one} {two} ")] == [(1, 31, 1, "mit"), (32, 62, 0, "mit")]
+    r = random.Random(2)
+    for _ in range(20):
+        line = [r.choice((one, two)) for _ in range(r.randrange(1, 9))]
+        assert [x[2] for x in search.search(" " + " ".join(line) + " ")] == [int(x == one) for x in line]
+
+
 def test_odd_rows(odd, none):
     got = licenses.scan_licenses(odd).collect()
     assert len(got) == 13 and all(x.labels == "" and x.score == 0.0 and x.first_word is None for x in got)
