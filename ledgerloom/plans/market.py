@@ -69,7 +69,7 @@ def latest_k_bars(spark: SparkSession, d: str) -> DataFrame:
 
 def chart_buffer(spark: SparkSession, d: str) -> DataFrame:
     rows = src.ticks(spark, d).select("ticker", "event_id", "ts", "price")
-    return market.latest_k(rows, "ticker", 200, "ts", "event_id").select("ticker", "event_id", "price")
+    return market.latest_k(rows, "ticker", 2000, "ts", "event_id").select("ticker", "event_id", "price")
 
 
 def ticker_class(spark: SparkSession, d: str) -> DataFrame:
