@@ -121,9 +121,9 @@ def feedback_owned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feedback_tuning(spark: SparkSession, d: str) -> DataFrame:
-    """By type: with 30 ratings or more and 15 % of them negative, the overbought threshold goes from 75 to 80."""
+    """By type: with 100 ratings or more and 70 % of them negative, the overbought threshold goes from 75 to 80."""
     sums = src.feedback(spark, d).groupBy("alert_type").agg(F.count("*").alias("n"), F.sum(F.when(F.col("is_positive"), 0).otherwise(1)).alias("bad"))
-    tune = (F.col("n") >= 30) & (F.col("bad") * 100 >= F.col("n") * 15)
+    tune = (F.col("n") >= 100) & (F.col("bad") * 100 >= F.col("n") * 70)
     return sums.select("alert_type", "n", "bad", F.when(tune, 80).otherwise(75).alias("threshold"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from ledgerloom.plans import market
+from ledgerloom.plans import market, monitor
 
 
 def test_chart_buffer_keeps_2000_ticks(spark, tmp_path):
@@ -13,3 +13,11 @@ def test_chart_buffer_keeps_2000_ticks(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.event_id for r in market.chart_buffer(spark, str(tmp_path)).collect()}
     assert got == set(range(100, 2100))
+
+
+def test_feedback_tuning_needs_100_ratings_and_70_percent(spark, tmp_path):
+    sizes = ((100, 70), (99, 99), (100, 69), (200, 140), (30, 30))  # ratings and negative ones of alert types 0 to 4
+    rows = [(6 * i + k, int(i >= bad), 0) for k, (n, bad) in enumerate(sizes) for i in range(n)]
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.alert_type: (r.n, r.bad, r.threshold) for r in monitor.feedback_tuning(spark, str(tmp_path)).collect()}
+    assert [got[t] for t in monitor.src.ALERT_TYPES[:5]] == [(100, 70, 80), (99, 99, 75), (100, 69, 75), (200, 140, 80), (30, 30, 75)]
