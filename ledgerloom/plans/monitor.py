@@ -74,9 +74,9 @@ def alert_payload_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ws_route(spark: SparkSession, d: str) -> DataFrame:
-    """Messages by connection: live prices go to all, alerts to their user's connections; others are dropped. Sessions
-    are few beside messages."""
-    sessions = src.users(spark, d).where("id % 50 = 0").select("id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("conn"))
+    """Messages by connection: live prices go to all, alerts to their user's connections; others are dropped. Every
+    user has two."""
+    sessions = src.users(spark, d).select("id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("conn"))
     prices = market.live_price(src.ticks(spark, d)).select(F.lit("price_update").alias("event"), F.to_json(F.struct("ticker")).alias("data"))
     alerts = src.alert_log(spark, d).where("user_id > 0").select("user_id", F.lit("alert").alias("event"), F.to_json(F.struct("id", "user_id")).alias("data"))
     to_all = prices.crossJoin(sessions).select("id", "conn", "event", "data")

@@ -11,7 +11,7 @@ from ledgerloom.plans.monitor import sentiment_scores
 from ledgerloom.sources import tables as src
 
 API_KEYS = ("key-a", "key-b", "key-c")
-SOURCES = ("src0", "src1", "src2")
+SOURCES = tuple(f"src{i}" for i in range(20))
 
 
 def articles_union(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +55,7 @@ def key_round_robin(spark: SparkSession, d: str) -> DataFrame:
 def article_text(spark: SparkSession, d: str) -> DataFrame:
     """Title and description of conversations' turns as articles: a null one is the word None."""
     title = F.when(F.col("turn") % 3 != 0, F.col("role"))
-    description = F.when(F.col("turn") % 2 == 0, F.substring("text", 1, 40))
+    description = F.when(F.col("turn") % 2 == 0, F.col("text"))
     return src.read(spark, d, "conversations").select("conv_id", "turn", F.concat(F.coalesce(title, F.lit("None")), F.lit(". "), F.coalesce(description, F.lit("None"))).alias("article"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from ledgerloom.plans import market, monitor
+from ledgerloom.plans import market, monitor, news
 
 
 def test_chart_buffer_keeps_2000_ticks(spark, tmp_path):
@@ -21,3 +21,22 @@ def test_feedback_tuning_needs_100_ratings_and_70_percent(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r.alert_type: (r.n, r.bad, r.threshold) for r in monitor.feedback_tuning(spark, str(tmp_path)).collect()}
     assert [got[t] for t in monitor.src.ALERT_TYPES[:5]] == [(100, 70, 80), (99, 99, 75), (100, 69, 75), (200, 140, 80), (30, 30, 75)]
+
+
+def test_article_text_is_whole(spark, tmp_path):
+    spark.createDataFrame([(1, 2, "user", "x" * 100)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [r.article for r in news.article_text(spark, str(tmp_path)).collect()] == ["user. " + "x" * 100]
+
+
+def test_every_source_is_united(spark, small):
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "source").collect()
+    assert sorted((r.doc_id, int(r.source[3:])) for r in rows) == sorted((r.seq, r.source_rank) for r in news.articles_union(spark, small).collect())
+
+
+def test_every_user_gets_messages(spark, small):
+    users = {r.id for r in monitor.src.users(spark, small).collect()}
+    tickers = {r.ticker for r in market.live_price(spark, small).collect()}
+    alerts = [r for r in monitor.src.alert_log(spark, small).collect() if r.user_id in users and r.user_id > 0]
+    want = [(u, c, "price_update", f'{{"ticker":"{t}"}}') for u in users for c in "ab" for t in tickers]
+    want += [(r.user_id, c, "alert", f'{{"id":{r.id},"user_id":{r.user_id}}}') for r in alerts for c in "ab"]
+    assert sorted(tuple(r) for r in monitor.ws_route(spark, small).collect()) == sorted(want)
