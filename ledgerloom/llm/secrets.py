@@ -3,7 +3,9 @@
 Three base patterns give the assignments, access keys and long hexadecimal runs. Beyond them, every long run of
 credential characters is split by a byte-level BPE vocabulary: text that the vocabulary knows takes few tokens, a random
 string takes many, so few characters for each token give a random string away. Known digests and identifiers (UUIDs,
-hexadecimal digests of a usual length, numbers, dates, paths and words) are excluded first.
+hexadecimal digests of a usual length, numbers, dates, paths and words) are excluded first; of a run that has a UUID in
+it, only the UUID. A run is tested as a whole, then by its parts between separators, then by its densest stretches, so
+that a path or name that is joined to a random string doesn't hide it.
 
 Null text is empty text: no spans. Each input row gives one row, repeated rows too; other columns are not read.
 """
@@ -26,6 +28,11 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+SEPARATORS = "=-_/+"
+PART = re.compile(r"[A-Za-z0-9]+")
+#: Words and numbers from this length on end a stretch; shorter ones may be chance within a random string.
+WORD_LEAST = 4
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Hexadecimal lengths of the usual digests: CRC-32 to SHA-512.
 DIGEST_LENGTHS = frozenset((8, 16, 32, 40, 48, 56, 64, 96, 128))
@@ -42,15 +49,15 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def token_counter(path: str) -> Callable[[str], int]:
-    """How many tokens the vocabulary at the path needs for a string."""
+def token_lengths(path: str) -> Callable[[str], list[int]]:
+    """The lengths of the tokens that the vocabulary at the path needs for an ASCII string."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     encoding = tiktoken.Encoding("secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: len(encoding.encode_ordinary(text))
+    return lambda text: [len(t) for t in encoding.decode_tokens_bytes(encoding.encode_ordinary(text))]
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -64,7 +71,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def identifier(run: str) -> bool:
     """Whether a run is a known digest or identifier and no secret by itself."""
-    if ONLY_HEX.fullmatch(run) and len(run) in DIGEST_LENGTHS or UUID.search(run):
+    if ONLY_HEX.fullmatch(run) and len(run) in DIGEST_LENGTHS or UUID.fullmatch(run):
         return True
     letters = sum(c.isalpha() for c in run)
     digits = sum(c.isdigit() for c in run)
@@ -72,33 +79,98 @@ def identifier(run: str) -> bool:
     return not letters or not digits and (run.islower() or run.isupper() or "/" in run or "_" in run)
 
 
-def random_spans(text: str, tokens: Callable[[str], int], most: float = CHARS_PER_TOKEN) -> list[tuple[str, int, int]]:
+def densest(run: str, lengths: list[int], most: float) -> list[tuple[int, int]]:
+    """The stretches of LEAST characters or more with fewer than most characters a token, the best one first cut out and
+    then what is left and right of it. Words, numbers and digests between separators end a stretch; the short ones
+    among them, and separators, count for nothing."""
+    gain = [0.0] * len(run)  # of the token that ends here
+    wall = [-1] * (len(run) + 1)  # the last character before here that no stretch may have
+    for m in PART.finditer(run):
+        if identifier(m.group()):
+            for i in range(m.start(), m.end()):
+                wall[i + 1] = i if m.end() - m.start() >= WORD_LEAST else -1
+    known = [False] * len(run)
+    for m in PART.finditer(run):
+        if identifier(m.group()):
+            known[m.start() : m.end()] = [True] * (m.end() - m.start())
+    ends, at = [0], 0
+    for n in lengths:
+        new = any(c.isalnum() and not k for c, k in zip(run[at : at + n], known[at : at + n], strict=True))
+        at += n
+        gain[at - 1] = most - n if new else min(0.0, most - n)
+        ends.append(at)
+    for i in range(1, len(wall)):
+        wall[i] = max(wall[i], wall[i - 1])
+    total = [0.0]
+    for e in ends[1:]:
+        total.append(total[-1] + gain[e - 1])
+    found, todo = [], [(0, len(ends) - 1)]
+    while todo:
+        lo, hi = todo.pop()
+        best, span, low, j = 0.0, None, None, lo
+        for i in range(lo + 1, hi + 1):
+            if wall[ends[i]] >= ends[i - 1]:  # no stretch has this token
+                low, j = None, i
+                continue
+            while j < i and ends[i] - ends[j] >= LEAST:
+                if low is None or total[j] < total[low]:
+                    low = j
+                j += 1
+            if low is not None and total[i] - total[low] > best:
+                best, span = total[i] - total[low], (low, i)
+        if span:
+            found.append((ends[span[0]], ends[span[1]]))
+            todo += [(lo, span[0]), (span[1], hi)]
+    return sorted(found)
+
+
+def random_spans(text: str, lengths: Callable[[str], list[int]], most: float = CHARS_PER_TOKEN) -> list[tuple[str, int, int]]:
     out = []
+
+    def is_random(run: str) -> bool:
+        return len(run) >= LEAST and not identifier(run) and len(run) / len(lengths(run)) < most
+
+    def test(start: int, stop: int) -> None:
+        run = text[start:stop]
+        if is_random(run.strip(SEPARATORS)):
+            out.append(("random", start, stop))
+            return
+        parts = [(start + m.start(), start + m.end()) for m in PART.finditer(run) if is_random(m.group())]
+        out.extend(("random", a, b) for a, b in parts)
+        at = start
+        for a, b in [*parts, (stop, stop)]:
+            rest = text[at:a]
+            if len(rest) >= LEAST and not identifier(rest.strip(SEPARATORS)):
+                out.extend(("random", at + x, at + y) for x, y in densest(rest, lengths(rest), most))
+            at = b
+
     for m in CANDIDATE.finditer(text):
-        run = m.group().strip("=-_/+")
-        if len(run) < 20 or identifier(run):
-            continue
-        if len(run) / tokens(run) < most:
-            out.append(("random", m.start(), m.end()))
-    return out
+        at = m.start()
+        for u in UUID.finditer(text, m.start(), m.end()):
+            if u.start() - at >= LEAST:
+                test(at, u.start())
+            at = u.end()
+        if m.end() - at >= LEAST:
+            test(at, m.end())
+    return sorted(out, key=lambda s: s[1:])
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, chars_per_token: float = CHARS_PER_TOKEN) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random for every row of docs."""
 
     def factory() -> Callable:
-        made: list[Callable[[str], int]] = []
+        made: list[Callable[[str], list[int]]] = []
 
-        def tokens(run: str) -> int:  # the vocabulary is read when the first candidate comes
+        def lengths(run: str) -> list[int]:  # the vocabulary is read when the first candidate comes
             if not made:
-                made.append(token_counter(vocabulary or vocabulary_path()))
+                made.append(token_lengths(vocabulary or vocabulary_path()))
             return made[0](run)
 
         def work(doc_id: int | None, text: str | None) -> tuple:
             text = text or ""
             base = base_spans(text)
             count = [sum(s[0] == k for s in base) for k in KINDS]
-            added = [s for s in random_spans(text, tokens, chars_per_token) if not any(a < s[2] and s[1] < b for _, a, b in base)]
+            added = [s for s in random_spans(text, lengths, chars_per_token) if not any(a < s[2] and s[1] < b for _, a, b in base)]
             order = {k: i for i, k in enumerate((*KINDS, "random"))}
             write = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], order[s[0]])))
             return doc_id, *count, sha256_hex(write(base)), write(base + added), len(added)

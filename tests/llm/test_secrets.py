@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,6 +45,20 @@ def test_random_strings_and_identifiers(make):
     assert got[4].base_sha256 == hashlib.sha256(got[4].spans.encode()).hexdigest()
 
 
+def test_words_joined_to_a_random_string_do_not_hide_it():
+    lengths, r = secrets.token_lengths(secrets.vocabulary_path()), random.Random(3)
+    made = ["".join(r.choice(string.ascii_letters + string.digits) for _ in range(20)) for _ in range(100)]
+    for before, after in (("", ""), ("connection-string=", ""), ("docs/articles/published/", ""), ("the/longest/path/of/all/the/documentation/articles/", "/published/version"), ("123e4567-e89b-12d3-a456-426614174000_", "")):
+        hit = [any(a < len(before) + 20 and len(before) < b for _, a, b in secrets.random_spans(before + x + after, lengths)) for x in made]
+        assert sum(hit) >= 98, (before, sum(hit))
+
+
+def test_paths_numbers_and_identifiers_are_not_random():
+    lengths = secrets.token_lengths(secrets.vocabulary_path())
+    for text in ("docs/2024/01/15/publishing-articles-on-time", "123e4567-e89b-12d3-a456-426614174000", "id-123e4567-e89b-12d3-a456-426614174000", "connection-string=the_documentation_of_all", "path/to/commit/d670460b4b4aece5915caf5c68d12f560a9fe3e4/documentation/of/the/configuration"):
+        assert secrets.random_spans(text, lengths) == [], text
+
+
 def test_odd_rows(odd, none):
     got = secrets.find_secrets(odd).collect()
     assert len(got) == 13 and sum(r.n_hex for r in got) == 2 and sum(r.n_assign + r.n_access for r in got) == 0
