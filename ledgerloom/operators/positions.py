@@ -5,27 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import ratio_percent
 
 
-def _step(state: Column, trade: Column) -> Column:
-    held = state["q"] + trade["d"]
-    cost = F.when(trade["d"] > 0, (state["q"] * state["a"] + trade["d"] * trade["p"]) / F.when(held > 0, held)).otherwise(state["a"])
-    flat = held <= 0
-    return F.struct(F.when(flat, F.lit(0.0)).otherwise(held).alias("q"), F.when(flat, F.lit(0.0)).otherwise(cost).alias("a"))
-
-
 def average_cost(trades: DataFrame) -> DataFrame:
     """user_id, ticker, quantity, avg_cost after all trades: a buy averages, a sale keeps the average, none left resets.
-    The fold is ordered, so a pair's trades meet in one array: as many as one user makes in one ticker."""
-    signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
-    ordered = F.sort_array(F.collect_list(F.struct("ts", "id", signed.alias("d"), F.col("fill_price").alias("p"))))
-    start = F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("a"))
-    folded = trades.groupBy("user_id", "ticker").agg(ordered.alias("t")).select("user_id", "ticker", F.aggregate("t", start, _step).alias("s"))
-    return folded.select("user_id", "ticker", F.col("s.q").alias("quantity"), F.col("s.a").alias("avg_cost"))
+    It is the last of each pair's states, so a pair's trades never meet in one array."""
+    last = F.max_by(F.struct("qty", "avg"), F.struct("ts", "id"))
+    return position_states(trades).groupBy("user_id", "ticker").agg(last.alias("s")).select("user_id", "ticker", F.col("s.qty").alias("quantity"), F.col("s.avg").alias("avg_cost"))
 
 
 def position_states(trades: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from ledgerloom.operators import positions
 from ledgerloom.plans import market, monitor, news
 
 
@@ -40,3 +41,8 @@ def test_every_user_gets_messages(spark, small):
     want = [(u, c, "price_update", f'{{"ticker":"{t}"}}') for u in users for c in "ab" for t in tickers]
     want += [(r.user_id, c, "alert", f'{{"id":{r.id},"user_id":{r.user_id}}}') for r in alerts for c in "ab"]
     assert sorted(tuple(r) for r in monitor.ws_route(spark, small).collect()) == sorted(want)
+
+
+def test_average_cost_collects_no_array(spark, small):
+    plan = positions.average_cost(monitor.src.trades(spark, small))._jdf.queryExecution().toString().lower()
+    assert "collect_list" not in plan and "max_by" in plan
