@@ -5,25 +5,34 @@ A document is the set of its distinct 5-word shingles (64-bit hashes); two link
 1. A scan gives each document's set size and a 128-bit digest of its set. Equal sets are one class from here on, named
    by its smallest doc_id: copies are never expanded into pairs. The scan also counts shingles that are frequent within
    a task's chunk; their sums name the hot shingles (a bounded number, broadcast).
-2. Each class gives keys: its KEYS smallest ordinary shingles and, if at least half of its shingles are hot, its
-   HOT_KEYS smallest hot ones. Two sets with similarity s share none of their m smallest hashes with probability
-   (1 - s)^m. If two sets reach 0.75, their ordinary parts reach 0.5 (missed with (1/2)^32 < 3e-10) or both are at least
-   half hot and their hot parts reach 0.75 (missed with (1/4)^16 < 3e-10). Sets of at most HOT_KEYS shingles give all
-   of them. No key, candidate or partner is capped.
-3. Each key's classes are linked to the key's smallest class (a star, never all pairs): candidates are first bounded by
-   bitmaps, then their sets compared. Components follow.
-4. What is left are pairs of different components under one key. Classes of a key form signature trees: nodes hold the
-   OR of their sets' bitmaps, the range of set sizes and their component, if it is one. Two trees are walked together; a
-   pair of nodes goes on only if sizes are within the threshold and the largest possible overlap (common bits of the
-   ORs, plus shingles that share bits within a set) is enough. Large keys are split into blocks, and only classes
-   outside a key's largest component are compared with the others. Survivors are compared exactly; components are final.
-
-Null and empty texts have no shingles and link with nothing. Rows that share a doc_id are one document: it links by any
-of its texts. A null doc_id never names a class; its component_id is that of its equal sets, else null.
+2. Each class gives keys, which only say where classes meet: its smallest ordinary shingles and, if at least half of its
+   shingles are hot, its HOT_KEYS smallest hot ones. Two sets with similarity s share none of their m smallest hashes
+   with probability (1 - s)^m. Of a set with a hot share h, the ordinary part keeps a similarity of at least
+   1 - 0.25 / (1 - h) to any set that it links with, so m follows from h: 16 keys without hot shingles, KEYS = 32 at
+   one half. If both sets are at least half hot, their ordinary or their hot parts reach 0.75. A link is missed with a
+   probability below MISSED. Sets of at most HOT_KEYS shingles give all of them. No key, candidate or partner is capped.
+3. The classes of a key are a unit; keys with the same classes are one unit. In a unit, signature trees find the
+   candidates: leaves hold sets of like size, nodes the OR of their sets' bitmaps (8 bits a shingle or more, by size)
+   and their range of sizes. Two trees are walked together; a pair of nodes goes on only if sizes are within the threshold,
+   the largest possible overlap (common bits of the ORs, plus shingles that share bits within a set) is enough and not
+   all of their sets are one component yet. What reaches the leaves is compared exactly there, and a union-find merges
+   it, so a unit of m classes gives m - 1 links at most, however many pairs of it are similar or nearly so.
+4. A first wave takes the FIRST smallest keys only. Large keys are cut into blocks of about BLOCK classes, each with the
+   same few anchors, so the blocks of a group of copies meet. Components follow.
+5. A second wave takes all keys whose classes are still in different components. Trees on bitmaps alone name the classes
+   that have a possible partner in another component; only their sets are fetched, and trees on them give links as before.
+   In a large key, classes outside its largest component meet with all others, block by block. Components are final.
+
+Null and empty texts have no shingles and link with nothing; an empty table gives an empty result. Rows that share a doc_id
+are one document: it links by any of its texts. A null doc_id never names a class; its component_id is that of its equal
+sets, else null. Repeated rows give a row each. Only the id and text columns are read, so other columns may have any name.
+Very long texts are one set like others: memory of a task grows with the sets of one unit, which is bounded by BLOCK
+classes and BLOCK_TOKENS shingles (or a single set, if that is larger).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,15 +47,20 @@ SHINGLE = 5
 #: Similarity of at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 3, 4
 KEYS, HOT_KEYS = 32, 16
-BITS = 1024
+#: A link's two classes share no key with less than this probability.
+MISSED = 3e-10
+#: Bits of a bitmap for each shingle, at least.
+BITS = 8
 #: Hot shingles that are broadcast at most (8 bytes each), and the count from which one is hot.
 HOT_MOST, HOT_LEAST = 1 << 18, 64
 #: Shingles of a chunk within which local counts are taken, and the least local count that is reported.
 CHUNK, LOCAL_LEAST = 1_000_000, 4
-#: Classes of one key that one tree holds.
-BLOCK = 1024
-#: Ids that are broadcast at most to pick out documents (8 bytes each); beyond it, they are joined.
-IDS_MOST = 1 << 20
+#: Keys of each kind that the first wave takes.
+FIRST = 2
+#: Classes and shingles of a unit, about; and the classes that all blocks of a cut key share, about.
+BLOCK, BLOCK_TOKENS, ANCHORS = 256, 1 << 21, 8
+#: Rows that are broadcast at most to pick out documents (at most 64 bytes each); beyond it, they are joined.
+IDS_MOST = 1 << 18
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -82,12 +96,23 @@ def digest_of(s: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
 
+def bits_of(n: int) -> int:
+    """The length of a set's bitmap: the next power of two over BITS for each shingle, 64 at least."""
+    return max(64, 1 << (BITS * n - 1).bit_length())
+
+
 def bitmap_of(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(s & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    bits = np.zeros(bits_of(len(s)), np.uint8)
+    bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def n_keys(n: int, hot: int) -> int:
+    """How many ordinary keys a set gives whose hot shingles are so many of n."""
+    share = hot / n
+    return KEYS if share >= 0.5 else math.ceil(math.log(MISSED) / math.log(0.25 / (1 - share)))
+
+
 def needed(n_a, n_b):
     """The least overlap of two sets at the threshold: I / (a + b - I) >= 3/4."""
     return -(-NUMERATOR * (n_a + n_b) // (NUMERATOR + DENOMINATOR))
@@ -147,7 +172,7 @@ def hot_tokens(counted: DataFrame) -> np.ndarray:
 
 
 def class_keys(texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(doc_id, sig, n, keys, bitmap) of rows that may name their class: within a task, of equal sets only rows with a
+    """(doc_id, sig, n, keys, n_own, bitmap) of rows that may name their class: within a task, of equal sets only rows with a
     smaller doc_id than before."""
     kept = texts.sparkSession.sparkContext.broadcast(hot.tobytes())
 
@@ -156,7 +181,7 @@ def class_keys(texts: DataFrame, hot: np.ndarray) -> DataFrame:
 
         def work(rows: Iterator[tuple]) -> Iterator[list]:
             least: dict = {}
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in range(6)]
             for doc_id, text in rows:
                 s = shingles(text)
                 sig = digest_of(s)
@@ -166,99 +191,93 @@ def class_keys(texts: DataFrame, hot: np.ndarray) -> DataFrame:
                 at = np.searchsorted(hot, s) if len(hot) else None
                 is_hot = hot[np.minimum(at, len(hot) - 1)] == s if len(hot) else np.zeros(len(s), bool)
                 own, shared = s[~is_hot], s[is_hot]
-                keys = own[:KEYS] if len(shared) < len(own) else np.concatenate([own[:KEYS], shared[:HOT_KEYS]])
-                for column, value in zip(out, (doc_id, sig, len(s), keys.view(np.int64), bitmap_of(s)), strict=True):
+                own = own[: n_keys(len(s), len(shared))]
+                keys = np.concatenate([own, shared[:HOT_KEYS]]) if 2 * len(shared) >= len(s) else own
+                for column, value in zip(out, (doc_id, sig, len(s), keys.view(np.int64), len(own), bitmap_of(s)), strict=True):
                     column.append(value)
                 if len(out[0]) >= SLICE_ROWS:
                     yield out
-                    out = [[], [], [], [], []]
+                    out = [[] for _ in range(6)]
             yield out
 
         return work
 
-    return scan_many(texts, "doc_id bigint, sig binary, n bigint, keys array<bigint>, bitmap binary", factory)
+    return scan_many(texts, "doc_id bigint, sig binary, n bigint, keys array<bigint>, n_own bigint, bitmap binary", factory)
 
 
-def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, tokens) of the documents in wanted (column id, distinct)."""
-    few = wanted.limit(IDS_MOST + 1).count() <= IDS_MOST
-    picked = texts.join(F.broadcast(wanted) if few else wanted, texts["doc_id"] == wanted["id"], "left_semi").select("doc_id", "text")
+def few(rows: DataFrame) -> bool:
+    return rows.limit(IDS_MOST + 1).count() <= IDS_MOST
+
+
+def with_sets(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (checkpointed; id and cls name a class) with the class's tokens. A class comes once for each of its rows."""
+    wanted, small = rows.select(F.col("id").alias("wanted")).distinct(), few(rows)
+    picked = texts.join(F.broadcast(wanted) if small else wanted, texts["doc_id"] == F.col("wanted"), "left_semi").select("doc_id", "text")
 
     def factory() -> Callable:
-        def work(rows: Iterator[tuple]) -> Iterator[list]:
-            ids, sets, size = [], [], 0
-            for doc_id, text in rows:
-                ids.append(doc_id)
-                sets.append(shingles(text).view(np.int64))
-                size += len(sets[-1])
+        def work(found: Iterator[tuple]) -> Iterator[list]:
+            ids, sigs, sets, size = [], [], [], 0
+            for doc_id, text in found:
+                s = shingles(text)
+                if len(s):
+                    ids.append(doc_id)
+                    sigs.append(digest_of(s))
+                    sets.append(s.view(np.int64))
+                    size += len(s)
                 if size >= 500_000:
-                    yield [ids, sets]
-                    ids, sets, size = [], [], 0
-            yield [ids, sets]
+                    yield [ids, sigs, sets]
+                    ids, sigs, sets, size = [], [], [], 0
+            yield [ids, sigs, sets]
 
         return work
 
-    return scan_many(picked, "id bigint, tokens array<bigint>", factory)
-
-
-def bounded_pairs(pairs: DataFrame, about: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and bitmaps leave possible. about: (id, n, bitmap)."""
-    side = lambda c: about.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"bitmap_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("n_a") * DENOMINATOR >= F.col("n_b") * NUMERATOR) & (F.col("n_b") * DENOMINATOR >= F.col("n_a") * NUMERATOR)).select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            if not t.num_rows:
-                continue
-            n_a, n_b = (t.column(i).to_numpy() for i in (2, 3))
-            x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint64).reshape(-1, BITS // 64) for i in (4, 5))
-            most = np.minimum(n_a - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), n_b - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(most >= needed(n_a, n_b)))
-
-    return both.mapInArrow(run, "a bigint, b bigint")
-
-
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets reach the threshold."""
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("tokens").alias(f"tokens_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    total = F.size("tokens_a") + F.size("tokens_b")
-    # no distinct here: it would tie a large class's pairs to one task, which the join alone may split
-    return both.where((DENOMINATOR + NUMERATOR) * common >= NUMERATOR * total).select("a", "b")
+    sets = scan_many(picked, "set_id bigint, sig binary, tokens array<bigint>", factory).select("set_id", F.xxhash64("sig").alias("set_cls"), "tokens")
+    same = (sets["set_id"] == rows["id"]) & (sets["set_cls"] == rows["cls"])
+    return sets.join(F.broadcast(rows) if small else rows, same).drop("set_id", "set_cls")
 
 
 class SignatureTree:
-    """Sets ordered by size and bits; each node holds the OR of its sets' bitmaps, the range of their sizes, the most
-    shingles that share bits within a set, and their component, if it is one (-1: several)."""
+    """Sets of one bitmap length, ordered by size and then by their smallest shingle or first bits, so that like sets are
+    neighbours; each node holds the OR of its sets' bitmaps, the range of their sizes and the most shingles that share
+    bits within a set. members are the sets' positions in their unit."""
 
     LEAF, FAN = 16, 8
-
-    def __init__(self, n: np.ndarray, bits: np.ndarray, comp: np.ndarray) -> None:
-        self.order = np.lexsort((bits[:, 0], n))
-        self.n, self.bits, self.comp = n[self.order], bits[self.order], comp[self.order]
-        excess = self.n - np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
-        self.levels = [self._merged(self.LEAF, self.n, self.n, self.bits, excess, self.comp)]
+    #: Words of bitmaps that a leaf compares at once, for memory.
+    WORDS = 1 << 18
+
+    def __init__(self, members: np.ndarray, n: np.ndarray, bits: np.ndarray, near: np.ndarray) -> None:
+        order = np.lexsort((near, np.floor(np.log2(n) * 4)))
+        self.members, self.n, self.bits = members[order], n[order], bits[order]
+        self.set_bits = np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
+        self.levels = [self._merged(self.LEAF, self.n, self.n, self.bits, self.n - self.set_bits)]
         while len(self.levels[-1][0]) > 1:
             self.levels.append(self._merged(self.FAN, *self.levels[-1]))
 
     @staticmethod
-    def _merged(fan: int, low, high, bits, excess, comp) -> tuple:
+    def _merged(fan: int, low, high, bits, excess) -> tuple:
         cut = np.arange(0, len(low), fan)
-        least, most = np.minimum.reduceat(comp, cut), np.maximum.reduceat(comp, cut)
-        return np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.bitwise_or.reduceat(bits, cut, axis=0), np.maximum.reduceat(excess, cut), np.where(least == most, least, -1)
+        return np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.bitwise_or.reduceat(bits, cut, axis=0), np.maximum.reduceat(excess, cut)
 
-    def join(self, other: SignatureTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions of possible pairs, by walking both trees at once."""
+    def under(self, level: int, node: int) -> slice:
+        width = self.LEAF * self.FAN**level
+        return slice(node * width, (node + 1) * width)
+
+    def join(self, other: SignatureTree, done: Callable[[np.ndarray, np.ndarray], bool]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions in the unit of possible pairs, leaf by leaf, by walking both trees at once. done(a, b): whether
+        nothing is to be found between the sets at these positions; it is asked again as the walk goes on."""
         stack = [(len(self.levels) - 1, 0, len(other.levels) - 1, 0)]
         while stack:
             la, i, lb, j = stack.pop()
-            low_a, high_a, bits_a, ex_a, comp_a = (x[i] for x in self.levels[la])
-            low_b, high_b, bits_b, ex_b, comp_b = (x[j] for x in other.levels[lb])
-            if comp_a == comp_b != -1 or DENOMINATOR * high_a < NUMERATOR * low_b or DENOMINATOR * high_b < NUMERATOR * low_a:
+            if other is self and la == lb and j < i:
+                continue
+            low_a, high_a, bits_a, ex_a = (x[i] for x in self.levels[la])
+            low_b, high_b, bits_b, ex_b = (x[j] for x in other.levels[lb])
+            if DENOMINATOR * high_a < NUMERATOR * low_b or DENOMINATOR * high_b < NUMERATOR * low_a:
                 continue
             if int(np.bitwise_count(bits_a & bits_b).sum(dtype=np.int64)) + min(ex_a, ex_b) < needed(low_a, low_b):
                 continue
+            if done(self.members[self.under(la, i)], other.members[other.under(lb, j)]):
+                continue
             if la == lb == 0:
                 yield from self._leaf(i, other, j)
             elif la >= lb:
@@ -267,86 +286,182 @@ class SignatureTree:
                 stack += [(la, i, lb - 1, k) for k in range(j * self.FAN, min((j + 1) * self.FAN, len(other.levels[lb - 1][0])))]
 
     def _leaf(self, i: int, other: SignatureTree, j: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        a, b = slice(i * self.LEAF, (i + 1) * self.LEAF), slice(j * self.LEAF, (j + 1) * self.LEAF)
-        x, y, n_a, n_b = self.bits[a, None, :], other.bits[None, b, :], self.n[a, None], other.n[None, b]
-        most = np.minimum(n_a - np.bitwise_count(x & ~y).sum(axis=2, dtype=np.int64), n_b - np.bitwise_count(y & ~x).sum(axis=2, dtype=np.int64))
-        keep = (most >= needed(n_a, n_b)) & (DENOMINATOR * n_a >= NUMERATOR * n_b) & (DENOMINATOR * n_b >= NUMERATOR * n_a) & (self.comp[a, None] != other.comp[None, b])
-        p, q = np.nonzero(keep)
-        if len(p):
-            yield self.order[a][p], other.order[b][q]
+        a, b = self.under(0, i), other.under(0, j)
+        x, y, n_b, bits_b = self.bits[a], other.bits[b], other.n[b], other.set_bits[b]
+        step = max(1, self.WORDS // (x.shape[1] * max(1, len(y))))
+        for at in range(0, len(x), step):
+            rows = slice(a.start + at, min(a.start + at + step, a.start + len(x)))
+            n_a, bits_a = self.n[rows, None], self.set_bits[rows, None]
+            common = np.bitwise_count(x[at : at + step, None, :] & y[None]).sum(axis=2, dtype=np.int64)
+            most = np.minimum(n_a - (bits_a - common), n_b - (bits_b - common))
+            keep = (most >= needed(n_a, n_b)) & (DENOMINATOR * n_a >= NUMERATOR * n_b) & (DENOMINATOR * n_b >= NUMERATOR * n_a)
+            if other is self and i == j:
+                keep &= np.arange(at, at + keep.shape[0])[:, None] < np.arange(keep.shape[1])
+            p, q = np.nonzero(keep)
+            if len(p):
+                yield self.members[rows][p], other.members[b][q]
+
+
+def trees_of(positions: np.ndarray, n: np.ndarray, bitmaps: list[bytes], near: np.ndarray) -> dict[int, tuple[SignatureTree, SignatureTree | None]]:
+    """By bitmap length in bytes: the tree of the sets with that length, and one of the same sets with bitmaps folded to half the
+    length. Sets that may link differ by one step of length at most."""
+    sizes, out = np.array([len(bitmaps[p]) for p in positions]), {}
+    for size in np.unique(sizes).tolist():
+        own = positions[sizes == size]
+        bits = np.frombuffer(b"".join(bitmaps[p] for p in own), np.uint64).reshape(len(own), -1)
+        half = bits.shape[1] // 2
+        folded = SignatureTree(own, n[own], bits[:, :half] | bits[:, half:], near[own]) if size // 2 in out or size // 2 in sizes else None
+        out[size] = SignatureTree(own, n[own], bits, near[own]), folded
+    return out
+
+
+def unit_pairs(side: np.ndarray, n: np.ndarray, bitmaps: list[bytes], near: np.ndarray, done: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Possible pairs of a unit's sets: of side 0 with side 1, if there is a side 0, else of all with all."""
+    if not (side == 0).any():
+        trees = trees_of(np.arange(len(n)), n, bitmaps, near)
+        for size, (tree, folded) in trees.items():
+            yield from tree.join(tree, done)
+            if folded and size // 2 in trees:
+                yield from trees[size // 2][0].join(folded, done)
+        return
+    left, right = (trees_of(np.flatnonzero(side == s), n, bitmaps, near) for s in (0, 1))
+    for size in sorted({*left, *right}):
+        if size in left and size in right:
+            yield from left[size][0].join(right[size][0], done)
+        if size in left and 2 * size in right:
+            yield from left[size][0].join(_folded(right[2 * size]), done)
+        if size in right and 2 * size in left:
+            yield from right[size][0].join(_folded(left[2 * size]), done)
+
+
+def _folded(trees: tuple[SignatureTree, SignatureTree | None]) -> SignatureTree:
+    full, folded = trees
+    half = full.bits.shape[1] // 2
+    return folded or SignatureTree(full.members, full.n, full.bits[:, :half] | full.bits[:, half:], full.bits[:, 0])
+
+
+def unit_links(side: np.ndarray, comp: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Positions (a, b) of links that join the components of a unit's sets (comp: what they are in already): a spanning
+    forest of all links, so fewer than there are sets."""
+    label, out = np.unique(comp, return_inverse=True)[1], []
+    n = np.array([len(s) for s in sets])
+
+    def done(a: np.ndarray, b: np.ndarray) -> bool:
+        x, y = label[a], label[b]
+        return bool((x == x[0]).all() and (y == x[0]).all())
+
+    for p, q in unit_pairs(side, n, [bitmap_of(s) for s in sets], np.array([s[0] for s in sets]), done):
+        for a, b in zip(p.tolist(), q.tolist(), strict=True):
+            if label[a] == label[b]:
+                continue
+            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if (DENOMINATOR + NUMERATOR) * common >= NUMERATOR * (n[a] + n[b]):
+                out.append((a, b))
+                label[label == label[b]] = label[a]
+    return out
+
+
+def unit_candidates(side: np.ndarray, comp: np.ndarray, n: np.ndarray, bitmaps: list[bytes]) -> np.ndarray:
+    """Positions of the sets that have a possible partner in another component."""
+    label = np.unique(comp, return_inverse=True)[1]
+    marked = np.zeros(len(n), bool)
 
+    def done(a: np.ndarray, b: np.ndarray) -> bool:
+        x, y = label[a], label[b]
+        return bool(marked[a].all() and marked[b].all() or (x == x[0]).all() and (y == x[0]).all())
 
-def tree_pairs(rows: DataFrame) -> DataFrame:
-    """Possible pairs (a, b), a < b, of different components, from rows (unit, side, id, comp, n, bitmap) sorted by unit
-    within partitions. Side 0 is joined with side 1; a unit with side 2 only is joined with itself."""
+    for p, q in unit_pairs(side, n, bitmaps, np.array([int.from_bytes(x[:7]) for x in bitmaps]), done):
+        other = label[p] != label[q]
+        marked[p[other]] = marked[q[other]] = True
+    return np.flatnonzero(marked)
+
+
+def by_unit(rows: DataFrame, payload: list[str], schema: str, work: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """work over the rows of each unit (key, l, r) at once, with side, id, cls, comp and the payload; units are bounded."""
+    names = ["key", "l", "r", "side", "id", "cls", "comp", *payload]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def joined(side, ids, comp, n, bitmap) -> tuple:
-            bits = np.frombuffer(b"".join(bitmap), np.uint64).reshape(-1, BITS // 64)
-            parts = [np.flatnonzero(side == s) for s in (0, 1)] if side[0] != 2 else [np.arange(len(side))]
-            if not all(map(len, parts)):
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            trees = [SignatureTree(n[p], bits[p], comp[p]) for p in parts]
-            found = [(ids[parts[0][p]], ids[parts[-1][q]]) for p, q in trees[0].join(trees[-1])]
-            if not found:
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            return both[:, 0], both[:, 1]
-
-        held: list = []
-
-        def flush() -> pa.RecordBatch | None:
-            a, b = joined(*(np.concatenate(x) if not isinstance(x[0], list) else sum(x, []) for x in zip(*held, strict=True)))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if len(a) else None
-
-        last = None
+        held, last = [], None
         for t in batches:
-            units = np.array(t.column(0).to_pylist(), dtype=object)
-            if not len(units):
+            if not t.num_rows:
                 continue
-            cuts = [0, *(np.flatnonzero(units[1:] != units[:-1]) + 1).tolist(), len(units)]
-            numbers = [t.column(i).to_numpy() for i in (1, 2, 3, 4)]
-            bitmaps = t.column(5).to_pylist()
+            unit = np.stack([t.column(i).to_numpy() for i in range(3)])
+            cuts = [0, *(np.flatnonzero((unit[:, 1:] != unit[:, :-1]).any(axis=0)) + 1).tolist(), t.num_rows]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                if units[a] != last and held:
-                    if (made := flush()) is not None:
-                        yield made
+                now = tuple(unit[:, a].tolist())
+                if held and now != last:
+                    yield from work(pa.Table.from_batches(held)).to_batches()
                     held = []
-                last = units[a]
-                held.append((numbers[0][a:b], numbers[1][a:b], numbers[2][a:b], numbers[3][a:b], bitmaps[a:b]))
-        if held and (made := flush()) is not None:
-            yield made
-
-    return rows.mapInArrow(run, "a bigint, b bigint")
-
-
-def left_over(keyed: DataFrame, groups: DataFrame, labels: DataFrame, about: DataFrame) -> DataFrame:
-    """Possible pairs under one key whose components differ. keyed: (key, id), groups: (key, n) with three classes or
-    more, labels: (node, component)."""
-    named = checkpointed(keyed.join(groups, "key").join(labels, keyed["id"] == labels["node"], "left").select("key", "id", "members", F.coalesce("component", "id").alias("comp")))
-    open_keys = checkpointed(named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"))
-    named = named.join(open_keys, "key", "left_semi")
-    small = named.where(F.col("members") <= BLOCK)
-    # equal groups under many keys are one unit
-    units = small.groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").distinct()
-    units = units.select(F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("unit"), F.explode("ids").alias("id"))
-    comp_of = small.groupBy("id").agg(F.min("comp").alias("comp"))
-    small_rows = units.join(comp_of, "id").select("unit", F.lit(2).alias("side"), "id", "comp")
-
-    large = named.where(F.col("members") > BLOCK)
-    by_comp = large.groupBy("key", "comp").count()
-    main = checkpointed(by_comp.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most")))
-    large = large.join(F.broadcast(main) if main.limit(10_001).count() <= 10_000 else main, "key")
-    left_blocks, right_blocks = F.ceil((F.col("all") - F.col("most")) / BLOCK), F.ceil(F.col("all") / BLOCK)
-    spread = F.xxhash64("id")
-    left = large.where("comp <> main").withColumn("l", F.pmod(spread, left_blocks)).withColumn("r", F.explode(F.sequence(F.lit(0).cast("bigint"), right_blocks - 1))).withColumn("side", F.lit(0))
-    right = large.where("all > most").withColumn("r", F.pmod(spread, right_blocks)).withColumn("l", F.explode(F.sequence(F.lit(0).cast("bigint"), left_blocks - 1))).withColumn("side", F.lit(1))
-    blocks = left.select("key", "l", "r", "side", "id", "comp").unionByName(right.select("key", "l", "r", "side", "id", "comp"))
-    large_rows = blocks.select(F.concat_ws(":", "key", "l", "r").alias("unit"), "side", "id", "comp")
-
-    rows = small_rows.unionByName(large_rows).join(about, "id").select("unit", F.col("side").cast("bigint").alias("side"), "id", "comp", "n", "bitmap")
-    return tree_pairs(rows.repartition("unit").sortWithinPartitions("unit")).distinct()
+                last = now
+                held.append(t.slice(a, b - a))
+        if held:
+            yield from work(pa.Table.from_batches(held)).to_batches()
+
+    dealt = rows.select(*names).repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
+    return dealt.mapInArrow(run, schema)
+
+
+def links_by_unit(rows: DataFrame) -> DataFrame:
+    """Links (a, b) from rows with tokens."""
+
+    def work(t: pa.Table) -> pa.Table:
+        ids = t.column("id").to_numpy()
+        lists = t.column("tokens").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        flat, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        sets = [flat[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+        found = np.array(unit_links(t.column("side").to_numpy(), t.column("comp").to_numpy(), sets), np.int64).reshape(-1, 2)
+        return pa.table({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
+
+    return by_unit(rows, ["tokens"], "a bigint, b bigint", work)
+
+
+def candidates_by_unit(rows: DataFrame) -> DataFrame:
+    """The rows, with bitmap, that have a possible partner in another component of their unit."""
+    kept = ["key", "l", "r", "side", "id", "cls", "comp"]
+
+    def work(t: pa.Table) -> pa.Table:
+        marked = unit_candidates(t.column("side").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(), t.column("bitmap").to_pylist())
+        return t.select(kept).take(pa.array(marked, pa.int64()))
+
+    return by_unit(rows, ["n", "bitmap"], "key bigint, l bigint, r bigint, side bigint, id bigint, cls bigint, comp bigint", work)
+
+
+def units_of(keyed: DataFrame) -> DataFrame:
+    """(key, members, blocks, anchor) of keys with two classes or more; of keys with the same classes, one."""
+    groups = keyed.groupBy("key").agg(F.min("id").alias("anchor"), F.max("id").alias("last"), F.count("*").alias("members"), F.sum("n").alias("size"), F.bit_xor("cls").alias("x"), F.bit_xor(F.xxhash64("cls")).alias("y"))
+    groups = groups.where("anchor <> last").groupBy("members", "x", "y").agg(F.min("key").alias("key"), F.first("anchor").alias("anchor"), F.first("size").alias("size"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("size") / BLOCK_TOKENS))
+    return groups.select("key", "members", blocks.cast("bigint").alias("blocks"), "anchor")
+
+
+def first_links(texts: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Links within the blocks of each key; the anchors of a key are in all of its blocks."""
+    rows = keyed.join(units_of(keyed), "key")
+    spread = F.xxhash64("cls", F.lit(3))
+    everywhere = (F.col("id") == F.col("anchor")) | (F.pmod(F.xxhash64("cls", F.lit(5)), F.col("members")) < ANCHORS)
+    blocks = F.when(everywhere, F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(spread, F.col("blocks"))))
+    rows = checkpointed(rows.select("key", F.explode(blocks).alias("l"), F.lit(0).cast("bigint").alias("r"), F.lit(2).cast("bigint").alias("side"), "id", "cls", F.col("id").alias("comp")))
+    return links_by_unit(with_sets(texts, rows))
+
+
+def second_links(texts: DataFrame, keyed: DataFrame, labels: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Links between the components (labels: node, component) that meet under some key."""
+    rows = keyed.join(units_of(keyed), "key").join(labels, keyed["id"] == labels["node"], "left")
+    rows = checkpointed(rows.select("key", "members", "blocks", "id", "cls", "n", F.coalesce("component", "id").alias("comp")))
+    counts = rows.groupBy("key", "comp").agg(F.count("*").alias("own"))
+    keys = counts.groupBy("key").agg(F.max_by("comp", F.struct("own", "comp")).alias("main"), F.sum("own").alias("all"), F.max("own").alias("most"))
+    rows = rows.join(checkpointed(keys.where("most < all")), "key")
+    spread, left_blocks = F.xxhash64("cls", F.lit(3)), F.ceil(F.col("blocks") * (F.col("all") - F.col("most")) / F.col("all"))
+    zero, upto = F.lit(0).cast("bigint"), lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    place = lambda side, l, r: F.struct(F.lit(side).cast("bigint").alias("side"), l.alias("l"), r.alias("r"))  # noqa: E731, E741
+    whole = F.array(place(2, zero, zero))
+    right = F.transform(upto(left_blocks), lambda l: place(1, l, F.pmod(spread, F.col("blocks"))))  # noqa: E741
+    left = F.transform(upto(F.col("blocks")), lambda r: place(0, F.pmod(spread, left_blocks), r))
+    places = F.when(F.col("blocks") == 1, whole).when(F.col("comp") == F.col("main"), right).otherwise(F.concat(left, right))
+    rows = rows.select("key", "id", "cls", "comp", "n", F.explode(places).alias("p")).select("key", "p.l", "p.r", "p.side", "id", "cls", "comp", "n")
+    found = candidates_by_unit(rows.join(bitmaps, ["id", "cls"]))
+    return links_by_unit(with_sets(texts, checkpointed(found)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,18 +478,15 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     named = rows.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("id"))
     named = checkpointed(named)
     keys = class_keys(texts, hot)
-    keys = checkpointed(keys.join(named.withColumnRenamed("sig", "s"), (keys["sig"] == F.col("s")) & (keys["doc_id"] == F.col("id")), "left_semi").dropDuplicates(["sig", "doc_id"]).select(F.col("doc_id").alias("id"), "n", "keys", "bitmap"))
-    about = keys.select("id", "n", "bitmap")
-    keyed = keys.select(F.explode("keys").alias("key"), "id")
-    groups = checkpointed(keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("high"), F.count("*").alias("members")).where("a <> high").select("key", "a", "members"))
-    stars = keyed.join(groups, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    stars = checkpointed(bounded_pairs(stars, about))
-    ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    links = linked(stars, sets_of(texts, ids(stars)))
+    named_by = named.select(F.col("sig").alias("s"), F.col("id").alias("i"))
+    keys = keys.join(named_by, (keys["sig"] == F.col("s")) & (keys["doc_id"] == F.col("i")), "left_semi").dropDuplicates(["sig", "doc_id"])
+    keys = checkpointed(keys.select(F.col("doc_id").alias("id"), F.xxhash64("sig").alias("cls"), "n", "keys", "n_own", "bitmap"))
+    keyed = keys.select("id", "cls", "n", "n_own", F.posexplode("keys").alias("place", "key"))
+    first = keyed.where(F.when(F.col("place") < F.col("n_own"), F.col("place")).otherwise(F.col("place") - F.col("n_own")) < FIRST)
+    links = checkpointed(first_links(texts, first.select("key", "id", "cls", "n")))
     labels = components(links)
-    rest = checkpointed(left_over(keyed, groups.where("members > 2").select("key", "members"), labels, about))
-    if not rest.isEmpty():
-        more = linked(rest, sets_of(texts, ids(rest)))
+    more = checkpointed(second_links(texts, keyed.select("key", "id", "cls", "n"), labels, keys.select("id", "cls", "bitmap")))
+    if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     final = checkpointed(named.join(labels, named["id"] == labels["node"], "left").select("sig", F.coalesce("component", "id").alias("component_id")))
     with_set = rows.where("sig IS NOT NULL").join(final, "sig", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))

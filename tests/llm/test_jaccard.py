@@ -58,7 +58,7 @@ def corpus(seed):
 @pytest.mark.parametrize("small_limits", [False, True])
 def test_same_as_all_pairs(make, monkeypatch, small_limits):
     if small_limits:  # hot shingles, large keys cut into blocks, ids by join
-        for name, value in {"HOT_LEAST": 8, "LOCAL_LEAST": 2, "CHUNK": 3000, "BLOCK": 8, "IDS_MOST": 3}.items():
+        for name, value in {"HOT_LEAST": 8, "LOCAL_LEAST": 2, "CHUNK": 3000, "BLOCK": 8, "ANCHORS": 1, "IDS_MOST": 3}.items():
             monkeypatch.setattr(jaccard, name, value)
     docs = corpus(7)
     got = jaccard.near_duplicates(make(docs)).collect()
@@ -79,23 +79,80 @@ def test_odd_rows(odd, none):
     assert jaccard.near_duplicates(none).count() == 0 and jaccard.keep_one_of_each(none).count() == 0
 
 
+def some_sets(r, sizes, copies=6):
+    base = [r.integers(0, 2**63, n, dtype=np.uint64) for n in sizes]
+    return [np.unique(np.concatenate([b[r.random(len(b)) > r.random() * 0.25], r.integers(0, 2**63, 2, dtype=np.uint64)])) for b in base for _ in range(copies)]
+
+
+def linked(a, b):
+    common = len(np.intersect1d(a, b))
+    return 100 * common >= 75 * (len(a) + len(b) - common)
+
+
+def pairs_of(sets, side=None, done=lambda a, b: False):
+    side = np.full(len(sets), 2) if side is None else side
+    n = np.array([len(s) for s in sets])
+    found = jaccard.unit_pairs(side, n, [jaccard.bitmap_of(s) for s in sets], np.array([s[0] for s in sets]), done)
+    return [(int(a), int(b)) for p, q in found for a, b in zip(p, q, strict=True)]
+
+
 @pytest.mark.parametrize("seed", range(4))
-def test_trees_miss_no_link(seed):
+@pytest.mark.parametrize("two_sides", [False, True])
+def test_trees_miss_no_link(seed, two_sides):
     r = np.random.default_rng(seed)
-    pool = r.integers(0, 2**63, 3000, dtype=np.uint64)
-    base = [r.choice(pool, r.integers(2, 300), replace=False) for _ in range(20)]
-    sets = [np.unique(np.concatenate([b[r.random(len(b)) > 0.1], r.choice(pool, 3)])) for b in base for _ in range(6)]
-    n, bits = np.array([len(s) for s in sets]), np.frombuffer(b"".join(map(jaccard.bitmap_of, sets)), np.uint64).reshape(len(sets), -1)
-    comp = np.arange(len(sets))
-    comp[1] = comp[0] = 500  # of one component: not asked for
-    tree = jaccard.SignatureTree(n, bits, comp)
-    found = {(int(a), int(b)) for p, q in tree.join(tree) for a, b in zip(p, q, strict=True)}
+    sets = some_sets(r, r.integers(2, 300, 40))
+    side = r.integers(0, 2, len(sets)) if two_sides else None
+    found = pairs_of(sets, side)
+    assert two_sides or len(found) == len({frozenset(p) for p in found})  # each pair once
+    got = {frozenset(p) for p in found}
     for i in range(len(sets)):
-        for j in range(len(sets)):
-            common = len(np.intersect1d(sets[i], sets[j]))
-            if comp[i] != comp[j] and 100 * common >= 75 * (n[i] + n[j] - common):
-                assert (i, j) in found
-    assert (0, 1) not in found and (1, 0) not in found and len(found) < 0.5 * len(sets) ** 2
+        for j in range(i):
+            if linked(sets[i], sets[j]) and (not two_sides or side[i] != side[j]):
+                assert frozenset((i, j)) in got
+    assert len(got) < 0.05 * len(sets) ** 2
+
+
+@pytest.mark.parametrize("size", [500, 2000, 20_000])
+def test_trees_prune_whatever_the_size(size):
+    r = np.random.default_rng(1)
+    sets = some_sets(r, [size] * 16, copies=2)
+    asked = []
+    found = pairs_of(sets, done=lambda a, b: asked.append(len(a) * len(b)) or False)
+    assert all(i // 2 == j // 2 for i, j in found)  # no two unlike sets reach a comparison
+
+
+def test_a_group_just_below_the_threshold_gives_few_links():
+    r = np.random.default_rng(2)
+    for share, most in ((0.8, 10), (0.93, 199)):  # similarities of about 0.65 and 0.79
+        base = r.integers(0, 2**63, 400, dtype=np.uint64)
+        sets = []
+        for _ in range(200):
+            own = base[r.random(len(base)) < share]
+            sets.append(np.unique(np.concatenate([own, r.integers(0, 2**63, 20, dtype=np.uint64)])))
+        links = jaccard.unit_links(np.full(200, 2), np.arange(200), sets)
+        assert len(links) <= most and all(linked(sets[a], sets[b]) for a, b in links)
+        least = list(range(200))
+        for a, b in links:
+            x, y = least[a], least[b]
+            least = [min(x, y) if c in (x, y) else c for c in least]
+        for i in range(0, 200, 7):
+            for j in range(i):
+                assert not linked(sets[i], sets[j]) or least[i] == least[j]
+
+
+def test_components_are_not_asked_again():
+    r = np.random.default_rng(3)
+    sets = [np.unique(b[r.random(100) > 0.05]) for b in r.integers(0, 2**63, (4, 100), dtype=np.uint64) for _ in range(10)]
+    comp = np.arange(len(sets)) // 10
+    assert jaccard.unit_links(np.full(40, 2), comp, sets) == []
+    n, bitmaps = np.array([len(s) for s in sets]), [jaccard.bitmap_of(s) for s in sets]
+    assert len(jaccard.unit_candidates(np.full(40, 2), comp, n, bitmaps)) == 0
+    alone = np.where(np.arange(40) % 10 == 0, 100 + np.arange(40), comp)
+    assert set(jaccard.unit_candidates(np.full(40, 2), alone, n, bitmaps).tolist()) >= {0, 10, 20, 30}
+
+
+def test_number_of_keys():
+    assert [jaccard.n_keys(100, h) for h in (0, 25, 50, 90)] == [16, 20, 32, 32]
 
 
 def test_components(spark):
