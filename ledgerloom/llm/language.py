@@ -4,11 +4,18 @@ A first set of linear support vector machines predicts the family of a text's la
 linear support vector machines separate the languages, which are closely related. Features are hashed character
 trigrams of whole texts in small letters, weighted by relative frequency.
 
-The machines learn from a bounded, documented sample of labelled rows (TRAIN_DOCS for each language, about, by a hash of
-the row's id); rows whose crc32(id as text) mod 5 is 0 are held out and never learned from. Prediction uses the text only.
-
-A text that is null or has no letter is `und`, score 0. With no rows to learn from, every text is `und`. Each input row
-gives one row, repeated rows too.
+Codes outside FAMILIES are grouped by their own texts: about the square root of their number of groups, around languages
+that are far apart, so the number of machines stays well below the square of the number of languages.
+
+The machines learn from a bounded, documented sample of labelled rows (TRAIN_DOCS for each language, about, and TRAIN_MOST
+in all, by a hash of the row's id); rows whose crc32(id as text) mod 5 is 0 are held out and never learned from. A
+language with very few rows among very many languages may have none in the sample and is then not predicted. Prediction
+uses the text only.
+
+A text that is null or has no letter is `und`, score 0. With no rows to learn from (or an empty table), every text is
+`und`. Ties of votes go to the larger sum of margins, then to the code that comes first. Each input row gives one row,
+repeated rows too. Texts of any length are read whole, in time and memory proportional to their length. Only id, text and
+label are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ import pickle
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,7 +40,10 @@ TRAIN_DOCS, TRAIN_MOST = 600, 12_000
 #: Hashed features.
 DIM = 1 << 12
 
-# Families of languages by their codes; any other code is a family of its own.
+#: keep_known() rejects scores below this: even odds at both levels.
+LEAST_SCORE = 0.25
+
+# Families of languages by their codes.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
     "romance": ("fr", "es", "it", "pt", "ca", "gl", "ro", "oc"),
@@ -115,9 +125,28 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30) -> tupl
     return w, float(bias)
 
 
+def families_of(x: np.ndarray, langs: np.ndarray) -> dict[str, str]:
+    """The family of each language: that of FAMILIES, else a group of languages with similar texts, named by its first
+    centre. Centres are picked farthest first, by cosine of the mean features; ties go to the code that comes first."""
+    known = sorted(set(langs))
+    out = {lang: FAMILY_OF[lang] for lang in known if lang in FAMILY_OF}
+    rest = [lang for lang in known if lang not in out]
+    if not rest:
+        return out
+    mean = np.stack([x[langs == lang].mean(axis=0, dtype=np.float64) for lang in rest])
+    mean /= np.linalg.norm(mean, axis=1, keepdims=True)
+    centres, nearest = [0], mean @ mean[0]
+    while len(centres) ** 2 < len(rest):
+        centres.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, mean @ mean[centres[-1]])
+    group = (mean @ mean[centres].T).argmax(axis=1)
+    return out | {lang: f"like {rest[centres[g]]}" for lang, g in zip(rest, group, strict=True)}
+
+
 class Model:
     def __init__(self, x: np.ndarray, langs: np.ndarray) -> None:
-        family = np.array([FAMILY_OF.get(lang, lang) for lang in langs], dtype=object)
+        self.family_of = families_of(x, langs)
+        family = np.array([self.family_of[lang] for lang in langs], dtype=object)
         self.families = Machines(sorted(set(family)))
         self.families.learn(x, family)
         self.within: dict[str, Machines] = {}
@@ -143,12 +172,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     """A model from about train_docs rows of each language, picked by a hash of their ids."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), docs[label_col].alias("lang")).where("lang IS NOT NULL AND id IS NOT NULL AND text IS NOT NULL")
     rows = rows.where(~held_out("id"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_MOST // 20).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # as many as there are languages
     if not counts:
         return Model(np.zeros((0, DIM), np.float32), np.zeros(0, dtype=object))
-    each = min(train_docs, TRAIN_MOST // len(counts))
-    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, int((1 << 40) * min(1.0, each / n)))])
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 40)) < share[F.col("lang")])
+    each = min(train_docs, TRAIN_MOST / len(counts))
+    shares = docs.sparkSession.createDataFrame([(lang, int((1 << 40) * min(1.0, each / n))) for lang, n in counts.items()], "lang string, share long")
+    sample = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 40)) < F.col("share")).select("id", "text", "lang")
 
     def factory() -> Callable:
         def work(found: Iterator[tuple]) -> Iterator[list]:
@@ -178,15 +207,26 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return scan(long_text(docs, id_col, text_col), f"{id_col} bigint, held_out boolean, lang_pred string, score double", factory)
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text has a language; texts without any letter go."""
-    kept = broadcast_object(docs.sparkSession, learn(docs))
+def keep_known(docs: DataFrame, languages: Collection[str] | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs whose language is known: those predicted as one of the languages (all, if None) with a score of
+    least or more; the others go, and so do texts without a letter. A null lang becomes the prediction. If there is
+    nothing to learn from, nothing can be told and all rows stay as they are."""
+    model = learn(docs)
+    if not model.families.classes:
+        return docs
+    kept = broadcast_object(docs.sparkSession, model)
 
     def make() -> Callable[[list], list]:
         model = pickle.loads(kept.value)
-        return lambda texts: [model.predict(t)[0] != UNKNOWN for t in texts]
 
-    return docs.where(text_column(T.BooleanType(), make)(docs["text"]))
+        def decide(text: str | None) -> str | None:
+            lang, score = model.predict(text)
+            return lang if lang != UNKNOWN and score >= least and (languages is None or lang in languages) else None
+
+        return lambda texts: [decide(t) for t in texts]
+
+    found = docs.withColumn("__predicted", text_column(T.StringType(), make)(docs["text"])).where("__predicted IS NOT NULL")
+    return found.withColumn("lang", F.coalesce("lang", "__predicted")).drop("__predicted")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
