@@ -21,7 +21,8 @@ A document is the set of its distinct 5-word shingles (64-bit hashes); two link
    same few anchors, so the blocks of a group of copies meet. Components follow.
 5. A second wave takes all keys whose classes are still in different components. Trees on bitmaps alone name the classes
    that have a possible partner in another component; only their sets are fetched, and trees on them give links as before.
-   In a large key, classes outside its largest component meet with all others, block by block. Components are final.
+   In a large key, classes outside its largest component meet with all others, block by block; large keys of one largest
+   component are joined as one, where that is less. Components are final.
 
 Null and empty texts have no shingles and link with nothing; an empty table gives an empty result. Rows that share a doc_id
 are one document: it links by any of its texts. A null doc_id never names a class; its component_id is that of its equal
@@ -58,7 +59,7 @@ CHUNK, LOCAL_LEAST = 1_000_000, 4
 #: Keys of each kind that the first wave takes.
 FIRST = 2
 #: Classes and shingles of a unit, about; and the classes that all blocks of a cut key share, about.
-BLOCK, BLOCK_TOKENS, ANCHORS = 256, 1 << 21, 8
+BLOCK, BLOCK_TOKENS, ANCHORS = 128, 1 << 21, 8
 #: Rows that are broadcast at most to pick out documents (at most 64 bytes each); beyond it, they are joined.
 IDS_MOST = 1 << 18
 
@@ -206,6 +207,7 @@ def class_keys(texts: DataFrame, hot: np.ndarray) -> DataFrame:
 
 
 def few(rows: DataFrame) -> bool:
+    """Whether rows may be broadcast."""
     return rows.limit(IDS_MOST + 1).count() <= IDS_MOST
 
 
@@ -445,22 +447,47 @@ def first_links(texts: DataFrame, keyed: DataFrame) -> DataFrame:
     return links_by_unit(with_sets(texts, rows))
 
 
+def cut_sizes(found: DataFrame) -> DataFrame:
+    """found (all, most, blocks) with left_blocks, the blocks of classes outside the main component, and the rows that a
+    two-sided unit of all blocks has."""
+    outside = F.col("all") - F.col("most")
+    found = found.withColumn("left_blocks", F.ceil(F.col("blocks") * outside / F.col("all")))
+    return found.withColumn("cost", F.col("all") * F.col("left_blocks") + outside * F.col("blocks"))
+
+
 def second_links(texts: DataFrame, keyed: DataFrame, labels: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Links between the components (labels: node, component) that meet under some key."""
+    """Links between the components (labels: node, component) that meet under some key.
+
+    A key of one block is a unit. In larger ones, classes outside the key's largest component meet with all others. Keys of
+    several blocks whose largest component is the same (as all keys of a group of copies) are joined as one, if the union
+    of their classes makes fewer rows than the keys one by one."""
     rows = keyed.join(units_of(keyed), "key").join(labels, keyed["id"] == labels["node"], "left")
-    rows = checkpointed(rows.select("key", "members", "blocks", "id", "cls", "n", F.coalesce("component", "id").alias("comp")))
-    counts = rows.groupBy("key", "comp").agg(F.count("*").alias("own"))
-    keys = counts.groupBy("key").agg(F.max_by("comp", F.struct("own", "comp")).alias("main"), F.sum("own").alias("all"), F.max("own").alias("most"))
-    rows = rows.join(checkpointed(keys.where("most < all")), "key")
-    spread, left_blocks = F.xxhash64("cls", F.lit(3)), F.ceil(F.col("blocks") * (F.col("all") - F.col("most")) / F.col("all"))
-    zero, upto = F.lit(0).cast("bigint"), lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    rows = checkpointed(rows.select("key", "blocks", "id", "cls", "n", F.coalesce("component", "id").alias("comp")))
+    counts = rows.groupBy("key", "comp").agg(F.count("*").alias("own"), F.first("blocks").alias("blocks"))
+    keys = counts.groupBy("key").agg(F.max_by("comp", F.struct("own", "comp")).alias("main"), F.sum("own").alias("all"), F.max("own").alias("most"), F.first("blocks").alias("blocks"))
+    keys = checkpointed(cut_sizes(keys.where("most < all")))
+    classes = rows.drop("blocks").join(keys, "key")
+    whole = classes.where("blocks = 1").select("key", F.lit(0).cast("bigint").alias("l"), F.lit(0).cast("bigint").alias("r"), F.lit(2).cast("bigint").alias("side"), "id", "cls", "comp", "n")
+
+    large = classes.where("blocks > 1")
+    union = checkpointed(large.select("main", "id", "cls", "n", "comp").distinct())
+    sizes = union.groupBy("main").agg(F.count("*").alias("all"), F.count(F.when(F.col("comp") == F.col("main"), 1)).alias("most"), F.sum("n").alias("size"))
+    sizes = cut_sizes(sizes.withColumn("blocks", F.greatest(F.ceil(F.col("all") / BLOCK), F.ceil(F.col("size") / BLOCK_TOKENS))))
+    apart = keys.where("blocks > 1").groupBy("main").agg(F.sum("cost").alias("apart"))
+    sizes = checkpointed(sizes.join(apart, "main").withColumn("together", F.col("cost") < F.col("apart")))
+    columns = ["key", "main", "blocks", "left_blocks", "id", "cls", "comp", "n"]
+    one_by_one = large.join(sizes.where("NOT together").select("main"), "main", "left_semi").select(*columns)
+    # the number of a block, of several keys as one, is negative: it is no block of a key
+    together = union.join(sizes.where("together").select("main", "blocks", "left_blocks"), "main").withColumn("key", F.col("main")).select(*columns)
+    spread, upto = F.xxhash64("cls", F.lit(3)), lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
     place = lambda side, l, r: F.struct(F.lit(side).cast("bigint").alias("side"), l.alias("l"), r.alias("r"))  # noqa: E731, E741
-    whole = F.array(place(2, zero, zero))
-    right = F.transform(upto(left_blocks), lambda l: place(1, l, F.pmod(spread, F.col("blocks"))))  # noqa: E741
-    left = F.transform(upto(F.col("blocks")), lambda r: place(0, F.pmod(spread, left_blocks), r))
-    places = F.when(F.col("blocks") == 1, whole).when(F.col("comp") == F.col("main"), right).otherwise(F.concat(left, right))
-    rows = rows.select("key", "id", "cls", "comp", "n", F.explode(places).alias("p")).select("key", "p.l", "p.r", "p.side", "id", "cls", "comp", "n")
-    found = candidates_by_unit(rows.join(bitmaps, ["id", "cls"]))
+    right = F.transform(upto(F.col("left_blocks")), lambda l: place(1, l, F.pmod(spread, F.col("blocks"))))  # noqa: E741
+    left = F.transform(upto(F.col("blocks")), lambda r: place(0, F.pmod(spread, F.col("left_blocks")), r))
+    places = F.when(F.col("comp") == F.col("main"), right).otherwise(F.concat(left, right))
+    cut = one_by_one.withColumn("kind", F.lit(0)).unionByName(together.withColumn("kind", F.lit(1)))
+    cut = cut.select("key", "id", "cls", "comp", "n", "kind", F.explode(places).alias("p"))
+    cut = cut.select("key", F.when(F.col("kind") == 0, F.col("p.l")).otherwise(-1 - F.col("p.l")).alias("l"), "p.r", "p.side", "id", "cls", "comp", "n")
+    found = candidates_by_unit(whole.unionByName(cut).join(bitmaps, ["id", "cls"]))
     return links_by_unit(with_sets(texts, checkpointed(found)))
 
 
