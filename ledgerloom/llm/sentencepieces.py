@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-For a batch of texts, the different stretches of text that no piece can cross are concatenated and indexed by a suffix
-array (sorted to the depth of the longest piece). Every piece of the vocabulary is looked up by binary search for its
-range of occurrences; each occurrence is an edge. Edges are sorted by position and relaxed from left to right.
+For a batch of texts, the words that are new to the task are concatenated and indexed by a suffix array (sorted to the depth
+of the longest piece). Every piece of the vocabulary is looked up by binary search for its range of occurrences; each
+occurrence is an edge. Edges are sorted by position and relaxed from left to right, over all stretches that no piece can
+cross at once; the pieces of a word are remembered, within a bound.
 
 The model is a byte-pair one: its encoding is the only path whose neighbouring pieces are compatible, which means that
 merging the two pieces' characters by priority gives just these two pieces. So the relaxation keeps, for each position,
@@ -12,7 +13,9 @@ merged last, leftmost first. Characters outside the vocabulary become byte piece
 Supported are byte-pair models with the identity normaliser, the dummy prefix and byte fallback; others raise ValueError.
 
 Null text gives null pieces and null decoded text; empty text gives none and the empty text. Each input row gives one row,
-repeated rows too. Texts of any length are encoded whole.
+repeated rows too; an empty table gives an empty result. Texts of any length are encoded whole: one index holds about
+INDEXED_CHARS characters, and a longer word is indexed part by part, so that besides the text a few numbers a character are held,
+and time is proportional to its length. Only the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -29,11 +32,13 @@ from .common import broadcast_object, long_text, table
 DEFAULT_MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 #: Rows and characters that are encoded together, about.
-BATCH_ROWS, BATCH_CHARS = 512, 2_000_000
-#: Different stretches whose pieces a task remembers at most.
-REMEMBERED = 200_000
-#: Characters of stretches that one suffix array indexes, about; bounds the memory for its windows and edges.
+BATCH_ROWS, BATCH_CHARS = 1024, 2_000_000
+#: Different words whose pieces a task remembers, about.
+REMEMBERED = 150_000
+#: Characters that one suffix array indexes, about; bounds the memory for its windows and edges.
 INDEXED_CHARS = 200_000
+#: Stretches of so many characters are relaxed together, longer ones one by one.
+SHORT = 64
 TABLE = 0x250
 
 
@@ -103,7 +108,8 @@ class Vocabulary:
         kept = [p for p, k in label.items() if keep[k]]
         self.depth = max(map(len, kept), default=1)
         self.piece_labels = np.array([label[p] for p in kept], np.int64)
-        self.piece_lengths = np.array([len(p) for p in kept], np.int64)
+        self.length_of = np.zeros(m, np.int64)
+        self.length_of[self.piece_labels] = [len(p) for p in kept]
         codes = np.zeros((len(kept), self.depth), ">u4")
         for row, p in zip(codes, kept, strict=True):
             row[: len(p)] = [ord(c) + 1 for c in p]
@@ -117,7 +123,8 @@ class Vocabulary:
         for k in bigrams:
             if k >> 21 < TABLE and k & 0x1FFFFF < TABLE:
                 self.small[k >> 21, k & 0x1FFFFF] = True
-        self.known = {p for p in label if len(p) == 1}
+        self.known_codes = np.array(sorted(ord(p) for p in label if len(p) == 1), np.uint32)
+        self.plain: tuple | None = None
 
     def joined(self, x: np.ndarray) -> np.ndarray:
         """For neighbouring characters, whether some piece holds both."""
@@ -149,6 +156,23 @@ class Vocabulary:
             live, a, b, limit = live[go], a[go], b[go], limit[go]
         return out
 
+    def compatible_one(self, a: int, b: int) -> bool:
+        """compatible() of a single pair."""
+        if self.plain is None:
+            self.plain = dict(zip(self.pair_keys.tolist(), self.pair_made.tolist(), strict=True)), self.left.tolist(), self.right.tolist()
+        pairs, left, right = self.plain
+        limit = 1 << 40
+        while True:
+            if pairs.get(a << 20 | b, limit) < limit:
+                return False
+            a_next, b_next = right[a], left[b]
+            if a_next != a and (a > b or b_next == b):
+                limit, a = a, a_next
+            elif b_next != b:
+                limit, b = b + 1, b_next
+            else:
+                return True
+
 
 class Encoder:
     def __init__(self, v: Vocabulary) -> None:
@@ -159,93 +183,138 @@ class Encoder:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.start, self.size, self.total = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    # ---- stretches
+    # ---- words
 
-    def learn(self, stretches: list[str]) -> None:
-        """Pieces of new stretches, through a suffix array over as many of them as INDEXED_CHARS allows at a time."""
+    def learn(self, words: list[str]) -> None:
+        """Pieces of new words (each stands for a blank and the word), as many at a time as one index holds."""
         block, chars = [], 0
-        for s in stretches:
-            block.append(s)
-            chars += len(s)
+        for w in words:
+            block.append(w)
+            chars += len(w) + 2
             if chars >= INDEXED_CHARS:
                 self._learn(block)
                 block, chars = [], 0
         if block:
             self._learn(block)
 
-    def _learn(self, stretches: list[str]) -> None:
-        v = self.v
-        plain = [s for s in stretches if len(s) > 1 or s in v.known]
-        ids: dict[str, np.ndarray] = {s: v.byte_ids[list(s.encode("utf-8", "surrogatepass"))] for s in stretches if not (len(s) > 1 or s in v.known)}
-        for s, labels in zip(plain, self.paths(plain), strict=True):
-            ids[s] = v.ids[labels]
-        for s in stretches:
-            self.number[s] = len(self.number)
-        sizes = np.array([len(ids[s]) for s in stretches], np.int64)
-        self.flat.append(np.concatenate([ids[s] for s in stretches]).astype(np.int32))
-        self.start.append(self.total + np.cumsum(sizes) - sizes)
-        self.size.append(sizes)
-        self.total += int(sizes.sum())
-        self.flat, self.start, self.size = ([np.concatenate(x)] for x in (self.flat, self.start, self.size))
-
-    def paths(self, stretches: list[str]) -> list[np.ndarray]:
-        """Labels of each stretch's pieces."""
-        if not stretches:
-            return []
+    def _learn(self, words: list[str]) -> None:
+        joined = BLANK + f"\0{BLANK}".join(words)
+        text = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2) - 1  # after each word: its separator
+        ids, place = self.pieces(text, ends)
+        stop = np.searchsorted(place, ends, "right")
+        start = np.concatenate([[0], stop[:-1]])
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.start = np.concatenate([self.start, len(self.flat) + start])
+        self.size = np.concatenate([self.size, stop - start])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def pieces(self, text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces of all words of a text, and where each ends. ends: the place after each word."""
+        v, n = self.v, len(text)
+        cut = np.concatenate([[True], ~v.joined(text), [True]])
+        cut[ends[:-1]] = cut[ends[:-1] + 1] = True
+        bounds = np.flatnonzero(cut)
+        own = ~np.isin(bounds[:-1], ends[:-1])  # not the separators
+        begin, end = bounds[:-1][own], bounds[1:][own]
+        one = end - begin == 1
+        unknown = np.zeros(len(begin), bool)
+        unknown[one] = ~np.isin(text[begin[one]], v.known_codes)
+        best, back = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int64)
+        self._relax(text, begin[~unknown], end[~unknown], best, back)
+        # the path of each stretch, from its end
+        on_path, is_begin = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+        is_begin[begin] = True
+        short = end - begin <= SHORT
+        at = end[~unknown & short]
+        while len(at):
+            on_path[at] = True
+            at = back[at]
+            at = at[~is_begin[at]]
+        for b, e in zip(begin[~short].tolist(), end[~short].tolist(), strict=True):
+            own, steps, e_at = back[b : e + 1].tolist(), [], e
+            while e_at > b:
+                steps.append(e_at)
+                e_at = own[e_at - b]
+            on_path[steps] = True
+        place = np.flatnonzero(on_path)
+        ids = v.ids[best[place]]
+        if unknown.any():  # byte pieces, with the place of their character
+            raw = [chr(c).encode("utf-8", "surrogatepass") for c in text[begin[unknown]].tolist()]
+            place = np.concatenate([place, np.repeat(end[unknown], [len(x) for x in raw])])
+            ids = np.concatenate([ids, v.byte_ids[list(b"".join(raw))]])
+            order = np.argsort(place, kind="stable")
+            place, ids = place[order], ids[order]
+        return ids.astype(np.int32), place
+
+    def _relax(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray, best: np.ndarray, back: np.ndarray) -> None:
+        """best and back of all places in the stretches [begin, end): index by index, each over about INDEXED_CHARS; only a
+        long stretch may lie in several."""
+        i, long = 0, np.append(np.flatnonzero(end - begin > SHORT), len(begin))
+        following = long[np.searchsorted(long, np.arange(len(begin)))]  # of each stretch, the next long one
+        while i < len(begin):
+            if i == following[i]:
+                for at in range(int(begin[i]), int(end[i]), INDEXED_CHARS):
+                    stop = min(at + INDEXED_CHARS, int(end[i]))
+                    self._relax_long(int(begin[i]), *self._edges(text, at, stop, int(end[i])), best, back)
+                i += 1
+                continue
+            # up to the next long stretch, and a little over the bound rather than in two
+            j = min(max(i + 1, int(np.searchsorted(end, begin[i] + 2 * INDEXED_CHARS, "right"))), int(following[i]))
+            self._relax_short(begin[i:j], *self._edges(text, int(begin[i]), int(end[j - 1]), int(end[j - 1])), best, back)
+            i = j
+
+    def _edges(self, text: np.ndarray, low: int, high: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, label, end) of all occurrences of pieces that start in [low, high) and end by end. A suffix
+        array over this stretch of text, sorted to the depth of the longest piece, gives each piece's range."""
         v, depth = self.v, self.v.depth
-        lengths = np.array([len(s) for s in stretches], np.int64)
-        begin = np.cumsum(lengths + 1) - lengths - 1  # a separator, code 0, after each
-        text = np.frombuffer("\0".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
-        n = len(text)
-        text[begin[1:] - 1] = 0
-        # suffixes in order of their first characters, 1, 2, 4, ... of them
-        rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+        part = text[low : min(end, high + depth)].astype(np.int64) + 1
+        n = len(part)
+        rank = np.unique(part, return_inverse=True)[1].astype(np.int64)
         width = 1
-        while width < depth:
+        while width < depth:  # suffixes in order of their first characters, 1, 2, 4, ... of them
             after = np.zeros(n, np.int64)
             after[: max(0, n - width)] = rank[width:] + 1
             rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64)
             width *= 2
         suffixes = np.argsort(rank, kind="stable")
-        padded = np.concatenate([text, np.zeros(depth, np.int64)]).astype(">u4")
-        # a suffix's window must end at its separator, where codes compare lowest; what comes after may differ
-        index = np.lib.stride_tricks.sliding_window_view(padded, depth)[:n][suffixes]
-        index = np.ascontiguousarray(index).view(f"S{4 * depth}").ravel()
-        low, high = np.searchsorted(index, v.piece_low, "left"), np.searchsorted(index, v.piece_high, "right")
-        counts = high - low
-        total = int(counts.sum())
-        where = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
+        padded = np.concatenate([part, np.zeros(depth, np.int64)]).astype(">u4")
+        index = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, depth)[:n][suffixes]).view(f"S{4 * depth}").ravel()
+        first, last = np.searchsorted(index, v.piece_low, "left"), np.searchsorted(index, v.piece_high, "right")
+        counts = last - first
+        where = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts - first, counts)
         at, label = suffixes[where], np.repeat(v.piece_labels, counts)
-        end = at + np.repeat(v.piece_lengths, counts)
-        # relax edges in order of their place within the stretch: one round for each offset, over all stretches
-        of = np.repeat(np.arange(len(stretches)), lengths + 1)[:n]
-        offset = end - begin[of[at]]
+        inside = at < high - low
+        at, label = at[inside], label[inside]
+        at += low
+        return at, label, at + v.length_of[label]
+
+    def _relax_short(self, begin: np.ndarray, at: np.ndarray, label: np.ndarray, end: np.ndarray, best: np.ndarray, back: np.ndarray) -> None:
+        """Edges by their place within the stretch: one round for each, over all stretches."""
+        first = np.zeros(int(begin[-1]) + SHORT - int(begin[0]), np.int64)
+        first[begin[1:] - begin[0]] = np.diff(begin)
+        first = np.cumsum(first) + begin[0]  # of each place, where its stretch begins
+        offset = (at - first[at - begin[0]]).astype(np.int8)
         order = np.argsort(offset, kind="stable")
         at, label, end, offset = at[order], label[order], end[order], offset[order]
-        best, back = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
-        first = np.zeros(n + 1, bool)
-        first[begin] = True
-        cuts = np.flatnonzero(np.concatenate([[True], offset[1:] != offset[:-1], [True]]))
-        for i, j in zip(cuts, cuts[1:], strict=False):
+        cuts = np.searchsorted(offset, np.arange(int(offset[-1]) + 2)) if len(offset) else []
+        for o, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
             s, t, e = at[i:j], label[i:j], end[i:j]
-            before = best[s]
-            good = first[s]
-            ask = np.flatnonzero(~good & (before >= 0))
-            if len(ask):
-                good = good.copy()
-                good[ask] = v.compatible(before[ask], t[ask])
-            best[e[good]], back[e[good]] = t[good], s[good]
-        out = []
-        for b, size in zip(begin.tolist(), lengths.tolist(), strict=True):
-            path, e = [], b + size
-            while e > b:
-                path.append(best[e])
-                e = back[e]
-            out.append(np.array(path[::-1], np.int64))
-        return out
+            if o:
+                reached = best[s] >= 0
+                s, t, e = s[reached], t[reached], e[reached]
+                good = self.v.compatible(best[s].astype(np.int64), t)
+                s, t, e = s[good], t[good], e[good]
+            best[e], back[e] = t, s
+
+    def _relax_long(self, begin: int, at: np.ndarray, label: np.ndarray, end: np.ndarray, best: np.ndarray, back: np.ndarray) -> None:
+        """The same for one stretch, edge by edge."""
+        order = np.argsort(at, kind="stable")
+        for s, t, e in zip(at[order].tolist(), label[order].tolist(), end[order].tolist(), strict=True):
+            if s == begin or (before := int(best[s])) >= 0 and self.v.compatible_one(before, t):
+                best[e], back[e] = t, s
 
     # ---- texts
 
@@ -276,26 +345,18 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Piece ids of each text."""
-        lines = [BLANK + t.replace(" ", BLANK) if t else "" for t in texts]
         if len(self.number) > REMEMBERED:
             self.forget()
-        cut = []
-        for line in lines:
-            if not line:
-                cut.append([])
-                continue
-            x = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-            cuts = [0, *(np.flatnonzero(~self.v.joined(x)) + 1).tolist(), len(x)]
-            cut.append([line[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
-        if new := list(dict.fromkeys(s for stretches in cut for s in stretches if s not in self.number)):
+        # no piece but those of blanks alone holds a blank after its first character, so words are independent
+        cut = [t.replace(BLANK, " ").split(" ") if t else [] for t in texts]
+        if new := list(dict.fromkeys(w for words in cut for w in words if w not in self.number)):
             self.learn(new)
         out = []
-        for stretches in cut:
-            k = np.fromiter(map(self.number.__getitem__, stretches), np.int64, len(stretches))
-            start, size = (x[0][k] if len(k) else np.zeros(0, np.int64) for x in (self.start, self.size))
-            at = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
-            ids = self.flat[0][at] if len(at) else np.zeros(0, np.int32)
-            out.append(self.merged_blanks(ids))
+        for words in cut:
+            k = np.array(list(map(self.number.__getitem__, words)), np.int64)
+            size = self.size[k]
+            at = np.arange(int(size.sum())) + np.repeat(self.start[k] - (np.cumsum(size) - size), size)
+            out.append(self.merged_blanks(self.flat[at]))
         return out
 
     def merged_blanks(self, ids: np.ndarray) -> np.ndarray:

@@ -48,3 +48,19 @@ def test_rows(odd, none, make):
     assert sp.encode_documents(none).count() == 0
     lossy = sp.encode_documents(make([(1, "a▁b")]), with_text=True).first()
     assert not lossy.round_trip and lossy.decoded == "a b"
+
+
+def test_long_words_are_indexed_in_parts(both, monkeypatch):
+    encoder, library = both
+    r = random.Random(5)
+    letters = "".join(library.id_to_piece(r.randrange(259, library.get_piece_size())).replace("▁", "") for _ in range(2000))
+    for chars in (200_000, 50, 7):
+        monkeypatch.setattr(sp, "INDEXED_CHARS", chars)
+        encoder.forget()
+        check(both, [letters, "a" * 700, "ab" * 300 + " " + letters[:900] + " x" * 50, "日" * 300 + "語x" * 90, "the words " * 20])
+
+
+def test_a_pair_alone_is_as_among_others(both):
+    v, r = both[0].v, random.Random(6)
+    a, b = ([r.choice(v.piece_labels.tolist()) for _ in range(3000)] for _ in range(2))
+    assert v.compatible(sp.np.array(a), sp.np.array(b)).tolist() == [v.compatible_one(x, y) for x, y in zip(a, b, strict=True)]
