@@ -121,7 +121,8 @@ def long_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def text_column(kind: T.DataType, make: Callable[[], Callable[[list], list]]):
-    """A column function: make() runs once in each task and returns a function from a list of texts to a list of values."""
+    """A column function: make() runs once in each task and returns a function from a list of texts to a list of values.
+    Marked as not deterministic, so that a filter on it isn't pushed below its column and evaluated a second time."""
     arrow = {"string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "bigint": pa.int64()}[kind.simpleString()]
 
     @F.arrow_udf(kind)
@@ -133,7 +134,7 @@ def text_column(kind: T.DataType, make: Callable[[], Callable[[list], list]]):
                 made += work(batch.slice(at, SLICE_ROWS).to_pylist())
             yield pa.array(made, arrow)
 
-    return column
+    return column.asNondeterministic()
 
 
 def broadcast_object(spark: SparkSession, value: object):
