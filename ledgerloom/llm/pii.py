@@ -7,10 +7,16 @@ one place is recognised where its format alone doesn't tell. Loopy sum-product m
 once; beliefs give the labels.
 
 The base patterns give the kinds email, ip, card and phone; their spans always stay and hold their tokens' labels. The
-field adds spans over tokens that no base span covers. Its weights are fitted by penalised pseudo-likelihood, around
-fixed starting weights, to base labels in a bounded sample of documents (TRAIN_DOCS).
-
-Null text is empty text. Each input row gives one row, repeated rows too.
+field adds spans over tokens that no base span covers; neighbours of one label are one span as long as it has no more digits than
+the kind may have. The weights are fitted by penalised pseudo-likelihood, around fixed starting weights, to base labels in a
+bounded sample of documents (TRAIN_DOCS). A base span always shows in its tokens' format, so each one counts once more as
+a repetition with its format hidden (bare digits, or nothing): what then tells the label is the edge to the span, and so the skip
+edges' weights are learned. A token without a base label that has a skip edge to a labelled one may be either and counts for
+nothing.
+
+Null text is empty text; an empty table gives an empty result. Ties of beliefs go to the kind that is listed first; a belief of
+exactly LEAST_BELIEF is enough. Each input row gives one row, repeated rows too. Very long texts are handled whole, in memory
+proportional to their tokens with a digit or an @. Only id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ TRAIN_DOCS = 4000
 ROUNDS = 8
 #: Tokens are the same from so many characters on; numbers are similar if so many last digits agree, of runs of neighbours.
 SAME_LEAST, TAIL, RUN = 5, 7, 24
+#: Digits that an added span may have, if it covers several tokens.
+MOST_DIGITS = {"email": 0, "ip": 0, "card": 19, "phone": 15}
 #: Belief from which a token gets a label.
 LEAST_BELIEF = 0.6
 
@@ -250,11 +258,13 @@ def spans_of(texts: list[str | None], model: Model) -> list[tuple[list, list]]:
         p = beliefs(g.unary(w), [(g.chain, chain), (g.skip, skip)])
         label = np.where(p[:, 1:].max(axis=1) >= LEAST_BELIEF, 1 + p[:, 1:].argmax(axis=1), 0)
         linked = set(g.chain)
+        n_digits = lambda d, a, b: sum(c.isdigit() for c in texts[d][a:b])
         for i, k in enumerate(label):
             if not k or g.base[i] > 0:
                 continue
             own = added[g.doc[i]]
-            if own and (i - 1, i) in linked and label[i - 1] == k and g.base[i - 1] <= 0:
+            joins = own and (i - 1, i) in linked and label[i - 1] == k and g.base[i - 1] <= 0
+            if joins and n_digits(g.doc[i], own[-1][1], g.stop[i]) <= MOST_DIGITS[KINDS[k - 1]]:
                 own[-1] = (own[-1][0], own[-1][1], g.stop[i])
             else:
                 own.append((KINDS[k - 1], g.start[i], g.stop[i]))
@@ -273,14 +283,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
             held: list[str] = []
 
             def cases(batch: list[str]) -> list:
-                g = Graph(batch, [base_spans(t) for t in batch])
+                base = [base_spans(t) for t in batch]
+                g = Graph(batch, base)
                 y = [max(0, b) for b in g.base]
+                unclear = {i for pair in g.skip for i, j in (pair, pair[::-1]) if not y[i] and y[j]}
                 near = [[[0] * L, [0] * L] for _ in y]
                 for kind, pairs in ((0, g.chain), (1, g.skip)):
                     for i, j in pairs:
-                        near[i][kind][y[j]] = min(3, near[i][kind][y[j]] + 1)
-                        near[j][kind][y[i]] = min(3, near[j][kind][y[i]] + 1)
-                return [[f"{sorted(set(f))}|{c}|{s}".replace(" ", "") for f, (c, s) in zip(g.feats, near, strict=True)], y]
+                        for a, b in ((i, j), (j, i)):
+                            if b not in unclear:
+                                near[a][kind][y[b]] = min(3, near[a][kind][y[b]] + 1)
+                out = [(f, c, s, k) for i, (f, (c, s), k) in enumerate(zip(g.feats, near, y, strict=True)) if i not in unclear]
+                for text, spans in zip(batch, base, strict=True):
+                    for kind, a, b in spans:
+                        bare, k = re.sub(r"[^0-9]", "", text[a:b]) if kind in ("card", "phone") else "", 1 + KINDS.index(kind)
+                        seen = features_of(bare, 0, len(bare), "") if bare else [INDEX["bias"]]
+                        out.append((seen, [0] * L, [int(x == k) for x in range(L)], k))
+                return [[f"{sorted(set(f))}|{c}|{s}".replace(" ", "") for f, c, s, _ in out], [k for *_, k in out]]
 
             for _, text in rows:
                 held.append(text or "")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 from hypothesis import given, settings
@@ -87,3 +88,60 @@ def test_redaction_leaves_clean_rows_alone(make):
 
 def test_overlapping_spans_are_replaced_once():
     assert pii.redacted("abcdef", [("ip", 1, 3), ("card", 2, 5)]) == "a[IP]f"
+
+
+def planted(r, n=150):
+    """Documents with values in a base format, and again in a format of their own; and decoys. (rows, planted spans)."""
+    rows, want = [], {}
+    for i in range(n):
+        phone, card = f"+{r.randrange(10, 99)} {r.randrange(100, 999)} {r.randrange(1000000, 9999999)}", "".join(str(r.randrange(10)) for _ in range(15))
+        card += next(c for c in "0123456789" if pii.luhn(card + c))
+        other = "".join(c for c in phone if c.isdigit())
+        other = f"{other[:2]}-{other[2:5]}-{other[5:]}"
+        parts = [f"call {phone} today,", f"mail a{i}@b.example.com", f"pay {card} from 10.0.{i % 200}.7", f"then {other} once more", f"page {i} of {r.randrange(10**6)} id {r.randrange(16**15):x}a7 ref {r.randrange(10**9, 10**10)}"]
+        text = " and ".join(parts)
+        at = text.index(f"then {other}") + 5
+        rows.append((i, text))
+        want[i] = f"phone:{at}:{at + len(other)}"
+    return rows, want
+
+
+def test_whole_query_is_brute_force(make):
+    """Counts and digest of the base patterns in every row, base spans among all spans; planted values in other formats."""
+    rows, want = planted(random.Random(9))
+    rows += [(500, "4111111111111111 4111111111111111 +1 (017) 555-7713"), (501, None), (502, "no data 12"), (502, "no data 12")]
+    got = pii.find_personal_data(make(rows)).collect()
+    assert len(got) == len(rows)
+    found = 0
+    texts = dict(rows)
+    for r in got:
+        base = naive(texts[r.doc_id] or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in base) for kind in pii.KINDS]
+        written = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(written).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert set(written) <= set(spans) and len(spans) == len(base) + r.n_added
+        order = [(pii.KINDS.index(s.split(":")[0]), int(s.split(":")[1])) for s in spans]
+        assert order == sorted(order)
+        found += want.get(r.doc_id) in spans
+        if r.doc_id in want:
+            assert set(spans) - set(written) <= {want[r.doc_id]}  # no decoy
+    assert found >= 0.95 * len(want)
+
+
+def test_edge_weights_are_learned(make):
+    rows, _ = planted(random.Random(10))
+    _, chain0, skip0 = pii.starting_weights()
+    _, chain, skip = pii.fit(make(rows))
+    assert abs(skip[4, 4] - skip0[4, 4]) > 0.1 and abs(chain - chain0).max() > 0.1
+    never = pii.fit(make([(i, "call +1 (017) 555-7713 now" + " and 300 of 17" * (i % 3)) for i in range(60)]))[2]
+    assert skip[4, 4] > never[4, 4]  # without repeats there is nothing to learn from
+
+
+def test_neighbours_join_only_to_valid_spans(make):
+    card = ["7536784127813050", "4845168114407329"]
+    rows = [(i, f"pay 4111111111111111 now {i}") for i in range(30)] + [(100 + i, f"{a} first, {b} then; last {a} {b} end") for i, (a, b) in enumerate([card, card[::-1]])]
+    for r in pii.find_personal_data(make(rows)).collect():
+        for kind, a, b in (s.split(":") for s in r.spans.split(",") if s):
+            if kind == "card":
+                assert int(b) - int(a) <= 19
