@@ -6,9 +6,13 @@ how far the search may jump; a pair of words in no window jumps over the whole w
 bucket of the window's last two words names the windows to compare word by word.
 
 Windows are dealt into blocks of a bounded number of bytes and each block is broadcast for a pass of its own over the
-documents, so the benchmark may outgrow any one task. Several passes are merged for each document.
+documents, so the benchmark may outgrow any one task; the driver holds one block at a time, and a block's broadcast is freed after
+its pass. Several passes are merged for each document.
 
-Null text has no words and is never hit. A null item_id takes no part. Each input row gives one row, repeated rows too.
+Null text has no words and is never hit. A null item_id takes no part; a repeated item_id is one item with the windows of all
+its rows. Each input row gives one row, repeated rows too; empty documents give an empty result, and without a benchmark nothing
+is hit. Texts of any length are searched whole, in memory proportional to their words. Only the ids and texts are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -16,11 +20,12 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import long_text, scan, scan_many, sha256_hex, table, text_column, words_of
+from .common import checkpointed, long_text, scan, scan_many, sha256_hex, table, text_column, words_of
 
 WINDOW = 10
 #: Bytes of distinct windows that one pass broadcasts at most, on average over the blocks.
@@ -91,29 +96,45 @@ def windows_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
     return pairs.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def window_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, width: int = WINDOW) -> Iterator[dict[bytes, list[str]]]:
+class Blocks:
     """The windows in blocks of about block_bytes, dealt by their hash; one block, empty, if there are none."""
-    windows = windows_of(benchmark, width=width)
-    total = windows.agg(F.sum(F.octet_length("window") + 24 * F.size("items"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    for i in range(n):
-        yield {bytes(r["window"]): list(r["items"]) for r in windows.where(F.pmod(F.xxhash64("window"), F.lit(n)) == i).collect()}
+
+    def __init__(self, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, width: int = WINDOW) -> None:
+        self.windows = checkpointed(windows_of(benchmark, width=width))
+        total = self.windows.agg(F.sum(F.octet_length("window") + 24 * F.size("items"))).first()[0] or 0
+        self.n = max(1, -(-total // block_bytes))
+
+    def broadcast(self, i: int) -> Broadcast:
+        rows = self.windows.where(F.pmod(F.xxhash64("window"), F.lit(self.n)) == i).collect()
+        return self.windows.sparkSession.sparkContext.broadcast({bytes(r["window"]): list(r["items"]) for r in rows})
+
+    def each(self, one_pass: Callable[[Broadcast], DataFrame]) -> DataFrame:
+        """The rows of one_pass for every block, each kept before its block goes."""
+        out = None
+        for i in range(self.n):
+            kept = self.broadcast(i)
+            rows = checkpointed(one_pass(kept))
+            kept.destroy()
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+
+def with_digest(texts: DataFrame, text_col: str) -> DataFrame:
+    return texts.withColumn("digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
-    sc = docs.sparkSession.sparkContext
     texts = long_text(docs, id_col, text_col)
-    blocks = [sc.broadcast(windows) for windows in window_blocks(benchmark, block_bytes, width)]
-    n_blocks = len(blocks)
+    blocks = Blocks(benchmark, block_bytes, width)
     out = f"{id_col} bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 
     def summary(n_words: int, marks: bytes | bytearray, items: set) -> tuple:
         hit = marks.count(1)
         return n_words, hit, len(items), sha256_hex(",".join(sorted(items))), hit > 0
 
-    if n_blocks == 1:
-        kept = blocks[0]
+    if blocks.n == 1:
+        kept = blocks.broadcast(0)
 
         def factory() -> Callable:
             search = WuManber(kept.value)
@@ -131,23 +152,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return scan(texts, out, factory)
 
     # Several blocks: each pass gives hit documents only, by a digest of the text, and the passes are merged.
-    keyed = texts.withColumn("digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    hits = None
-    for kept in blocks:
+    keyed = with_digest(texts, text_col)
 
-        def pass_factory(kept=kept) -> Callable:
+    def one_pass(kept: Broadcast) -> DataFrame:
+        def factory() -> Callable:
             search = WuManber(kept.value)
 
             def work(rows: Iterator[tuple]) -> Iterator[list]:
                 for text, digest in rows:
                     if found := search.search(words_of(text)):
                         items = sorted(set().union(*(search.ids[k] for _, _, k in found)))
-                        yield [[digest], [sorted({a for a, _, _ in found})], [[{a: m for a, m, _ in sorted(found)}[a] for a in sorted({a for a, _, _ in found})]], [items]]
+                        longest = {a: m for a, m, _ in sorted(found)}
+                        yield [[digest], [list(longest)], [list(longest.values())], [items]]
 
             return work
 
-        one = scan_many(keyed.select(text_col, "digest"), "digest string, starts array<bigint>, lengths array<bigint>, items array<string>", pass_factory)
-        hits = one if hits is None else hits.unionByName(one)
+        return scan_many(keyed.select(text_col, "digest"), "digest string, starts array<bigint>, lengths array<bigint>, items array<string>", factory)
+
+    hits = blocks.each(one_pass)
     merged = hits.groupBy("digest").agg(F.flatten(F.collect_set(F.arrays_zip("starts", "lengths"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     merged = merged.select("digest", F.col("spans.starts").alias("starts"), F.col("spans.lengths").alias("lengths"), "items")
     joined = keyed.join(merged, "digest", "left").select(id_col, text_col, "starts", "lengths", "items")
@@ -166,17 +188,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs that hold no benchmark window, with their columns. Each block of windows is one filter."""
-    sc = docs.sparkSession.sparkContext
-    for windows in window_blocks(benchmark, block_bytes):
-        kept = sc.broadcast(windows)
+    """The rows of docs that hold no benchmark window, with their columns."""
+    blocks = Blocks(benchmark, block_bytes)
+    if blocks.n == 1:
+        kept = blocks.broadcast(0)
 
-        def make(kept=kept) -> Callable[[list], list]:
+        def make() -> Callable[[list], list]:
             search = WuManber(kept.value)
             return lambda texts: [bool(search.search(words_of(t))) for t in texts]
 
-        docs = docs.where(~text_column(T.BooleanType(), make)(docs["text"]))
-    return docs
+        return docs.where(~text_column(T.BooleanType(), make)(docs["text"]))
+    keyed = with_digest(docs.select("text"), "text")
+
+    def one_pass(kept: Broadcast) -> DataFrame:
+        def factory() -> Callable:
+            search = WuManber(kept.value)
+            return lambda rows: ([[digest]] for text, digest in rows if search.search(words_of(text)))
+
+        return scan_many(keyed, "hit string", factory)
+
+    hits = blocks.each(one_pass).distinct()
+    return docs.join(hits, F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == hits["hit"], "left_anti")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,22 @@ def test_odd_rows(spark, odd, none, make):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in dec.decontaminate(odd, empty).collect())
     assert dec.drop_contaminated(odd, empty).count() == 13
+
+
+def test_blocks_are_read_once_and_freed(spark, make, monkeypatch):
+    docs, bench = cases(5)
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    made, gone = [], []
+    real = dec.Blocks.broadcast
+
+    def watched(self, i):
+        kept = real(self, i)
+        made.append(i)
+        destroy = kept.destroy
+        monkeypatch.setattr(kept, "destroy", lambda: (gone.append(i), destroy()))
+        assert len(made) - len(gone) == 1  # one block at a time
+        return kept
+
+    monkeypatch.setattr(dec.Blocks, "broadcast", watched)
+    dec.drop_contaminated(make(docs), b, block_bytes=500).count()
+    assert len(made) > 2 and made == gone
