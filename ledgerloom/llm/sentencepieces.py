@@ -174,6 +174,26 @@ class Vocabulary:
                 return True
 
 
+class Remembered:
+    """Texts and their piece ids, in few arrays."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, texts: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        """New texts with their ids, one after the other, and the number of ids of each."""
+        self.number.update(zip(texts, range(len(self.number), len(self.number) + len(texts)), strict=True))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, ids])
+
+    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known texts, one after the other, and the number of ids of each."""
+        k = np.array(list(map(self.number.__getitem__, texts)), np.int64)
+        size = self.size[k]
+        return self.flat[np.arange(int(size.sum())) + np.repeat(self.start[k] - (np.cumsum(size) - size), size)], size
+
+
 class Encoder:
     def __init__(self, v: Vocabulary) -> None:
         self.v = v
@@ -182,43 +202,40 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    # ---- words
+        self.words, self.stretches = Remembered(), Remembered()
 
     def learn(self, words: list[str]) -> None:
-        """Pieces of new words (each stands for a blank and the word), as many at a time as one index holds."""
-        block, chars = [], 0
-        for w in words:
-            block.append(w)
-            chars += len(w) + 2
-            if chars >= INDEXED_CHARS:
-                self._learn(block)
-                block, chars = [], 0
-        if block:
-            self._learn(block)
-
-    def _learn(self, words: list[str]) -> None:
-        joined = BLANK + f"\0{BLANK}".join(words)
+        """Pieces of new words (each stands for a blank and the word): those of their stretches, one after the other."""
+        v, joined = self.v, BLANK + f"\0{BLANK}".join(words)
         text = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2) - 1  # after each word: its separator
-        ids, place = self.pieces(text, ends)
-        stop = np.searchsorted(place, ends, "right")
-        start = np.concatenate([[0], stop[:-1]])
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + start])
-        self.size = np.concatenate([self.size, stop - start])
-        self.flat = np.concatenate([self.flat, ids])
-
-    def pieces(self, text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces of all words of a text, and where each ends. ends: the place after each word."""
-        v, n = self.v, len(text)
+        after = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2) - 1  # each word's separator
         cut = np.concatenate([[True], ~v.joined(text), [True]])
-        cut[ends[:-1]] = cut[ends[:-1] + 1] = True
+        cut[after[:-1]] = cut[after[:-1] + 1] = True
         bounds = np.flatnonzero(cut)
-        own = ~np.isin(bounds[:-1], ends[:-1])  # not the separators
+        own = ~np.isin(bounds[:-1], after[:-1])  # not the separators
         begin, end = bounds[:-1][own], bounds[1:][own]
+        stretches = [joined[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+        block, chars = [], 0
+        for s in dict.fromkeys(s for s in stretches if s not in self.stretches.number):
+            block.append(s)
+            chars += len(s)
+            if chars >= INDEXED_CHARS:
+                self.stretches.add(block, *self.pieces(block))
+                block, chars = [], 0
+        if block:
+            self.stretches.add(block, *self.pieces(block))
+        ids, size = self.stretches.ids_of(stretches)
+        total = np.concatenate([[0], np.cumsum(size)])
+        at = total[np.searchsorted(end, after, "right")]
+        self.words.add(words, ids, np.diff(at, prepend=0))
+
+    def pieces(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces of all stretches, one after the other, and their number in each. No piece crosses the end of a
+        stretch where it was found, but one may where they are put together, so a separator stands between them."""
+        v, lengths = self.v, np.fromiter(map(len, stretches), np.int64, len(stretches))
+        text = np.frombuffer("\0".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n, end = len(text), np.cumsum(lengths + 1) - 1
+        begin = end - lengths
         one = end - begin == 1
         unknown = np.zeros(len(begin), bool)
         unknown[one] = ~np.isin(text[begin[one]], v.known_codes)
@@ -247,7 +264,7 @@ class Encoder:
             ids = np.concatenate([ids, v.byte_ids[list(b"".join(raw))]])
             order = np.argsort(place, kind="stable")
             place, ids = place[order], ids[order]
-        return ids.astype(np.int32), place
+        return ids.astype(np.int32), np.diff(np.searchsorted(place, end, "right"), prepend=0)
 
     def _relax(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray, best: np.ndarray, back: np.ndarray) -> None:
         """best and back of all places in the stretches [begin, end): index by index, each over about INDEXED_CHARS; only a
@@ -345,19 +362,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Piece ids of each text."""
-        if len(self.number) > REMEMBERED:
+        if len(self.words.number) > REMEMBERED:
             self.forget()
         # no piece but those of blanks alone holds a blank after its first character, so words are independent
         cut = [t.replace(BLANK, " ").split(" ") if t else [] for t in texts]
-        if new := list(dict.fromkeys(w for words in cut for w in words if w not in self.number)):
+        if new := list(dict.fromkeys(w for words in cut for w in words if w not in self.words.number)):
             self.learn(new)
-        out = []
-        for words in cut:
-            k = np.array(list(map(self.number.__getitem__, words)), np.int64)
-            size = self.size[k]
-            at = np.arange(int(size.sum())) + np.repeat(self.start[k] - (np.cumsum(size) - size), size)
-            out.append(self.merged_blanks(self.flat[at]))
-        return out
+        return [self.merged_blanks(self.words.ids_of(words)[0]) for words in cut]
 
     def merged_blanks(self, ids: np.ndarray) -> np.ndarray:
         alone = ids == self.blank
@@ -397,8 +408,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array([None if t is None else t == b for t, b in zip(texts, back, strict=True)], pa.bool_())]
             return pa.RecordBatch.from_arrays(columns + [pa.array(back, pa.string())] * with_text, names=[id_col, "n_tokens", "tokens", "round_trip"] + ["decoded"] * with_text)
 
+        ids, texts, chars = [], [], 0
         for batch in batches:
-            ids, texts, chars = [], [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids.append(doc_id)
                 texts.append(text.as_py())
@@ -406,8 +417,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 if len(ids) >= BATCH_ROWS or chars >= BATCH_CHARS:
                     yield made(ids, texts)
                     ids, texts, chars = [], [], 0
-            if ids:
-                yield made(ids, texts)
+        if ids:
+            yield made(ids, texts)
 
     return long_text(docs, id_col, text_col).mapInArrow(run, f"{id_col} bigint, n_tokens bigint, tokens array<int>, round_trip boolean" + ", decoded string" * with_text)
 
