@@ -35,7 +35,7 @@ class Advisor:
 
     def order(self, orders: DataFrame) -> DataFrame:
         """Outcomes of orders (id, user_id, ticker, side, quantity, price, ts) against the users' balances."""
-        return trading.execute_trades(orders, self.users.select(F.col("id").alias("user_id"), F.col("virtual_balance").alias("balance")))
+        return trading.execute_trades(orders, self.users.select(F.col("id").alias("user_id"), F.col("virtual_balance").alias("balance")), self.ticks)
 
     def balance_events(self, executed: DataFrame) -> DataFrame:
         """The message that each filled order sends to its user."""

@@ -45,9 +45,8 @@ def keyword(ticker: Column) -> Column:
 
 def lexicon_score(clean: Column, lexicon: dict[str, float]) -> Column:
     """Sum of word valences, normalised to (-1, 1) by s / sqrt(s^2 + 15)."""
-    words = F.split(F.lower(clean), " ")
-    count = lambda word: F.size(F.filter(words, lambda x: x == word))
-    total = sum((F.lit(round(v * 100)) * count(word) for word, v in lexicon.items()), F.lit(0))
+    valence = F.create_map(*[F.lit(x) for word, v in lexicon.items() for x in (word, round(v * 100))])
+    total = F.aggregate(F.split(F.lower(clean), " "), F.lit(0), lambda s, x: s + F.coalesce(F.try_element_at(valence, x), F.lit(0)))
     s = total / F.lit(100.0)
     return s / F.sqrt(s * s + 15.0)
 

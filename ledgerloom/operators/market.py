@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.sources.tables import BASELINE_INDICES, DEFAULT_TICKERS
@@ -58,11 +58,44 @@ def latest_k(rows: DataFrame, key: str, k: int, *order: str) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(by)).where(F.col("n") <= k)
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], order: str) -> DataFrame:
+def running_sum(rows: DataFrame, keys: list[str], time: str, order: str, value: Column, bucket: str) -> DataFrame:
+    """rows with running: the sum of value over the rows of their keys up to each, by time and order. Each bucket of time adds up
+    by itself, on top of the sum of the buckets before, so that few keys with very many rows keep all tasks busy."""
+    rows = rows.withColumn("__bucket", F.window(time, bucket)["start"]).withColumn("__value", value)
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "__bucket").agg(F.sum("__value").alias("__sum"))
+    sums = sums.select(*keys, "__bucket", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(*keys, "__bucket").orderBy(time, order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("__within", F.sum("__value").over(within)).join(sums, [*keys, "__bucket"])
+    return out.withColumn("running", F.col("__before") + F.col("__within")).drop("__bucket", "__value", "__before", "__within")
+
+
+def carried_in(left: DataFrame, right: DataFrame, keys: list[str], time: str, bucket: str) -> DataFrame:
+    """(keys, time, __value) with the latest __value of right before each bucket of time that left has rows in; time is the
+    bucket's start. One row for each bucket meets in a window, however many rows the bucket has."""
+    start = F.window(time, bucket)["start"]
+    last = right.groupBy(*keys, start.alias("__bucket")).agg(F.max_by("__value", F.struct(time, "__order")).alias("__value"))
+    asked = left.select(*keys, start.alias("__bucket")).distinct().withColumn("__value", F.lit(None).cast(right.schema["__value"].dataType))
+    each = last.unionByName(asked).groupBy(*keys, "__bucket").agg(F.first("__value", ignorenulls=True).alias("__value"))
+    by = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return each.select(*keys, F.col("__bucket").alias(time), F.last("__value", ignorenulls=True).over(by).alias("__value")).where("__value IS NOT NULL")
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], order: str, bucket: str | None = None) -> DataFrame:
     """left with the values of the latest right row of its keys at or before its time. One shuffle and one sort: both
-    sides are stacked and the last known values carried on; rows of right with equal times go by order."""
+    sides are stacked and the last known values carried on; rows of right with equal times go by order. bucket: where keys
+    are few and have very many rows, each such span of time is a partition of its own, which starts with the latest value
+    before it."""
     stacked = right.select(*keys, time, F.lit(0).alias("__side"), F.col(order).cast("long").alias("__order"), F.struct(*values).alias("__value"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("__row"))
     stacked = stacked.unionByName(left.select(*keys, time, F.lit(1).alias("__side"), F.lit(0).cast("long").alias("__order"), F.lit(None).cast(stacked.schema["__value"].dataType).alias("__value"), F.struct(*left.columns).alias("__row")))
-    by = Window.partitionBy(*keys).orderBy(time, "__side", "__order").rowsBetween(Window.unboundedPreceding, 0)
+    parts = list(keys)
+    if bucket:
+        only = stacked.where("__side = 0")
+        before = carried_in(left, only, keys, time, bucket)
+        empty = {c: F.lit(None).cast(stacked.schema[c].dataType).alias(c) for c in ("__order", "__row")}
+        before = before.select(*keys, time, F.lit(-1).alias("__side"), empty["__order"], "__value", empty["__row"])
+        stacked = stacked.unionByName(before).withColumn("__bucket", F.window(time, bucket)["start"])
+        parts.append("__bucket")
+    by = Window.partitionBy(*parts).orderBy(time, "__side", "__order").rowsBetween(Window.unboundedPreceding, 0)
     carried = stacked.withColumn("__last", F.last("__value", ignorenulls=True).over(by)).where("__side = 1")
     return carried.select("__row.*", *[F.col(f"__last.{v}").alias(f"asof_{v}") for v in values])

@@ -37,6 +37,14 @@ def scored(articles: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     return articles.withColumn("score", lexicon_score(clean_text(F.col("text")), lexicon)).withColumn("confidence", F.lit(0.5))
 
 
+def scored_mentions(articles: DataFrame, tickers: list[str], lexicon: dict[str, float]) -> DataFrame:
+    """articles x mentioned tickers with score; articles that mention none are dropped before they are scored, and the
+    others are scored once each."""
+    text = F.upper("text")
+    found = F.filter(F.array(*[F.lit(t) for t in tickers]), lambda t: F.contains(text, keyword(t)))
+    return scored(articles.withColumn("tickers", found).where(F.size("tickers") > 0), lexicon).withColumn("ticker", F.explode("tickers")).drop("tickers")
+
+
 def top_articles(articles: DataFrame, k: int = 10) -> DataFrame:
     """The k newest dated-or-not articles of each ticker: by published, newest first, undated last, then seq."""
     by = Window.partitionBy("ticker").orderBy(F.desc_nulls_last("published"), "seq")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,39 +10,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import SELL_TAX, SLIPPAGE, STOCK_CAP
+from ledgerloom.operators.market import as_of
 
 OK = "OK"
 RESULT = "id bigint, user_id bigint, ticker string, side string, quantity double, fill_price double, slippage double, ts timestamp_ntz, virtual_balance_after double, status string"
 
 
 class Account:
-    """A user's balance and holdings. Prices are the latest quotes the account's orders have seen."""
+    """A user's balance and holdings: ticker to [quantity, average cost]."""
 
-    def __init__(self, balance: float) -> None:
-        self.balance = balance
-        self.held: dict[str, list[float]] = {}
-        self.quotes: dict[str, float] = {}
+    def __init__(self, balance: float, held: dict[str, list[float]] | None = None) -> None:
+        self.balance, self.held = balance, held or {}
 
-    def execute(self, ticker: str, side: str, quantity: float, price: float | None) -> tuple[str, float | None]:
-        """(status, execution price); the first rule that fails names the status and nothing changes."""
+    def execute(self, ticker: str, side: str, quantity: float, price: float | None, quotes: dict[str, float]) -> tuple[str, float | None]:
+        """(status, execution price); the first rule that fails names the status and nothing changes. price: the ticker's live
+        price; quotes: live prices of the other tickers that may be held."""
         if side not in ("BUY", "SELL"):
             return "BAD_SIDE", None
         if not quantity > 0:
             return "BAD_QUANTITY", None
-        if price is not None and price > 0:
-            self.quotes[ticker] = price
-        if ticker not in self.quotes:
+        if price is None or not price > 0:
             return "NO_PRICE", None
-        price = self.quotes[ticker]
+        own = self.held.get(ticker)
         if side == "BUY":
             fill = price * (1 + SLIPPAGE)
             cost = fill * quantity
             if self.balance < cost:
                 return "BALANCE", None
-            own = self.held.get(ticker)
-            if any(t not in self.quotes for t in self.held):
+            live = [(q, price if t == ticker else quotes.get(t)) for t, (q, _) in self.held.items() if q > 0]
+            if any(p is None for _, p in live):
                 return "NO_PRICE", None
-            total = sum(q * self.quotes[t] for t, (q, _) in self.held.items()) + self.balance
+            total = sum(q * p for q, p in live) + self.balance
             if ((own[0] * price if own else 0.0) + cost) / total > STOCK_CAP:
                 return "STOCK_CAP", None
             self.balance -= cost
@@ -51,7 +50,6 @@ class Account:
             else:
                 self.held[ticker] = [quantity, fill]
             return OK, fill
-        own = self.held.get(ticker)
         if own is None or own[0] < quantity:
             return "OVERSELL", None
         fill = price * (1 - SLIPPAGE)
@@ -62,28 +60,63 @@ class Account:
         return OK, fill
 
 
-def execute_trades(orders: DataFrame, balances: DataFrame) -> DataFrame:
-    """Every order with its outcome, in order of time and id for each user. orders: (id, user_id, ticker, side, quantity,
-    price, ts); balances: (user_id, balance); orders of unknown users get NO_USER. Users stream through sorted
-    partitions, and a user's state is its holdings, so no user's orders are collected."""
+def live_quotes(orders: DataFrame, accounts: DataFrame, ticks: DataFrame) -> DataFrame:
+    """user_id, id, quotes: for each buy, the latest prices at its time of the other tickers that its user holds or has bought
+    before (array of ticker and price; as long as the user has tickers). ticks: (ticker, ts, event_id, price)."""
+    buys = orders.where("side = 'BUY'").select("user_id", "id", "ts", "ticker")
+    owned = buys.groupBy("user_id", F.col("ticker").alias("other")).agg(F.min(F.struct("ts", "id")).alias("since"))
+    held = accounts.where("held IS NOT NULL").select("user_id", F.explode(F.map_keys(F.from_json("held", "map<string, array<double>>"))).alias("other"))
+    owned = owned.unionByName(held.withColumn("since", F.lit(None).cast(owned.schema["since"].dataType)))
+    owned = owned.groupBy("user_id", "other").agg(F.min("since").alias("since"), F.bool_or(F.col("since").isNull()).alias("before"))
+    wanted = buys.join(owned, "user_id").where((F.col("other") != F.col("ticker")) & (F.col("before") | (F.col("since") < F.struct("ts", "id"))))
+    wanted = wanted.select("user_id", "id", F.col("other").alias("ticker"), "ts")
+    quoted = as_of(wanted, ticks.where("price > 0"), ["ticker"], "ts", ["price"], "event_id", bucket="1 day").where("asof_price IS NOT NULL")
+    return quoted.groupBy("user_id", "id").agg(F.collect_list(F.struct("ticker", F.col("asof_price").alias("price"))).alias("quotes"))
+
+
+def executed(orders: DataFrame, accounts: DataFrame, ticks: DataFrame) -> DataFrame:
+    """RESULT and state: a row for each order, and one for each user after its orders (status STATE, its holdings as JSON in
+    state). orders: (id, user_id, ticker, side, quantity, price, ts); accounts: (user_id, balance, held as JSON or null).
+    Users stream through sorted partitions, and a user's state is its holdings, so no user's orders are collected."""
+    names = [*(c.split()[0] for c in RESULT.split(", ")), "state"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user, account = None, None
+
+        def last() -> list[tuple]:
+            known = account is not None and not pd.isna(account.balance)
+            return [(None, user, None, None, None, None, None, None, account.balance, "STATE", json.dumps(account.held))] if known else []
+
         for t in batches:
             rows = []
             for r in t.itertuples(index=False):
                 if r.user_id != user or account is None:
-                    user, account = r.user_id, Account(r.balance)
+                    rows += last()
+                    user, account = r.user_id, Account(r.balance, json.loads(r.held) if r.held else None)
                 if pd.isna(r.balance):
                     status, fill = "NO_USER", None
                 else:
-                    status, fill = account.execute(r.ticker, r.side, r.quantity, None if pd.isna(r.price) else r.price)
-                done = status == OK
-                rows.append((r.id, r.user_id, r.ticker, r.side, r.quantity, fill, SLIPPAGE if done else None, r.ts, None if status == "NO_USER" else account.balance, status))
-            yield pd.DataFrame(rows, columns=["id", "user_id", "ticker", "side", "quantity", "fill_price", "slippage", "ts", "virtual_balance_after", "status"])
-
-    rows = orders.select("id", "user_id", "ticker", "side", "quantity", "price", "ts").join(balances.select("user_id", F.col("balance").cast("double").alias("balance")), "user_id", "left")
-    return rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "id").mapInPandas(run, RESULT)
+                    quotes = {q["ticker"]: q["price"] for q in r.quotes} if r.quotes is not None else {}
+                    status, fill = account.execute(r.ticker, r.side, r.quantity, None if pd.isna(r.price) else r.price, quotes)
+                balance = None if status == "NO_USER" else account.balance
+                rows.append((r.id, r.user_id, r.ticker, r.side, r.quantity, fill, SLIPPAGE if status == OK else None, r.ts, balance, status, None))
+            yield pd.DataFrame(rows, columns=names)
+        yield pd.DataFrame(last(), columns=names)
+
+    rows = orders.select("id", "user_id", "ticker", "side", "quantity", "price", "ts").join(accounts.select("user_id", "balance", "held"), "user_id", "left")
+    rows = rows.join(live_quotes(orders, accounts, ticks), ["user_id", "id"], "left")
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "id").mapInPandas(run, RESULT + ", state string")
+
+
+def execute_trades(orders: DataFrame, balances: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
+    """Every order with its outcome, in order of time and id for each user; a buy's share of the account is measured at live
+    prices of all holdings. orders: (id, user_id, ticker, side, quantity, price, ts), price the ticker's live price;
+    balances: (user_id, balance); orders of unknown users get NO_USER. ticks: (ticker, ts, event_id, price); if there are none,
+    the prices of all users' orders."""
+    if ticks is None:
+        ticks = orders.select("ticker", "ts", F.col("id").alias("event_id"), "price")
+    accounts = balances.select("user_id", F.col("balance").cast("double").alias("balance"), F.lit(None).cast("string").alias("held"))
+    return executed(orders, accounts, ticks).where("status <> 'STATE'").drop("state")
 
 
 def validated(orders: DataFrame, balance: float) -> DataFrame:

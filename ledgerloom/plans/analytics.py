@@ -52,7 +52,7 @@ def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     ticks = src.ticks(spark, d)
     rows = src.signals(spark, d).withColumn("ts", F.col("created_at") + F.expr("INTERVAL 7 DAYS"))
     end = ticks.agg(F.max("ts").alias("end"))
-    joined = market.as_of(rows, ticks.select("ticker", "ts", "price", "event_id"), ["ticker"], "ts", ["price"], "event_id").crossJoin(F.broadcast(end))
+    joined = market.as_of(rows, ticks.select("ticker", "ts", "price", "event_id"), ["ticker"], "ts", ["price"], "event_id", bucket="1 day").crossJoin(F.broadcast(end))
     after = F.when(F.col("ts") <= F.col("end"), F.col("asof_price"))
     return joined.select("id", "ticker", "signal", "price_at_signal", after.alias("after"), analytics.outcome(F.col("signal"), F.col("price_at_signal"), after).alias("outcome"))
 

@@ -51,7 +51,7 @@ def asof_price(spark: SparkSession, d: str) -> DataFrame:
     """The latest tick of the ticker at or before each trade."""
     ticks = src.ticks(spark, d).select("ticker", "ts", "price", "event_id")
     rows = src.trades(spark, d).select("id", "ticker", (F.col("ts") - F.expr("INTERVAL 1 HOUR")).alias("ts"))
-    return market.as_of(rows, ticks, ["ticker"], "ts", ["price"], "event_id")
+    return market.as_of(rows, ticks, ["ticker"], "ts", ["price"], "event_id", bucket="1 day")
 
 
 def market_hours_ticks(spark: SparkSession, d: str) -> DataFrame:
@@ -101,6 +101,6 @@ SQL = {
     "market_hours_ticks": f"SELECT event_id, ticker, ts, price FROM v_ticks WHERE isodow{_LOCAL} <= 5 AND hour{_LOCAL} * 3600 + minute{_LOCAL} * 60 + second{_LOCAL} BETWEEN 33300 AND 55800",
     "market_hours_minute": f"SELECT event_id, isodow{_LOCAL} <= 5 AND hour{_LOCAL} * 100 + minute{_LOCAL} BETWEEN 915 AND 1530 AS open FROM v_ticks",
     "latest_k_bars": f"SELECT ticker, bar_ts, close, CAST(row_number() OVER (PARTITION BY ticker ORDER BY bar_ts DESC) AS INT) AS n FROM ({_bar_sql('1 hour')}) QUALIFY n <= 21",
-    "chart_buffer": "SELECT ticker, event_id, price FROM v_ticks QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, event_id DESC) <= 200",
+    "chart_buffer": "SELECT ticker, event_id, price FROM v_ticks QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, event_id DESC) <= 2000",
     "ticker_class": "SELECT ticker, CASE WHEN starts_with(ticker, '^') THEN 'INDEX' WHEN ends_with(ticker, '.NS') THEN 'NSE' WHEN ends_with(ticker, '.BO') THEN 'BSE' ELSE 'OTHER' END AS kind FROM (SELECT DISTINCT ticker FROM v_trades UNION ALL SELECT unnest(['ITC.NS', 'LT.NS', 'ERING.NS', 'ONING.NS', 'THING.NS', '^NSEI', 'INFY.BO']))",
 }

@@ -17,13 +17,13 @@ BARS_BEFORE, SCORES_UNTIL = "2024-01-30 00:00:00", "2024-01-29 22:55:00"
 def walk_bars(spark: SparkSession, d: str) -> DataFrame:
     """A random walk of each ticker from its ticks: up by clicks and purchases, down by others."""
     step = F.when(F.col("event_type").isin("click", "purchase"), F.col("price_c")).otherwise(-F.col("price_c"))
-    by = Window.partitionBy("ticker").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return src.ticks(spark, d).select("ticker", "ts", "event_id", (F.lit(1000000) + F.sum(step).over(by)).alias("close_c"), F.col("price_c").alias("volume_c"))
+    rows = market.running_sum(src.ticks(spark, d), ["ticker"], "ts", "event_id", step, "1 day")
+    return rows.select("ticker", "ts", "event_id", (F.lit(1000000) + F.col("running")).alias("close_c"), F.col("price_c").alias("volume_c"))
 
 
 def sentiment_scores(spark: SparkSession, d: str) -> DataFrame:
     """id, ticker, ts, score, seq, source: one row for each article and mentioned ticker."""
-    rows = news.mentions(news.scored(news.first_of_each(src.articles(spark, d)), src.LEXICON), list(src.KEYWORDS))
+    rows = news.scored_mentions(news.first_of_each(src.articles(spark, d)), list(src.KEYWORDS), src.LEXICON)
     place = F.array_position(F.array(*[F.lit(k) for k in src.KEYWORDS]), F.col("ticker"))
     return rows.select((F.col("seq") * 16 + place).alias("id"), "ticker", F.coalesce("published", F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")).alias("ts"), "score", "seq", "source")
 
@@ -70,16 +70,22 @@ def alerts_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def alert_payload_json(spark: SparkSession, d: str) -> DataFrame:
     rows = alert_messages(spark, d)
-    return rows.select(F.to_json(F.struct("user_id", "alert_type", "ticker", "message", "signal")).alias("payload"))
+    return rows.select(F.to_json(F.struct(*src.ALERT_MESSAGE)).alias("payload"))
+
+
+#: Prices that are broadcast to the connections at most.
+PRICES_MOST = 10_000
 
 
 def ws_route(spark: SparkSession, d: str) -> DataFrame:
     """Messages by connection: live prices go to all, alerts to their user's connections; others are dropped. Every
     user has two."""
     sessions = src.users(spark, d).select("id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("conn"))
-    prices = market.live_price(src.ticks(spark, d)).select(F.lit("price_update").alias("event"), F.to_json(F.struct("ticker")).alias("data"))
-    alerts = src.alert_log(spark, d).where("user_id > 0").select("user_id", F.lit("alert").alias("event"), F.to_json(F.struct("id", "user_id")).alias("data"))
-    to_all = prices.crossJoin(sessions).select("id", "conn", "event", "data")
+    prices = market.live_price(src.ticks(spark, d)).select(F.lit("price_update").alias("event"), F.to_json(F.struct("ticker", "price")).alias("data"))
+    alerts = src.alert_log(spark, d).where("user_id > 0").select("user_id", F.lit("alert").alias("event"), F.to_json(F.struct(*src.ALERT_MESSAGE)).alias("data"))
+    if prices.limit(PRICES_MOST + 1).count() <= PRICES_MOST:  # every price goes to every connection: the output is their product
+        prices = F.broadcast(prices)
+    to_all = sessions.crossJoin(prices).select("id", "conn", "event", "data")
     return to_all.unionByName(alerts.join(sessions, alerts["user_id"] == sessions["id"]).select("id", "conn", "event", "data"))
 
 
@@ -100,9 +106,8 @@ def unread_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unread_badge(spark: SparkSession, d: str) -> DataFrame:
-    """Badges as if each user saw all users' unread alerts of one ticker group."""
-    rows = src.alert_log(spark, d).where("NOT is_read").groupBy("ticker").agg(F.count("*").alias("n"))
-    return rows.select("ticker", scalars.badge(F.col("n")).alias("badge"))
+    rows = src.alert_log(spark, d).where("NOT is_read").groupBy("user_id").agg(F.count("*").alias("n"))
+    return rows.select("user_id", scalars.badge(F.col("n")).alias("badge"))
 
 
 def mark_read(spark: SparkSession, d: str) -> DataFrame:
@@ -116,13 +121,14 @@ def recent_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feedback_owned(spark: SparkSession, d: str) -> DataFrame:
-    """Feedback counts only on an alert that exists; the sender is the alert's user."""
-    return src.feedback(spark, d).join(src.alert_log(spark, d).select(F.col("id").alias("alert_id")), "alert_id", "left_semi").select("alert_id", "is_positive")
+    """Feedback counts only on an alert that exists and is the sender's."""
+    own = src.alert_log(spark, d).select(F.col("id").alias("alert_id"), "user_id")
+    return src.feedback(spark, d).join(own, ["alert_id", "user_id"], "left_semi").select("alert_id", "user_id", "is_positive")
 
 
 def feedback_tuning(spark: SparkSession, d: str) -> DataFrame:
     """By type: with 100 ratings or more and 70 % of them negative, the overbought threshold goes from 75 to 80."""
-    sums = src.feedback(spark, d).groupBy("alert_type").agg(F.count("*").alias("n"), F.sum(F.when(F.col("is_positive"), 0).otherwise(1)).alias("bad"))
+    sums = src.ratings(spark, d).groupBy("alert_type").agg(F.count("*").alias("n"), F.sum(F.when(F.col("is_positive"), 0).otherwise(1)).alias("bad"))
     tune = (F.col("n") >= 100) & (F.col("bad") * 100 >= F.col("n") * 70)
     return sums.select("alert_type", "n", "bad", F.when(tune, 80).otherwise(75).alias("threshold"))
 
@@ -171,14 +177,17 @@ SQL = {
     "alerts_volume": _kind_sql("VOLUME_SPIKE"),
     "alerts_summary": _ALERTS + "SELECT alert_type, count(*) AS n FROM a GROUP BY alert_type",
     "alert_payload_json": _ALERTS + """SELECT '{"user_id":' || user_id || ',"alert_type":"' || alert_type || '","ticker":"' || ticker || '","message":"' || message || '","signal":"' || signal || '"}' AS payload FROM a""",
-    "ws_route": """WITH s AS (SELECT id, unnest(['a', 'b']) AS conn FROM v_users WHERE id % 50 = 0) SELECT id, conn, 'price_update' AS event, '{"ticker":"' || ticker || '"}' AS data FROM v_live, s UNION ALL SELECT s.id, conn, 'alert', '{"id":' || a.id || ',"user_id":' || a.user_id || '}' FROM v_alerts a JOIN s ON s.id = a.user_id WHERE a.user_id > 0""",
+    "ws_route": """WITH s AS (SELECT id, unnest(['a', 'b']) AS conn FROM v_users)
+SELECT id, conn, 'price_update' AS event, '{"ticker":"' || ticker || '","price":' || price || '}' AS data FROM v_live, s
+UNION ALL SELECT s.id, conn, 'alert', '{"user_id":' || a.user_id || ',"alert_type":"' || alert_type || '","ticker":"' || ticker || '","message":"' || message || '","signal":"' || signal || '"}'
+FROM v_alerts a JOIN s ON s.id = a.user_id WHERE a.user_id > 0""",
     "alert_severity": "SELECT id, CASE WHEN contains(alert_type, 'STOP_LOSS') OR contains(alert_type, 'CRASH') THEN 'red' WHEN contains(alert_type, 'TARGET') OR contains(alert_type, 'BUY') THEN 'green' ELSE 'amber' END AS severity FROM v_alerts",
     "alert_priority": "SELECT id, p.priority, p.action FROM v_alerts a LEFT JOIN (VALUES " + ", ".join(str(p) for p in PRIORITIES) + ") p(alert_type, priority, action) ON p.alert_type = a.alert_type",
     "unread_count": "SELECT user_id, count(*) AS n FROM v_alerts WHERE NOT is_read GROUP BY user_id",
-    "unread_badge": "SELECT ticker, CASE WHEN count(*) > 99 THEN '99+' ELSE CAST(count(*) AS VARCHAR) END AS badge FROM v_alerts WHERE NOT is_read GROUP BY ticker",
+    "unread_badge": "SELECT user_id, CASE WHEN count(*) > 99 THEN '99+' ELSE CAST(count(*) AS VARCHAR) END AS badge FROM v_alerts WHERE NOT is_read GROUP BY user_id",
     "mark_read": "SELECT id, user_id, CASE WHEN user_id = 7 AND id % 2 = 1 THEN true ELSE is_read END AS is_read FROM v_alerts",
     "recent_alerts": "SELECT id, ticker, alert_type, created_at FROM v_alerts WHERE user_id = 7 ORDER BY created_at DESC, id DESC LIMIT 30",
-    "feedback_owned": "SELECT alert_id, is_positive FROM v_feedback WHERE alert_id IN (SELECT id FROM v_alerts)",
-    "feedback_tuning": "SELECT alert_type, count(*) AS n, CAST(sum(CASE WHEN is_positive THEN 0 ELSE 1 END) AS BIGINT) AS bad, CASE WHEN count(*) >= 30 AND sum(CASE WHEN is_positive THEN 0 ELSE 1 END) * 100 >= count(*) * 15 THEN 80 ELSE 75 END AS threshold FROM v_feedback GROUP BY alert_type",
+    "feedback_owned": "SELECT f.alert_id, f.user_id, f.is_positive FROM v_feedback f JOIN v_alerts a ON a.id = f.alert_id AND a.user_id = f.user_id",
+    "feedback_tuning": "SELECT alert_type, count(*) AS n, CAST(sum(CASE WHEN is_positive THEN 0 ELSE 1 END) AS BIGINT) AS bad, CASE WHEN count(*) >= 100 AND sum(CASE WHEN is_positive THEN 0 ELSE 1 END) * 100 >= count(*) * 70 THEN 80 ELSE 75 END AS threshold FROM v_feedback GROUP BY alert_type",
     "quiet_portfolios": "SELECT id FROM v_users WHERE id NOT IN (SELECT user_id FROM v_alerts WHERE created_at > TIMESTAMP '2024-01-23' AND created_at <= TIMESTAMP '2024-01-30')",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars
-from ledgerloom.operators import news
+from ledgerloom.operators import market, news
 from ledgerloom.plans.monitor import sentiment_scores
 from ledgerloom.sources import tables as src
 
@@ -90,16 +90,15 @@ def dedupe_url(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chat_last10(spark: SparkSession, d: str) -> DataFrame:
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role")))
-    rows = src.read(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("t"))
-    return rows.select("conv_id", F.explode(F.slice("t", F.greatest(F.size("t") - 9, F.lit(1)), 10)).alias("m")).select("conv_id", F.col("m.turn").alias("turn"), F.col("m.role").alias("role"))
+    rows = src.read(spark, d, "conversations").select("conv_id", "turn", "role")
+    return market.latest_k(rows, "conv_id", 10, "turn").select("conv_id", "turn", "role")
 
 
 QUERIES = {f.__name__: f for f in (articles_union, dedupe_md5, articles_per_source, rss_recent, clean_text, mention_match, news_top10_per_ticker, key_round_robin, article_text, lexicon_score, softmax_net_score, sentiment_band, lang_filter, strip_html, dedupe_url, chat_last10)}
 
 _LOGITS = "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings"
 SQL = {
-    "articles_union": "SELECT seq, CAST(substr(source, 4) AS INT) AS source_rank FROM v_articles WHERE source IN ('src0', 'src1', 'src2')",
+    "articles_union": "SELECT seq, CAST(substr(source, 4) AS INT) AS source_rank FROM v_articles",
     "dedupe_md5": "SELECT seq, md5(text) AS digest FROM v_dedup",
     "articles_per_source": "SELECT source, count(*) AS n FROM v_dedup GROUP BY source",
     "rss_recent": "SELECT seq, published FROM v_articles WHERE published IS NULL OR published >= TIMESTAMP '2024-01-29 22:00:00'",
@@ -107,7 +106,7 @@ SQL = {
     "mention_match": "SELECT a.seq, k.ticker FROM v_dedup a JOIN v_keywords k ON contains(upper(a.text), k.keyword)",
     "news_top10_per_ticker": "SELECT k.ticker, a.seq, CAST(row_number() OVER (PARTITION BY k.ticker ORDER BY a.published DESC NULLS LAST, a.seq) AS INT) AS n FROM v_articles a JOIN v_keywords k ON contains(upper(a.text), k.keyword) WHERE NOT starts_with(k.ticker, '^') QUALIFY n <= 10",
     "key_round_robin": "SELECT * FROM (VALUES ('ITC', 'key-a'), ('LT', 'key-b'), ('ERING', 'key-c'), ('ONING', 'key-a'), ('THING', 'key-b')) t(query, api_key)",
-    "article_text": "SELECT conv_id, turn, coalesce(CASE WHEN turn % 3 <> 0 THEN role END, 'None') || '. ' || coalesce(CASE WHEN turn % 2 = 0 THEN substr(text, 1, 40) END, 'None') AS article FROM conversations",
+    "article_text": "SELECT conv_id, turn, coalesce(CASE WHEN turn % 3 <> 0 THEN role END, 'None') || '. ' || coalesce(CASE WHEN turn % 2 = 0 THEN text END, 'None') AS article FROM conversations",
     "lexicon_score": "SELECT seq, floor(score * 1000000000.0::DOUBLE + 0.5) / 1000000000.0::DOUBLE AS score, 0.5::DOUBLE AS confidence FROM v_scored",
     "softmax_net_score": f"SELECT vec_id, floor((exp(a - m) - exp(b - m)) / (exp(a - m) + exp(b - m) + exp(c - m)) * 1000000000.0::DOUBLE + 0.5) / 1000000000.0::DOUBLE AS net FROM (SELECT *, greatest(a, b, c) AS m FROM ({_LOGITS}))",
     "sentiment_band": "SELECT id, CASE WHEN score >= 0.6 THEN 'BULLISH' WHEN score >= 0.2 THEN 'MILDLY_BULLISH' WHEN score >= -0.2 THEN 'NEUTRAL' WHEN score >= -0.6 THEN 'MILDLY_BEARISH' ELSE 'BEARISH' END AS band FROM v_sentiment",

@@ -120,7 +120,7 @@ def trade_validation(spark: SparkSession, d: str) -> DataFrame:
 def execute_trades(spark: SparkSession, d: str) -> DataFrame:
     orders = src.trades(spark, d).withColumnRenamed("fill_price", "price")
     balances = src.users(spark, d).select(F.col("id").alias("user_id"), F.lit(src.TRADING_BALANCE).alias("balance"))
-    return trading.execute_trades(orders, balances)
+    return trading.execute_trades(orders, balances, src.ticks(spark, d).select("ticker", "ts", "event_id", "price"))
 
 
 def recent_trades(spark: SparkSession, d: str) -> DataFrame:

@@ -18,6 +18,8 @@ DEFAULT_TICKERS = ("RELIANCE.NS", "TCS.NS", "INFY.NS", "^NSEI", "^BSESN")
 KEYWORDS = ("ITC.NS", "LT.NS", "ERING.NS", "ONING.NS", "THING.NS", "^NSEI")
 LEXICON = {"thing": 1.5, "ering": -1.5, "oning": -0.8, "the": 0.1, "and": 0.05, "by": -0.1}
 ALERT_TYPES = ("STOP_LOSS_BREACH", "TARGET_HIT", "SENTIMENT_CRASH", "RSI_OVERBOUGHT", "RSI_OVERSOLD", "VOLUME_SPIKE")
+#: The fields of an alert's message, in their order.
+ALERT_MESSAGE = ("user_id", "alert_type", "ticker", "message", "signal")
 ALERT_SIGNALS = ("SELL", "SELL", "CAUTION", "SELL", "BUY", "HOLD")
 
 
@@ -66,16 +68,25 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, user_id, ticker, alert_type, signal, price_at_alert, is_read, created_at: error events as alerts."""
-    kind = F.col("event_id") % 6
-    return ticks(spark, sf_dir).where("event_type = 'error'").select(F.col("event_id").alias("id"), "user_id", "ticker", pick(ALERT_TYPES, kind).alias("alert_type"), pick(ALERT_SIGNALS, kind).alias("signal"), F.col("price").alias("price_at_alert"), (F.col("k") % 2 == 0).alias("is_read"), F.col("ts").alias("created_at"))
+    """id, user_id, ticker, alert_type, message, signal, price_at_alert, is_read, created_at: error events as alerts."""
+    kind, rows = F.col("event_id") % 6, ticks(spark, sf_dir).where("event_type = 'error'")
+    message = F.concat("ticker", F.lit(": "), pick(ALERT_TYPES, kind))
+    return rows.select(F.col("event_id").alias("id"), "user_id", "ticker", pick(ALERT_TYPES, kind).alias("alert_type"), message.alias("message"), pick(ALERT_SIGNALS, kind).alias("signal"), F.col("price").alias("price_at_alert"), (F.col("k") % 2 == 0).alias("is_read"), F.col("ts").alias("created_at"))
 
 
-def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """alert_id, alert_type, is_positive."""
     return read(spark, sf_dir, "labels").select(F.col("doc_id").alias("alert_id"), pick(ALERT_TYPES, F.col("doc_id") % 6).alias("alert_type"), (F.col("quality") == 1).alias("is_positive"))
 
 
+def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """alert_id, alert_type, is_positive, user_id: ratings with their sender, the user of the event with that id; every third
+    comes from another one."""
+    sender = F.col("user_id") + F.when(F.col("event_id") % 3 == 0, 1).otherwise(0)
+    senders = read(spark, sf_dir, "events").select(F.col("event_id").alias("alert_id"), sender.alias("user_id"))
+    return ratings(spark, sf_dir).join(senders, "alert_id", "left")
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, user_id, ticker, signal, price_at_signal, created_at: clicks as signals."""
     return ticks(spark, sf_dir).where("event_type = 'click'").select(F.col("event_id").alias("id"), "user_id", "ticker", pick(("BUY", "SELL", "HOLD"), F.col("event_id") % 3).alias("signal"), F.col("price").alias("price_at_signal"), F.col("ts").alias("created_at"))
@@ -91,8 +102,8 @@ VIEWS = {
     "v_users": f"SELECT e.id, c_name || '@example.com' AS email, c_name AS name, CAST({START_BALANCE} AS DOUBLE) AS virtual_balance FROM (SELECT DISTINCT user_id AS id FROM events) e JOIN customer ON c_custkey = e.id",
     "v_limits": "SELECT DISTINCT user_id, ticker, CASE WHEN user_id % 7 <> 0 THEN CAST(5 + user_id % 3 * 5 AS DOUBLE) END AS sl_pct, CASE WHEN user_id % 7 <> 0 THEN CAST(10 + user_id % 4 * 5 AS DOUBLE) END AS tg_pct FROM v_trades",
     "v_articles": "SELECT doc_id AS seq, source, text, CASE WHEN doc_id % 17 <> 0 THEN TIMESTAMP '2024-01-30 00:00:00' - to_minutes(CAST(doc_id % 240 AS INT)) END AS published FROM documents",
-    "v_alerts": f"SELECT event_id AS id, user_id, ticker, ([{_values(ALERT_TYPES)}])[event_id % 6 + 1] AS alert_type, ([{_values(ALERT_SIGNALS)}])[event_id % 6 + 1] AS signal, price AS price_at_alert, k % 2 = 0 AS is_read, ts AS created_at FROM v_ticks WHERE event_type = 'error'",
-    "v_feedback": f"SELECT doc_id AS alert_id, ([{_values(ALERT_TYPES)}])[doc_id % 6 + 1] AS alert_type, quality = 1 AS is_positive FROM labels",
+    "v_alerts": f"SELECT event_id AS id, user_id, ticker, ([{_values(ALERT_TYPES)}])[event_id % 6 + 1] AS alert_type, ticker || ': ' || ([{_values(ALERT_TYPES)}])[event_id % 6 + 1] AS message, ([{_values(ALERT_SIGNALS)}])[event_id % 6 + 1] AS signal, price AS price_at_alert, k % 2 = 0 AS is_read, ts AS created_at FROM v_ticks WHERE event_type = 'error'",
+    "v_feedback": f"SELECT doc_id AS alert_id, user_id + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS user_id, ([{_values(ALERT_TYPES)}])[doc_id % 6 + 1] AS alert_type, quality = 1 AS is_positive FROM labels LEFT JOIN events ON event_id = doc_id",
     "v_signals": "SELECT event_id AS id, user_id, ticker, (['BUY', 'SELL', 'HOLD'])[event_id % 3 + 1] AS signal, price AS price_at_signal, ts AS created_at FROM v_ticks WHERE event_type = 'click'",
     "v_live": "SELECT ticker, arg_max(price, (ts, event_id)) AS price FROM v_ticks GROUP BY ticker",
     # the average-cost fold: an element is {d: signed quantity, p: price, q: held, a: average cost}

@@ -6,7 +6,6 @@ Feeds read files as a stream (a message bus has the same plan behind another sou
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,18 +13,23 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ledgerloom.functions.scalars import SLIPPAGE
-from ledgerloom.operators.trading import OK, RESULT, Account
+from ledgerloom.operators.trading import RESULT, executed
+from ledgerloom.sources.tables import ALERT_MESSAGE, ALERT_SIGNALS, ALERT_TYPES, pick
 
 #: How late events may come.
 DELAY = "1 hour"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one that the cluster names in spark.checkpoint.dir; a temporary one where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
+    """A new folder under the one that the cluster names in spark.checkpoint.dir; with a local master, a temporary one where
+    none is set."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    root = root or tempfile.mkdtemp(prefix="streams-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -84,25 +88,57 @@ def unique_recent_texts(articles: DataFrame) -> DataFrame:
 
 
 def alert_payloads(ticks: DataFrame) -> DataFrame:
-    """user_id and JSON payload of error events, routed by user."""
-    return ticks.where("event_type = 'error' AND user_id > 0").select("user_id", F.to_json(F.struct("event_id", "user_id", "ticker")).alias("payload"))
-
-
-def executed(orders: DataFrame, balance: float) -> DataFrame:
-    """Orders executed as they come, with each user's account as state. orders: (id, user_id, ticker, side, quantity,
-    price, ts); a batch's orders of a user go by time and id."""
+    """user_id and JSON message of error events, as alerts, routed by user."""
+    kind = F.col("event_id") % 6
+    rows = ticks.where("event_type = 'error' AND user_id > 0").withColumn("alert_type", pick(ALERT_TYPES, kind)).withColumn("signal", pick(ALERT_SIGNALS, kind))
+    rows = rows.withColumn("message", F.concat("ticker", F.lit(": "), "alert_type"))
+    return rows.select("user_id", F.to_json(F.struct(*ALERT_MESSAGE)).alias("payload"))
+
+
+def run_orders(orders: DataFrame, ticks: DataFrame, balance: float) -> DataFrame:
+    """Outcomes of orders executed as they come. orders: (id, user_id, ticker, side, quantity, price, ts), a stream; ticks:
+    the table of ticks (ticker, ts, event_id, price) that holds all up to the orders' times.
+
+    Each batch folds its orders onto the accounts that the batch before has left, as a table: users stream through sorted
+    partitions, so a batch may hold any number of a user's orders. A repeated batch overwrites its own folders only, so results
+    are exact after a restart."""
+    spark, path = orders.sparkSession, shared_folder(orders.sparkSession)
+    result = T.StructType.fromDDL(RESULT)
+    accounts = T.StructType.fromDDL("user_id bigint, balance double, held string")
+
+    def step(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(accounts).parquet(f"{path}/accounts/{number - 1}") if number else spark.createDataFrame([], accounts)
+        users = batch.select("user_id").distinct().join(before, "user_id", "left").withColumn("balance", F.coalesce("balance", F.lit(balance)))
+        executed(batch, users, ticks).write.mode("overwrite").parquet(f"{path}/batch/{number}")
+        done = spark.read.parquet(f"{path}/batch/{number}")
+        after = done.where("status = 'STATE'").select("user_id", F.col("virtual_balance_after").alias("balance"), F.col("state").alias("held"))
+        before.join(after, "user_id", "left_anti").unionByName(after).write.mode("overwrite").parquet(f"{path}/accounts/{number}")
+        done.where("status <> 'STATE'").select(*result.names).write.mode("overwrite").parquet(f"{path}/out/number={number}")
+
+    orders.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    spark.createDataFrame([], result).write.mode("append").parquet(f"{path}/out/number=-1")
+    return spark.read.schema(result).parquet(f"{path}/out").select(*result.names)
+
+
+def expiring_prices(ticks: DataFrame, seconds: int = 60) -> DataFrame:
+    """ticker, price, ts, live: after each batch, a ticker's latest price; and once more, no longer live, when no tick has come
+    for so many seconds (event time, by the watermark): its state is then gone."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        account = Account(balance)
-        if state.exists:
-            account.balance, account.held, account.quotes = json.loads(state.get[0])
-        rows = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "id"]).itertuples(index=False):
-            status, fill = account.execute(r.ticker, r.side, r.quantity, None if pd.isna(r.price) else r.price)
-            rows.append((r.id, r.user_id, r.ticker, r.side, r.quantity, fill, SLIPPAGE if status == OK else None, r.ts, account.balance, status))
-        state.update((json.dumps([account.balance, account.held, account.quotes]),))
-        yield pd.DataFrame(rows, columns=["id", "user_id", "ticker", "side", "quantity", "fill_price", "slippage", "ts", "virtual_balance_after", "status"])
-
-    return orders.groupBy("user_id").applyInPandasWithState(step, RESULT, "account string", "append", GroupStateTimeout.NoTimeout)
-
-
+        if state.hasTimedOut:
+            price, ts, _ = state.get
+            state.remove()
+            yield pd.DataFrame({"ticker": [key[0]], "price": [price], "ts": [ts], "live": [False]})
+            return
+        last = state.get if state.exists else None
+        for t in batches:
+            t = t.sort_values(["ts", "event_id"]).iloc[-1]
+            if last is None or (t.ts, t.event_id) > (last[1], last[2]):
+                last = (float(t.price), t.ts.to_pydatetime(), int(t.event_id))
+        state.update(last)
+        state.setTimeoutTimestamp(max(int(last[1].timestamp() * 1000) + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"ticker": [key[0]], "price": [last[0]], "ts": [last[1]], "live": [True]})
+
+    rows = ticks.select("ticker", "price", "ts", "event_id").withWatermark("ts", DELAY)
+    kept = "price double, ts timestamp, event_id bigint"
+    return rows.groupBy("ticker").applyInPandasWithState(step, "ticker string, price double, ts timestamp, live boolean", kept, "append", GroupStateTimeout.EventTimeTimeout)

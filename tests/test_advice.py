@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from ledgerloom.operators import positions
 from ledgerloom.plans import market, monitor, news
@@ -36,10 +37,10 @@ def test_every_source_is_united(spark, small):
 
 def test_every_user_gets_messages(spark, small):
     users = {r.id for r in monitor.src.users(spark, small).collect()}
-    tickers = {r.ticker for r in market.live_price(spark, small).collect()}
+    prices = {r.ticker: r.price for r in market.live_price(spark, small).collect()}
     alerts = [r for r in monitor.src.alert_log(spark, small).collect() if r.user_id in users and r.user_id > 0]
-    want = [(u, c, "price_update", f'{{"ticker":"{t}"}}') for u in users for c in "ab" for t in tickers]
-    want += [(r.user_id, c, "alert", f'{{"id":{r.id},"user_id":{r.user_id}}}') for r in alerts for c in "ab"]
+    want = [(u, c, "price_update", f'{{"ticker":"{t}","price":{p}}}') for u in users for c in "ab" for t, p in prices.items()]
+    want += [(r.user_id, c, "alert", json.dumps({k: r[k] for k in ("user_id", "alert_type", "ticker", "message", "signal")}, separators=(",", ":"))) for r in alerts for c in "ab"]
     assert sorted(tuple(r) for r in monitor.ws_route(spark, small).collect()) == sorted(want)
 
 

@@ -12,6 +12,8 @@ from ledgerloom.functions import scalars
 from ledgerloom.operators import analytics, history, market, monitor, news, positions, trading
 from ledgerloom.plans import streams as stream_plans
 from ledgerloom.plans.portfolio import execute_trades
+from ledgerloom.sources import tables
+from ledgerloom.streaming import streams
 
 T0 = dt.datetime(2024, 1, 1)
 TRADES = "id long, user_id long, ticker string, side string, quantity double, fill_price double, ts timestamp_ntz"
@@ -108,12 +110,80 @@ def test_cap_is_of_the_balance_before_and_dust_stays_open(spark):
     assert run_orders(spark, [("A", "BUY", 1.0, 1000.0)])[0].status == "BALANCE"
 
 
-def test_unknown_user_and_streaming_twin(spark, small):
+def replayed(orders, ticks, balance):
+    """Outcomes of orders, one by one, each buy against all ticks up to its time."""
+    users, out = {}, []
+    for o in sorted(orders, key=lambda o: (o["ts"], o["id"])):
+        u = users.setdefault(o["user_id"], {"cash": balance, "held": {}})
+
+        def price_at(ticker, ts=o["ts"]):
+            seen = [(t["ts"], t["event_id"], t["price"]) for t in ticks if t["ticker"] == ticker and t["ts"] <= ts and t["price"] > 0]
+            return max(seen)[2] if seen else None
+
+        status, fill, p, n = "OK", None, o["price"], u["held"].get(o["ticker"], 0.0)
+        if o["side"] == "BUY":
+            fill = p * 1.0005
+            worth = [q * (p if t == o["ticker"] else price_at(t)) for t, q in u["held"].items() if q > 0]
+            if u["cash"] < fill * o["quantity"]:
+                status = "BALANCE"
+            elif (n * p + fill * o["quantity"]) / (sum(worth) + u["cash"]) > 0.3:
+                status = "STOCK_CAP"
+            else:
+                u["cash"] -= fill * o["quantity"]
+                u["held"][o["ticker"]] = n + o["quantity"]
+        elif n < o["quantity"]:
+            status = "OVERSELL"
+        else:
+            fill = p * 0.9995
+            u["cash"] += fill * o["quantity"] * 0.999
+            u["held"][o["ticker"]] = n - o["quantity"]
+        out.append((o["id"], status, round(u["cash"], 6), None if status != "OK" else round(fill, 9)))
+    return sorted(out)
+
+
+def outcomes(df):
+    return sorted((r.id, r.status, round(r.virtual_balance_after, 6), None if r.fill_price is None else round(r.fill_price, 9)) for r in df.collect())
+
+
+def test_holdings_are_valued_at_live_prices(spark):
+    """A holds 2 T0 bought at 100. While T0 stands at 100, 3 T1 at 110 are under 30 % of 1000 or so; when T0 falls to 1 without
+    an order, they are over it."""
+    orders = [(1, 1, "T0", "BUY", 2.0, 100.0, minutes(0)), (2, 1, "T1", "BUY", 2.6, 110.0, minutes(2))]
+    users = spark.createDataFrame([(1, 1000.0)], "user_id long, balance double")
+    made = lambda *ticks: spark.createDataFrame([(t, minutes(m), m, p) for t, m, p in ticks], "ticker string, ts timestamp_ntz, event_id long, price double")
+    run = lambda ticks: [r.status for r in sorted(trading.execute_trades(spark.createDataFrame(orders, ORDERS), users, ticks).collect())]
+    assert run(made(("T0", 0, 100.0), ("T1", 2, 110.0))) == ["OK", "OK"]
+    assert run(made(("T0", 0, 100.0), ("T0", 1, 1.0), ("T1", 2, 110.0))) == ["OK", "STOCK_CAP"]
+    assert run(made(("T0", 3, 100.0), ("T1", 2, 110.0))) == ["OK", "NO_PRICE"]
+
+
+def test_execution_is_the_replay_in_batch_and_stream(spark, small):
+    ticks = [r.asDict() for r in tables.ticks(spark, small).select("ticker", "ts", "event_id", "price").collect()]
+    orders = [r.asDict() for r in tables.trades(spark, small).withColumnRenamed("fill_price", "price").collect()]
+    want = replayed(orders, ticks, tables.TRADING_BALANCE)
+    known = {r.id for r in tables.users(spark, small).collect()}
+    users = {o["id"]: o["user_id"] for o in orders}
+    got = outcomes(execute_trades(spark, small).where("status <> 'NO_USER'"))
+    assert got == [w for w in want if users[w[0]] in known] and len({w[1] for w in got}) == 4
+    assert outcomes(stream_plans.stream_execute_trades(spark, small)) == want
+
+
+def test_accounts_go_from_batch_to_batch(spark, small, tmp_path):
+    """The stream's files come one by one, so that users' accounts pass through several batches."""
+    rows = tables.trades(spark, small).withColumnRenamed("fill_price", "price").orderBy("ts", "id")
+    parts = [r for r in rows.collect()]
+    for i in range(3):
+        spark.createDataFrame(parts[i * 60 : i * 60 + 60], rows.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    ticks = tables.ticks(spark, small).select("ticker", "ts", "event_id", "price")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    want = replayed([r.asDict() for r in parts[:180]], [r.asDict() for r in ticks.collect()], 4000.0)
+    assert outcomes(streams.run_orders(stream, ticks, 4000.0)) == want
+
+
+def test_unknown_user(spark):
     orders = spark.createDataFrame([(1, 9, "A", "BUY", 1.0, 1.0, T0)], ORDERS)
     none = spark.createDataFrame([], "user_id long, balance double")
     assert trading.execute_trades(orders, none).collect()[0].status == "NO_USER"
-    key = lambda r: r.id
-    assert sorted(stream_plans.stream_execute_trades(spark, small).collect(), key=key) == sorted(execute_trades(spark, small).collect(), key=key)
 
 
 def bars(spark, closes, volumes=None):
@@ -191,7 +261,6 @@ def test_outcome(spark):
 
 
 def test_pushed_filters_and_pruned_columns(spark, small):
-    from ledgerloom.sources import tables
 
     plan = tables.trades(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(event_type" in plan
