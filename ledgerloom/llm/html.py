@@ -9,15 +9,23 @@
 Winning paths are broadcast while they are few (HOSTS_MOST), joined by host beyond.
 
 Within the main element, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are left out, by element or by name (a wrapper that holds the article stays, whatever its name); character references are decoded, white space within a block becomes one space, blocks are joined by one
-newline. Null or empty html gives an empty text. A null url is a host of its own. Each input row gives one row, repeated
-rows too.
+are left out, by element or by name (a wrapper that holds the article stays, whatever its name; so does a passage of the article
+that is named like furniture of a page but has no links or form fields to show for it). Inline elements count too, by name.
+Character references are decoded, white space within a block becomes one space, blocks are joined by one newline.
+
+The host is what a url names before its path, with or without a scheme. A page whose url is null or names none has no
+host: it doesn't vote and is extracted by its own best container. Null or empty html gives an empty text; an empty table an
+empty result. Ties of score within a page go to the element that comes first. Each input row gives one row, repeated rows too.
+Very long and very deep pages are handled whole, in time and memory proportional to their length. Only id, url and
+html are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -31,7 +39,8 @@ HOSTS_MOST = 20_000
 
 # Elements by their roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
+RAW = frozenset("script style textarea title template iframe svg object select".split())
+FIELDS = frozenset("input textarea select button".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
 OUTSIDE = frozenset("nav header footer aside form button menu dialog head label".split())
@@ -39,6 +48,10 @@ OUTSIDE = frozenset("nav header footer aside form button menu dialog head label"
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Words of class, id or role that mark what is not main text.
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social comment comments respond disqus cookie cookies consent gdpr notice notification popup modal newsletter subscribe signup login search pagination pager toolbar skip".split())
+#: Those of them that name running text; the others need links or form fields to show that they are furniture, within an article
+#: or on a paragraph, heading or inline element.
+SPOKEN = frozenset("ad ads advert adverts advertisement advertising adbox sponsor sponsored promo comment comments respond disqus cookie cookies consent gdpr notice notification popup modal newsletter subscribe".split())
+PASSAGES = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote figcaption pre".split())
 #: Parts that may follow such a word in a longer name, and parts whose names tell of a state or of the content instead.
 FURNITURE = frozenset("area bar body block bottom box button buttons col column container form group holder inner item items left link links list outer panel right section slot top unit wrap wrapper".split())
 STATES = frozenset("content has have hide is layout no non not off on with without".split())
@@ -46,37 +59,85 @@ PARTS = re.compile(r"[_-]+")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 BLANKS = re.compile(r"\s+")
 DIGITS = re.compile(r"[0-9]+")
-HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+HOST = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:(?=//))?(?://)?(?:[^/?#@]*@)?([^/?#:@\s]+)"
 
 
 class Node:
-    __slots__ = ("named", "outside", "path", "pieces", "tag", "text", "up")
+    __slots__ = ("forms", "inline", "key", "links", "named", "outside", "pieces", "spoken", "step", "tag", "text", "up")
 
-    def __init__(self, tag: str, path: str, up: Node | None, outside: bool, named: int = 0) -> None:
-        self.tag, self.path, self.up, self.outside = tag, path, up, outside
-        self.named = named  # as boilerplate, see named_as()
+    def __init__(self, tag: str, step: str, up: Node | None, outside: bool, named: int = 0, spoken: bool = False, inline: bool = False) -> None:
+        self.tag, self.step, self.up, self.outside = tag, step, up, outside
+        self.key = key_of(up.key if up else "", step)
+        self.named, self.spoken = named, spoken  # as boilerplate, see named_as()
+        self.inline, self.forms = inline, False
         self.text = 0.0  # characters of own running text less links; then of blocks inside
+        self.links = 0  # characters of own links
         self.pieces: list = []  # in page order: strings, BREAK, or nodes
 
+    @property
+    def path(self) -> str:
+        """The steps from the page down, written out; what is compared are keys, which are as long for deep elements."""
+        steps, n = [], self
+        while n is not None:
+            if n.step:
+                steps.append(n.step)
+            n = n.up
+        return "".join(f"/{x}" for x in reversed(steps))
+
+
+def key_of(key: str, step: str) -> str:
+    return hashlib.blake2b(f"{key}/{step}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest() if step else key
+
+
+def key_of_path(path: str) -> str:
+    key = ""
+    for step in path.split("/")[1:]:
+        key = key_of(key, step)
+    return key
+
 
 BREAK = None
 
 
 @lru_cache(4096)
-def named_as(label: str) -> int:
-    """2 if one of the names in a label is a word of boilerplate, 1 if a longer name ends in one, 0 otherwise."""
-    found = 0
+def words_named(label: str) -> tuple[tuple[int, str], ...]:
+    """(2, word) for each name in a label that is a word of boilerplate, (1, word) for each longer name that ends in one."""
+    found = []
     for name in label.lower().split():
-        if name in BOILERPLATE:
-            return 2
         parts = PARTS.split(name.strip("_-"))
-        if STATES.isdisjoint(parts):
+        if name in BOILERPLATE:
+            found.append((2, name))
+        elif STATES.isdisjoint(parts):
             while len(parts) > 1 and (parts[-1] in FURNITURE or parts[-1].isdigit()):
                 parts.pop()
-            found |= parts[-1] in BOILERPLATE
-    return int(found)
+            if parts[-1] in BOILERPLATE:
+                found.append((1, parts[-1]))
+    return tuple(found)
+
+
+def named_as(label: str) -> int:
+    """2 if one of the names in a label is a word of boilerplate, 1 if a longer name ends in one, 0 otherwise."""
+    return max((n for n, _ in words_named(label)), default=0)
+
+
+def unsupported(nodes: list[Node]) -> None:
+    """Takes their names from elements that are named like furniture, where running text belongs, without a third of their
+    text in links and without form fields."""
+    links, plain, forms, article = {}, {}, {}, {}
+    for n in nodes:
+        article[id(n)] = n.up is not None and (article[id(n.up)] or n.up.tag in ("article", "main"))
+        links[id(n)], plain[id(n)], forms[id(n)] = n.links, sum(len(p) for p in n.pieces if isinstance(p, str)) - n.links, n.forms
+    for n in reversed(nodes):
+        if n.up is not None:
+            for of in (links, plain, forms):
+                of[id(n.up)] += of[id(n)]
+    for n in nodes:
+        k = id(n)
+        if n.named and not n.spoken and (article[k] or n.tag in PASSAGES or n.inline) and not forms[k] and 2 * links[k] < plain[k]:
+            n.named = 0
 
 
 def settle(root: Node) -> None:
@@ -86,6 +147,7 @@ def settle(root: Node) -> None:
     nodes = nodes_of(root)
     if not any(n.named for n in nodes):
         return
+    unsupported(nodes)
     size, weak, best, inside = {}, dict.fromkeys(map(id, nodes), 0.0), dict.fromkeys(map(id, nodes), 0.0), {}
     for n in nodes:
         inside[id(n)] = n.up is not None and (inside[id(n.up)] or n.up.named and n.up.tag not in ("article", "main"))
@@ -114,13 +176,24 @@ def parse(page: str, by_names: bool = True) -> Node:
     block closes an open paragraph. by_names: what is named as boilerplate is outside."""
     root = top = Node("html", "", None, False)
     stack, at, links = [root], 0, 0
+    opened: Counter = Counter()  # elements on the stack, by tag
+    inline: Counter = Counter()  # inline elements within the innermost inline node, by tag
+    unclosed: set[str] = set()
+
+    def leave() -> Node:
+        gone = stack.pop()
+        opened[gone.tag] -= 1
+        return gone
+
     while True:
         m = TOKEN.search(page, at)
         data = page[at : m.start() if m else len(page)]
         if data:
             top.pieces.append(data)
-            if not top.outside and not data.isspace():
-                top.text += -len(data) if links else len(data)
+            if not data.isspace():
+                top.links += len(data) if links else 0
+                if not top.outside:
+                    top.text += -len(data) if links else len(data)
         if not m:
             if by_names:
                 settle(root)
@@ -132,49 +205,69 @@ def parse(page: str, by_names: bool = True) -> Node:
         if m.group(1):  # closing
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag == "br":
+            if tag == "br":
                 top.pieces.append(" ")
-            elif tag in BLOCKS or tag in OUTSIDE:
-                if any(n.tag == tag for n in stack[1:]):
-                    while stack[-1].tag != tag:
-                        stack.pop()
-                    stack.pop()
-                    top, links = stack[-1], 0
+            elif opened[tag] and (tag in BLOCKS or tag in OUTSIDE):
+                while stack[-1].tag != tag:
+                    leave()
+                leave()
+                top, links = stack[-1], 0
+            elif top.inline and tag == top.tag:
+                if inline[tag]:
+                    inline[tag] -= 1
+                else:
+                    leave()
+                    top = stack[-1]
             continue
+        if tag in FIELDS:
+            top.forms = True
         if tag in RAW and tag not in VOID:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            end = None if tag in unclosed else END[tag].search(page, at)
+            if end is None:
+                unclosed.add(tag)
             at = end.end() if end else (len(page) if tag in ("script", "style") else at)
             continue
         if tag == "br" or tag == "wbr" or tag in VOID and tag != "hr":
             top.pieces.append(" " if tag != "wbr" else "")
             continue
+        names = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m.group(3))} if m.group(3) else {}
+        label = f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}".strip()
+        words = words_named(label) if label and tag not in ("html", "body") else ()
+        named, spoken = max((n for n, _ in words), default=0), any(w in SPOKEN for _, w in words)
         if tag == "a":
             links += 1
-            continue
         if tag not in BLOCKS and tag not in OUTSIDE:
+            if top.inline and tag == top.tag:
+                inline[tag] += 1
+            elif named or "hidden" in names:
+                top = Node(tag, tag, top, top.outside or "hidden" in names, named, spoken, True)
+                stack[-1].pieces.append(top)
+                stack.append(top)
+                opened[tag] += 1
+                inline.clear()
             continue
         links = 0
         closes = CLOSES.get(tag, ())
         if tag in BLOCKS and stack[-1].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
+            leave()
         elif closes and stack[-1].tag == "p" and len(stack) > 1 and stack[-2].tag in closes:
-            stack.pop()
+            leave()
         while closes and len(stack) > 1 and stack[-1].tag in closes:
-            stack.pop()
-        if tag == "body" and any(n.tag == "head" for n in stack):
-            while stack.pop().tag != "head":
+            leave()
+        if tag == "body" and opened["head"]:
+            while leave().tag != "head":
                 pass
         top = stack[-1]
         if tag == "hr":
             top.pieces.append(BREAK)
             continue
-        names = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m.group(3))} if m.group(3) else {}
-        label = f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}".strip()
         outside = top.outside or tag in OUTSIDE or "hidden" in names
-        classes = ".".join(sorted(set(DIGITS.sub("0", names.get("class", "")).lower().split())))
-        node = Node(tag, f"{top.path}/{tag}{'.' + classes if classes else ''}" if tag not in ("html", "body") else top.path, top, outside, named_as(label) if label and tag not in ("html", "body") else 0)
+        classes = ".".join(sorted(set(DIGITS.sub("0", names.get("class", "")).lower().replace("/", "|").split())))
+        step = "" if tag in ("html", "body") else f"{tag}{'.' + classes if classes else ''}".replace("/", "|")
+        node = Node(tag, step, top, outside, named, spoken)
         top.pieces.append(node)
         stack.append(node)
+        opened[tag] += 1
         top = node
 
 
@@ -199,7 +292,7 @@ def best_container(root: Node) -> tuple[Node, float]:
         container = n.tag in CONTAINERS or n is root
         if container and not n.outside:
             value = own * (2.0 if n.tag in ("article", "main") else 1.0)
-            if value > most or value == most and n.path < best.path:
+            if value >= most:  # from the last to the first
                 best, most = n, value
         if n.up is not None and not n.outside:
             score[id(n.up)] += own * (0.5 if container else 1.0)
@@ -221,6 +314,9 @@ def text_of(nodes: list[Node]) -> str:
             p = stack.pop()
             if isinstance(p, str):
                 line.append(p)
+            elif isinstance(p, Node) and p.inline:
+                if not p.outside:
+                    stack += reversed(p.pieces)
             elif isinstance(p, Node):
                 close()
                 if not p.outside or p is root:
@@ -239,10 +335,10 @@ def extract(page: str | None, path: str | None) -> str:
         return ""
     root = parse(page)
     if path is not None:
-        found, stack = [], [root]
+        found, stack, key = [], [root], key_of_path(path)
         while stack:
             n = stack.pop()
-            if n.path == path and not n.outside and n.tag in CONTAINERS | {"html"}:
+            if n.key == key and not n.outside and n.tag in CONTAINERS | {"html"}:
                 found.append(n)
             else:
                 stack += [p for p in reversed(n.pieces) if isinstance(p, Node)]
@@ -263,7 +359,7 @@ def host_votes(pages: DataFrame) -> DataFrame:
 
         return work
 
-    votes = scan(pages.select("host", "html"), "host string, path string, score double", factory).where("path IS NOT NULL AND score > 0")
+    votes = scan(pages.select("host", "html"), "host string, path string, score double", factory).where("host IS NOT NULL AND path IS NOT NULL AND score > 0")
     return votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
 
 
@@ -276,7 +372,7 @@ def winning_paths(votes: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, path for every row of pages."""
     rows = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
-    rows = rows.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))))
+    rows = rows.withColumn("host", F.lower(F.nullif(F.regexp_extract("url", HOST, 1), F.lit(""))))
     winners = checkpointed(winning_paths(host_votes(rows)))
     few = winners.limit(HOSTS_MOST + 1).count() <= HOSTS_MOST
     joined = rows.join(F.broadcast(winners) if few else winners, "host", "left").select("id", "url", "html", "path")

@@ -83,3 +83,54 @@ def test_pages_of_the_small_tables(spark, small):
         inner = re.search(r"<article>(.*)</article>", r.html, re.S).group(1)
         blocks = [" ".join(unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)\b[^>]*>|<br>", inner)]
         assert r.text == "\n".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize("inside, want", [
+    ("<p class='share'>The share price of the bank fell.</p>", "The share price of the bank fell."),
+    ("<section id='related-work'><p>Earlier studies said so.</p></section>", "Earlier studies said so."),
+    ("<h2 id='search'>The search</h2><div class='social'>Social life is <a href=x>rich</a> here and long.</div>", "The search\nSocial life is rich here and long."),
+    ("<p>so <math><mi>x</mi><mo>+</mo><mn>1</mn></math> is</p><noscript><p>plain</p></noscript>", "so x+1 is\nplain"),
+    ("<p>one <span class='ad'>Buy <b>now</b> <span>and</span> here</span> two</p>", "one two"),
+    ("<p>one <a class='share' href=x>share it</a> two</p>", "one two"),
+    ("<p>one <span class='search'>sought</span> two</p><p hidden>gone</p>", "one sought two"),
+    ("<div class='share'><a href=x>Share this now</a> or <a href=y>that</a></div><p>text</p>", "text"),
+    ("<div class='newsletter'>Read it <input name=m></div><div class='comments'><p>nice words</p></div><p>text</p>", "text"),
+])
+def test_names_alone_take_no_article_text(inside, want):
+    assert html.extract(page("", article=f"<h1>Title</h1>{inside}"), None) == f"Title\n{want}"
+
+
+def test_hosts_of_any_url(spark):
+    urls = {"http://A.b/c": "a.b", "//a.b/c": "a.b", "a.b/c?x#y": "a.b", "a.b:80/c": "a.b", "ftp://u:p@a.b:21/": "a.b", "": None, "/c": None, None: None}
+    got = spark.createDataFrame(list(urls.items()), "url string, want string").select("want", html.F.lower(html.F.nullif(html.F.regexp_extract("url", html.HOST, 1), html.F.lit(""))).alias("got")).collect()
+    assert all(r.want == r.got for r in got), got
+
+
+def test_pages_without_a_host_do_not_vote(spark):
+    usual = "<div class='content'><p>" + "real words " * 90 + "</p></div>"
+    rows = [(i, None, page("", usual, "{}")) for i in range(5)]
+    rows.append((9, None, page("<div class='box'><p>" + "teaser text " * 60 + "</p></div>", "<div class='content'><p>short</p></div>", "{}")))
+    got = {r.page_id: r for r in html.main_text(pages(spark, rows)).collect()}
+    assert got[9].path is None and got[9].text.startswith("teaser text")
+
+
+@pytest.mark.parametrize("made", ["<div>" * 100_000 + "deep", "<div class='ad x'><p>" * 50_000 + "deep", "<svg>" * 40_000 + "deep", "</nav></div>" * 50_000 + "deep", "<span class='share'>" * 50_000 + "deep"])
+def test_long_and_deep_pages_take_linear_time_and_memory(made):
+    import time
+    import tracemalloc
+
+    began = time.time()
+    text = html.extract(made, None)
+    assert time.time() - began < 20 and text in ("deep", "")
+    tracemalloc.start()
+    html.extract(made[: len(made) // 4] + "deep", None)
+    quarter = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert quarter < 50e6
+
+
+def test_keys_are_of_paths():
+    root = html.parse("<body><div class='b a1'><section><p>x")
+    for n in html.nodes_of(root):
+        assert n.key == html.key_of_path(n.path)
+    assert html.nodes_of(root)[-1].path == "/div.a0.b/section/p"
