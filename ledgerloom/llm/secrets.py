@@ -2,12 +2,14 @@
 
 Three base patterns give the assignments, access keys and long hexadecimal runs. Beyond them, every long run of
 credential characters is split by a byte-level BPE vocabulary: text that the vocabulary knows takes few tokens, a random
-string takes many, so few characters for each token give a random string away. Known digests and identifiers (UUIDs,
-hexadecimal digests of a usual length, numbers, dates, paths and words) are excluded first; of a run that has a UUID in
-it, only the UUID. A run is tested as a whole, then by its parts between separators, then by its densest stretches, so
-that a path or name that is joined to a random string doesn't hide it.
-
-Null text is empty text: no spans. Each input row gives one row, repeated rows too; other columns are not read.
+string takes many, so few characters for each token give a random string away. What the ratio can't tell is excluded first: known
+digests (hexadecimal runs of a usual length), UUIDs, time stamps, and runs without a letter. Words, names and paths are told
+by their ratio. A run is tested as a whole, by what it has beside separators and numbers, then by its parts between
+separators, then by its densest stretches, so that a path or name that is joined to a random string doesn't hide it.
+
+Null text is empty text: no spans; an empty table gives an empty result. Ties: of stretches with the same gain the first one is
+taken. Each input row gives one row, repeated rows too. Very long texts are scanned whole, in memory proportional to their
+length. Only id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -33,7 +35,11 @@ SEPARATORS = "=-_/+"
 PART = re.compile(r"[A-Za-z0-9]+")
 #: Words and numbers from this length on end a stretch; shorter ones may be chance within a random string.
 WORD_LEAST = 4
+#: Characters beside separators and numbers that a run needs to be tested as a whole.
+CONTENT_LEAST = 12
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+STAMP = re.compile(r"(?<![0-9])(?:19|20)[0-9]{2}([-_/]?)[0-9]{2}\1[0-9]{2}(?:[T_-]?[0-9]{2}([-_]?)[0-9]{2}(?:\2[0-9]{2})?Z?)?(?![0-9])")
+EXCLUDED = re.compile(f"{UUID.pattern}|{STAMP.pattern}")
 #: Hexadecimal lengths of the usual digests: CRC-32 to SHA-512.
 DIGEST_LENGTHS = frozenset((8, 16, 32, 40, 48, 56, 64, 96, 128))
 ONLY_HEX = re.compile(r"[0-9a-fA-F]+")
@@ -70,28 +76,23 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def identifier(run: str) -> bool:
-    """Whether a run is a known digest or identifier and no secret by itself."""
-    if ONLY_HEX.fullmatch(run) and len(run) in DIGEST_LENGTHS or UUID.fullmatch(run):
-        return True
-    letters = sum(c.isalpha() for c in run)
-    digits = sum(c.isdigit() for c in run)
-    # words, snake and kebab case, paths, numbers and dates: one class of characters beside the separators
-    return not letters or not digits and (run.islower() or run.isupper() or "/" in run or "_" in run)
+    """Whether a run is a known digest, a UUID, or has no letter."""
+    return bool(ONLY_HEX.fullmatch(run) and len(run) in DIGEST_LENGTHS or UUID.fullmatch(run)) or not any(map(str.isalpha, run))
 
 
-def densest(run: str, lengths: list[int], most: float) -> list[tuple[int, int]]:
+def densest(run: str, lengths: list[int], most: float, known_part: Callable[[str], bool] = identifier) -> list[tuple[int, int]]:
     """The stretches of LEAST characters or more with fewer than most characters a token, the best one first cut out and
     then what is left and right of it. Words, numbers and digests between separators end a stretch; the short ones
     among them, and separators, count for nothing."""
     gain = [0.0] * len(run)  # of the token that ends here
     wall = [-1] * (len(run) + 1)  # the last character before here that no stretch may have
     for m in PART.finditer(run):
-        if identifier(m.group()):
+        if known_part(m.group()):
             for i in range(m.start(), m.end()):
                 wall[i + 1] = i if m.end() - m.start() >= WORD_LEAST else -1
     known = [False] * len(run)
     for m in PART.finditer(run):
-        if identifier(m.group()):
+        if known_part(m.group()):
             known[m.start() : m.end()] = [True] * (m.end() - m.start())
     ends, at = [0], 0
     for n in lengths:
@@ -127,8 +128,16 @@ def densest(run: str, lengths: list[int], most: float) -> list[tuple[int, int]]:
 def random_spans(text: str, lengths: Callable[[str], list[int]], most: float = CHARS_PER_TOKEN) -> list[tuple[str, int, int]]:
     out = []
 
+    def ratio(parts: list[str]) -> float:
+        return sum(map(len, parts)) / max(1, sum(len(lengths(p)) for p in parts))
+
+    def known_part(part: str) -> bool:
+        """A digest, a number, or a word in small or capital letters, perhaps with a capital in front."""
+        return identifier(part) or part.isalpha() and part[1:] in (part[1:].lower(), part[1:].upper()) and ratio([part]) >= most
+
     def is_random(run: str) -> bool:
-        return len(run) >= LEAST and not identifier(run) and len(run) / len(lengths(run)) < most
+        content = [m.group() for m in PART.finditer(run) if not m.group().isdigit()]
+        return len(run) >= LEAST and not identifier(run) and sum(map(len, content)) >= CONTENT_LEAST and ratio(content) < most
 
     def test(start: int, stop: int) -> None:
         run = text[start:stop]
@@ -141,12 +150,12 @@ def random_spans(text: str, lengths: Callable[[str], list[int]], most: float = C
         for a, b in [*parts, (stop, stop)]:
             rest = text[at:a]
             if len(rest) >= LEAST and not identifier(rest.strip(SEPARATORS)):
-                out.extend(("random", at + x, at + y) for x, y in densest(rest, lengths(rest), most))
+                out.extend(("random", at + x, at + y) for x, y in densest(rest, lengths(rest), most, known_part))
             at = b
 
     for m in CANDIDATE.finditer(text):
         at = m.start()
-        for u in UUID.finditer(text, m.start(), m.end()):
+        for u in EXCLUDED.finditer(text, m.start(), m.end()):
             if u.start() - at >= LEAST:
                 test(at, u.start())
             at = u.end()
