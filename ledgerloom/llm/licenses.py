@@ -2,11 +2,14 @@
 
 Each notice, a line of words, may be found with a bounded number of errors k. It is split into k + 1 pieces: a place
 with at most k errors holds one piece without error (pigeonhole), so an exact search for all pieces gives every
-candidate. Around each candidate the regex library matches the notice with at most k errors and gives its span.
+candidate. Around each candidate the regex library matches the notice with at most k errors and gives its span, which begins and
+ends between words.
 
 Exact phrases (PHRASES) are counted beside: their labels always stay.
 
-Null text is empty text: no words. Each input row gives one row, repeated rows too.
+Null text is empty text: no words; an empty table gives an empty result. Of places of one label that overlap the one with the
+fewest errors for its length stays, then the longer, then the first. Each input row gives one row, repeated rows too. Very long texts
+are scanned whole, in memory proportional to their length. Only id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -72,7 +75,7 @@ class NoticeSearch:
         seeds = defaultdict(list)
         for t, (notice, label) in enumerate(notices):
             k = max(1, len(notice) // chars_per_error)
-            self.notices.append((notice, label, k, regex.compile(f"(?b)(?:{regex.escape(notice, special_only=True, literal_spaces=True)}){{e<={k}}}")))
+            self.notices.append((notice, label, k, regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(notice, special_only=True, literal_spaces=True)}){{e<={k}}}(?![^ ])")))
             for offset, piece in pieces(notice, k):
                 seeds[piece].append((t, offset))
         self.longest = max(len(notice) + k for notice, _, k, _ in self.notices)
@@ -85,19 +88,21 @@ class NoticeSearch:
         """(start, stop, errors, label, score) of notices in words joined by blanks. Places of one label don't overlap:
         fewest errors for their length first. A place with errors falls to another label's that has fewer at the place.
 
-        Each candidate has a window of its own, which is wider than the notice by its errors only, so a better match
-        nearby hides no other one."""
+        Each candidate has a window of its own, which is wider than the notice by its errors and the blank after it only, so a
+        better match nearby hides no other one."""
         windows = defaultdict(set)
         for last, (n, uses) in self.seeds.iter(text):
             for t, offset in uses:
                 k, size = self.notices[t][2], len(self.notices[t][0])
                 a = last + 1 - n - offset
-                windows[t].add((max(0, a - k), min(len(text), a + size + k)))
+                windows[t].add((max(0, a - k), min(len(text), a + size + k + 1)))
         found = set()
         for t, own in windows.items():
             notice, label, _, pattern = self.notices[t]
             for a, b in own:
                 for m in pattern.finditer(text, a, b):
+                    if text[m.end() : m.end() + 1] not in ("", " "):
+                        continue  # the window ends within a word
                     errors = sum(m.fuzzy_counts)
                     found.add((m.start(), m.end(), errors, label, 1 - errors / len(notice)))
         kept: list = []

@@ -21,7 +21,7 @@ def test_base_is_brute_force(make):
     for i, text in docs:
         x = got[i]
         assert (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) == naive(text)
-        assert set(x.base_labels.split(",")) <= set(x.labels.split(",")) and (x.score == 1.0) == (x.n_base > 0 or x.score == 1.0)
+        assert set(x.base_labels.split(",")) <= set(x.labels.split(",")) and (x.n_base == 0 or x.score == 1.0) and 0 <= x.score <= 1
 
 
 def test_errors_are_found_and_bounded(make):
@@ -44,7 +44,10 @@ def test_every_notice_within_its_errors_is_found():
             for _ in range(k):
                 i = r.randrange(len(t))
                 t[i : i + 1] = r.choice(([], ["q"], [t[i], "q"]))
-            assert label in {x[3] for x in search.search(" zz " + "".join(t) + " zz ")} or search.search("".join(t))
+            text = "".join(t)
+            found = search.search(f" zz {text} zz ")
+            # the notice itself, or one of another label that fits the same place with fewer errors
+            assert any(x[3] == label or x[2] < k and x[0] < 4 + len(text) and x[1] > 4 for x in found), text
 
 
 def test_overlapping_notices_of_other_labels_stay():
@@ -71,3 +74,45 @@ def test_odd_rows(odd, none):
     got = licenses.scan_licenses(odd).collect()
     assert len(got) == 13 and all(x.labels == "" and x.score == 0.0 and x.first_word is None for x in got)
     assert licenses.scan_licenses(none).count() == 0
+
+
+def test_notices_begin_and_end_between_words():
+    search = licenses.NoticeSearch()
+    for text in ("small rights reserved", "all rights reservedly", "overall rights reserved", "the unlicensed under the mit licenses"):
+        assert [x for x in search.search(f" {text} ") if x[2] == 0] == [], text
+    assert [x[:4] for x in search.search(" so all rights reserved here ")] == [(4, 23, 0, "proprietary")]
+    assert [x[3] for x in search.search("all rights reserved")] == ["proprietary"]
+    assert search.search(" small rights reserved ") == []
+
+
+def test_spans_are_what_brute_force_finds(make):
+    """Every window of words within a notice's errors has a span of the notice's label, or of a better one, over it; every
+    span is within its notice's errors."""
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    r = random.Random(6)
+    notices = [(n, label) for n, label in licenses.NOTICES if len(n) < 40]
+    rows = []
+    for i in range(40):
+        n = list(r.choice(notices)[0])
+        for _ in range(r.randrange(3)):
+            n[r.randrange(len(n))] = r.choice("qxz")
+        rows.append((i, f"so {''.join(n)} and small rights reserved by w{i}"))
+    for x in licenses.scan_licenses(make(rows)).collect():
+        words = [w.decode() for w in words_of(rows[x.doc_id][1])]
+        spans = [(y.split(":")[0], *map(int, y.split(":")[1:])) for y in x.notices.split(",") if y]
+        for label, a, b, errors in spans:
+            assert min(distance(" ".join(words[a : b + 1]), n) for n, own in licenses.NOTICES if own == label) == errors
+        for n, label in notices:
+            k = max(1, len(n) // licenses.CHARS_PER_ERROR)
+            m = len(n.split())
+            for a in range(len(words)):
+                for b in range(a + max(1, m - 1), min(len(words), a + m + 1) + 1):
+                    if distance(" ".join(words[a:b]), n) <= k:
+                        assert any(p < b and q >= a for _, p, q, _ in spans), (n, words[a:b])
