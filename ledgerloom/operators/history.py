@@ -16,8 +16,12 @@ def first_trades(trades: DataFrame) -> DataFrame:
 def grid(trades: DataFrame, prices: DataFrame, now: str) -> DataFrame:
     """user_id, ts: the price instants, from a user's first trade on, of tickers that the user ever traded; the single
     instant `now` for users without any. prices: (ticker, ts, close)."""
+    # a ticker's instants of a day are one array, and tickers with the same ones count once
+    days = prices.groupBy("ticker", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_set("ts")).alias("instants"))
     pairs = trades.select("user_id", "ticker").distinct().join(first_trades(trades), "user_id")
-    found = pairs.join(prices.select("ticker", "ts"), "ticker").where("ts >= start").select("user_id", "ts").distinct()
+    found = pairs.join(days, "ticker").where(F.col("day") >= F.to_date("start"))
+    found = found.groupBy("user_id", "start", "day").agg(F.array_distinct(F.flatten(F.collect_set("instants"))).alias("instants"))
+    found = found.select("user_id", "start", F.explode("instants").alias("ts")).where("ts >= start").select("user_id", "ts")
     alone = trades.select("user_id").distinct().join(found.select("user_id").distinct(), "user_id", "left_anti")
     return found.unionByName(alone.select("user_id", F.lit(now).cast("timestamp_ntz").alias("ts")))
 
@@ -30,18 +34,27 @@ def running_cash(trades: DataFrame, start: float) -> DataFrame:
     return trades.select("id", "user_id", "ts", (F.lit(round(start * 100)) + moved).alias("cash_c"))
 
 
+def held_at(trades: DataFrame, instants: DataFrame) -> DataFrame:
+    """user_id, ticker, ts, qty, avg: what users hold at their instants (user_id, ts). States of open positions are spans of
+    time, cut by days and joined to the instants of the user's day; nothing is made for what isn't held."""
+    by = Window.partitionBy("user_id", "ticker").orderBy("ts", "id")
+    spans = position_states(trades).withColumn("until", F.lead("ts").over(by)).where("qty > 0 AND (until IS NULL OR until > ts)")
+    spans = spans.join(instants.groupBy("user_id").agg(F.max("ts").alias("last")), "user_id").where("ts <= last")
+    to = F.to_date(F.least(F.coalesce("until", "last"), "last"))
+    spans = spans.select("user_id", "ticker", F.col("ts").alias("since"), "until", "qty", "avg", F.explode(F.sequence(F.to_date("ts"), to)).alias("day"))
+    inside = (F.col("ts") >= F.col("since")) & (F.col("until").isNull() | (F.col("ts") < F.col("until")))
+    return instants.withColumn("day", F.to_date("ts")).join(spans, ["user_id", "day"]).where(inside).select("user_id", "ticker", "ts", "qty", "avg")
+
+
 def history(trades: DataFrame, prices: DataFrame, start: float, now: str) -> DataFrame:
     """user_id, ts, n_open, value: cash and open positions at the last price at or before each grid instant (average
     cost before the first price); only instants after the user last held nothing."""
     instants = grid(trades, prices, now)
-    pairs = trades.select("user_id", "ticker").distinct()
-    wanted = pairs.join(instants, "user_id").select("user_id", "ticker", "ts")
-    states = position_states(trades)
-    held = as_of(wanted, states, ["user_id", "ticker"], "ts", ["qty", "avg"], "id").where("asof_qty > 0")
-    # a ticker's prices are filled once for each instant, then joined to all its holders
-    filled = as_of(held.select("ticker", "ts").distinct(), prices.select("ticker", "ts", "close", F.lit(0).alias("o")), ["ticker"], "ts", ["close"], "o")
+    held = held_at(trades, instants)
+    # a ticker's prices are filled once for each instant of anyone's, then joined to all its holders
+    filled = as_of(held.select("ticker", "ts").distinct(), prices.select("ticker", "ts", "close", F.lit(0).alias("o")), ["ticker"], "ts", ["close"], "o", bucket="1 day")
     priced = held.join(filled, ["ticker", "ts"])
-    cents = F.floor(F.col("asof_qty") * F.coalesce("asof_close", "asof_avg") * 100 + 0.5)
+    cents = F.floor(F.col("qty") * F.coalesce("asof_close", "avg") * 100 + 0.5)
     stock = priced.groupBy("user_id", "ts").agg(F.count("*").alias("n_open"), F.sum(cents).alias("stock_c"))
     cash = as_of(instants, running_cash(trades, start), ["user_id"], "ts", ["cash_c"], "id")
     total = cash.join(stock, ["user_id", "ts"], "left").select("user_id", "ts", F.coalesce("n_open", F.lit(0)).alias("n_open"), (F.col("asof_cash_c") + F.coalesce("stock_c", F.lit(0))).alias("value_c"))
