@@ -81,7 +81,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -143,9 +143,14 @@ def broadcast_object(spark: SparkSession, value: object):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where none is set, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; with a local master, as in tests, a temporary one where none
+    is set."""
     sc = spark.sparkContext
-    return sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="shared-")
+    if found := sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
+        return found
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="shared-")
 
 
 def stage_written(df: DataFrame, name: str) -> DataFrame:

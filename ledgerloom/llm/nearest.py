@@ -3,7 +3,8 @@
 Vectors are dealt to lists around k-means centres (Euclidean, after one more coordinate has made all norms alike, so that
 the largest inner product is the nearest vector). A query probes the lists of its nearest centres. Within a list, vectors
 are rotated by a fixed random orthogonal matrix and scanned in blocks of columns: after each block, a hypothesis test on
-the partial distance abandons candidates that are too far with high confidence; the others go on. What is left is
+the partial distance abandons candidates that are too far with high confidence (the share of a distance that some rotated
+columns hold follows a Beta distribution); the others go on. What is left is
 measured exactly, on the original vectors in double precision.
 
 A query's threshold is its k-th best inner product with a bounded sample's vectors in the lists it probes: a bound for
@@ -15,7 +16,11 @@ large, meets in one task. The rows of a unit (list, segment, block) are bounded;
 
 Vectors that are null, zero, hold null or non-finite components, have no id, or differ in length from most vectors take
 no part. Of query rows that share an id one counts (the smallest vector); rows with the query's id are no candidates for
-it. Other repeated rows are candidates each. Ties go to the smaller id.
+it. Other repeated rows are candidates each. Ties go to the smaller id. An empty table, or one without a query, gives an empty
+result. Only id and vector are read, so other columns may have any name.
+
+How many lists hold a query's neighbours is up to the data: where vectors hardly cluster, most lists are probed to reach RECALL, and
+work for each query grows with the table.
 """
 
 from __future__ import annotations
@@ -37,8 +42,10 @@ FIRST = 4096
 SEGMENT, QUERY_BLOCK = 512, 512
 RECALL = 0.97
 BLOCK = 16
-#: How many standard errors a partial distance may be over the threshold.
-EPSILON = 2.1
+#: How many standard deviations a partial distance may be over the threshold.
+EPSILON = 2.5
+#: Pairs are followed one by one once fewer than one in so many live.
+SPARSE = 50
 SEED = 5
 
 
@@ -130,30 +137,38 @@ class Index:
         return np.partition(ip, ip.shape[1] - self.k - 1, axis=1)[:, ip.shape[1] - self.k - 1] - 1e-9
 
     def scan(self, q: np.ndarray, tau: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions (query, candidate) that the tests leave."""
+        """Positions (query, candidate) that the tests leave. While many pairs live, a block of columns is one matrix product
+        over all of them, less the candidates that are dead for every query; then it is a product for each pair."""
         qr, xr = q @ self.rotation, x @ self.rotation
         limit = (q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * tau[:, None]  # of the squared distance
-        a = b = part = None
-        for d in range(BLOCK, self.dim + BLOCK, BLOCK):
-            d0, d1 = d - BLOCK, min(d, self.dim)
+        part, alive, own = np.zeros_like(limit), np.ones(limit.shape, bool), np.arange(len(x))
+        a = b = None
+        for d0 in range(0, self.dim, BLOCK):
+            d1 = min(d0 + BLOCK, self.dim)
+            share = most_share(d1, self.dim)
             if a is None:
-                part = np.maximum(squared(qr[:, d0:d1], xr[:, d0:d1]), 0)
-                bound = limit
+                part += np.maximum(squared(qr[:, d0:d1], xr[:, d0:d1]), 0)
+                alive &= part <= limit * share * (1 + 1e-9) + 1e-9
+                kept = alive.any(axis=0)
+                if 2 * kept.sum() < len(kept):
+                    part, limit, alive, xr, own = part[:, kept], limit[:, kept], alive[:, kept], xr[kept], own[kept]
+                if d1 < self.dim and alive.sum() * SPARSE < alive.size:
+                    a, b = np.nonzero(alive)
+                    part, limit = part[a, b], limit[a, b]
             else:
                 part = part + ((qr[a, d0:d1] - xr[b, d0:d1]) ** 2).sum(1)
-                bound = limit[a, b]
-            if d1 == self.dim:
-                keep = part <= bound * (1 + 1e-9) + 1e-9
-            else:
-                keep = part * (self.dim / d1) <= bound * (1 + EPSILON / d1**0.5) ** 2
-            if a is None:
-                a, b = np.nonzero(keep)
-                part = part[a, b]
-            else:
-                a, b, part = a[keep], b[keep], part[keep]
-            if d1 == self.dim:
-                break
-        return a, b
+                keep = part <= limit * share * (1 + 1e-9) + 1e-9
+                a, b, part, limit = a[keep], b[keep], part[keep], limit[keep]
+        if a is None:
+            a, b = np.nonzero(alive)
+        return a, own[b]
+
+
+def most_share(d: int, dim: int) -> float:
+    """The share of a squared distance that d of dim randomly rotated columns hold at most: mean and deviation of the
+    Beta(d / 2, (dim - d) / 2) distribution, EPSILON deviations up."""
+    f = d / dim
+    return min(1.0, f + EPSILON * (2 * f * (1 - f) / (dim + 2)) ** 0.5)
 
 
 def fitted(found: DataFrame, total: int, dim: int, k: int) -> Index:
@@ -205,7 +220,6 @@ def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
         return run
 
     dealt = checkpointed(found.select("id", "v").mapInArrow(listed, "id bigint, v binary, list int"))
-    queries = found.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v"))
     # lists are cut by their sizes: as many numbers as there are lists come to the driver
     sizes = {r["list"]: r["count"] for r in dealt.groupBy("list").count().collect()}
 

@@ -10,7 +10,9 @@ numbers for each model. The k-th largest key is found by narrowing histograms ov
 task.
 
 Null or empty texts have no n-grams: weight 0, and they are never selected. Ties in the key go to the smaller id, and
-repeated rows, which tie in everything, are selected together or not (so a sample may hold a few rows more than k).
+repeated rows, which tie in everything, are selected together or not (so a sample may hold a few rows more than k). An empty
+table gives an empty result; without target texts all ratios are those of the smoothing. Texts of any length are read whole, in
+memory proportional to their words. Only id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -70,3 +70,31 @@ def test_abandoning_keeps_what_is_near():
     want = np.argwhere(q @ x.T >= tau[:, None])
     found = set(zip(a.tolist(), b.tolist(), strict=True))
     assert sum(tuple(w) in found for w in want.tolist()) / len(want) > 0.97 and len(a) < 0.2 * 50 * 2000
+
+
+def test_recall_on_the_given_vectors(spark):
+    import os
+
+    path = "/root/testdata/sf0.01/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data here")
+    rows = spark.read.parquet(path)
+    got = nn.nearest(rows, lambda i: i % nn.QUERY_EVERY == 0).collect()
+    found = [(r.vec_id, np.array(r.embedding, float)) for r in rows.collect()]
+    ids, x = np.array([i for i, _ in found]), np.stack([v for _, v in found])
+    hit = total = 0
+    for i in ids[ids % nn.QUERY_EVERY == 0]:
+        ip = x @ x[ids == i][0]
+        best = [int(j) for j in ids[np.lexsort((ids, -ip))] if j != i][: nn.K]
+        hit += len(set(best) & {r.vec_id for r in got if r.query_id == i})
+        total += len(best)
+    assert hit >= 0.95 * total
+
+
+def test_shares_of_distances_are_bounded_as_the_test_says():
+    r = np.random.default_rng(3)
+    v = r.normal(size=(20_000, 64))
+    for d in (16, 32, 48):
+        share = (v[:, :d] ** 2).sum(1) / (v**2).sum(1)
+        assert (share > nn.most_share(d, 64)).mean() < 0.015
+    assert nn.most_share(64, 64) == 1.0
