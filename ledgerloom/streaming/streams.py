@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder under the one that the cluster names in spark.checkpoint.dir; with a local master, a temporary one where
     none is set."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
+    if not root and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     root = root or tempfile.mkdtemp(prefix="streams-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
