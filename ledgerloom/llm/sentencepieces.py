@@ -32,14 +32,14 @@ from .common import broadcast_object, long_text, table
 DEFAULT_MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 #: Rows and characters that are encoded together, about.
-BATCH_ROWS, BATCH_CHARS = 1024, 2_000_000
-#: Different words whose pieces a task remembers, about.
-REMEMBERED = 150_000
+BATCH_ROWS, BATCH_CHARS = 1024, 4_000_000
+#: Different words and stretches whose pieces a task remembers, about.
+REMEMBERED = 150_000, 250_000
 #: Characters that one suffix array indexes, about; bounds the memory for its windows and edges.
 INDEXED_CHARS = 200_000
 #: Stretches of so many characters are relaxed together, longer ones one by one.
 SHORT = 64
-TABLE = 0x250
+TABLE, FILTER_BITS = 0x250, 21
 
 
 def model_path(name: str = DEFAULT_MODEL) -> str:
@@ -60,6 +60,11 @@ def merges(symbols: list[str], rank: dict[str, int]) -> tuple[list[str], tuple[s
         symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
 
 
+def filter_place(keys: np.ndarray) -> np.ndarray:
+    """The place of each pair in a table that tells most pairs that make no piece from the others."""
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
 class Vocabulary:
     """What encoding needs of a model, as plain arrays; made once on the driver."""
 
@@ -105,7 +110,9 @@ class Vocabulary:
                     pairs[label[p[:c]] << 20 | label[p[c:]]] = label[p]
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_made = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
-        kept = [p for p, k in label.items() if keep[k]]
+        self.pair_filter = np.zeros(1 << FILTER_BITS, bool)
+        self.pair_filter[filter_place(self.pair_keys)] = True
+        kept = sorted(p for p, k in label.items() if keep[k])  # searches in order touch neighbouring memory
         self.depth = max(map(len, kept), default=1)
         self.piece_labels = np.array([label[p] for p in kept], np.int64)
         self.length_of = np.zeros(m, np.int64)
@@ -143,8 +150,10 @@ class Vocabulary:
         a, b, limit = a.copy(), b.copy(), np.full(len(a), 1 << 40)
         while len(live):
             k = a << 20 | b
-            at = np.minimum(np.searchsorted(self.pair_keys, k), len(self.pair_keys) - 1)
-            crossed = (self.pair_keys[at] == k) & (self.pair_made[at] < limit)
+            crossed = self.pair_filter[filter_place(k)]
+            ask = np.flatnonzero(crossed)
+            at = np.minimum(np.searchsorted(self.pair_keys, k[ask]), len(self.pair_keys) - 1)
+            crossed[ask] = (self.pair_keys[at] == k[ask]) & (self.pair_made[at] < limit[ask])
             out[live[crossed]] = False
             a_next, b_next = self.right[a], self.left[b]
             a_can, b_can = a_next != a, b_next != b
@@ -362,8 +371,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Piece ids of each text."""
-        if len(self.words.number) > REMEMBERED:
-            self.forget()
+        if len(self.words.number) > REMEMBERED[0]:
+            self.words = Remembered()
+        if len(self.stretches.number) > REMEMBERED[1]:
+            self.stretches = Remembered()
         # no piece but those of blanks alone holds a blank after its first character, so words are independent
         cut = [t.replace(BLANK, " ").split(" ") if t else [] for t in texts]
         if new := list(dict.fromkeys(w for words in cut for w in words if w not in self.words.number)):
