@@ -60,6 +60,7 @@ PARTS = re.compile(r"[_-]+")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+NAMING = re.compile("class|id|role|hidden", re.I)
 BLANKS = re.compile(r"\s+")
 DIGITS = re.compile(r"[0-9]+")
 HOST = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:(?=//))?(?://)?(?:[^/?#@]*@)?([^/?#:@\s]+)"
@@ -88,6 +89,7 @@ class Node:
         return "".join(f"/{x}" for x in reversed(steps))
 
 
+@lru_cache(8192)  # pages of a host share their paths
 def key_of(key: str, step: str) -> str:
     return hashlib.blake2b(f"{key}/{step}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest() if step else key
 
@@ -230,7 +232,7 @@ def parse(page: str, by_names: bool = True) -> Node:
         if tag == "br" or tag == "wbr" or tag in VOID and tag != "hr":
             top.pieces.append(" " if tag != "wbr" else "")
             continue
-        names = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m.group(3))} if m.group(3) else {}
+        names = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m.group(3))} if m.group(3) and NAMING.search(m.group(3)) else {}
         label = f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}".strip()
         words = words_named(label) if label and tag not in ("html", "body") else ()
         named, spoken = max((n for n, _ in words), default=0), any(w in SPOKEN for _, w in words)
