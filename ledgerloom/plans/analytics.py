@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars
 from ledgerloom.operators import analytics, market, positions
-from ledgerloom.plans.monitor import sentiment_scores
+from ledgerloom.plans import portfolio
+from ledgerloom.plans.monitor import SQL as MONITOR_SQL
+from ledgerloom.plans.monitor import quiet_portfolios, sentiment_scores
 from ledgerloom.sources import tables as src
 
 
@@ -84,7 +88,30 @@ def rag_top5(spark: SparkSession, d: str) -> DataFrame:
     return analytics.top_cosine(rows.where("vec_id <> 3").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), query, 5)
 
 
-QUERIES = {f.__name__: f for f in (high_low_52w, rolling_sharpe, var_daily, sentiment_decayed, sentiment_delta_2h, signal_outcome, signal_accuracy, eod_digest, rag_top5)}
+# Alerts beyond the monitor's checks, and their priorities.
+MORE_ALERTS = {"SENTIMENT_SURGE": "MEDIUM", "CONCENTRATION_RISK": "LOW", "SECTOR_OVERWEIGHT": "LOW", "HIGH_52W": "INFO", "LOW_52W": "INFO", "PORTFOLIO_FLAT": "INFO"}
+
+
+def more_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """alert_type, user_id (null: all), subject, priority: a score up by over 0.4 in two hours, a stock over 30 % or a sector over
+    40 % of a user's holdings, a series at its 52-week high or low on its last day, a user without alerts for a week."""
+    made = lambda rows, kind, user, subject: rows.select(F.lit(kind).alias("alert_type"), user.cast("bigint").alias("user_id"), subject.alias("subject"), F.lit(MORE_ALERTS[kind]).alias("priority"))
+    all_users, user = F.lit(None), F.col("user_id")
+    series = high_low_52w(spark, d)
+    last = series.groupBy("key").agg(F.max_by(F.struct("value", "high_52w", "low_52w"), "d").alias("l")).select("key", "l.*")
+    surges = sentiment_delta_2h(spark, d).where("surge").select("id")
+    parts = [
+        made(surges, "SENTIMENT_SURGE", all_users, F.col("id").cast("string")),
+        made(portfolio.concentration(spark, d).where("over_cap"), "CONCENTRATION_RISK", user, F.col("ticker")),
+        made(portfolio.sector_weight(spark, d).where("overweight"), "SECTOR_OVERWEIGHT", user, F.col("sector")),
+        made(last.where("value = high_52w"), "HIGH_52W", all_users, F.col("key")),
+        made(last.where("value = low_52w"), "LOW_52W", all_users, F.col("key")),
+        made(quiet_portfolios(spark, d), "PORTFOLIO_FLAT", F.col("id"), F.lit(None).cast("string")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+QUERIES = {f.__name__: f for f in (more_alerts, high_low_52w, rolling_sharpe, var_daily, sentiment_decayed, sentiment_delta_2h, signal_outcome, signal_accuracy, eod_digest, rag_top5)}
 
 _DAILY = "SELECT ticker, time_bucket(INTERVAL '1 day', ts) AS bar_ts, arg_max(price, (ts, event_id)) AS close FROM v_ticks GROUP BY 1, 2"
 _RETURNS = f"SELECT ticker, bar_ts, close / before - 1 AS ret FROM (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY bar_ts) AS before FROM ({_DAILY})) WHERE before > 0"
@@ -102,3 +129,16 @@ SQL = {
     "eod_digest": f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY bar_ts DESC) AS n FROM ({_DAILY})), l AS (SELECT ticker, max(CASE WHEN n = 1 THEN close END) AS now_, max(CASE WHEN n = 2 THEN close END) AS before_ FROM k GROUP BY ticker) SELECT user_id, count(*) AS n, CAST(sum(CAST(floor(quantity * (now_ - before_) * 100 + 0.5) AS BIGINT)) AS BIGINT) AS day_pnl_c, CAST(sum(CAST(floor(quantity * now_ * 100 + 0.5) AS BIGINT)) AS BIGINT) AS value_c FROM v_open JOIN l USING (ticker) GROUP BY user_id",
     "rag_top5": "WITH q AS (SELECT [CAST(x AS DOUBLE) for x in embedding] AS q FROM embeddings WHERE vec_id = 3), r AS (SELECT vec_id AS id, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings WHERE vec_id <> 3) SELECT id, floor(list_inner_product(v, q) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q))) * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS cosine FROM r, q ORDER BY cosine DESC, id LIMIT 5",
 }
+
+_LAST = f"(SELECT key, arg_max(value, d) AS value, arg_max(high_52w, d) AS high_52w, arg_max(low_52w, d) AS low_52w FROM ({SQL['high_low_52w']}) GROUP BY key)"
+SQL["more_alerts"] = " UNION ALL ".join(
+    f"SELECT '{kind}' AS alert_type, CAST({user} AS BIGINT) AS user_id, CAST({subject} AS VARCHAR) AS subject, '{MORE_ALERTS[kind]}' AS priority FROM {rows}"
+    for kind, user, subject, rows in (
+        ("SENTIMENT_SURGE", "NULL", "id", f"({SQL['sentiment_delta_2h']}) WHERE surge"),
+        ("CONCENTRATION_RISK", "user_id", "ticker", f"({portfolio.SQL['concentration']}) WHERE over_cap"),
+        ("SECTOR_OVERWEIGHT", "user_id", "sector", f"({portfolio.SQL['sector_weight']}) WHERE overweight"),
+        ("HIGH_52W", "NULL", "key", f"{_LAST} WHERE value = high_52w"),
+        ("LOW_52W", "NULL", "key", f"{_LAST} WHERE value = low_52w"),
+        ("PORTFOLIO_FLAT", "id", "NULL", f"({MONITOR_SQL['quiet_portfolios']})"),
+    )
+)

@@ -47,3 +47,24 @@ def test_every_user_gets_messages(spark, small):
 def test_average_cost_collects_no_array(spark, small):
     plan = positions.average_cost(monitor.src.trades(spark, small))._jdf.queryExecution().toString().lower()
     assert "collect_list" not in plan and "max_by" in plan
+
+
+def test_more_alerts_have_their_kinds(spark, small):
+    from ledgerloom.plans import analytics
+
+    rows = analytics.more_alerts(spark, small).collect()
+    kinds = {r.alert_type for r in rows}
+    assert {"CONCENTRATION_RISK", "SECTOR_OVERWEIGHT", "PORTFOLIO_FLAT"} <= kinds <= set(analytics.MORE_ALERTS)
+    assert all(r.priority == analytics.MORE_ALERTS[r.alert_type] for r in rows)
+
+
+def test_prices_expire_without_ticks(spark, tmp_path):
+    """A's last tick is two hours before B's: its price has expired, B's lives."""
+    from ledgerloom.streaming import streams
+
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, at, "A", 1.0), (2, at + dt.timedelta(minutes=1), "A", 2.0), (3, at + dt.timedelta(hours=3), "B", 5.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, ticker string, price double").coalesce(1).write.parquet(f"{tmp_path}/in")
+    ticks = spark.readStream.schema("event_id long, ts timestamp, ticker string, price double").parquet(f"{tmp_path}/in")
+    got = sorted((r.ticker, r.price, r.live) for r in streams.run_append(streams.expiring_prices(ticks)).collect())
+    assert got == [("A", 2.0, False), ("A", 2.0, True), ("B", 5.0, True)]
