@@ -265,3 +265,17 @@ def test_pushed_filters_and_pruned_columns(spark, small):
     plan = tables.trades(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(event_type" in plan
     assert "props" in plan and "n_chars" not in plan
+
+
+def test_buckets_of_time_change_nothing(spark):
+    """As-of values and running sums, cut into hours, with hours that have rows of one side only or none."""
+    r = random.Random(4)
+    made = lambda n, hours: [(r.choice("AB"), minutes(60 * r.choice(hours) + r.randrange(60)), i, float(i)) for i in range(n)]
+    schema = "k string, ts timestamp_ntz, id long, v double"
+    right = spark.createDataFrame(made(40, (1, 2, 7, 30)), schema)
+    left = spark.createDataFrame(made(60, (0, 2, 3, 8, 20, 31, 50)), schema).withColumnRenamed("v", "w")
+    whole, cut = (sorted(map(tuple, market.as_of(left, right, ["k"], "ts", ["v"], "id", bucket=b).collect()), key=str) for b in (None, "1 hour"))
+    assert whole == cut and len(cut) == 60 and any(x[-1] is None for x in cut) and any(x[-1] is not None for x in cut)
+    got = {x.id: x.running for x in market.running_sum(right, ["k"], "ts", "id", F.col("v"), "1 hour").collect()}
+    rows = right.collect()
+    assert got == {x.id: sum(y.v for y in rows if y.k == x.k and (y.ts, y.id) <= (x.ts, x.id)) for x in rows}
