@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.market import with_span_before
+
 DAY = 86400
 
 # Half-life of a score in hours, weights of sources by rank, fewest articles of a confident score.
@@ -17,8 +19,19 @@ def epoch(ts: Column) -> Column:
 
 def range_extremes(series: DataFrame, days: int = 364) -> DataFrame:
     """key, d, high_52w, low_52w: extremes of value over the days before, this one included. series: (key, d, value)."""
-    by = Window.partitionBy("key").orderBy(epoch(F.col("d"))).rangeBetween(-days * DAY, 0)
-    return series.select("key", "d", "value", F.max("value").over(by).alias("high_52w"), F.min("value").over(by).alias("low_52w"))
+    rows = with_span_before(series.select("key", "d", "value"), "d", f"{days} DAYS", f"{days} days")
+    by = Window.partitionBy("key", "__bucket").orderBy(epoch(F.col("d"))).rangeBetween(-days * DAY, 0)
+    rows = rows.withColumn("high_52w", F.max("value").over(by)).withColumn("low_52w", F.min("value").over(by))
+    return rows.where("NOT __carried").select("key", "d", "value", "high_52w", "low_52w")
+
+
+def recent_change(scores: DataFrame, hours: int = 2) -> DataFrame:
+    """id, fell, rose: each score less the highest and less the lowest of its ticker in the hours before. scores: (id, ticker, ts,
+    score)."""
+    rows = with_span_before(scores.select("id", "ticker", "ts", "score"), "ts", f"{hours} HOURS", "1 day")
+    by = Window.partitionBy("ticker", "__bucket").orderBy(epoch(F.col("ts"))).rangeBetween(-hours * 3600, 0)
+    rows = rows.withColumn("high", F.max("score").over(by)).withColumn("low", F.min("score").over(by)).where("NOT __carried")
+    return rows.select("id", (F.col("score") - F.col("high")).alias("fell"), (F.col("score") - F.col("low")).alias("rose"))
 
 
 def daily_returns(bars: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def tracked_tickers(held: DataFrame) -> DataFrame:
     return flagged.join(F.broadcast(others), F.col("own") == F.col("some")).select("ticker")
 
 
-def latest_k(rows: DataFrame, key: str, k: int, *order: str) -> DataFrame:
+def latest_k(rows: DataFrame, key: str | list[str], k: int, *order: str) -> DataFrame:
     """The k latest rows of each key; Spark prunes within tasks before the shuffle."""
     by = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
     return rows.withColumn("n", F.row_number().over(by)).where(F.col("n") <= k)
@@ -70,6 +70,29 @@ def running_sum(rows: DataFrame, keys: list[str], time: str, order: str, value:
     return out.withColumn("running", F.col("__before") + F.col("__within")).drop("__bucket", "__value", "__before", "__within")
 
 
+def with_rows_before(rows: DataFrame, keys: list[str], time: str, order: str, k: int, bucket: str) -> DataFrame:
+    """rows with __bucket and __carried: each bucket of time also holds the k rows of its keys before it, as carried ones, so that
+    frames of k rows can be computed by bucket. At most k rows of a bucket, and one row for each bucket, meet by key."""
+    rows = rows.withColumn("__bucket", F.window(time, bucket)["start"])
+    row = F.struct(time, order, *[c for c in rows.columns if c not in (time, order, "__bucket", *keys)])
+    last = latest_k(rows, [*keys, "__bucket"], k, time, order).groupBy(*keys, "__bucket").agg(F.sort_array(F.collect_list(row)).alias("__last"))
+    by = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(-k, -1)
+    before = last.select(*keys, "__bucket", F.flatten(F.collect_list("__last").over(by)).alias("__before"))
+    before = before.select(*keys, "__bucket", F.explode(F.slice("__before", F.greatest(F.size("__before") - k + 1, F.lit(1)), k)).alias("__row"))
+    before = before.select(*keys, "__bucket", "__row.*", F.lit(True).alias("__carried"))
+    return rows.withColumn("__carried", F.lit(False)).unionByName(before)
+
+
+def with_span_before(rows: DataFrame, time: str, span: str, bucket: str) -> DataFrame:
+    """rows with __bucket and __carried: each bucket of time also holds the rows of the span before it, as carried ones, so that
+    frames of that span can be computed by bucket. A bucket is at least as long as the span."""
+    own = F.window(time, bucket)["start"]
+    reached = rows.withColumn("__own", own).withColumn("__until", F.col(time) + F.expr(f"INTERVAL {span}"))
+    reached = reached.withColumn("__next", F.window("__until", bucket)["start"])
+    copies = reached.withColumn("__bucket", F.explode(F.array_distinct(F.array("__own", "__next"))))
+    return copies.withColumn("__carried", F.col("__bucket") != F.col("__own")).drop("__own", "__until", "__next")
+
+
 def carried_in(left: DataFrame, right: DataFrame, keys: list[str], time: str, bucket: str) -> DataFrame:
     """(keys, time, __value) with the latest __value of right before each bucket of time that left has rows in; time is the
     bucket's start. One row for each bucket meets in a window, however many rows the bucket has."""

@@ -6,21 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import half_up
-from ledgerloom.operators.market import latest_k
+from ledgerloom.operators.market import latest_k, with_rows_before
 
 # Periods and thresholds of the checks.
 RSI_PERIOD, OVERBOUGHT, OVERSOLD = 14, 75, 30
 VOLUME_DAYS, VOLUME_TIMES = 20, 3
 SENTIMENT_DROP = -0.4
 
+#: A ticker's bars of one such span of time are one partition.
+BARS_TOGETHER = "1 day"
+
 
 def rsi_series(bars: DataFrame) -> DataFrame:
     """ticker, ts, event_id, rsi: simple averages of the last 14 gains and losses; none without a loss or with fewer
     than 14 differences. bars: (ticker, ts, event_id, close_c)."""
-    by = Window.partitionBy("ticker").orderBy("ts", "event_id")
+    bars = with_rows_before(bars.select("ticker", "ts", "event_id", "close_c"), ["ticker"], "ts", "event_id", RSI_PERIOD, BARS_TOGETHER)
+    by = Window.partitionBy("ticker", "__bucket").orderBy("ts", "event_id")
     last = by.rowsBetween(-(RSI_PERIOD - 1), 0)
     d = bars.withColumn("d", F.col("close_c") - F.lag("close_c").over(by))
-    sums = d.select("ticker", "ts", "event_id", F.count("d").over(last).alias("n"), F.sum(F.greatest("d", F.lit(0))).over(last).alias("gain"), F.sum(F.greatest(-F.col("d"), F.lit(0))).over(last).alias("loss"))
+    sums = d.select(
+        "ticker",
+        "ts",
+        "event_id",
+        "__carried",
+        F.count("d").over(last).alias("n"),
+        F.sum(F.greatest("d", F.lit(0))).over(last).alias("gain"),
+        F.sum(F.greatest(-F.col("d"), F.lit(0))).over(last).alias("loss"),
+    ).where("NOT __carried")
     ok = (F.col("n") == RSI_PERIOD) & (F.col("loss") > 0)
     ratio = (F.col("gain") / 14.0) / F.when(F.col("loss") > 0, F.col("loss") / 14.0)
     return sums.select("ticker", "ts", "event_id", F.when(ok, 100 - 100 / (1 + ratio)).alias("rsi"))
@@ -29,9 +41,11 @@ def rsi_series(bars: DataFrame) -> DataFrame:
 def volume_series(bars: DataFrame) -> DataFrame:
     """ticker, ts, event_id, volume_c, spike: whether the volume is over three times the mean of the 20 bars before; null
     with fewer."""
-    before = Window.partitionBy("ticker").orderBy("ts", "event_id").rowsBetween(-VOLUME_DAYS, -1)
-    rows = bars.select("ticker", "ts", "event_id", "volume_c", F.count("*").over(before).alias("n"), F.sum("volume_c").over(before).alias("total"))
-    return rows.select("ticker", "ts", "event_id", "volume_c", F.when(F.col("n") == VOLUME_DAYS, F.col("volume_c") * VOLUME_DAYS > F.col("total") * VOLUME_TIMES).alias("spike"))
+    bars = with_rows_before(bars.select("ticker", "ts", "event_id", "volume_c"), ["ticker"], "ts", "event_id", VOLUME_DAYS, BARS_TOGETHER)
+    before = Window.partitionBy("ticker", "__bucket").orderBy("ts", "event_id").rowsBetween(-VOLUME_DAYS, -1)
+    rows = bars.withColumn("n", F.count("*").over(before)).withColumn("total", F.sum("volume_c").over(before)).where("NOT __carried")
+    spike = F.when(F.col("n") == VOLUME_DAYS, F.col("volume_c") * VOLUME_DAYS > F.col("total") * VOLUME_TIMES)
+    return rows.select("ticker", "ts", "event_id", "volume_c", spike.alias("spike"))
 
 
 def sentiment_change(scores: DataFrame) -> DataFrame:

@@ -46,9 +46,8 @@ def sentiment_decayed(spark: SparkSession, d: str) -> DataFrame:
 
 def sentiment_delta_2h(spark: SparkSession, d: str) -> DataFrame:
     """The latest score in each ticker's two hours before, and whether it fell or rose by more than 0.4."""
-    by = Window.partitionBy("ticker").orderBy(analytics.epoch(F.col("ts"))).rangeBetween(-7200, 0)
-    rows = sentiment_scores(spark, d).select("id", "ticker", "ts", "score", F.min("score").over(by).alias("low"), F.max("score").over(by).alias("high"))
-    return rows.select("id", (F.col("score") - F.col("high") < -0.4).alias("crash"), (F.col("score") - F.col("low") > 0.4).alias("surge"))
+    rows = analytics.recent_change(sentiment_scores(spark, d))
+    return rows.select("id", (F.col("fell") < -0.4).alias("crash"), (F.col("rose") > 0.4).alias("surge"))
 
 
 def _outcomes(spark: SparkSession, d: str) -> DataFrame:

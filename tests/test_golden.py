@@ -279,3 +279,28 @@ def test_buckets_of_time_change_nothing(spark):
     got = {x.id: x.running for x in market.running_sum(right, ["k"], "ts", "id", F.col("v"), "1 hour").collect()}
     rows = right.collect()
     assert got == {x.id: sum(y.v for y in rows if y.k == x.k and (y.ts, y.id) <= (x.ts, x.id)) for x in rows}
+
+
+def test_frames_cut_by_time_are_whole(spark):
+    """Bars of uneven gaps, some days empty and some full, and the extremes of a span that crosses buckets."""
+    random.seed(7)
+    at, rows = dt.datetime(2024, 1, 1), []
+    for i in range(160):
+        at += dt.timedelta(minutes=random.choice((0, 1, 30, 700, 1440, 4000)))
+        rows.append(("A", at, i, random.randrange(1, 50), random.randrange(1, 9)))
+    made = spark.createDataFrame(rows, "ticker string, ts timestamp_ntz, event_id long, close_c long, volume_c long")
+    rsi = {r.event_id: r.rsi for r in monitor.rsi_series(made).collect()}
+    spikes = {r.event_id: r.spike for r in monitor.volume_series(made).collect()}
+    change = {r.id: (r.fell, r.rose) for r in analytics.recent_change(made.selectExpr("event_id AS id", "ticker", "ts", "double(close_c) AS score")).collect()}
+    extremes = sorted(tuple(r) for r in analytics.range_extremes(made.selectExpr("ticker AS key", "ts AS d", "close_c AS value"), days=3).collect())
+    within = lambda i, span: [r[3] for r in rows if rows[i][1] - span <= r[1] <= rows[i][1]]
+    assert len(rsi) == len(spikes) == len(change) == len(extremes) == len(rows)
+    for i in range(len(rows)):
+        steps = [rows[j][3] - rows[j - 1][3] for j in range(i - 13, i + 1)] if i >= 14 else []
+        gain, loss = sum(max(s, 0) for s in steps), sum(max(-s, 0) for s in steps)
+        assert rsi[i] == (pytest.approx(100 - 100 / (1 + gain / loss)) if loss else None)
+        assert spikes[i] == (rows[i][4] * 20 > sum(r[4] for r in rows[i - 20 : i]) * 3 if i >= 20 else None)
+        near = within(i, dt.timedelta(hours=2))
+        assert change[i] == (rows[i][3] - max(near), rows[i][3] - min(near))
+    far = [within(i, dt.timedelta(days=3)) for i in range(len(rows))]
+    assert extremes == sorted(("A", r[1], r[3], max(f), min(f)) for r, f in zip(rows, far))
