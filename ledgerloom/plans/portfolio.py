@@ -166,6 +166,43 @@ _HOURLY = "SELECT ticker, date_trunc('hour', ts) AS ts, arg_max(price, (ts, even
 _GRID = f"""found AS (SELECT DISTINCT p.user_id, h.ts FROM (SELECT DISTINCT user_id, ticker FROM v_trades) p JOIN (SELECT user_id, min(ts) AS start FROM v_trades GROUP BY user_id) f ON f.user_id = p.user_id JOIN hourly h ON h.ticker = p.ticker AND h.ts >= f.start),
 grid AS (SELECT * FROM found UNION ALL SELECT DISTINCT user_id, TIMESTAMP '{NOW}' FROM v_trades WHERE user_id NOT IN (SELECT user_id FROM found))"""
 
+_BUY, _SELL = (f"o.price * (1 {sign} {scalars.SLIPPAGE}::DOUBLE)" for sign in "+-")
+
+#: Orders one by one by recursion: o holds each user's orders by number, q the prices of all tickers as of each, and s the
+#: account after each order, with held quantities as a list by ticker number.
+_REPLAY = f"""WITH RECURSIVE p AS (SELECT ticker, ts, arg_max(price, event_id) AS price FROM v_ticks WHERE price > 0 GROUP BY ALL),
+n AS (SELECT id, user_id, ticker, CAST(substr(ticker, 2) AS INT) + 1 AS i, side, quantity, fill_price AS price, ts,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS n FROM v_trades),
+w AS (SELECT id, ts, i, j, 'T' || (j - 1) AS ticker FROM n, range(1, 21) g(j) WHERE side = 'BUY'),
+q AS (SELECT w.id, list(p.price ORDER BY w.j) AS quotes FROM w ASOF LEFT JOIN p ON p.ticker = w.ticker AND w.ts >= p.ts GROUP BY w.id),
+o AS MATERIALIZED (SELECT n.*, list_transform(quotes, lambda x, k: CASE WHEN k = i THEN price ELSE x END) AS quotes FROM n LEFT JOIN q USING (id)),
+s AS (
+    SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS status,
+        {src.TRADING_BALANCE}::DOUBLE AS balance, list_transform(range(20), lambda x: 0.0::DOUBLE) AS held FROM o
+    UNION ALL
+    SELECT user_id, n, id, status,
+        CASE WHEN status <> 'OK' THEN balance WHEN side = 'BUY' THEN balance - buy * quantity
+            ELSE balance + sell * quantity * (1 - {scalars.SELL_TAX}::DOUBLE) END,
+        CASE WHEN status <> 'OK' THEN held
+            ELSE list_transform(held, lambda x, k: CASE WHEN k <> i THEN x WHEN side = 'BUY' THEN x + quantity ELSE x - quantity END) END
+    FROM (SELECT *, CASE
+            WHEN NOT quantity > 0 THEN 'BAD_QUANTITY'
+            WHEN price IS NULL OR NOT price > 0 THEN 'NO_PRICE'
+            WHEN side = 'SELL' AND held[i] < quantity THEN 'OVERSELL'
+            WHEN side = 'SELL' THEN 'OK'
+            WHEN balance < buy * quantity THEN 'BALANCE'
+            WHEN len(list_filter(held, lambda x, k: x > 0 AND quotes[k] IS NULL)) > 0 THEN 'NO_PRICE'
+            WHEN (held[i] * price + buy * quantity) / (list_sum(list_transform(held, lambda x, k: CASE WHEN x > 0 THEN x * quotes[k] ELSE 0 END)) + balance)
+                > {scalars.STOCK_CAP}::DOUBLE THEN 'STOCK_CAP'
+            ELSE 'OK' END AS status
+        FROM (SELECT s.balance, s.held, o.*, {_BUY} AS buy, {_SELL} AS sell FROM s JOIN o ON o.user_id = s.user_id AND o.n = s.n + 1))
+),
+done AS (SELECT o.id, o.user_id, o.ticker, o.side, o.quantity, o.ts, s.status, s.balance,
+    CASE WHEN s.status = 'OK' THEN CASE WHEN o.side = 'BUY' THEN {_BUY} ELSE {_SELL} END END AS fill_price,
+    CASE WHEN s.status = 'OK' THEN {scalars.SLIPPAGE}::DOUBLE END AS slippage FROM o JOIN s ON s.id = o.id) """
+#: Every user of the orders has an account.
+REPLAYED = _REPLAY + "SELECT id, user_id, ticker, side, quantity, fill_price, slippage, ts, balance AS virtual_balance_after, status FROM done"
+
 SQL = {
     "avg_cost_positions": "SELECT user_id, ticker, quantity, avg_cost FROM v_positions",
     "open_positions": "SELECT user_id, ticker, quantity, avg_cost FROM v_open",
@@ -182,6 +219,10 @@ SQL = {
     "user_upsert": "WITH s AS (SELECT id, email, 5000.0::DOUBLE AS virtual_balance FROM v_users WHERE id % 2 = 1) SELECT * FROM s UNION ALL SELECT c_custkey, c_name || '@example.com', 100000.0::DOUBLE FROM customer WHERE c_name || '@example.com' NOT IN (SELECT email FROM s)",
     "fill_price": "WITH f AS (SELECT id, side, quantity, CASE WHEN side = 'BUY' THEN fill_price * (1 + 0.0005::DOUBLE) ELSE fill_price * (1 - 0.0005::DOUBLE) END AS fill FROM v_trades) SELECT id, side, floor(fill * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS fill, floor((CASE WHEN side = 'BUY' THEN quantity * fill ELSE quantity * fill * (1 - 0.001::DOUBLE) END) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS amount FROM f",
     "trade_validation": "SELECT id, CASE WHEN NOT quantity > 0 THEN 'BAD_QUANTITY' WHEN fill_price IS NULL OR NOT fill_price > 0 THEN 'NO_PRICE' WHEN side = 'BUY' AND 4000.0::DOUBLE < quantity * fill_price * (1 + 0.0005::DOUBLE) THEN 'BALANCE' WHEN side = 'BUY' AND quantity * fill_price * (1 + 0.0005::DOUBLE) / 4000.0::DOUBLE > 0.3 THEN 'STOCK_CAP' ELSE 'OK' END AS status FROM v_trades",
+    "execute_trades": _REPLAY
+    + """SELECT d.id, user_id, ticker, side, quantity, CASE WHEN u.id IS NOT NULL THEN fill_price END AS fill_price,
+    CASE WHEN u.id IS NOT NULL THEN slippage END AS slippage, ts, CASE WHEN u.id IS NOT NULL THEN balance END AS virtual_balance_after,
+    CASE WHEN u.id IS NOT NULL THEN status ELSE 'NO_USER' END AS status FROM done d LEFT JOIN v_users u ON u.id = d.user_id""",
     "recent_trades": "SELECT id, user_id, ticker, side, quantity, fill_price, ts FROM v_trades WHERE user_id = 7 ORDER BY ts DESC, id DESC LIMIT 50",
     "running_cash": f"SELECT id, user_id, CAST(cash_c AS DOUBLE) / 100.0 AS cash FROM ({_CASH})",
     "cash_asof": f"WITH c AS ({_CASH}), days AS (SELECT user_id, ts FROM (SELECT DISTINCT user_id FROM v_trades), (SELECT CAST(DATE '2024-01-01' + CAST(i AS INT) AS TIMESTAMP) AS ts FROM range(1, 31) t(i))) SELECT d.user_id, d.ts, CAST(arg_max(cash_c, (c.ts, c.id)) AS DOUBLE) / 100.0 AS cash FROM days d JOIN c ON c.user_id = d.user_id AND c.ts <= d.ts GROUP BY ALL",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.plans import portfolio
 from ledgerloom.sources import tables as src
 from ledgerloom.streaming import streams
 
@@ -48,5 +49,6 @@ SQL = {
     "stream_live_price": "SELECT ticker, price FROM v_live",
     "stream_dedupe": "SELECT DISTINCT md5(text) AS digest FROM documents",
     "stream_alerts": """SELECT user_id, '{"user_id":' || user_id || ',"alert_type":"' || alert_type || '","ticker":"' || ticker || '","message":"' || message || '","signal":"' || signal || '"}' AS payload FROM v_alerts WHERE user_id > 0""",
+    "stream_execute_trades": portfolio.REPLAYED,
     "stream_price_expiry": "SELECT ticker, arg_max(price, (ts, event_id)) AS price, max(ts) + INTERVAL 60 SECONDS >= (SELECT max(ts) FROM v_ticks) - INTERVAL 1 HOUR AS live FROM v_ticks GROUP BY ticker",
 }

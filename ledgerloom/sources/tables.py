@@ -133,4 +133,5 @@ def with_views(sql: str) -> str:
     head = ", ".join(f"{name} AS MATERIALIZED ({VIEWS[name]})" for name in needed)
     if not head:
         return sql
-    return f"WITH {head}, {sql.strip()[5:]}" if sql.strip().upper().startswith("WITH ") else f"WITH {head} {sql}"
+    begin, rest = re.match(r"\s*(WITH RECURSIVE|WITH|)\s*(.*)", sql, re.DOTALL | re.IGNORECASE).groups()
+    return f"{begin or 'WITH'} {head}{', ' if begin else ' '}{rest}"
