@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,11 +84,13 @@ def local_time(ts: Column) -> Column:
     return F.from_utc_timestamp(ts.cast("timestamp"), ZONE)
 
 
-def market_open(ts: Column) -> Column:
-    """Monday to Friday, 09:15:00 to 15:30:00 in the exchange's zone, both included."""
+def market_open(ts: Column, holidays: Sequence[str] = ()) -> Column:
+    """Monday to Friday, 09:15:00 to 15:30:00 in the exchange's zone, both included; not on holidays (dates there, a calendar of
+    some years at most)."""
     t = local_time(ts)
     seconds = F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
-    return (F.weekday(t) <= 4) & seconds.between(9 * 3600 + 15 * 60, 15 * 3600 + 30 * 60)
+    open_ = (F.weekday(t) <= 4) & seconds.between(9 * 3600 + 15 * 60, 15 * 3600 + 30 * 60)
+    return open_ & ~F.date_format(t, "yyyy-MM-dd").isin(*holidays) if holidays else open_
 
 
 def market_open_minute(ts: Column) -> Column:
@@ -97,3 +101,11 @@ def market_open_minute(ts: Column) -> Column:
 
 def badge(n: Column) -> Column:
     return F.when(n > 99, "99+").otherwise(n.cast("string"))
+
+
+def hue(label: Column) -> Column:
+    """0 to 359, a label's colour: its UTF-16 units c fold to c + (h << 5) - h, where the shift alone wraps to 32 bits."""
+    shifted = lambda h: ((h * 32).bitwiseAND(0xFFFFFFFF)).bitwiseXOR(0x80000000) - 0x80000000
+    units = F.filter(F.split(label, ""), lambda c: c != "")
+    h = F.aggregate(F.transform(units, lambda c: F.ascii(c).cast("long")), F.lit(0).cast("long"), lambda h, c: c + shifted(h) - h)
+    return F.abs(h % 360)

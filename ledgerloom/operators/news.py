@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import clean_text, keyword, lexicon_score
@@ -32,17 +34,32 @@ def mentions(articles: DataFrame, tickers: list[str]) -> DataFrame:
     return articles.withColumn("ticker", F.explode(found))
 
 
-def scored(articles: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """articles with the score of their cleaned text and its confidence, 0.5 for the lexicon."""
-    return articles.withColumn("score", lexicon_score(clean_text(F.col("text")), lexicon)).withColumn("confidence", F.lit(0.5))
+def scored(articles: DataFrame, lexicon: dict[str, float], model: Callable[[Column], Column] | None = None) -> DataFrame:
+    """articles with the score of their cleaned text and its confidence, 0.5 for the lexicon. model: the net score of a cleaned
+    text as a column, say a Pandas UDF; where it gives null the lexicon scores, at the confidence 1.0 of a model all the same."""
+    clean = clean_text(F.col("text"))
+    by_words = lexicon_score(clean, lexicon)
+    score = by_words if model is None else F.coalesce(model(clean), by_words)
+    return articles.withColumn("score", score).withColumn("confidence", F.lit(0.5 if model is None else 1.0))
 
 
-def scored_mentions(articles: DataFrame, tickers: list[str], lexicon: dict[str, float]) -> DataFrame:
+def scored_mentions(articles: DataFrame, tickers: list[str], lexicon: dict[str, float], model: Callable[[Column], Column] | None = None) -> DataFrame:
     """articles x mentioned tickers with score; articles that mention none are dropped before they are scored, and the
     others are scored once each."""
     text = F.upper("text")
     found = F.filter(F.array(*[F.lit(t) for t in tickers]), lambda t: F.contains(text, keyword(t)))
-    return scored(articles.withColumn("tickers", found).where(F.size("tickers") > 0), lexicon).withColumn("ticker", F.explode("tickers")).drop("tickers")
+    some = articles.withColumn("tickers", found).where(F.size("tickers") > 0)
+    return scored(some, lexicon, model).withColumn("ticker", F.explode("tickers")).drop("tickers")
+
+
+def scored_by_table(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """seq, score of the cleaned text by a lexicon table of any size (token, valence); of equal tokens the smallest valence counts.
+    An article's words are counted before they meet the lexicon, and sums are in hundredths, so their order doesn't matter."""
+    valence = lexicon.groupBy(F.lower("token").alias("word")).agg(F.min(F.round(F.col("valence") * 100).cast("long")).alias("v"))
+    words = articles.select("seq", F.explode(F.split(F.lower(clean_text(F.col("text"))), " ")).alias("word"))
+    sums = words.groupBy("seq", "word").count().join(valence, "word").groupBy("seq").agg(F.sum(F.col("count") * F.col("v")).alias("c"))
+    s = F.coalesce("c", F.lit(0)) / F.lit(100.0)
+    return articles.select("seq").join(sums, "seq", "left").select("seq", (s / F.sqrt(s * s + 15.0)).alias("score"))
 
 
 def top_articles(articles: DataFrame, k: int = 10) -> DataFrame:

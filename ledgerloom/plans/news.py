@@ -64,6 +64,13 @@ def lexicon_score(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("seq", scalars.half_up(F.col("score"), 9).alias("score"), "confidence")
 
 
+def lexicon_table_score(spark: SparkSession, d: str) -> DataFrame:
+    """lexicon_score by a table of words instead of a literal map."""
+    lexicon = spark.createDataFrame(list(src.LEXICON.items()), "token string, valence double")
+    rows = news.scored_by_table(news.first_of_each(src.articles(spark, d)), lexicon)
+    return rows.select("seq", scalars.half_up(F.col("score"), 9).alias("score"))
+
+
 def softmax_net_score(spark: SparkSession, d: str) -> DataFrame:
     """The first three components of each embedding as logits."""
     at = lambda i: F.col("embedding")[i].cast("double")
@@ -94,7 +101,7 @@ def chat_last10(spark: SparkSession, d: str) -> DataFrame:
     return market.latest_k(rows, "conv_id", 10, "turn").select("conv_id", "turn", "role")
 
 
-QUERIES = {f.__name__: f for f in (articles_union, dedupe_md5, articles_per_source, rss_recent, clean_text, mention_match, news_top10_per_ticker, key_round_robin, article_text, lexicon_score, softmax_net_score, sentiment_band, lang_filter, strip_html, dedupe_url, chat_last10)}
+QUERIES = {f.__name__: f for f in (articles_union, dedupe_md5, articles_per_source, rss_recent, clean_text, mention_match, news_top10_per_ticker, key_round_robin, article_text, lexicon_score, lexicon_table_score, softmax_net_score, sentiment_band, lang_filter, strip_html, dedupe_url, chat_last10)}
 
 _LOGITS = "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings"
 SQL = {
@@ -108,6 +115,7 @@ SQL = {
     "key_round_robin": "SELECT * FROM (VALUES ('ITC', 'key-a'), ('LT', 'key-b'), ('ERING', 'key-c'), ('ONING', 'key-a'), ('THING', 'key-b')) t(query, api_key)",
     "article_text": "SELECT conv_id, turn, coalesce(CASE WHEN turn % 3 <> 0 THEN role END, 'None') || '. ' || coalesce(CASE WHEN turn % 2 = 0 THEN text END, 'None') AS article FROM conversations",
     "lexicon_score": "SELECT seq, floor(score * 1000000000.0::DOUBLE + 0.5) / 1000000000.0::DOUBLE AS score, 0.5::DOUBLE AS confidence FROM v_scored",
+    "lexicon_table_score": "SELECT seq, floor(score * 1000000000.0::DOUBLE + 0.5) / 1000000000.0::DOUBLE AS score FROM v_scored",
     "softmax_net_score": f"SELECT vec_id, floor((exp(a - m) - exp(b - m)) / (exp(a - m) + exp(b - m) + exp(c - m)) * 1000000000.0::DOUBLE + 0.5) / 1000000000.0::DOUBLE AS net FROM (SELECT *, greatest(a, b, c) AS m FROM ({_LOGITS}))",
     "sentiment_band": "SELECT id, CASE WHEN score >= 0.6 THEN 'BULLISH' WHEN score >= 0.2 THEN 'MILDLY_BULLISH' WHEN score >= -0.2 THEN 'NEUTRAL' WHEN score >= -0.6 THEN 'MILDLY_BEARISH' ELSE 'BEARISH' END AS band FROM v_sentiment",
     "lang_filter": "SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'hi')",

@@ -158,7 +158,12 @@ def time_label(spark: SparkSession, d: str) -> DataFrame:
     return src.trades(spark, d).select("id", F.date_format(scalars.local_time(F.col("ts")), "MMM dd HH:mm").alias("label"))
 
 
-QUERIES = {f.__name__: f for f in (avg_cost_positions, open_positions, holdings_valuation, portfolio_value, dashboard_summary, holding_roi, holding_lookup, holdings_by_user, concentration, sector_weight, limits_update, delete_holding_status, user_upsert, fill_price, trade_validation, execute_trades, recent_trades, running_cash, cash_asof, history_grid, portfolio_history, history_interval, time_label)}
+def label_hue(spark: SparkSession, d: str) -> DataFrame:
+    """The colour of each user's line in a chart."""
+    return src.users(spark, d).select("id", "name", scalars.hue(F.col("name")).alias("hue"))
+
+
+QUERIES = {f.__name__: f for f in (avg_cost_positions, open_positions, holdings_valuation, portfolio_value, dashboard_summary, holding_roi, holding_lookup, holdings_by_user, concentration, sector_weight, limits_update, delete_holding_status, user_upsert, fill_price, trade_validation, execute_trades, recent_trades, running_cash, cash_asof, history_grid, portfolio_history, history_interval, time_label, label_hue)}
 
 _VALUED = "SELECT p.user_id, p.ticker, quantity, avg_cost, coalesce(l.price, avg_cost) AS price, coalesce(l.price, avg_cost) * quantity AS current_value, avg_cost * quantity AS invested, coalesce(l.price, avg_cost) * quantity - avg_cost * quantity AS pnl, CASE WHEN avg_cost * quantity > 0 THEN (coalesce(l.price, avg_cost) * quantity - avg_cost * quantity) / (avg_cost * quantity) * 100 ELSE 0.0 END AS pnl_pct FROM v_open p LEFT JOIN v_live l ON l.ticker = p.ticker"
 _CASH = "SELECT id, user_id, ts, 10000000 + sum(CASE WHEN side = 'BUY' THEN -1 ELSE 1 END * CAST(round(quantity * fill_price * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, id) AS cash_c FROM v_trades"
@@ -241,4 +246,6 @@ total AS (SELECT g.user_id, g.ts, coalesce(s.n_open, 0) AS n_open, CAST(c.cash_c
 SELECT user_id, ts, n_open, total_value FROM (SELECT *, max(CASE WHEN n_open = 0 THEN ts END) OVER (PARTITION BY user_id) AS flat FROM total) WHERE flat IS NULL OR ts > flat""",
     "history_interval": f"SELECT user_id, CASE WHEN floor((epoch(TIMESTAMP '{NOW}') - floor(epoch(min(ts)))) / 86400) > 7 THEN '1h' ELSE '15m' END AS interval FROM v_trades GROUP BY user_id",
     "time_label": "SELECT id, strftime(ts + INTERVAL 330 MINUTES, '%b %d %H:%M') AS label FROM v_trades",
+    "label_hue": """SELECT id, name, abs(list_reduce(list_prepend(CAST(0 AS BIGINT), [CAST(ascii(c) AS BIGINT) for c in string_split(name, '')]),
+    lambda h, c: c + xor((h * 32) & 4294967295, 2147483648) - 2147483648 - h) % 360) AS hue FROM v_users""",
 }

@@ -53,3 +53,9 @@ def append(rows: DataFrame, root: str, name: str) -> None:
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     extra = [T.StructField("day", T.DateType())] * (name in LAYOUT)
     return spark.read.schema(T.StructType([*SCHEMAS[name].fields, *extra])).parquet(f"{root}/{name}").drop("day")
+
+
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """token, valence of a sentiment lexicon in its usual form: lines of tab-separated token, mean valence and more."""
+    part = F.split("value", "\t")
+    return spark.read.text(path).select(part[0].alias("token"), part[1].try_cast("double").alias("valence")).where("token <> '' AND valence IS NOT NULL")

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerloom.operators.trading import RESULT, executed
@@ -45,6 +46,13 @@ def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.concat(F.lit("T"), (k % 20).cast("string")).alias("ticker"), F.col("value").alias("price"), "event_type")
 
 
+def start_periodic(stream: DataFrame, folder: str, every: str) -> StreamingQuery:
+    """Starts an append-mode query that takes what has come once every interval ("1 minute"), until it is stopped; rows go to
+    folder/out, exactly once, and a query started again on the folder goes on."""
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log")
+    return writer.trigger(processingTime=every).start()
+
+
 def run_append(stream: DataFrame) -> DataFrame:
     """Rows of an append-mode query, exactly once, by the file sink."""
     spark, path = stream.sparkSession, shared_folder(stream.sparkSession)

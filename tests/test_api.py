@@ -84,3 +84,13 @@ def test_late_repeats_within_the_watermark_are_dropped(spark, tmp_path):
     spark.createDataFrame(rows, "text string, ts timestamp").write.parquet(source)
     got = streams.run_append(streams.unique_recent_texts(spark.readStream.schema("text string, ts timestamp").parquet(source)))
     assert got.select("digest").distinct().count() == got.count() == 2
+
+
+def test_periodic_streams_take_what_comes_and_go_on(spark, tmp_path):
+    source, folder = f"{tmp_path}/in", f"{tmp_path}/run"
+    for part in ([("a",), ("b",)], [("b",), ("c",)]):
+        spark.createDataFrame(part, "text string").write.mode("append").parquet(source)
+        q = streams.start_periodic(streams.unique_texts(spark.readStream.schema("text string").parquet(source)), folder, "1 second")
+        q.processAllAvailable()
+        q.stop()
+    assert spark.read.parquet(f"{folder}/out").count() == 3

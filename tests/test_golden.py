@@ -12,7 +12,7 @@ from ledgerloom.functions import scalars
 from ledgerloom.operators import analytics, history, market, monitor, news, positions, trading
 from ledgerloom.plans import streams as stream_plans
 from ledgerloom.plans.portfolio import execute_trades
-from ledgerloom.sources import tables
+from ledgerloom.sources import schemas, tables
 from ledgerloom.streaming import streams
 
 T0 = dt.datetime(2024, 1, 1)
@@ -304,3 +304,40 @@ def test_frames_cut_by_time_are_whole(spark):
         assert change[i] == (rows[i][3] - max(near), rows[i][3] - min(near))
     far = [within(i, dt.timedelta(days=3)) for i in range(len(rows))]
     assert extremes == sorted(("A", r[1], r[3], max(f), min(f)) for r, f in zip(rows, far))
+
+
+def test_a_model_scores_where_it_can(spark):
+    rows = spark.createDataFrame([(1, "Good day"), (2, "bad day")], "seq long, text string")
+    model = lambda clean: F.when(clean.contains("Good"), F.lit(0.7))
+    got = {r.seq: (r.score, r.confidence) for r in news.scored(rows, {"bad": -2.5}, model).collect()}
+    assert got == {1: (0.7, 1.0), 2: (-2.5 / (2.5 * 2.5 + 15) ** 0.5, 1.0)}
+    assert {r.confidence for r in news.scored(rows, {"bad": -2.5}).collect()} == {0.5}
+
+
+def test_lexicon_tables(spark, tmp_path):
+    (tmp_path / "lexicon.txt").write_text("good\t1.9\t0.9\t[2, 2]\nbad\t-2.5\t0.6\t[-3, -2]\n\nodd\tx\n")
+    lexicon = schemas.read_lexicon(spark, str(tmp_path / "lexicon.txt"))
+    assert sorted(tuple(r) for r in lexicon.collect()) == [("bad", -2.5), ("good", 1.9)]
+    rows = spark.createDataFrame([(1, "Good, good http://x.y bad"), (2, "GOOD bad bad"), (3, "plain"), (4, ""), (5, None)], "seq long, text string")
+    got = {r.seq: r.score for r in news.scored_by_table(rows, lexicon).collect()}
+    norm = lambda s: s / (s * s + 15) ** 0.5
+    assert got == {1: pytest.approx(norm(1.9 - 2.5)), 2: pytest.approx(norm(1.9 - 5)), 3: 0, 4: 0, 5: 0}
+
+
+def test_hue_wraps_shifts_only(spark):
+    def by_hand(text):
+        h = 0
+        for c in text:
+            shifted = (h * 32) & 0xFFFFFFFF
+            h = ord(c) + (shifted - 2**32 if shifted >= 2**31 else shifted) - h
+        return abs(h) % 360
+
+    texts = ["", "T0", "RELIANCE.NS", "Customer#000000042", "a long name that wraps many times over and over"]
+    rows = spark.createDataFrame([(t,) for t in texts], "name string")
+    assert {r.name: r.hue for r in rows.select("name", scalars.hue(F.col("name")).alias("hue")).collect()} == {t: by_hand(t) for t in texts}
+
+
+def test_markets_close_on_holidays(spark):
+    rows = spark.createDataFrame([(dt.datetime(2024, 1, 25, 6),), (dt.datetime(2024, 1, 26, 6),), (dt.datetime(2024, 1, 25, 20),)], "ts timestamp_ntz")
+    assert [r[0] for r in rows.select(scalars.market_open(F.col("ts"), ["2024-01-26"])).collect()] == [True, False, False]
+    assert [r[0] for r in rows.select(scalars.market_open(F.col("ts"))).collect()] == [True, True, False]
