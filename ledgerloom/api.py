@@ -40,12 +40,22 @@ class Advisor:
     def balance_events(self, executed: DataFrame) -> DataFrame:
         """The message that each filled order sends to its user."""
         done = executed.where(F.col("status") == trading.OK)
-        return done.select("user_id", F.to_json(F.struct(F.lit("balance_update").alias("type"), "user_id", F.col("virtual_balance_after").alias("balance"))).alias("payload"))
+        return done.select(
+            "user_id",
+            F.to_json(
+                F.struct(F.lit("balance_update").alias("type"), "user_id", F.col("virtual_balance_after").alias("balance")),
+            ).alias("payload"),
+        )
 
     def set_limits(self, asked: DataFrame) -> DataFrame:
         """The limits after requests (user_id, ticker, sl_pct, tg_pct); a null in a request keeps what is set."""
         new = asked.select("user_id", "ticker", F.col("sl_pct").alias("sl_new"), F.col("tg_pct").alias("tg_new"))
-        return self.limits.join(new, ["user_id", "ticker"], "left").select("user_id", "ticker", F.coalesce("sl_new", "sl_pct").alias("sl_pct"), F.coalesce("tg_new", "tg_pct").alias("tg_pct"))
+        return self.limits.join(new, ["user_id", "ticker"], "left").select(
+            "user_id",
+            "ticker",
+            F.coalesce("sl_new", "sl_pct").alias("sl_pct"),
+            F.coalesce("tg_new", "tg_pct").alias("tg_pct"),
+        )
 
     def recent_trades(self, user: int | None) -> DataFrame:
         return self._own(self.trades, user).orderBy(F.desc("ts"), F.desc("id")).limit(50)
@@ -54,7 +64,13 @@ class Advisor:
         """user_id, time, label, n_open, total_value."""
         prices = market.bars(self.ticks, interval).select("ticker", F.col("bar_ts").alias("ts"), "close")
         rows = history.history(self._own(self.trades, user), prices, self.start_balance, now)
-        return rows.select("user_id", F.col("ts").alias("time"), F.date_format(scalars.local_time(F.col("ts")), "MMM dd HH:mm").alias("label"), "n_open", "total_value")
+        return rows.select(
+            "user_id",
+            F.col("ts").alias("time"),
+            F.date_format(scalars.local_time(F.col("ts")), "MMM dd HH:mm").alias("label"),
+            "n_open",
+            "total_value",
+        )
 
     def inbox(self, user: int | None) -> DataFrame:
         return self._own(self.alerts, user).orderBy(F.desc("created_at"), F.desc("id")).limit(30)

@@ -61,7 +61,10 @@ def softmax_net(positive: Column, negative: Column, neutral: Column) -> Column:
 
 
 def sentiment_band(score: Column) -> Column:
-    return F.when(score >= 0.6, "BULLISH").when(score >= 0.2, "MILDLY_BULLISH").when(score >= -0.2, "NEUTRAL").when(score >= -0.6, "MILDLY_BEARISH").otherwise("BEARISH")
+    return F.when(score >= 0.6, "BULLISH").when(score >= 0.2, "MILDLY_BULLISH").when(score >= -0.2, "NEUTRAL").when(
+        score >= -0.6,
+        "MILDLY_BEARISH",
+    ).otherwise("BEARISH")
 
 
 def ticker_class(ticker: Column) -> Column:

@@ -50,7 +50,12 @@ def decayed_sentiment(scores: DataFrame, anchor: DataFrame) -> DataFrame:
     ws = F.floor(weight * F.col("score") * 1e9 + 0.5)
     rows = scores.crossJoin(F.broadcast(anchor)).select("ticker", w.alias("w"), ws.alias("ws"))
     sums = rows.groupBy("ticker").agg(F.count("*").alias("n_articles"), F.sum("w").alias("w"), F.sum("ws").alias("ws"))
-    return sums.select("ticker", "n_articles", F.floor(F.when(F.col("w") > 0, F.col("ws") / F.when(F.col("w") > 0, F.col("w")) * 1e6 + 0.5)).alias("score_e6"), (F.col("n_articles") < CONFIDENT).alias("low_confidence"))
+    return sums.select(
+        "ticker",
+        "n_articles",
+        F.floor(F.when(F.col("w") > 0, F.col("ws") / F.when(F.col("w") > 0, F.col("w")) * 1e6 + 0.5)).alias("score_e6"),
+        (F.col("n_articles") < CONFIDENT).alias("low_confidence"),
+    )
 
 
 def outcome(signal: Column, before: Column, after: Column) -> Column:
@@ -62,7 +67,11 @@ def outcome(signal: Column, before: Column, after: Column) -> Column:
 
 def top_cosine(rows: DataFrame, query: DataFrame, k: int) -> DataFrame:
     """The k rows (id, v) most similar to the one row of query (q): cosine to 6 decimals, then id."""
-    dot = lambda a, b: F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    dot = lambda a, b: F.aggregate(
+        F.zip_with(F.col(a), F.col(b), lambda x, y: x.cast("double") * y.cast("double")),
+        F.lit(0.0),
+        lambda s, x: s + x,
+    )
     norm = lambda a: F.sqrt(dot(a, a))
     sim = dot("v", "q") / (norm("v") * norm("q"))
     return rows.crossJoin(F.broadcast(query)).select("id", (F.floor(sim * 1e6 + 0.5) / 1e6).alias("cosine")).orderBy(F.desc("cosine"), "id").limit(k)

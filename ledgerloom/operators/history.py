@@ -52,11 +52,24 @@ def history(trades: DataFrame, prices: DataFrame, start: float, now: str) -> Dat
     instants = grid(trades, prices, now)
     held = held_at(trades, instants)
     # a ticker's prices are filled once for each instant of anyone's, then joined to all its holders
-    filled = as_of(held.select("ticker", "ts").distinct(), prices.select("ticker", "ts", "close", F.lit(0).alias("o")), ["ticker"], "ts", ["close"], "o", bucket="1 day")
+    filled = as_of(
+        held.select("ticker", "ts").distinct(),
+        prices.select("ticker", "ts", "close", F.lit(0).alias("o")),
+        ["ticker"],
+        "ts",
+        ["close"],
+        "o",
+        bucket="1 day",
+    )
     priced = held.join(filled, ["ticker", "ts"])
     cents = F.floor(F.col("qty") * F.coalesce("asof_close", "avg") * 100 + 0.5)
     stock = priced.groupBy("user_id", "ts").agg(F.count("*").alias("n_open"), F.sum(cents).alias("stock_c"))
     cash = as_of(instants, running_cash(trades, start), ["user_id"], "ts", ["cash_c"], "id")
-    total = cash.join(stock, ["user_id", "ts"], "left").select("user_id", "ts", F.coalesce("n_open", F.lit(0)).alias("n_open"), (F.col("asof_cash_c") + F.coalesce("stock_c", F.lit(0))).alias("value_c"))
+    total = cash.join(stock, ["user_id", "ts"], "left").select(
+        "user_id",
+        "ts",
+        F.coalesce("n_open", F.lit(0)).alias("n_open"),
+        (F.col("asof_cash_c") + F.coalesce("stock_c", F.lit(0))).alias("value_c"),
+    )
     flat = F.max(F.when(F.col("n_open") == 0, F.col("ts"))).over(Window.partitionBy("user_id"))
     return total.withColumn("flat", flat).where("flat IS NULL OR ts > flat").select("user_id", "ts", "n_open", (F.col("value_c") / 100.0).alias("total_value"))

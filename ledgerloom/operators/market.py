@@ -30,9 +30,13 @@ def bars(ticks: DataFrame, interval: str) -> DataFrame:
     at = F.struct("ts", "event_id")
     window = F.window(F.col("ts"), interval)
     return (
-        ticks.groupBy("ticker", window.alias("w"))
-        .agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count("*").cast("double").alias("volume"))
-        .select("ticker", F.col("w.start").alias("bar_ts"), "open", "high", "low", "close", "volume")
+        ticks.groupBy("ticker", window.alias("w")) .agg(
+            F.min_by("price", at).alias("open"),
+            F.max("price").alias("high"),
+            F.min("price").alias("low"),
+            F.max_by("price", at).alias("close"),
+            F.count("*").cast("double").alias("volume"),
+        ) .select("ticker", F.col("w.start").alias("bar_ts"), "open", "high", "low", "close", "volume")
     )
 
 
@@ -109,8 +113,24 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, values:
     sides are stacked and the last known values carried on; rows of right with equal times go by order. bucket: where keys
     are few and have very many rows, each such span of time is a partition of its own, which starts with the latest value
     before it."""
-    stacked = right.select(*keys, time, F.lit(0).alias("__side"), F.col(order).cast("long").alias("__order"), F.struct(*values).alias("__value"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("__row"))
-    stacked = stacked.unionByName(left.select(*keys, time, F.lit(1).alias("__side"), F.lit(0).cast("long").alias("__order"), F.lit(None).cast(stacked.schema["__value"].dataType).alias("__value"), F.struct(*left.columns).alias("__row")))
+    stacked = right.select(
+        *keys,
+        time,
+        F.lit(0).alias("__side"),
+        F.col(order).cast("long").alias("__order"),
+        F.struct(*values).alias("__value"),
+        F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("__row"),
+    )
+    stacked = stacked.unionByName(
+        left.select(
+            *keys,
+            time,
+            F.lit(1).alias("__side"),
+            F.lit(0).cast("long").alias("__order"),
+            F.lit(None).cast(stacked.schema["__value"].dataType).alias("__value"),
+            F.struct(*left.columns).alias("__row"),
+        ),
+    )
     parts = list(keys)
     if bucket:
         only = stacked.where("__side = 0")

@@ -51,14 +51,23 @@ def volume_series(bars: DataFrame) -> DataFrame:
 def sentiment_change(scores: DataFrame) -> DataFrame:
     """ticker, change: the latest score less the one before, whatever their age; none with a single score."""
     last = latest_k(scores.select("ticker", "ts", "id", "score"), "ticker", 2, "ts", "id")
-    both = last.groupBy("ticker").agg(F.max(F.when(F.col("n") == 1, F.col("score"))).alias("now"), F.max(F.when(F.col("n") == 2, F.col("score"))).alias("before"))
+    both = last.groupBy("ticker").agg(
+        F.max(F.when(F.col("n") == 1, F.col("score"))).alias("now"),
+        F.max(F.when(F.col("n") == 2, F.col("score"))).alias("before"),
+    )
     return both.where("before IS NOT NULL").select("ticker", (F.col("now") - F.col("before")).alias("change"))
 
 
 def stop_target(positions: DataFrame, live: DataFrame, limits: DataFrame) -> DataFrame:
     """user_id, ticker, price, sl_price, tg_price of open positions with a live price."""
     rows = positions.where("quantity > 0").join(live, "ticker").join(limits, ["user_id", "ticker"], "left")
-    return rows.select("user_id", "ticker", "price", (F.col("avg_cost") * (1 - F.col("sl_pct") / 100)).alias("sl_price"), (F.col("avg_cost") * (1 + F.col("tg_pct") / 100)).alias("tg_price"))
+    return rows.select(
+        "user_id",
+        "ticker",
+        "price",
+        (F.col("avg_cost") * (1 - F.col("sl_pct") / 100)).alias("sl_price"),
+        (F.col("avg_cost") * (1 + F.col("tg_pct") / 100)).alias("tg_price"),
+    )
 
 
 def all_alerts(positions: DataFrame, live: DataFrame, limits: DataFrame, change: DataFrame, rsi: DataFrame, spikes: DataFrame) -> DataFrame:
@@ -70,12 +79,49 @@ def all_alerts(positions: DataFrame, live: DataFrame, limits: DataFrame, change:
     t = F.col("ticker")
     # Kinds, signals and message texts of alerts, in their order.
     checks = (
-        (F.col("price") <= F.col("sl_price"), "STOP_LOSS_BREACH", "SELL", F.concat(t, F.lit(" down from your buy price. Stop-loss at "), two("sl_price"), F.lit(" breached."))),
-        (F.col("price") >= F.col("tg_price"), "TARGET_HIT", "SELL", F.concat(t, F.lit(" up from your buy price. Target at "), two("tg_price"), F.lit(" hit."))),
-        (F.col("change") < SENTIMENT_DROP, "SENTIMENT_CRASH", "CAUTION", F.concat(F.lit("Sudden drop in sentiment for "), t, F.lit(". Recent news is highly negative."))),
-        (F.col("rsi") > OVERBOUGHT, "RSI_OVERBOUGHT", "SELL", F.concat(t, F.lit(" RSI is "), one, F.lit(" (Overbought). Consider booking profits."))),
-        (F.col("rsi") < OVERSOLD, "RSI_OVERSOLD", "BUY", F.concat(t, F.lit(" RSI is "), one, F.lit(" (Oversold). Might be a good entry point."))),
-        (F.col("spike"), "VOLUME_SPIKE", "HOLD", F.concat(F.lit("Unusual volume detected in "), t, F.lit(". Today's volume is >3x the 20-day average."))),
+        (
+            F.col("price") <= F.col("sl_price"),
+            "STOP_LOSS_BREACH",
+            "SELL",
+            F.concat(t, F.lit(" down from your buy price. Stop-loss at "), two("sl_price"), F.lit(" breached.")),
+        ),
+        (
+            F.col("price") >= F.col("tg_price"),
+            "TARGET_HIT",
+            "SELL",
+            F.concat(t, F.lit(" up from your buy price. Target at "), two("tg_price"), F.lit(" hit.")),
+        ),
+        (
+            F.col("change") < SENTIMENT_DROP,
+            "SENTIMENT_CRASH",
+            "CAUTION",
+            F.concat(F.lit("Sudden drop in sentiment for "), t, F.lit(". Recent news is highly negative.")),
+        ),
+        (
+            F.col("rsi") > OVERBOUGHT,
+            "RSI_OVERBOUGHT",
+            "SELL",
+            F.concat(t, F.lit(" RSI is "), one, F.lit(" (Overbought). Consider booking profits.")),
+        ),
+        (
+            F.col("rsi") < OVERSOLD,
+            "RSI_OVERSOLD",
+            "BUY",
+            F.concat(t, F.lit(" RSI is "), one, F.lit(" (Oversold). Might be a good entry point.")),
+        ),
+        (
+            F.col("spike"),
+            "VOLUME_SPIKE",
+            "HOLD",
+            F.concat(F.lit("Unusual volume detected in "), t, F.lit(". Today's volume is >3x the 20-day average.")),
+        ),
+    )
+    made = F.array_compact(
+        F.array(
+            *[
+                F.when(c, F.struct(F.lit(kind).alias("alert_type"), F.lit(signal).alias("signal"), message.alias("message")))
+                for c, kind, signal, message in checks
+            ],
+        ),
     )
-    made = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(kind).alias("alert_type"), F.lit(signal).alias("signal"), message.alias("message"))) for c, kind, signal, message in checks]))
     return rows.select("user_id", "ticker", "price", F.explode(made).alias("a")).select("user_id", "ticker", "a.alert_type", "a.signal", "a.message", "price")

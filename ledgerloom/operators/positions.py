@@ -15,7 +15,12 @@ def average_cost(trades: DataFrame) -> DataFrame:
     """user_id, ticker, quantity, avg_cost after all trades: a buy averages, a sale keeps the average, none left resets.
     It is the last of each pair's states, so a pair's trades never meet in one array."""
     last = F.max_by(F.struct("qty", "avg"), F.struct("ts", "id"))
-    return position_states(trades).groupBy("user_id", "ticker").agg(last.alias("s")).select("user_id", "ticker", F.col("s.qty").alias("quantity"), F.col("s.avg").alias("avg_cost"))
+    return position_states(trades).groupBy("user_id", "ticker").agg(last.alias("s")).select(
+        "user_id",
+        "ticker",
+        F.col("s.qty").alias("quantity"),
+        F.col("s.avg").alias("avg_cost"),
+    )
 
 
 def position_states(trades: DataFrame) -> DataFrame:
@@ -41,7 +46,10 @@ def position_states(trades: DataFrame) -> DataFrame:
 
     signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
     rows = trades.select("user_id", "ticker", "id", "ts", signed.alias("d"), F.col("fill_price").alias("p"))
-    return rows.repartition("user_id", "ticker").sortWithinPartitions("user_id", "ticker", "ts", "id").mapInPandas(fold, "user_id bigint, ticker string, id bigint, ts timestamp_ntz, qty double, avg double")
+    return rows.repartition("user_id", "ticker").sortWithinPartitions("user_id", "ticker", "ts", "id").mapInPandas(
+        fold,
+        "user_id bigint, ticker string, id bigint, ts timestamp_ntz, qty double, avg double",
+    )
 
 
 def valued(positions: DataFrame, live: DataFrame) -> DataFrame:
@@ -49,4 +57,10 @@ def valued(positions: DataFrame, live: DataFrame) -> DataFrame:
     price = F.coalesce(F.col("price"), F.col("avg_cost"))
     rows = positions.where("quantity > 0").join(live, "ticker", "left").select("user_id", "ticker", "quantity", "avg_cost", price.alias("price"))
     value, invested = F.col("price") * F.col("quantity"), F.col("avg_cost") * F.col("quantity")
-    return rows.select("*", value.alias("current_value"), invested.alias("invested"), (value - invested).alias("pnl"), ratio_percent(value - invested, invested).alias("pnl_pct"))
+    return rows.select(
+        "*",
+        value.alias("current_value"),
+        invested.alias("invested"),
+        (value - invested).alias("pnl"),
+        ratio_percent(value - invested, invested).alias("pnl_pct"),
+    )

@@ -16,7 +16,10 @@ from ledgerloom.sources import tables as src
 
 
 def high_low_52w(spark: SparkSession, d: str) -> DataFrame:
-    series = src.read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("key"), F.col("o_orderdate").alias("d")).agg(F.max("o_totalprice").alias("value"))
+    series = src.read(spark, d, "orders").groupBy(
+        F.col("o_orderpriority").alias("key"),
+        F.col("o_orderdate").alias("d"),
+    ).agg(F.max("o_totalprice").alias("value"))
     return analytics.range_extremes(series)
 
 
@@ -35,7 +38,11 @@ def var_daily(spark: SparkSession, d: str) -> DataFrame:
     rows = analytics.daily_returns(market.bars(src.ticks(spark, d), "1 day"))
     by = Window.partitionBy("ticker").orderBy("ret", "bar_ts")
     ranked = rows.select("ticker", "ret", F.row_number().over(by).alias("n"), F.count("*").over(Window.partitionBy("ticker")).alias("all"))
-    return ranked.where(F.col("n") == F.ceil(F.col("all") * 0.05)).select("ticker", scalars.half_up(F.col("ret"), 9).alias("var_5"), (F.col("ret") >= -0.15).alias("within"))
+    return ranked.where(F.col("n") == F.ceil(F.col("all") * 0.05)).select(
+        "ticker",
+        scalars.half_up(F.col("ret"), 9).alias("var_5"),
+        (F.col("ret") >= -0.15).alias("within"),
+    )
 
 
 def sentiment_decayed(spark: SparkSession, d: str) -> DataFrame:
@@ -55,9 +62,24 @@ def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     ticks = src.ticks(spark, d)
     rows = src.signals(spark, d).withColumn("ts", F.col("created_at") + F.expr("INTERVAL 7 DAYS"))
     end = ticks.agg(F.max("ts").alias("end"))
-    joined = market.as_of(rows, ticks.select("ticker", "ts", "price", "event_id"), ["ticker"], "ts", ["price"], "event_id", bucket="1 day").crossJoin(F.broadcast(end))
+    joined = market.as_of(
+        rows,
+        ticks.select("ticker", "ts", "price", "event_id"),
+        ["ticker"],
+        "ts",
+        ["price"],
+        "event_id",
+        bucket="1 day",
+    ).crossJoin(F.broadcast(end))
     after = F.when(F.col("ts") <= F.col("end"), F.col("asof_price"))
-    return joined.select("id", "ticker", "signal", "price_at_signal", after.alias("after"), analytics.outcome(F.col("signal"), F.col("price_at_signal"), after).alias("outcome"))
+    return joined.select(
+        "id",
+        "ticker",
+        "signal",
+        "price_at_signal",
+        after.alias("after"),
+        analytics.outcome(F.col("signal"), F.col("price_at_signal"), after).alias("outcome"),
+    )
 
 
 def signal_outcome(spark: SparkSession, d: str) -> DataFrame:
@@ -68,17 +90,28 @@ def signal_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """By signal: share of right ones in percent, and the loss that right sales avoided for each share, in cents."""
     right = F.col("outcome") == "CORRECT"
     avoided = F.when(right & (F.col("signal") == "SELL"), src.cents(F.col("price_at_signal")) - src.cents(F.col("after"))).otherwise(0)
-    sums = _outcomes(spark, d).where("outcome IS NOT NULL").groupBy("signal").agg(F.count("*").alias("n"), F.sum(F.when(right, 1).otherwise(0)).alias("ok"), F.sum(avoided).alias("avoided_c"))
+    sums = _outcomes(spark, d).where("outcome IS NOT NULL").groupBy("signal").agg(
+        F.count("*").alias("n"),
+        F.sum(F.when(right, 1).otherwise(0)).alias("ok"),
+        F.sum(avoided).alias("avoided_c"),
+    )
     return sums.select("signal", "n", scalars.half_up(F.col("ok") / F.col("n") * 100).alias("accuracy"), "avoided_c")
 
 
 def eod_digest(spark: SparkSession, d: str) -> DataFrame:
     """Each user's holdings at the last close of the data against the close a day before, in cents."""
     daily = market.bars(src.ticks(spark, d), "1 day")
-    last = market.latest_k(daily, "ticker", 2, "bar_ts").groupBy("ticker").agg(F.max(F.when(F.col("n") == 1, F.col("close"))).alias("now"), F.max(F.when(F.col("n") == 2, F.col("close"))).alias("before"))
+    last = market.latest_k(daily, "ticker", 2, "bar_ts").groupBy("ticker").agg(
+        F.max(F.when(F.col("n") == 1, F.col("close"))).alias("now"),
+        F.max(F.when(F.col("n") == 2, F.col("close"))).alias("before"),
+    )
     held = positions.average_cost(src.trades(spark, d)).where("quantity > 0").join(last, "ticker")
     day = F.floor(F.col("quantity") * (F.col("now") - F.col("before")) * 100 + 0.5)
-    return held.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(day).alias("day_pnl_c"), F.sum(F.floor(F.col("quantity") * F.col("now") * 100 + 0.5)).alias("value_c"))
+    return held.groupBy("user_id").agg(
+        F.count("*").alias("n"),
+        F.sum(day).alias("day_pnl_c"),
+        F.sum(F.floor(F.col("quantity") * F.col("now") * 100 + 0.5)).alias("value_c"),
+    )
 
 
 def rag_top5(spark: SparkSession, d: str) -> DataFrame:
@@ -88,13 +121,25 @@ def rag_top5(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Alerts beyond the monitor's checks, and their priorities.
-MORE_ALERTS = {"SENTIMENT_SURGE": "MEDIUM", "CONCENTRATION_RISK": "LOW", "SECTOR_OVERWEIGHT": "LOW", "HIGH_52W": "INFO", "LOW_52W": "INFO", "PORTFOLIO_FLAT": "INFO"}
+MORE_ALERTS = {
+    "SENTIMENT_SURGE": "MEDIUM",
+    "CONCENTRATION_RISK": "LOW",
+    "SECTOR_OVERWEIGHT": "LOW",
+    "HIGH_52W": "INFO",
+    "LOW_52W": "INFO",
+    "PORTFOLIO_FLAT": "INFO",
+}
 
 
 def more_alerts(spark: SparkSession, d: str) -> DataFrame:
     """alert_type, user_id (null: all), subject, priority: a score up by over 0.4 in two hours, a stock over 30 % or a sector over
     40 % of a user's holdings, a series at its 52-week high or low on its last day, a user without alerts for a week."""
-    made = lambda rows, kind, user, subject: rows.select(F.lit(kind).alias("alert_type"), user.cast("bigint").alias("user_id"), subject.alias("subject"), F.lit(MORE_ALERTS[kind]).alias("priority"))
+    made = lambda rows, kind, user, subject: rows.select(
+        F.lit(kind).alias("alert_type"),
+        user.cast("bigint").alias("user_id"),
+        subject.alias("subject"),
+        F.lit(MORE_ALERTS[kind]).alias("priority"),
+    )
     all_users, user = F.lit(None), F.col("user_id")
     series = high_low_52w(spark, d)
     last = series.groupBy("key").agg(F.max_by(F.struct("value", "high_52w", "low_52w"), "d").alias("l")).select("key", "l.*")
@@ -110,7 +155,21 @@ def more_alerts(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-QUERIES = {f.__name__: f for f in (more_alerts, high_low_52w, rolling_sharpe, var_daily, sentiment_decayed, sentiment_delta_2h, signal_outcome, signal_accuracy, eod_digest, rag_top5)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        more_alerts,
+        high_low_52w,
+        rolling_sharpe,
+        var_daily,
+        sentiment_decayed,
+        sentiment_delta_2h,
+        signal_outcome,
+        signal_accuracy,
+        eod_digest,
+        rag_top5,
+    )
+}
 
 _DAILY = "SELECT ticker, time_bucket(INTERVAL '1 day', ts) AS bar_ts, arg_max(price, (ts, event_id)) AS close FROM v_ticks GROUP BY 1, 2"
 _RETURNS = f"SELECT ticker, bar_ts, close / before - 1 AS ret FROM (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY bar_ts) AS before FROM ({_DAILY})) WHERE before > 0"
@@ -118,15 +177,29 @@ _OUTCOMES = """WITH s AS (SELECT *, created_at + INTERVAL 7 DAYS AS ts FROM v_si
 j AS (SELECT s.id, s.signal, s.price_at_signal AS b, CASE WHEN s.ts <= (SELECT max(ts) FROM v_ticks) THEN p.price END AS a FROM s ASOF LEFT JOIN p ON p.ticker = s.ticker AND s.ts >= p.ts),
 o AS (SELECT *, CASE WHEN a IS NULL THEN NULL WHEN CASE signal WHEN 'BUY' THEN a > b WHEN 'SELL' THEN a < b ELSE abs(a - b) * 100 <= b * 2 END THEN 'CORRECT' ELSE 'WRONG' END AS outcome FROM j) """
 SQL = {
-    "high_low_52w": "SELECT key, d, value, max(value) OVER w AS high_52w, min(value) OVER w AS low_52w FROM (SELECT o_orderpriority AS key, o_orderdate AS d, max(o_totalprice) AS value FROM orders GROUP BY 1, 2) WINDOW w AS (PARTITION BY key ORDER BY d RANGE BETWEEN INTERVAL 364 DAYS PRECEDING AND CURRENT ROW)",
-    "rolling_sharpe": f"SELECT ticker, bar_ts, floor((s / 10.0::DOUBLE) / sqrt((CASE WHEN q * 10 - s * s > 0 THEN q * 10 - s * s END) / 90.0::DOUBLE) * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS sharpe FROM (SELECT ticker, bar_ts, count(*) OVER w AS n, CAST(sum(r) OVER w AS BIGINT) AS s, CAST(sum(r * r) OVER w AS BIGINT) AS q FROM (SELECT ticker, bar_ts, CAST(floor(ret * 1000000.0::DOUBLE + 0.5) AS BIGINT) AS r FROM ({_RETURNS})) WINDOW w AS (PARTITION BY ticker ORDER BY bar_ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) WHERE n = 10",
-    "var_daily": f"SELECT ticker, floor(ret * 1000000000.0::DOUBLE + 0.5) / 1000000000.0::DOUBLE AS var_5, ret >= -0.15 AS within FROM (SELECT ticker, ret, row_number() OVER (PARTITION BY ticker ORDER BY ret, bar_ts) AS n, count(*) OVER (PARTITION BY ticker) AS total FROM ({_RETURNS})) WHERE n = ceil(total * 0.05::DOUBLE)",
-    "sentiment_decayed": "WITH w AS (SELECT ticker, score, pow(2.0::DOUBLE, -((epoch((SELECT max(ts) FROM v_sentiment)) - epoch(ts)) / 3600.0::DOUBLE) / 4) * ([1.0::DOUBLE, 0.7::DOUBLE, 0.4::DOUBLE])[CAST(substr(source, 4) AS INT) % 3 + 1] AS w FROM v_sentiment), s AS (SELECT ticker, count(*) AS n_articles, CAST(sum(CAST(floor(w * 1000000000.0::DOUBLE + 0.5) AS BIGINT)) AS BIGINT) AS w, CAST(sum(CAST(floor(w * score * 1000000000.0::DOUBLE + 0.5) AS BIGINT)) AS BIGINT) AS ws FROM w GROUP BY ticker) SELECT ticker, n_articles, CASE WHEN w > 0 THEN CAST(floor(ws / w::DOUBLE * 1000000.0::DOUBLE + 0.5) AS BIGINT) END AS score_e6, n_articles < 5 AS low_confidence FROM s",
-    "sentiment_delta_2h": "SELECT id, score - max(score) OVER w < -0.4 AS crash, score - min(score) OVER w > 0.4 AS surge FROM v_sentiment WINDOW w AS (PARTITION BY ticker ORDER BY ts RANGE BETWEEN INTERVAL 2 HOURS PRECEDING AND CURRENT ROW)",
+    "high_low_52w": (
+        "SELECT key, d, value, max(value) OVER w AS high_52w, min(value) OVER w AS low_52w FROM (SELECT o_orderpriority AS key, " "o_orderdate AS d, max(o_totalprice) AS value FROM orders GROUP BY 1, 2) WINDOW w AS (PARTITION BY key ORDER BY d RANGE BETWEEN " "INTERVAL 364 DAYS PRECEDING AND CURRENT ROW)"
+    ),
+    "rolling_sharpe": (
+        f"SELECT ticker, bar_ts, floor((s / 10.0::DOUBLE) / sqrt((CASE WHEN q * 10 - s * s > 0 THEN q * 10 - s * s END) / 90.0::DOUBLE) * " f"1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS sharpe FROM (SELECT ticker, bar_ts, count(*) OVER w AS n, CAST(sum(r) OVER w AS " f"BIGINT) AS s, CAST(sum(r * r) OVER w AS BIGINT) AS q FROM (SELECT ticker, bar_ts, CAST(floor(ret * 1000000.0::DOUBLE + 0.5) AS " f"BIGINT) AS r FROM ({_RETURNS})) WINDOW w AS (PARTITION BY ticker ORDER BY bar_ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) " f"WHERE n = 10"
+    ),
+    "var_daily": (
+        f"SELECT ticker, floor(ret * 1000000000.0::DOUBLE + 0.5) / 1000000000.0::DOUBLE AS var_5, ret >= -0.15 AS within FROM (SELECT " f"ticker, ret, row_number() OVER (PARTITION BY ticker ORDER BY ret, bar_ts) AS n, count(*) OVER (PARTITION BY ticker) AS total " f"FROM ({_RETURNS})) WHERE n = ceil(total * 0.05::DOUBLE)"
+    ),
+    "sentiment_decayed": (
+        "WITH w AS (SELECT ticker, score, pow(2.0::DOUBLE, -((epoch((SELECT max(ts) FROM v_sentiment)) - epoch(ts)) / 3600.0::DOUBLE) / 4) " "* ([1.0::DOUBLE, 0.7::DOUBLE, 0.4::DOUBLE])[CAST(substr(source, 4) AS INT) % 3 + 1] AS w FROM v_sentiment), s AS (SELECT ticker, " "count(*) AS n_articles, CAST(sum(CAST(floor(w * 1000000000.0::DOUBLE + 0.5) AS BIGINT)) AS BIGINT) AS w, CAST(sum(CAST(floor(w * " "score * 1000000000.0::DOUBLE + 0.5) AS BIGINT)) AS BIGINT) AS ws FROM w GROUP BY ticker) SELECT ticker, n_articles, CASE WHEN w > " "0 THEN CAST(floor(ws / w::DOUBLE * 1000000.0::DOUBLE + 0.5) AS BIGINT) END AS score_e6, n_articles < 5 AS low_confidence FROM s"
+    ),
+    "sentiment_delta_2h": (
+        "SELECT id, score - max(score) OVER w < -0.4 AS crash, score - min(score) OVER w > 0.4 AS surge FROM v_sentiment WINDOW w AS " "(PARTITION BY ticker ORDER BY ts RANGE BETWEEN INTERVAL 2 HOURS PRECEDING AND CURRENT ROW)"
+    ),
     "signal_outcome": _OUTCOMES + "SELECT id, signal, outcome, a AS outcome_price FROM o",
     "signal_accuracy": _OUTCOMES + "SELECT signal, count(*) AS n, floor(sum(CASE WHEN outcome = 'CORRECT' THEN 1 ELSE 0 END)::DOUBLE / count(*) * 100 * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS accuracy, CAST(sum(CASE WHEN outcome = 'CORRECT' AND signal = 'SELL' THEN CAST(round(b * 100) AS BIGINT) - CAST(round(a * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS avoided_c FROM o WHERE outcome IS NOT NULL GROUP BY signal",
-    "eod_digest": f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY bar_ts DESC) AS n FROM ({_DAILY})), l AS (SELECT ticker, max(CASE WHEN n = 1 THEN close END) AS now_, max(CASE WHEN n = 2 THEN close END) AS before_ FROM k GROUP BY ticker) SELECT user_id, count(*) AS n, CAST(sum(CAST(floor(quantity * (now_ - before_) * 100 + 0.5) AS BIGINT)) AS BIGINT) AS day_pnl_c, CAST(sum(CAST(floor(quantity * now_ * 100 + 0.5) AS BIGINT)) AS BIGINT) AS value_c FROM v_open JOIN l USING (ticker) GROUP BY user_id",
-    "rag_top5": "WITH q AS (SELECT [CAST(x AS DOUBLE) for x in embedding] AS q FROM embeddings WHERE vec_id = 3), r AS (SELECT vec_id AS id, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings WHERE vec_id <> 3) SELECT id, floor(list_inner_product(v, q) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q))) * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS cosine FROM r, q ORDER BY cosine DESC, id LIMIT 5",
+    "eod_digest": (
+        f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY bar_ts DESC) AS n FROM ({_DAILY})), l AS (SELECT ticker, " f"max(CASE WHEN n = 1 THEN close END) AS now_, max(CASE WHEN n = 2 THEN close END) AS before_ FROM k GROUP BY ticker) SELECT " f"user_id, count(*) AS n, CAST(sum(CAST(floor(quantity * (now_ - before_) * 100 + 0.5) AS BIGINT)) AS BIGINT) AS day_pnl_c, " f"CAST(sum(CAST(floor(quantity * now_ * 100 + 0.5) AS BIGINT)) AS BIGINT) AS value_c FROM v_open JOIN l USING (ticker) GROUP BY " f"user_id"
+    ),
+    "rag_top5": (
+        "WITH q AS (SELECT [CAST(x AS DOUBLE) for x in embedding] AS q FROM embeddings WHERE vec_id = 3), r AS (SELECT vec_id AS id, " "[CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings WHERE vec_id <> 3) SELECT id, floor(list_inner_product(v, q) / " "(sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q))) * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS cosine FROM " "r, q ORDER BY cosine DESC, id LIMIT 5"
+    ),
 }
 
 _LAST = f"(SELECT key, arg_max(value, d) AS value, arg_max(high_52w, d) AS high_52w, arg_max(low_52w, d) AS low_52w FROM ({SQL['high_low_52w']}) GROUP BY key)"

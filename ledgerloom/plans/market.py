@@ -21,7 +21,13 @@ def live_price_fresh(spark: SparkSession, d: str) -> DataFrame:
 
 def latest_price(spark: SparkSession, d: str) -> DataFrame:
     """Quotes exist for tickers of even numbers, one of them 0; the others take the last hourly close."""
-    quotes = live_price(spark, d).select("ticker", F.when(F.substring("ticker", 2, 9).cast("int") % 2 == 0, F.when(F.col("ticker") == "T4", 0.0).otherwise(F.col("price"))).alias("quote"))
+    quotes = live_price(spark, d).select(
+        "ticker",
+        F.when(
+            F.substring("ticker", 2, 9).cast("int") % 2 == 0,
+            F.when(F.col("ticker") == "T4", 0.0).otherwise(F.col("price")),
+        ).alias("quote"),
+    )
     return market.latest_price(quotes, market.bars(src.ticks(spark, d), "1 hour"))
 
 
@@ -78,29 +84,74 @@ def ticker_class(spark: SparkSession, d: str) -> DataFrame:
     return held.unionByName(known).select("ticker", scalars.ticker_class(F.col("ticker")).alias("kind"))
 
 
-QUERIES = {f.__name__: f for f in (live_price, live_price_fresh, latest_price, ohlcv_insert_if_absent, tracked_tickers, tracked_tickers_default, asof_price, market_hours_ticks, market_hours_minute, latest_k_bars, chart_buffer, ticker_class)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        live_price,
+        live_price_fresh,
+        latest_price,
+        ohlcv_insert_if_absent,
+        tracked_tickers,
+        tracked_tickers_default,
+        asof_price,
+        market_hours_ticks,
+        market_hours_minute,
+        latest_k_bars,
+        chart_buffer,
+        ticker_class,
+    )
+}
 QUERIES |= {"ohlcv_bars_1d": _bars("1 day"), "ohlcv_bars_1h": _bars("1 hour"), "ohlcv_bars_15m": _bars("15 minutes")}
 
 
 def _bar_sql(interval: str) -> str:
-    return f"SELECT ticker, time_bucket(INTERVAL '{interval}', ts) AS bar_ts, arg_min(price, (ts, event_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM v_ticks GROUP BY 1, 2"
+    return (
+        f"SELECT ticker, time_bucket(INTERVAL '{interval}', ts) AS bar_ts, arg_min(price, (ts, event_id)) AS open, max(price) AS high, "
+        f"min(price) AS low, arg_max(price, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM v_ticks GROUP BY 1, 2"
+    )
 
 
 _LOCAL = "(ts + INTERVAL 330 MINUTES)"
 SQL = {
     "live_price": "SELECT ticker, price FROM v_live",
-    "live_price_fresh": "SELECT ticker, arg_max(price, (ts, event_id)) AS price FROM v_ticks WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' AND ts > TIMESTAMP '2024-01-15 11:00:00' GROUP BY ticker",
-    "latest_price": f"WITH b AS ({_bar_sql('1 hour')}), c AS (SELECT ticker, arg_max(close, bar_ts) AS close FROM b GROUP BY ticker) SELECT l.ticker, CASE WHEN CAST(substr(l.ticker, 2) AS INT) % 2 = 0 AND l.ticker <> 'T4' AND l.price > 0 THEN l.price ELSE c.close END AS price FROM v_live l LEFT JOIN c ON c.ticker = l.ticker",
+    "live_price_fresh": (
+        "SELECT ticker, arg_max(price, (ts, event_id)) AS price FROM v_ticks WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' AND ts > "
+        "TIMESTAMP '2024-01-15 11:00:00' GROUP BY ticker"
+    ),
+    "latest_price": (
+        f"WITH b AS ({_bar_sql('1 hour')}), c AS (SELECT ticker, arg_max(close, bar_ts) AS close FROM b GROUP BY ticker) SELECT l.ticker, "
+        f"CASE WHEN CAST(substr(l.ticker, 2) AS INT) % 2 = 0 AND l.ticker <> 'T4' AND l.price > 0 THEN l.price ELSE c.close END AS price "
+        f"FROM v_live l LEFT JOIN c ON c.ticker = l.ticker"
+    ),
     "ohlcv_bars_1d": _bar_sql("1 day"),
     "ohlcv_bars_1h": _bar_sql("1 hour"),
     "ohlcv_bars_15m": _bar_sql("15 minutes"),
-    "ohlcv_insert_if_absent": f"SELECT ticker, bar_ts, CASE WHEN bar_ts < TIMESTAMP '2024-01-16' THEN 1.0::DOUBLE ELSE open END AS open, high, low, close, volume FROM ({_bar_sql('1 day')})",
+    "ohlcv_insert_if_absent": (
+        f"SELECT ticker, bar_ts, CASE WHEN bar_ts < TIMESTAMP '2024-01-16' THEN 1.0::DOUBLE ELSE open END AS open, high, low, close, "
+        f"volume FROM ({_bar_sql('1 day')})"
+    ),
     "tracked_tickers": "SELECT DISTINCT ticker FROM v_open UNION SELECT unnest(['^NSEI', '^BSESN'])",
     "tracked_tickers_default": "SELECT unnest(['RELIANCE.NS', 'TCS.NS', 'INFY.NS', '^NSEI', '^BSESN']) AS ticker",
-    "asof_price": "SELECT t.id, t.ticker, t.ts, p.price AS asof_price FROM (SELECT id, ticker, ts - INTERVAL 1 HOUR AS ts FROM v_trades) t ASOF LEFT JOIN (SELECT ticker, ts, arg_max(price, event_id) AS price FROM v_ticks GROUP BY ALL) p ON p.ticker = t.ticker AND t.ts >= p.ts",
-    "market_hours_ticks": f"SELECT event_id, ticker, ts, price FROM v_ticks WHERE isodow{_LOCAL} <= 5 AND hour{_LOCAL} * 3600 + minute{_LOCAL} * 60 + second{_LOCAL} BETWEEN 33300 AND 55800",
+    "asof_price": (
+        "SELECT t.id, t.ticker, t.ts, p.price AS asof_price FROM (SELECT id, ticker, ts - INTERVAL 1 HOUR AS ts FROM v_trades) t ASOF LEFT "
+        "JOIN (SELECT ticker, ts, arg_max(price, event_id) AS price FROM v_ticks GROUP BY ALL) p ON p.ticker = t.ticker AND t.ts >= p.ts"
+    ),
+    "market_hours_ticks": (
+        f"SELECT event_id, ticker, ts, price FROM v_ticks WHERE isodow{_LOCAL} <= 5 AND hour{_LOCAL} * 3600 + minute{_LOCAL} * 60 + "
+        f"second{_LOCAL} BETWEEN 33300 AND 55800"
+    ),
     "market_hours_minute": f"SELECT event_id, isodow{_LOCAL} <= 5 AND hour{_LOCAL} * 100 + minute{_LOCAL} BETWEEN 915 AND 1530 AS open FROM v_ticks",
-    "latest_k_bars": f"SELECT ticker, bar_ts, close, CAST(row_number() OVER (PARTITION BY ticker ORDER BY bar_ts DESC) AS INT) AS n FROM ({_bar_sql('1 hour')}) QUALIFY n <= 21",
-    "chart_buffer": "SELECT ticker, event_id, price FROM v_ticks QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, event_id DESC) <= 2000",
-    "ticker_class": "SELECT ticker, CASE WHEN starts_with(ticker, '^') THEN 'INDEX' WHEN ends_with(ticker, '.NS') THEN 'NSE' WHEN ends_with(ticker, '.BO') THEN 'BSE' ELSE 'OTHER' END AS kind FROM (SELECT DISTINCT ticker FROM v_trades UNION ALL SELECT unnest(['ITC.NS', 'LT.NS', 'ERING.NS', 'ONING.NS', 'THING.NS', '^NSEI', 'INFY.BO']))",
+    "latest_k_bars": (
+        f"SELECT ticker, bar_ts, close, CAST(row_number() OVER (PARTITION BY ticker ORDER BY bar_ts DESC) AS INT) AS n FROM "
+        f"({_bar_sql('1 hour')}) QUALIFY n <= 21"
+    ),
+    "chart_buffer": (
+        "SELECT ticker, event_id, price FROM v_ticks QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, event_id DESC) <= "
+        "2000"
+    ),
+    "ticker_class": (
+        "SELECT ticker, CASE WHEN starts_with(ticker, '^') THEN 'INDEX' WHEN ends_with(ticker, '.NS') THEN 'NSE' WHEN ends_with(ticker, "
+        "'.BO') THEN 'BSE' ELSE 'OTHER' END AS kind FROM (SELECT DISTINCT ticker FROM v_trades UNION ALL SELECT unnest(['ITC.NS', 'LT.NS', "
+        "'ERING.NS', 'ONING.NS', 'THING.NS', '^NSEI', 'INFY.BO']))"
+    ),
 }

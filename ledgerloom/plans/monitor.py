@@ -25,7 +25,14 @@ def sentiment_scores(spark: SparkSession, d: str) -> DataFrame:
     """id, ticker, ts, score, seq, source: one row for each article and mentioned ticker."""
     rows = news.scored_mentions(news.first_of_each(src.articles(spark, d)), list(src.KEYWORDS), src.LEXICON)
     place = F.array_position(F.array(*[F.lit(k) for k in src.KEYWORDS]), F.col("ticker"))
-    return rows.select((F.col("seq") * 16 + place).alias("id"), "ticker", F.coalesce("published", F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")).alias("ts"), "score", "seq", "source")
+    return rows.select(
+        (F.col("seq") * 16 + place).alias("id"),
+        "ticker",
+        F.coalesce("published", F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")).alias("ts"),
+        "score",
+        "seq",
+        "source",
+    )
 
 
 def _open(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +61,14 @@ def volume_spike_series(spark: SparkSession, d: str) -> DataFrame:
 def alert_messages(spark: SparkSession, d: str) -> DataFrame:
     """All six kinds of alerts of every open position, with their messages."""
     bars = walk_bars(spark, d)
-    return monitor.all_alerts(_open(spark, d), market.live_price(src.ticks(spark, d)), src.limits(spark, d), _ticker_number(spark, d), _last(monitor.rsi_series(bars), "rsi"), _last(monitor.volume_series(bars), "spike"))
+    return monitor.all_alerts(
+        _open(spark, d),
+        market.live_price(src.ticks(spark, d)),
+        src.limits(spark, d),
+        _ticker_number(spark, d),
+        _last(monitor.rsi_series(bars), "rsi"),
+        _last(monitor.volume_series(bars), "spike"),
+    )
 
 
 def _kinds(*kinds: str):
@@ -82,7 +96,11 @@ def ws_route(spark: SparkSession, d: str) -> DataFrame:
     user has two."""
     sessions = src.users(spark, d).select("id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("conn"))
     prices = market.live_price(src.ticks(spark, d)).select(F.lit("price_update").alias("event"), F.to_json(F.struct("ticker", "price")).alias("data"))
-    alerts = src.alert_log(spark, d).where("user_id > 0").select("user_id", F.lit("alert").alias("event"), F.to_json(F.struct(*src.ALERT_MESSAGE)).alias("data"))
+    alerts = src.alert_log(spark, d).where("user_id > 0").select(
+        "user_id",
+        F.lit("alert").alias("event"),
+        F.to_json(F.struct(*src.ALERT_MESSAGE)).alias("data"),
+    )
     if prices.limit(PRICES_MOST + 1).count() <= PRICES_MOST:  # every price goes to every connection: the output is their product
         prices = F.broadcast(prices)
     to_all = sessions.crossJoin(prices).select("id", "conn", "event", "data")
@@ -93,7 +111,14 @@ def alert_severity(spark: SparkSession, d: str) -> DataFrame:
     return src.alert_log(spark, d).select("id", scalars.alert_severity(F.col("alert_type")).alias("severity"))
 
 
-PRIORITIES = (("STOP_LOSS_BREACH", "CRITICAL", "SELL"), ("TARGET_HIT", "HIGH", "BOOK PROFIT"), ("SENTIMENT_CRASH", "HIGH", "CAUTION"), ("RSI_OVERBOUGHT", "MEDIUM", "SELL"), ("RSI_OVERSOLD", "MEDIUM", "ADD"), ("VOLUME_SPIKE", "MEDIUM", "INVESTIGATE"))
+PRIORITIES = (
+    ("STOP_LOSS_BREACH", "CRITICAL", "SELL"),
+    ("TARGET_HIT", "HIGH", "BOOK PROFIT"),
+    ("SENTIMENT_CRASH", "HIGH", "CAUTION"),
+    ("RSI_OVERBOUGHT", "MEDIUM", "SELL"),
+    ("RSI_OVERSOLD", "MEDIUM", "ADD"),
+    ("VOLUME_SPIKE", "MEDIUM", "INVESTIGATE"),
+)
 
 
 def alert_priority(spark: SparkSession, d: str) -> DataFrame:
@@ -136,12 +161,38 @@ def feedback_tuning(spark: SparkSession, d: str) -> DataFrame:
 def quiet_portfolios(spark: SparkSession, d: str) -> DataFrame:
     """Users without an alert in the week before January 30th."""
     at = F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")
-    recent = src.alert_log(spark, d).where((F.col("created_at") > at - F.expr("INTERVAL 7 DAYS")) & (F.col("created_at") <= at)).select(F.col("user_id").alias("id"))
+    recent = src.alert_log(spark, d).where(
+        (F.col("created_at") > at - F.expr("INTERVAL 7 DAYS")) & (F.col("created_at") <= at),
+    ).select(F.col("user_id").alias("id"))
     return src.users(spark, d).select("id").join(recent, "id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (rsi14_series, volume_spike_series, alert_messages, alerts_summary, alert_payload_json, ws_route, alert_severity, alert_priority, unread_count, unread_badge, mark_read, recent_alerts, feedback_owned, feedback_tuning, quiet_portfolios)}
-QUERIES |= {"alerts_stop_target": _kinds("STOP_LOSS_BREACH", "TARGET_HIT"), "alerts_sentiment_crash": _kinds("SENTIMENT_CRASH"), "alerts_rsi": _kinds("RSI_OVERBOUGHT", "RSI_OVERSOLD"), "alerts_volume": _kinds("VOLUME_SPIKE")}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        rsi14_series,
+        volume_spike_series,
+        alert_messages,
+        alerts_summary,
+        alert_payload_json,
+        ws_route,
+        alert_severity,
+        alert_priority,
+        unread_count,
+        unread_badge,
+        mark_read,
+        recent_alerts,
+        feedback_owned,
+        feedback_tuning,
+        quiet_portfolios,
+    )
+}
+QUERIES |= {
+    "alerts_stop_target": _kinds("STOP_LOSS_BREACH", "TARGET_HIT"),
+    "alerts_sentiment_crash": _kinds("SENTIMENT_CRASH"),
+    "alerts_rsi": _kinds("RSI_OVERBOUGHT", "RSI_OVERSOLD"),
+    "alerts_volume": _kinds("VOLUME_SPIKE"),
+}
 
 _RSI = """SELECT ticker, ts, event_id, CASE WHEN n = 14 AND l > 0 THEN 100 - 100 / (1 + (g / 14.0::DOUBLE) / (l / 14.0::DOUBLE)) END AS rsi FROM (
 SELECT ticker, ts, event_id, count(d) OVER w AS n, CAST(sum(CASE WHEN d > 0 THEN d ELSE 0 END) OVER w AS BIGINT) AS g, CAST(sum(CASE WHEN d < 0 THEN -d ELSE 0 END) OVER w AS BIGINT) AS l
@@ -181,13 +232,29 @@ SQL = {
 SELECT id, conn, 'price_update' AS event, '{"ticker":"' || ticker || '","price":' || price || '}' AS data FROM v_live, s
 UNION ALL SELECT s.id, conn, 'alert', '{"user_id":' || a.user_id || ',"alert_type":"' || alert_type || '","ticker":"' || ticker || '","message":"' || message || '","signal":"' || signal || '"}'
 FROM v_alerts a JOIN s ON s.id = a.user_id WHERE a.user_id > 0""",
-    "alert_severity": "SELECT id, CASE WHEN contains(alert_type, 'STOP_LOSS') OR contains(alert_type, 'CRASH') THEN 'red' WHEN contains(alert_type, 'TARGET') OR contains(alert_type, 'BUY') THEN 'green' ELSE 'amber' END AS severity FROM v_alerts",
-    "alert_priority": "SELECT id, p.priority, p.action FROM v_alerts a LEFT JOIN (VALUES " + ", ".join(str(p) for p in PRIORITIES) + ") p(alert_type, priority, action) ON p.alert_type = a.alert_type",
+    "alert_severity": (
+        "SELECT id, CASE WHEN contains(alert_type, 'STOP_LOSS') OR contains(alert_type, 'CRASH') THEN 'red' WHEN contains(alert_type, "
+        "'TARGET') OR contains(alert_type, 'BUY') THEN 'green' ELSE 'amber' END AS severity FROM v_alerts"
+    ),
+    "alert_priority": "SELECT id, p.priority, p.action FROM v_alerts a LEFT JOIN (VALUES " + ", ".join(
+        str(p)
+        for p in PRIORITIES
+    ) + ") p(alert_type, priority, action) ON p.alert_type = a.alert_type",
     "unread_count": "SELECT user_id, count(*) AS n FROM v_alerts WHERE NOT is_read GROUP BY user_id",
-    "unread_badge": "SELECT user_id, CASE WHEN count(*) > 99 THEN '99+' ELSE CAST(count(*) AS VARCHAR) END AS badge FROM v_alerts WHERE NOT is_read GROUP BY user_id",
+    "unread_badge": (
+        "SELECT user_id, CASE WHEN count(*) > 99 THEN '99+' ELSE CAST(count(*) AS VARCHAR) END AS badge FROM v_alerts WHERE NOT is_read "
+        "GROUP BY user_id"
+    ),
     "mark_read": "SELECT id, user_id, CASE WHEN user_id = 7 AND id % 2 = 1 THEN true ELSE is_read END AS is_read FROM v_alerts",
     "recent_alerts": "SELECT id, ticker, alert_type, created_at FROM v_alerts WHERE user_id = 7 ORDER BY created_at DESC, id DESC LIMIT 30",
     "feedback_owned": "SELECT f.alert_id, f.user_id, f.is_positive FROM v_feedback f JOIN v_alerts a ON a.id = f.alert_id AND a.user_id = f.user_id",
-    "feedback_tuning": "SELECT alert_type, count(*) AS n, CAST(sum(CASE WHEN is_positive THEN 0 ELSE 1 END) AS BIGINT) AS bad, CASE WHEN count(*) >= 100 AND sum(CASE WHEN is_positive THEN 0 ELSE 1 END) * 100 >= count(*) * 70 THEN 80 ELSE 75 END AS threshold FROM v_feedback GROUP BY alert_type",
-    "quiet_portfolios": "SELECT id FROM v_users WHERE id NOT IN (SELECT user_id FROM v_alerts WHERE created_at > TIMESTAMP '2024-01-23' AND created_at <= TIMESTAMP '2024-01-30')",
+    "feedback_tuning": (
+        "SELECT alert_type, count(*) AS n, CAST(sum(CASE WHEN is_positive THEN 0 ELSE 1 END) AS BIGINT) AS bad, CASE WHEN count(*) >= 100 "
+        "AND sum(CASE WHEN is_positive THEN 0 ELSE 1 END) * 100 >= count(*) * 70 THEN 80 ELSE 75 END AS threshold FROM v_feedback GROUP BY "
+        "alert_type"
+    ),
+    "quiet_portfolios": (
+        "SELECT id FROM v_users WHERE id NOT IN (SELECT user_id FROM v_alerts WHERE created_at > TIMESTAMP '2024-01-23' AND created_at <= "
+        "TIMESTAMP '2024-01-30')"
+    ),
 }

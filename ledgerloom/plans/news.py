@@ -56,7 +56,11 @@ def article_text(spark: SparkSession, d: str) -> DataFrame:
     """Title and description of conversations' turns as articles: a null one is the word None."""
     title = F.when(F.col("turn") % 3 != 0, F.col("role"))
     description = F.when(F.col("turn") % 2 == 0, F.col("text"))
-    return src.read(spark, d, "conversations").select("conv_id", "turn", F.concat(F.coalesce(title, F.lit("None")), F.lit(". "), F.coalesce(description, F.lit("None"))).alias("article"))
+    return src.read(spark, d, "conversations").select(
+        "conv_id",
+        "turn",
+        F.concat(F.coalesce(title, F.lit("None")), F.lit(". "), F.coalesce(description, F.lit("None"))).alias("article"),
+    )
 
 
 def lexicon_score(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +105,28 @@ def chat_last10(spark: SparkSession, d: str) -> DataFrame:
     return market.latest_k(rows, "conv_id", 10, "turn").select("conv_id", "turn", "role")
 
 
-QUERIES = {f.__name__: f for f in (articles_union, dedupe_md5, articles_per_source, rss_recent, clean_text, mention_match, news_top10_per_ticker, key_round_robin, article_text, lexicon_score, lexicon_table_score, softmax_net_score, sentiment_band, lang_filter, strip_html, dedupe_url, chat_last10)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        articles_union,
+        dedupe_md5,
+        articles_per_source,
+        rss_recent,
+        clean_text,
+        mention_match,
+        news_top10_per_ticker,
+        key_round_robin,
+        article_text,
+        lexicon_score,
+        lexicon_table_score,
+        softmax_net_score,
+        sentiment_band,
+        lang_filter,
+        strip_html,
+        dedupe_url,
+        chat_last10,
+    )
+}
 
 _LOGITS = "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings"
 SQL = {
@@ -111,13 +136,28 @@ SQL = {
     "rss_recent": "SELECT seq, published FROM v_articles WHERE published IS NULL OR published >= TIMESTAMP '2024-01-29 22:00:00'",
     "clean_text": "SELECT seq, clean FROM v_clean",
     "mention_match": "SELECT a.seq, k.ticker FROM v_dedup a JOIN v_keywords k ON contains(upper(a.text), k.keyword)",
-    "news_top10_per_ticker": "SELECT k.ticker, a.seq, CAST(row_number() OVER (PARTITION BY k.ticker ORDER BY a.published DESC NULLS LAST, a.seq) AS INT) AS n FROM v_articles a JOIN v_keywords k ON contains(upper(a.text), k.keyword) WHERE NOT starts_with(k.ticker, '^') QUALIFY n <= 10",
-    "key_round_robin": "SELECT * FROM (VALUES ('ITC', 'key-a'), ('LT', 'key-b'), ('ERING', 'key-c'), ('ONING', 'key-a'), ('THING', 'key-b')) t(query, api_key)",
-    "article_text": "SELECT conv_id, turn, coalesce(CASE WHEN turn % 3 <> 0 THEN role END, 'None') || '. ' || coalesce(CASE WHEN turn % 2 = 0 THEN text END, 'None') AS article FROM conversations",
+    "news_top10_per_ticker": (
+        "SELECT k.ticker, a.seq, CAST(row_number() OVER (PARTITION BY k.ticker ORDER BY a.published DESC NULLS LAST, a.seq) AS INT) AS n "
+        "FROM v_articles a JOIN v_keywords k ON contains(upper(a.text), k.keyword) WHERE NOT starts_with(k.ticker, '^') QUALIFY n <= 10"
+    ),
+    "key_round_robin": (
+        "SELECT * FROM (VALUES ('ITC', 'key-a'), ('LT', 'key-b'), ('ERING', 'key-c'), ('ONING', 'key-a'), ('THING', 'key-b')) t(query, "
+        "api_key)"
+    ),
+    "article_text": (
+        "SELECT conv_id, turn, coalesce(CASE WHEN turn % 3 <> 0 THEN role END, 'None') || '. ' || coalesce(CASE WHEN turn % 2 = 0 THEN "
+        "text END, 'None') AS article FROM conversations"
+    ),
     "lexicon_score": "SELECT seq, floor(score * 1000000000.0::DOUBLE + 0.5) / 1000000000.0::DOUBLE AS score, 0.5::DOUBLE AS confidence FROM v_scored",
     "lexicon_table_score": "SELECT seq, floor(score * 1000000000.0::DOUBLE + 0.5) / 1000000000.0::DOUBLE AS score FROM v_scored",
-    "softmax_net_score": f"SELECT vec_id, floor((exp(a - m) - exp(b - m)) / (exp(a - m) + exp(b - m) + exp(c - m)) * 1000000000.0::DOUBLE + 0.5) / 1000000000.0::DOUBLE AS net FROM (SELECT *, greatest(a, b, c) AS m FROM ({_LOGITS}))",
-    "sentiment_band": "SELECT id, CASE WHEN score >= 0.6 THEN 'BULLISH' WHEN score >= 0.2 THEN 'MILDLY_BULLISH' WHEN score >= -0.2 THEN 'NEUTRAL' WHEN score >= -0.6 THEN 'MILDLY_BEARISH' ELSE 'BEARISH' END AS band FROM v_sentiment",
+    "softmax_net_score": (
+        f"SELECT vec_id, floor((exp(a - m) - exp(b - m)) / (exp(a - m) + exp(b - m) + exp(c - m)) * 1000000000.0::DOUBLE + 0.5) / "
+        f"1000000000.0::DOUBLE AS net FROM (SELECT *, greatest(a, b, c) AS m FROM ({_LOGITS}))"
+    ),
+    "sentiment_band": (
+        "SELECT id, CASE WHEN score >= 0.6 THEN 'BULLISH' WHEN score >= 0.2 THEN 'MILDLY_BULLISH' WHEN score >= -0.2 THEN 'NEUTRAL' WHEN "
+        "score >= -0.6 THEN 'MILDLY_BEARISH' ELSE 'BEARISH' END AS band FROM v_sentiment"
+    ),
     "lang_filter": "SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'hi')",
     "strip_html": r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g'), ' ') AS text FROM pages",
     "dedupe_url": "SELECT regexp_replace(url, '[?#].*$', '') AS address, min(page_id) AS page_id FROM pages GROUP BY 1",

@@ -49,9 +49,20 @@ def portfolio_value(spark: SparkSession, d: str) -> DataFrame:
 def dashboard_summary(spark: SparkSession, d: str) -> DataFrame:
     live = _live(spark, d).select("ticker", F.nullif("price", F.lit(0.0)).alias("price"))
     cents = lambda c: F.sum(F.floor(F.col(c) * 100 + 0.5))
-    sums = positions.valued(_positions(spark, d), live).groupBy("user_id").agg(cents("invested").alias("i"), cents("current_value").alias("v"), F.count("*").alias("n_positions"))
+    sums = positions.valued(_positions(spark, d), live).groupBy("user_id").agg(
+        cents("invested").alias("i"),
+        cents("current_value").alias("v"),
+        F.count("*").alias("n_positions"),
+    )
     pct = F.when(F.col("i") > 0, scalars.half_up((F.col("v") - F.col("i")) / F.when(F.col("i") > 0, F.col("i")) * 100)).otherwise(0.0)
-    return sums.select("user_id", (F.col("i") / 100.0).alias("invested"), (F.col("v") / 100.0).alias("value"), ((F.col("v") - F.col("i")) / 100.0).alias("gain"), pct.alias("gain_pct"), "n_positions")
+    return sums.select(
+        "user_id",
+        (F.col("i") / 100.0).alias("invested"),
+        (F.col("v") / 100.0).alias("value"),
+        ((F.col("v") - F.col("i")) / 100.0).alias("gain"),
+        pct.alias("gain_pct"),
+        "n_positions",
+    )
 
 
 def holding_roi(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +97,12 @@ def sector_weight(spark: SparkSession, d: str) -> DataFrame:
 def limits_update(spark: SparkSession, d: str) -> DataFrame:
     """A request sets what it names and can't clear: users divisible by 5 ask for a stop of 9 and no target."""
     asked = F.when(F.col("user_id") % 5 == 0, F.lit(9.0))
-    return src.limits(spark, d).select("user_id", "ticker", F.coalesce(asked, "sl_pct").alias("sl_pct"), F.coalesce(F.lit(None).cast("double"), "tg_pct").alias("tg_pct"))
+    return src.limits(spark, d).select(
+        "user_id",
+        "ticker",
+        F.coalesce(asked, "sl_pct").alias("sl_pct"),
+        F.coalesce(F.lit(None).cast("double"), "tg_pct").alias("tg_pct"),
+    )
 
 
 def delete_holding_status(spark: SparkSession, d: str) -> DataFrame:
@@ -134,7 +150,13 @@ def running_cash(spark: SparkSession, d: str) -> DataFrame:
 def cash_asof(spark: SparkSession, d: str) -> DataFrame:
     """Each user's balance at each midnight after the first trade."""
     trades = src.trades(spark, d)
-    days = trades.select("user_id").distinct().crossJoin(F.broadcast(spark.range(1, 31).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).cast("timestamp_ntz").alias("ts"))))
+    days = trades.select("user_id").distinct().crossJoin(
+        F.broadcast(
+            spark.range(1, 31).select(
+                F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).cast("timestamp_ntz").alias("ts"),
+            ),
+        ),
+    )
     joined = market.as_of(days, hist.running_cash(trades, src.START_BALANCE), ["user_id"], "ts", ["cash_c"], "id")
     return joined.where("asof_cash_c IS NOT NULL").select("user_id", "ts", (F.col("asof_cash_c") / 100.0).alias("cash"))
 
@@ -163,7 +185,35 @@ def label_hue(spark: SparkSession, d: str) -> DataFrame:
     return src.users(spark, d).select("id", "name", scalars.hue(F.col("name")).alias("hue"))
 
 
-QUERIES = {f.__name__: f for f in (avg_cost_positions, open_positions, holdings_valuation, portfolio_value, dashboard_summary, holding_roi, holding_lookup, holdings_by_user, concentration, sector_weight, limits_update, delete_holding_status, user_upsert, fill_price, trade_validation, execute_trades, recent_trades, running_cash, cash_asof, history_grid, portfolio_history, history_interval, time_label, label_hue)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        avg_cost_positions,
+        open_positions,
+        holdings_valuation,
+        portfolio_value,
+        dashboard_summary,
+        holding_roi,
+        holding_lookup,
+        holdings_by_user,
+        concentration,
+        sector_weight,
+        limits_update,
+        delete_holding_status,
+        user_upsert,
+        fill_price,
+        trade_validation,
+        execute_trades,
+        recent_trades,
+        running_cash,
+        cash_asof,
+        history_grid,
+        portfolio_history,
+        history_interval,
+        time_label,
+        label_hue,
+    )
+}
 
 _VALUED = "SELECT p.user_id, p.ticker, quantity, avg_cost, coalesce(l.price, avg_cost) AS price, coalesce(l.price, avg_cost) * quantity AS current_value, avg_cost * quantity AS invested, coalesce(l.price, avg_cost) * quantity - avg_cost * quantity AS pnl, CASE WHEN avg_cost * quantity > 0 THEN (coalesce(l.price, avg_cost) * quantity - avg_cost * quantity) / (avg_cost * quantity) * 100 ELSE 0.0 END AS pnl_pct FROM v_open p LEFT JOIN v_live l ON l.ticker = p.ticker"
 _CASH = "SELECT id, user_id, ts, 10000000 + sum(CASE WHEN side = 'BUY' THEN -1 ELSE 1 END * CAST(round(quantity * fill_price * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, id) AS cash_c FROM v_trades"
@@ -212,25 +262,64 @@ SQL = {
     "avg_cost_positions": "SELECT user_id, ticker, quantity, avg_cost FROM v_positions",
     "open_positions": "SELECT user_id, ticker, quantity, avg_cost FROM v_open",
     "holdings_valuation": _VALUED,
-    "portfolio_value": f"SELECT user_id, CAST(sum(CAST(floor(current_value * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0 AS total_value FROM ({_VALUED}) GROUP BY user_id",
-    "dashboard_summary": f"WITH s AS (SELECT user_id, CAST(sum(CAST(floor(invested * 100 + 0.5) AS BIGINT)) AS BIGINT) AS i, CAST(sum(CAST(floor(current_value * 100 + 0.5) AS BIGINT)) AS BIGINT) AS v, count(*) AS n_positions FROM ({_VALUED.replace('v_live l', '(SELECT ticker, nullif(price, 0.0) AS price FROM v_live) l')}) GROUP BY user_id) SELECT user_id, i / 100.0::DOUBLE AS invested, v / 100.0::DOUBLE AS value, (v - i) / 100.0::DOUBLE AS gain, CASE WHEN i > 0 THEN floor((v - i) / i::DOUBLE * 100 * 100.0 + 0.5) / 100.0::DOUBLE ELSE 0.0 END AS gain_pct, n_positions FROM s",
-    "holding_roi": "SELECT p.user_id, p.ticker, floor((CASE WHEN avg_cost > 0 THEN (l.price - avg_cost) / avg_cost * 100 ELSE 0.0 END) * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS roi FROM v_open p JOIN v_live l ON l.ticker = p.ticker",
+    "portfolio_value": (
+        f"SELECT user_id, CAST(sum(CAST(floor(current_value * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100.0 AS total_value FROM ({_VALUED}) "
+        f"GROUP BY user_id"
+    ),
+    "dashboard_summary": (
+        f"WITH s AS (SELECT user_id, CAST(sum(CAST(floor(invested * 100 + 0.5) AS BIGINT)) AS BIGINT) AS i, "
+        f"CAST(sum(CAST(floor(current_value * 100 + 0.5) AS BIGINT)) AS BIGINT) AS v, count(*) AS n_positions FROM "
+        f"({_VALUED.replace('v_live l', '(SELECT ticker, nullif(price, 0.0) AS price FROM v_live) l')}) GROUP BY user_id) SELECT user_id, "
+        f"i / 100.0::DOUBLE AS invested, v / 100.0::DOUBLE AS value, (v - i) / 100.0::DOUBLE AS gain, CASE WHEN i > 0 THEN floor((v - i) / "
+        f"i::DOUBLE * 100 * 100.0 + 0.5) / 100.0::DOUBLE ELSE 0.0 END AS gain_pct, n_positions FROM s"
+    ),
+    "holding_roi": (
+        "SELECT p.user_id, p.ticker, floor((CASE WHEN avg_cost > 0 THEN (l.price - avg_cost) / avg_cost * 100 ELSE 0.0 END) * "
+        "100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS roi FROM v_open p JOIN v_live l ON l.ticker = p.ticker"
+    ),
     "holding_lookup": "SELECT user_id, ticker, quantity, avg_cost FROM v_positions WHERE user_id = 7 AND ticker = 'T3'",
     "holdings_by_user": "SELECT user_id, string_agg(ticker, ',' ORDER BY ticker) AS tickers, count(*) AS n FROM v_open GROUP BY user_id",
-    "concentration": f"WITH c AS (SELECT user_id, ticker, CAST(floor(current_value * 100 + 0.5) AS BIGINT) AS c FROM ({_VALUED})), t AS (SELECT *, CAST(sum(c) OVER (PARTITION BY user_id) AS BIGINT) AS t FROM c) SELECT user_id, ticker, floor(c / t::DOUBLE * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS share, c / t::DOUBLE > 0.3 AS over_cap FROM t",
-    "sector_weight": f"WITH c AS (SELECT user_id, 'S' || (CAST(substr(ticker, 2) AS INT) % 4) AS sector, CAST(sum(CAST(floor(current_value * 100 + 0.5) AS BIGINT)) AS BIGINT) AS c FROM ({_VALUED}) GROUP BY ALL), t AS (SELECT *, CAST(sum(c) OVER (PARTITION BY user_id) AS BIGINT) AS t FROM c) SELECT user_id, sector, floor(c / t::DOUBLE * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS weight, c / t::DOUBLE > 0.4 AS overweight FROM t",
+    "concentration": (
+        f"WITH c AS (SELECT user_id, ticker, CAST(floor(current_value * 100 + 0.5) AS BIGINT) AS c FROM ({_VALUED})), t AS (SELECT *, "
+        f"CAST(sum(c) OVER (PARTITION BY user_id) AS BIGINT) AS t FROM c) SELECT user_id, ticker, floor(c / t::DOUBLE * 1000000.0::DOUBLE "
+        f"+ 0.5) / 1000000.0::DOUBLE AS share, c / t::DOUBLE > 0.3 AS over_cap FROM t"
+    ),
+    "sector_weight": (
+        f"WITH c AS (SELECT user_id, 'S' || (CAST(substr(ticker, 2) AS INT) % 4) AS sector, CAST(sum(CAST(floor(current_value * 100 + 0.5) "
+        f"AS BIGINT)) AS BIGINT) AS c FROM ({_VALUED}) GROUP BY ALL), t AS (SELECT *, CAST(sum(c) OVER (PARTITION BY user_id) AS BIGINT) "
+        f"AS t FROM c) SELECT user_id, sector, floor(c / t::DOUBLE * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS weight, c / t::DOUBLE "
+        f"> 0.4 AS overweight FROM t"
+    ),
     "limits_update": "SELECT user_id, ticker, CASE WHEN user_id % 5 = 0 THEN 9.0::DOUBLE ELSE sl_pct END AS sl_pct, tg_pct FROM v_limits",
-    "delete_holding_status": "SELECT u.id AS user_id, t.ticker, CASE WHEN p.quantity IS NULL THEN 404 WHEN p.quantity > 0 THEN 400 ELSE 200 END AS status FROM v_users u CROSS JOIN (VALUES ('T0'), ('T1'), ('T2')) t(ticker) LEFT JOIN v_positions p ON p.user_id = u.id AND p.ticker = t.ticker",
-    "user_upsert": "WITH s AS (SELECT id, email, 5000.0::DOUBLE AS virtual_balance FROM v_users WHERE id % 2 = 1) SELECT * FROM s UNION ALL SELECT c_custkey, c_name || '@example.com', 100000.0::DOUBLE FROM customer WHERE c_name || '@example.com' NOT IN (SELECT email FROM s)",
-    "fill_price": "WITH f AS (SELECT id, side, quantity, CASE WHEN side = 'BUY' THEN fill_price * (1 + 0.0005::DOUBLE) ELSE fill_price * (1 - 0.0005::DOUBLE) END AS fill FROM v_trades) SELECT id, side, floor(fill * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS fill, floor((CASE WHEN side = 'BUY' THEN quantity * fill ELSE quantity * fill * (1 - 0.001::DOUBLE) END) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS amount FROM f",
-    "trade_validation": "SELECT id, CASE WHEN NOT quantity > 0 THEN 'BAD_QUANTITY' WHEN fill_price IS NULL OR NOT fill_price > 0 THEN 'NO_PRICE' WHEN side = 'BUY' AND 4000.0::DOUBLE < quantity * fill_price * (1 + 0.0005::DOUBLE) THEN 'BALANCE' WHEN side = 'BUY' AND quantity * fill_price * (1 + 0.0005::DOUBLE) / 4000.0::DOUBLE > 0.3 THEN 'STOCK_CAP' ELSE 'OK' END AS status FROM v_trades",
-    "execute_trades": _REPLAY
-    + """SELECT d.id, user_id, ticker, side, quantity, CASE WHEN u.id IS NOT NULL THEN fill_price END AS fill_price,
+    "delete_holding_status": (
+        "SELECT u.id AS user_id, t.ticker, CASE WHEN p.quantity IS NULL THEN 404 WHEN p.quantity > 0 THEN 400 ELSE 200 END AS status FROM "
+        "v_users u CROSS JOIN (VALUES ('T0'), ('T1'), ('T2')) t(ticker) LEFT JOIN v_positions p ON p.user_id = u.id AND p.ticker = t.ticker"
+    ),
+    "user_upsert": (
+        "WITH s AS (SELECT id, email, 5000.0::DOUBLE AS virtual_balance FROM v_users WHERE id % 2 = 1) SELECT * FROM s UNION ALL SELECT "
+        "c_custkey, c_name || '@example.com', 100000.0::DOUBLE FROM customer WHERE c_name || '@example.com' NOT IN (SELECT email FROM s)"
+    ),
+    "fill_price": (
+        "WITH f AS (SELECT id, side, quantity, CASE WHEN side = 'BUY' THEN fill_price * (1 + 0.0005::DOUBLE) ELSE fill_price * (1 - "
+        "0.0005::DOUBLE) END AS fill FROM v_trades) SELECT id, side, floor(fill * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS fill, "
+        "floor((CASE WHEN side = 'BUY' THEN quantity * fill ELSE quantity * fill * (1 - 0.001::DOUBLE) END) * 10000.0::DOUBLE + 0.5) / "
+        "10000.0::DOUBLE AS amount FROM f"
+    ),
+    "trade_validation": (
+        "SELECT id, CASE WHEN NOT quantity > 0 THEN 'BAD_QUANTITY' WHEN fill_price IS NULL OR NOT fill_price > 0 THEN 'NO_PRICE' WHEN side "
+        "= 'BUY' AND 4000.0::DOUBLE < quantity * fill_price * (1 + 0.0005::DOUBLE) THEN 'BALANCE' WHEN side = 'BUY' AND quantity * "
+        "fill_price * (1 + 0.0005::DOUBLE) / 4000.0::DOUBLE > 0.3 THEN 'STOCK_CAP' ELSE 'OK' END AS status FROM v_trades"
+    ),
+    "execute_trades": _REPLAY + """SELECT d.id, user_id, ticker, side, quantity, CASE WHEN u.id IS NOT NULL THEN fill_price END AS fill_price,
     CASE WHEN u.id IS NOT NULL THEN slippage END AS slippage, ts, CASE WHEN u.id IS NOT NULL THEN balance END AS virtual_balance_after,
     CASE WHEN u.id IS NOT NULL THEN status ELSE 'NO_USER' END AS status FROM done d LEFT JOIN v_users u ON u.id = d.user_id""",
     "recent_trades": "SELECT id, user_id, ticker, side, quantity, fill_price, ts FROM v_trades WHERE user_id = 7 ORDER BY ts DESC, id DESC LIMIT 50",
     "running_cash": f"SELECT id, user_id, CAST(cash_c AS DOUBLE) / 100.0 AS cash FROM ({_CASH})",
-    "cash_asof": f"WITH c AS ({_CASH}), days AS (SELECT user_id, ts FROM (SELECT DISTINCT user_id FROM v_trades), (SELECT CAST(DATE '2024-01-01' + CAST(i AS INT) AS TIMESTAMP) AS ts FROM range(1, 31) t(i))) SELECT d.user_id, d.ts, CAST(arg_max(cash_c, (c.ts, c.id)) AS DOUBLE) / 100.0 AS cash FROM days d JOIN c ON c.user_id = d.user_id AND c.ts <= d.ts GROUP BY ALL",
+    "cash_asof": (
+        f"WITH c AS ({_CASH}), days AS (SELECT user_id, ts FROM (SELECT DISTINCT user_id FROM v_trades), (SELECT CAST(DATE '2024-01-01' + "
+        f"CAST(i AS INT) AS TIMESTAMP) AS ts FROM range(1, 31) t(i))) SELECT d.user_id, d.ts, CAST(arg_max(cash_c, (c.ts, c.id)) AS "
+        f"DOUBLE) / 100.0 AS cash FROM days d JOIN c ON c.user_id = d.user_id AND c.ts <= d.ts GROUP BY ALL"
+    ),
     "history_grid": f"WITH hourly AS ({_HOURLY}), {_GRID} SELECT user_id, ts FROM grid",
     "portfolio_history": f"""WITH hourly AS ({_HOURLY}), {_GRID},
 numbered AS (SELECT user_id, ticker, id, ts, fill_price AS p, CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END AS d, row_number() OVER (PARTITION BY user_id, ticker ORDER BY ts, id) AS n FROM v_trades),
@@ -244,7 +333,10 @@ stock AS (SELECT user_id, ts, count(*) AS n_open, CAST(sum(c) AS BIGINT) AS stoc
 cash AS (SELECT user_id, ts, arg_max(cash_c, id) AS cash_c FROM ({_CASH}) GROUP BY ALL),
 total AS (SELECT g.user_id, g.ts, coalesce(s.n_open, 0) AS n_open, CAST(c.cash_c + coalesce(s.stock_c, 0) AS DOUBLE) / 100.0 AS total_value FROM grid g ASOF JOIN cash c ON c.user_id = g.user_id AND g.ts >= c.ts LEFT JOIN stock s ON s.user_id = g.user_id AND s.ts = g.ts)
 SELECT user_id, ts, n_open, total_value FROM (SELECT *, max(CASE WHEN n_open = 0 THEN ts END) OVER (PARTITION BY user_id) AS flat FROM total) WHERE flat IS NULL OR ts > flat""",
-    "history_interval": f"SELECT user_id, CASE WHEN floor((epoch(TIMESTAMP '{NOW}') - floor(epoch(min(ts)))) / 86400) > 7 THEN '1h' ELSE '15m' END AS interval FROM v_trades GROUP BY user_id",
+    "history_interval": (
+        f"SELECT user_id, CASE WHEN floor((epoch(TIMESTAMP '{NOW}') - floor(epoch(min(ts)))) / 86400) > 7 THEN '1h' ELSE '15m' END AS "
+        f"interval FROM v_trades GROUP BY user_id"
+    ),
     "time_label": "SELECT id, strftime(ts + INTERVAL 330 MINUTES, '%b %d %H:%M') AS label FROM v_trades",
     "label_hue": """SELECT id, name, abs(list_reduce(list_prepend(CAST(0 AS BIGINT), [CAST(ascii(c) AS BIGINT) for c in string_split(name, '')]),
     lambda h, c: c + xor((h * 32) & 4294967295, 2147483648) - 2147483648 - h) % 360) AS hue FROM v_users""",

@@ -29,7 +29,15 @@ def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
 def stream_execute_trades(spark: SparkSession, d: str) -> DataFrame:
     ticks = streams.tick_stream(spark, d).where(F.col("event_type").isin("purchase", "signup", "error"))
     side = F.when(F.col("event_type") == "error", "SELL").otherwise("BUY")
-    orders = ticks.select(F.col("event_id").alias("id"), "user_id", "ticker", side.alias("side"), (F.lit(1) + F.col("event_id") % 10).cast("double").alias("quantity"), "price", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    orders = ticks.select(
+        F.col("event_id").alias("id"),
+        "user_id",
+        "ticker",
+        side.alias("side"),
+        (F.lit(1) + F.col("event_id") % 10).cast("double").alias("quantity"),
+        "price",
+        F.col("ts").cast("timestamp_ntz").alias("ts"),
+    )
     table = src.ticks(spark, d).select("ticker", "ts", "event_id", "price")
     return streams.run_orders(orders, table, src.TRADING_BALANCE)
 
@@ -45,10 +53,17 @@ def stream_price_expiry(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (stream_ohlcv, stream_live_price, stream_dedupe, stream_alerts, stream_execute_trades, stream_price_expiry)}
 
 SQL = {
-    "stream_ohlcv": "SELECT ticker, time_bucket(INTERVAL '1 day', ts) AS bar_ts, arg_min(price, (ts, event_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM v_ticks GROUP BY 1, 2 HAVING time_bucket(INTERVAL '1 day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM v_ticks) - INTERVAL 1 HOUR",
+    "stream_ohlcv": (
+        "SELECT ticker, time_bucket(INTERVAL '1 day', ts) AS bar_ts, arg_min(price, (ts, event_id)) AS open, max(price) AS high, "
+        "min(price) AS low, arg_max(price, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM v_ticks GROUP BY 1, 2 HAVING "
+        "time_bucket(INTERVAL '1 day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM v_ticks) - INTERVAL 1 HOUR"
+    ),
     "stream_live_price": "SELECT ticker, price FROM v_live",
     "stream_dedupe": "SELECT DISTINCT md5(text) AS digest FROM documents",
     "stream_alerts": """SELECT user_id, '{"user_id":' || user_id || ',"alert_type":"' || alert_type || '","ticker":"' || ticker || '","message":"' || message || '","signal":"' || signal || '"}' AS payload FROM v_alerts WHERE user_id > 0""",
     "stream_execute_trades": portfolio.REPLAYED,
-    "stream_price_expiry": "SELECT ticker, arg_max(price, (ts, event_id)) AS price, max(ts) + INTERVAL 60 SECONDS >= (SELECT max(ts) FROM v_ticks) - INTERVAL 1 HOUR AS live FROM v_ticks GROUP BY ticker",
+    "stream_price_expiry": (
+        "SELECT ticker, arg_max(price, (ts, event_id)) AS price, max(ts) + INTERVAL 60 SECONDS >= (SELECT max(ts) FROM v_ticks) - INTERVAL "
+        "1 HOUR AS live FROM v_ticks GROUP BY ticker"
+    ),
 }

@@ -43,7 +43,14 @@ def feed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, ts (timestamp, so that it can carry a watermark), user_id, ticker, price, event_type."""
     k = F.get_json_object("props", "$.k").cast("int")
-    return feed(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.concat(F.lit("T"), (k % 20).cast("string")).alias("ticker"), F.col("value").alias("price"), "event_type")
+    return feed(spark, sf_dir, "events").select(
+        "event_id",
+        F.col("ts").cast("timestamp").alias("ts"),
+        "user_id",
+        F.concat(F.lit("T"), (k % 20).cast("string")).alias("ticker"),
+        F.col("value").alias("price"),
+        "event_type",
+    )
 
 
 def start_periodic(stream: DataFrame, folder: str, every: str) -> StreamingQuery:
@@ -56,7 +63,10 @@ def start_periodic(stream: DataFrame, folder: str, every: str) -> StreamingQuery
 def run_append(stream: DataFrame) -> DataFrame:
     """Rows of an append-mode query, exactly once, by the file sink."""
     spark, path = stream.sparkSession, shared_folder(stream.sparkSession)
-    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.format("parquet").option("path", f"{path}/out").option(
+        "checkpointLocation",
+        f"{path}/log",
+    ).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
@@ -69,7 +79,10 @@ def run_complete(stream: DataFrame) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{path}/out/{number}")
         seen.append(number)
 
-    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode("complete").foreachBatch(write).option(
+        "checkpointLocation",
+        f"{path}/log",
+    ).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out/{max(seen)}") if seen else spark.createDataFrame([], stream.schema)
 
 
@@ -77,7 +90,13 @@ def bars(ticks: DataFrame, interval: str) -> DataFrame:
     """Bars of closed windows only: a window closes when an event comes that is later than its end by DELAY."""
     at = F.struct("ts", "event_id")
     rows = ticks.withWatermark("ts", DELAY).groupBy("ticker", F.window("ts", interval).alias("w"))
-    made = rows.agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count("*").cast("double").alias("volume"))
+    made = rows.agg(
+        F.min_by("price", at).alias("open"),
+        F.max("price").alias("high"),
+        F.min("price").alias("low"),
+        F.max_by("price", at).alias("close"),
+        F.count("*").cast("double").alias("volume"),
+    )
     return made.select("ticker", F.col("w.start").cast("timestamp_ntz").alias("bar_ts"), "open", "high", "low", "close", "volume")
 
 
@@ -149,4 +168,10 @@ def expiring_prices(ticks: DataFrame, seconds: int = 60) -> DataFrame:
 
     rows = ticks.select("ticker", "price", "ts", "event_id").withWatermark("ts", DELAY)
     kept = "price double, ts timestamp, event_id bigint"
-    return rows.groupBy("ticker").applyInPandasWithState(step, "ticker string, price double, ts timestamp, live boolean", kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("ticker").applyInPandasWithState(
+        step,
+        "ticker string, price double, ts timestamp, live boolean",
+        kept,
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )

@@ -12,7 +12,10 @@ from ledgerloom.plans import market, monitor, news
 def test_chart_buffer_keeps_2000_ticks(spark, tmp_path):
     at = dt.datetime(2024, 1, 1)
     rows = [(i, at + dt.timedelta(seconds=i), 1, "view", 1.0, '{"k": 3}') for i in range(2100)]
-    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame(
+        rows,
+        "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    ).write.parquet(f"{tmp_path}/events.parquet")
     got = {r.event_id for r in market.chart_buffer(spark, str(tmp_path)).collect()}
     assert got == set(range(100, 2100))
 
@@ -40,7 +43,16 @@ def test_every_user_gets_messages(spark, small):
     prices = {r.ticker: r.price for r in market.live_price(spark, small).collect()}
     alerts = [r for r in monitor.src.alert_log(spark, small).collect() if r.user_id in users and r.user_id > 0]
     want = [(u, c, "price_update", f'{{"ticker":"{t}","price":{p}}}') for u in users for c in "ab" for t, p in prices.items()]
-    want += [(r.user_id, c, "alert", json.dumps({k: r[k] for k in ("user_id", "alert_type", "ticker", "message", "signal")}, separators=(",", ":"))) for r in alerts for c in "ab"]
+    want += [
+        (
+            r.user_id,
+            c,
+            "alert",
+            json.dumps({k: r[k] for k in ("user_id", "alert_type", "ticker", "message", "signal")}, separators=(",", ":")),
+        )
+        for r in alerts
+        for c in "ab"
+    ]
     assert sorted(tuple(r) for r in monitor.ws_route(spark, small).collect()) == sorted(want)
 
 

@@ -46,7 +46,10 @@ def test_limits_keep_what_is_not_asked(spark, advisor):
 
 def test_orders_send_balances(spark, advisor):
     user = advisor.users.first().id
-    orders = spark.createDataFrame([(1, user, "A", "BUY", 1.0, 10.0, dt.datetime(2024, 1, 1))], "id long, user_id long, ticker string, side string, quantity double, price double, ts timestamp_ntz")
+    orders = spark.createDataFrame(
+        [(1, user, "A", "BUY", 1.0, 10.0, dt.datetime(2024, 1, 1))],
+        "id long, user_id long, ticker string, side string, quantity double, price double, ts timestamp_ntz",
+    )
     payload = advisor.balance_events(advisor.order(orders)).first().payload
     assert payload.startswith('{"type":"balance_update","user_id":')
 
@@ -59,7 +62,10 @@ def test_wide_history(spark):
 def test_tables_are_created_appended_and_pruned(spark, tmp_path):
     root = str(tmp_path)
     schemas.create_tables(spark, root)
-    rows = spark.createDataFrame([("A", dt.datetime(2024, 1, d), 1.0, 2.0, 0.5, 1.5, 10.0) for d in (1, 2)], "ticker string, timestamp timestamp, open double, high double, low double, close double, volume double")
+    rows = spark.createDataFrame(
+        [("A", dt.datetime(2024, 1, d), 1.0, 2.0, 0.5, 1.5, 10.0) for d in (1, 2)],
+        "ticker string, timestamp timestamp, open double, high double, low double, close double, volume double",
+    )
     schemas.append(rows, root, "ohlcv_data")
     schemas.create_tables(spark, root)
     assert schemas.load(spark, root, "ohlcv_data").count() == 2
@@ -73,7 +79,10 @@ def test_restarted_streams_go_on(spark, tmp_path):
     for part in ([("a",), ("b",)], [("b",), ("c",)]):
         spark.createDataFrame(part, "text string").write.mode("append").parquet(source)
         stream = streams.unique_texts(spark.readStream.schema("text string").parquet(source))
-        q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
+        q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+            "checkpointLocation",
+            f"{tmp_path}/log",
+        ).trigger(availableNow=True).start()
         q.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
 

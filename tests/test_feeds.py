@@ -48,7 +48,12 @@ def test_price_frames_go_in_once(spark, tmp_path):
     for ticker, close in (("A.NS", 1.5), ("B.NS", 2.5)):
         folder = tmp_path / f"ticker={ticker}"
         folder.mkdir()
-        (folder / "1d.csv").write_text(f"Datetime,Open,High,Low,Close,Volume\n2024-01-29 00:00:00+05:30,1,2,0.5,{close},10\n2024-01-30 00:00:00+05:30,1,2,0.5,,10\nsoon,1,2,0.5,1,10\n")
+        (folder / "1d.csv").write_text(
+            (
+                f"Datetime,Open,High,Low,Close,Volume\n2024-01-29 00:00:00+05:30,1,2,0.5,{close},10\n2024-01-30 "
+                f"00:00:00+05:30,1,2,0.5,,10\nsoon,1,2,0.5,1,10\n"
+            ),
+        )
     rows = feeds.price_frames(spark, str(tmp_path))
     first = dt.datetime(2024, 1, 28, 18, 30)
     assert sorted((r.ticker, r.timestamp, r.close, r.volume) for r in rows.collect()) == [("A.NS", first, 1.5, 10.0), ("B.NS", first, 2.5, 10.0)]

@@ -25,7 +25,18 @@ def minutes(n: float) -> dt.datetime:
 
 def random_trades(n: int, seed: int) -> list[tuple]:
     r = random.Random(seed)
-    return [(i, r.randrange(6), f"T{r.randrange(4)}", r.choice(("BUY", "BUY", "SELL")), float(r.randrange(1, 6)), r.randrange(100, 9999) / 100, minutes(r.randrange(300))) for i in range(n)]
+    return [
+        (
+            i,
+            r.randrange(6),
+            f"T{r.randrange(4)}",
+            r.choice(("BUY", "BUY", "SELL")),
+            float(r.randrange(1, 6)),
+            r.randrange(100, 9999) / 100,
+            minutes(r.randrange(300)),
+        )
+        for i in range(n)
+    ]
 
 
 def folded(trades: list[tuple]) -> dict:
@@ -55,7 +66,12 @@ def test_history_is_the_sequential_replay(spark):
     trades = random_trades(60, 2)
     r = random.Random(3)
     prices = {(f"T{k}", minutes(m)): r.randrange(100, 9999) / 100 for k in range(4) for m in r.sample(range(0, 400), 25)}
-    got = history.history(spark.createDataFrame(trades, TRADES), spark.createDataFrame([(k, ts, p) for (k, ts), p in prices.items()], "ticker string, ts timestamp_ntz, close double"), 100000.0, "2024-02-01 00:00:00")
+    got = history.history(
+        spark.createDataFrame(trades, TRADES),
+        spark.createDataFrame([(k, ts, p) for (k, ts), p in prices.items()], "ticker string, ts timestamp_ntz, close double"),
+        100000.0,
+        "2024-02-01 00:00:00",
+    )
     want = []
     for u in {t[1] for t in trades}:
         own = sorted((t for t in trades if t[1] == u), key=lambda t: (t[6], t[0]))
@@ -93,7 +109,20 @@ def run_orders(spark, orders, balance=1000.0):
 
 
 def test_trade_rules_in_order(spark):
-    got = run_orders(spark, [("A", "HOLD", 1.0, 1.0), ("A", "BUY", 0.0, 1.0), ("A", "BUY", 1.0, None), ("A", "BUY", 10.0, 200.0), ("A", "BUY", 1.0, 400.0), ("A", "SELL", 1.0, 10.0), ("A", "BUY", 2.0, 100.0), ("A", "SELL", 3.0, 100.0), ("A", "SELL", 2.0, 100.0)])
+    got = run_orders(
+        spark,
+        [
+            ("A", "HOLD", 1.0, 1.0),
+            ("A", "BUY", 0.0, 1.0),
+            ("A", "BUY", 1.0, None),
+            ("A", "BUY", 10.0, 200.0),
+            ("A", "BUY", 1.0, 400.0),
+            ("A", "SELL", 1.0, 10.0),
+            ("A", "BUY", 2.0, 100.0),
+            ("A", "SELL", 3.0, 100.0),
+            ("A", "SELL", 2.0, 100.0),
+        ],
+    )
     assert [r.status for r in got] == ["BAD_SIDE", "BAD_QUANTITY", "NO_PRICE", "BALANCE", "STOCK_CAP", "OVERSELL", "OK", "OVERSELL", "OK"]
     fill = 100 * 1.0005
     after = 1000 - 2 * fill
@@ -150,7 +179,10 @@ def test_holdings_are_valued_at_live_prices(spark):
     an order, they are over it."""
     orders = [(1, 1, "T0", "BUY", 2.0, 100.0, minutes(0)), (2, 1, "T1", "BUY", 2.6, 110.0, minutes(2))]
     users = spark.createDataFrame([(1, 1000.0)], "user_id long, balance double")
-    made = lambda *ticks: spark.createDataFrame([(t, minutes(m), m, p) for t, m, p in ticks], "ticker string, ts timestamp_ntz, event_id long, price double")
+    made = lambda *ticks: spark.createDataFrame(
+        [(t, minutes(m), m, p) for t, m, p in ticks],
+        "ticker string, ts timestamp_ntz, event_id long, price double",
+    )
     run = lambda ticks: [r.status for r in sorted(trading.execute_trades(spark.createDataFrame(orders, ORDERS), users, ticks).collect())]
     assert run(made(("T0", 0, 100.0), ("T1", 2, 110.0))) == ["OK", "OK"]
     assert run(made(("T0", 0, 100.0), ("T0", 1, 1.0), ("T1", 2, 110.0))) == ["OK", "STOCK_CAP"]
@@ -187,7 +219,10 @@ def test_unknown_user(spark):
 
 
 def bars(spark, closes, volumes=None):
-    return spark.createDataFrame([("A", minutes(i), i, c, v) for i, (c, v) in enumerate(zip(closes, volumes or closes, strict=True))], "ticker string, ts timestamp_ntz, event_id long, close_c long, volume_c long")
+    return spark.createDataFrame(
+        [("A", minutes(i), i, c, v) for i, (c, v) in enumerate(zip(closes, volumes or closes, strict=True))],
+        "ticker string, ts timestamp_ntz, event_id long, close_c long, volume_c long",
+    )
 
 
 def last(df, column):
@@ -210,12 +245,18 @@ def test_volume_edges(spark):
 
 
 def test_stop_target_touch_and_null_limits(spark):
-    held = spark.createDataFrame([(1, "A", 1.0, 100.0), (2, "A", 1.0, 100.0), (3, "B", 1.0, 1.0)], "user_id long, ticker string, quantity double, avg_cost double")
+    held = spark.createDataFrame(
+        [(1, "A", 1.0, 100.0), (2, "A", 1.0, 100.0), (3, "B", 1.0, 1.0)],
+        "user_id long, ticker string, quantity double, avg_cost double",
+    )
     live = spark.createDataFrame([("A", 90.0)], "ticker string, price double")
     limit = spark.createDataFrame([(1, "A", 10.0, None), (2, "A", None, -10.0)], "user_id long, ticker string, sl_pct double, tg_pct double")
     empty = lambda c: spark.createDataFrame([], f"ticker string, {c}")
     got = monitor.all_alerts(held, live, limit, empty("change double"), empty("rsi double"), empty("spike boolean")).collect()
-    assert sorted((r.user_id, r.alert_type, r.message) for r in got) == [(1, "STOP_LOSS_BREACH", "A down from your buy price. Stop-loss at 90.00 breached."), (2, "TARGET_HIT", "A up from your buy price. Target at 90.00 hit.")]
+    assert sorted((r.user_id, r.alert_type, r.message) for r in got) == [
+        (1, "STOP_LOSS_BREACH", "A down from your buy price. Stop-loss at 90.00 breached."),
+        (2, "TARGET_HIT", "A up from your buy price. Target at 90.00 hit."),
+    ]
 
 
 def test_sentiment_change_needs_two(spark):
@@ -227,7 +268,10 @@ def test_sentiment_change_needs_two(spark):
 def test_market_hours(spark):
     utc = ["2024-01-01 03:44:59", "2024-01-01 03:45:00", "2024-01-01 10:00:00", "2024-01-01 10:00:01", "2024-01-06 05:00:00"]
     df = spark.createDataFrame([(dt.datetime.fromisoformat(t),) for t in utc], "ts timestamp_ntz")
-    assert [tuple(r) for r in df.select(scalars.market_open(F.col("ts")), scalars.market_open_minute(F.col("ts"))).collect()] == [(False, False), (True, True), (True, True), (False, True), (False, False)]
+    assert [
+        tuple(r)
+        for r in df.select(scalars.market_open(F.col("ts")), scalars.market_open_minute(F.col("ts"))).collect()
+    ] == [(False, False), (True, True), (True, True), (False, True), (False, False)]
 
 
 def test_news(spark):
