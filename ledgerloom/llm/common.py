@@ -17,7 +17,18 @@ from pyspark.sql import types as T
 #: Rows of an Arrow batch that are handled at once; bounds a worker's memory beside the batch itself.
 SLICE_ROWS = 512
 
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
+_ARROW = {
+    "bigint": pa.int64(),
+    "int": pa.int32(),
+    "string": pa.string(),
+    "boolean": pa.bool_(),
+    "double": pa.float64(),
+    "binary": pa.binary(),
+    "array<int>": pa.list_(pa.int32()),
+    "array<bigint>": pa.list_(pa.int64()),
+    "array<string>": pa.list_(pa.string()),
+    "array<double>": pa.list_(pa.float64()),
+}
 
 #: ASCII bytes other than letters and digits become blanks, capitals become small letters; all other bytes stay.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))

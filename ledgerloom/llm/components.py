@@ -23,5 +23,8 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = checkpointed(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = large.join(least, "u").where("v <> m").select(
+            F.col("v").alias("u"),
+            F.col("m").alias("v"),
+        ).unionByName(least.select("u", F.col("m").alias("v")))
         edges = checkpointed(small.distinct())

@@ -92,7 +92,11 @@ def windows_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
 
         return work
 
-    pairs = scan_many(benchmark.select(benchmark[id_col].cast("string").alias("item"), benchmark[text_col].alias("text")), "window binary, item string", factory)
+    pairs = scan_many(
+        benchmark.select(benchmark[id_col].cast("string").alias("item"), benchmark[text_col].alias("text")),
+        "window binary, item string",
+        factory,
+    )
     return pairs.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
@@ -123,7 +127,14 @@ def with_digest(texts: DataFrame, text_col: str) -> DataFrame:
     return texts.withColumn("digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
     texts = long_text(docs, id_col, text_col)
     blocks = Blocks(benchmark, block_bytes, width)
@@ -170,7 +181,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return scan_many(keyed.select(text_col, "digest"), "digest string, starts array<bigint>, lengths array<bigint>, items array<string>", factory)
 
     hits = blocks.each(one_pass)
-    merged = hits.groupBy("digest").agg(F.flatten(F.collect_set(F.arrays_zip("starts", "lengths"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    merged = hits.groupBy("digest").agg(
+        F.flatten(F.collect_set(F.arrays_zip("starts", "lengths"))).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+    )
     merged = merged.select("digest", F.col("spans.starts").alias("starts"), F.col("spans.lengths").alias("lengths"), "items")
     joined = keyed.join(merged, "digest", "left").select(id_col, text_col, "starts", "lengths", "items")
 

@@ -41,19 +41,27 @@ HOSTS_MOST = 20_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title template iframe svg object select".split())
 FIELDS = frozenset("input textarea select button".split())
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset(
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split(),
+)
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
 OUTSIDE = frozenset("nav header footer aside form button menu dialog head label".split())
 #: An opening tag that closes an open element of the same row.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Words of class, id or role that mark what is not main text.
-BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social comment comments respond disqus cookie cookies consent gdpr notice notification popup modal newsletter subscribe signup login search pagination pager toolbar skip".split())
+BOILERPLATE = frozenset(
+    "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social comment comments respond disqus cookie cookies consent gdpr notice notification popup modal newsletter subscribe signup login search pagination pager toolbar skip".split(),
+)
 #: Those of them that name running text; the others need links or form fields to show that they are furniture, within an article
 #: or on a paragraph, heading or inline element.
-SPOKEN = frozenset("ad ads advert adverts advertisement advertising adbox sponsor sponsored promo comment comments respond disqus cookie cookies consent gdpr notice notification popup modal newsletter subscribe".split())
+SPOKEN = frozenset(
+    "ad ads advert adverts advertisement advertising adbox sponsor sponsored promo comment comments respond disqus cookie cookies consent gdpr notice notification popup modal newsletter subscribe".split(),
+)
 PASSAGES = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote figcaption pre".split())
 #: Parts that may follow such a word in a longer name, and parts whose names tell of a state or of the content instead.
-FURNITURE = frozenset("area bar body block bottom box button buttons col column container form group holder inner item items left link links list outer panel right section slot top unit wrap wrapper".split())
+FURNITURE = frozenset(
+    "area bar body block bottom box button buttons col column container form group holder inner item items left link links list outer panel right section slot top unit wrap wrapper".split(),
+)
 STATES = frozenset("content has have hide is layout no non not off on with without".split())
 PARTS = re.compile(r"[_-]+")
 
@@ -169,7 +177,9 @@ def settle(root: Node) -> None:
     for n in nodes:
         k = id(n)
         holds = not elsewhere and best[k] > 0
-        stays = not n.named or n.tag in ("html", "body", "article", "main") or (holds and best[k] == most if n.named == 2 else holds or weak[k] > 0 and 2 * weak[k] >= page)
+        stays = not n.named or n.tag in ("html", "body", "article", "main") or (
+            holds and best[k] == most if n.named == 2 else holds or weak[k] > 0 and 2 * weak[k] >= page
+        )
         n.outside = n.outside or not stays or n.up is not None and n.up.outside
 
 

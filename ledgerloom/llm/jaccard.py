@@ -130,7 +130,13 @@ def sizes_and_frequent(texts: DataFrame) -> DataFrame:
                 values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
                 keep = counts >= LOCAL_LEAST
                 t, c = values[keep].view(np.int64), counts[keep]
-                return [pa.nulls(len(t), pa.int64()), pa.nulls(len(t), pa.int64()), pa.nulls(len(t), pa.binary()), pa.array(t, pa.int64()), pa.array(c, pa.int64())]
+                return [
+                    pa.nulls(len(t), pa.int64()),
+                    pa.nulls(len(t), pa.int64()),
+                    pa.nulls(len(t), pa.binary()),
+                    pa.array(t, pa.int64()),
+                    pa.array(c, pa.int64()),
+                ]
 
             for doc_id, text in rows:
                 s = shingles(text)
@@ -431,8 +437,19 @@ def candidates_by_unit(rows: DataFrame) -> DataFrame:
 
 def units_of(keyed: DataFrame) -> DataFrame:
     """(key, members, blocks, anchor) of keys with two classes or more; of keys with the same classes, one."""
-    groups = keyed.groupBy("key").agg(F.min("id").alias("anchor"), F.max("id").alias("last"), F.count("*").alias("members"), F.sum("n").alias("size"), F.bit_xor("cls").alias("x"), F.bit_xor(F.xxhash64("cls")).alias("y"))
-    groups = groups.where("anchor <> last").groupBy("members", "x", "y").agg(F.min("key").alias("key"), F.first("anchor").alias("anchor"), F.first("size").alias("size"))
+    groups = keyed.groupBy("key").agg(
+        F.min("id").alias("anchor"),
+        F.max("id").alias("last"),
+        F.count("*").alias("members"),
+        F.sum("n").alias("size"),
+        F.bit_xor("cls").alias("x"),
+        F.bit_xor(F.xxhash64("cls")).alias("y"),
+    )
+    groups = groups.where("anchor <> last").groupBy("members", "x", "y").agg(
+        F.min("key").alias("key"),
+        F.first("anchor").alias("anchor"),
+        F.first("size").alias("size"),
+    )
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("size") / BLOCK_TOKENS))
     return groups.select("key", "members", blocks.cast("bigint").alias("blocks"), "anchor")
 
@@ -443,7 +460,17 @@ def first_links(texts: DataFrame, keyed: DataFrame) -> DataFrame:
     spread = F.xxhash64("cls", F.lit(3))
     everywhere = (F.col("id") == F.col("anchor")) | (F.pmod(F.xxhash64("cls", F.lit(5)), F.col("members")) < ANCHORS)
     blocks = F.when(everywhere, F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(spread, F.col("blocks"))))
-    rows = checkpointed(rows.select("key", F.explode(blocks).alias("l"), F.lit(0).cast("bigint").alias("r"), F.lit(2).cast("bigint").alias("side"), "id", "cls", F.col("id").alias("comp")))
+    rows = checkpointed(
+        rows.select(
+            "key",
+            F.explode(blocks).alias("l"),
+            F.lit(0).cast("bigint").alias("r"),
+            F.lit(2).cast("bigint").alias("side"),
+            "id",
+            "cls",
+            F.col("id").alias("comp"),
+        ),
+    )
     return links_by_unit(with_sets(texts, rows))
 
 
@@ -464,10 +491,24 @@ def second_links(texts: DataFrame, keyed: DataFrame, labels: DataFrame, bitmaps:
     rows = keyed.join(units_of(keyed), "key").join(labels, keyed["id"] == labels["node"], "left")
     rows = checkpointed(rows.select("key", "blocks", "id", "cls", "n", F.coalesce("component", "id").alias("comp")))
     counts = rows.groupBy("key", "comp").agg(F.count("*").alias("own"), F.first("blocks").alias("blocks"))
-    keys = counts.groupBy("key").agg(F.max_by("comp", F.struct("own", "comp")).alias("main"), F.sum("own").alias("all"), F.max("own").alias("most"), F.first("blocks").alias("blocks"))
+    keys = counts.groupBy("key").agg(
+        F.max_by("comp", F.struct("own", "comp")).alias("main"),
+        F.sum("own").alias("all"),
+        F.max("own").alias("most"),
+        F.first("blocks").alias("blocks"),
+    )
     keys = checkpointed(cut_sizes(keys.where("most < all")))
     classes = rows.drop("blocks").join(keys, "key")
-    whole = classes.where("blocks = 1").select("key", F.lit(0).cast("bigint").alias("l"), F.lit(0).cast("bigint").alias("r"), F.lit(2).cast("bigint").alias("side"), "id", "cls", "comp", "n")
+    whole = classes.where("blocks = 1").select(
+        "key",
+        F.lit(0).cast("bigint").alias("l"),
+        F.lit(0).cast("bigint").alias("r"),
+        F.lit(2).cast("bigint").alias("side"),
+        "id",
+        "cls",
+        "comp",
+        "n",
+    )
 
     large = classes.where("blocks > 1")
     union = checkpointed(large.select("main", "id", "cls", "n", "comp").distinct())

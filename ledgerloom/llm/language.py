@@ -170,7 +170,11 @@ def held_out(id_col: str):
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
     """A model from about train_docs rows of each language, picked by a hash of their ids."""
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), docs[label_col].alias("lang")).where("lang IS NOT NULL AND id IS NOT NULL AND text IS NOT NULL")
+    rows = docs.select(
+        docs[id_col].cast("long").alias("id"),
+        docs[text_col].alias("text"),
+        docs[label_col].alias("lang"),
+    ).where("lang IS NOT NULL AND id IS NOT NULL AND text IS NOT NULL")
     rows = rows.where(~held_out("id"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # as many as there are languages
     if not counts:

@@ -75,7 +75,14 @@ class NoticeSearch:
         seeds = defaultdict(list)
         for t, (notice, label) in enumerate(notices):
             k = max(1, len(notice) // chars_per_error)
-            self.notices.append((notice, label, k, regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(notice, special_only=True, literal_spaces=True)}){{e<={k}}}(?![^ ])")))
+            self.notices.append(
+                (
+                    notice,
+                    label,
+                    k,
+                    regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(notice, special_only=True, literal_spaces=True)}){{e<={k}}}(?![^ ])"),
+                ),
+            )
             for offset, piece in pieces(notice, k):
                 seeds[piece].append((t, offset))
         self.longest = max(len(notice) + k for notice, _, k, _ in self.notices)
@@ -148,11 +155,20 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 begins = n - (line[a] != " ")
                 spans.append(f"{label}:{begins}:{begins + line.count(' ', a + 1, b - 1)}:{errors}")
             score = 1.0 if starts else max((x[4] for x in fuzzy), default=0.0)
-            return doc_id, len(words), len(starts), first, last, ",".join(sorted(labels)), ",".join(sorted(labels | {x[3] for x in fuzzy})), float(score), ",".join(spans)
+            return doc_id, len(words), len(starts), first, last, ",".join(sorted(labels)), ",".join(
+                sorted(labels | {x[3] for x in fuzzy}),
+            ), float(score), ",".join(spans)
 
         return work
 
-    return scan(long_text(docs, id_col, text_col), f"{id_col} bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, notices string", factory)
+    return scan(
+        long_text(docs, id_col, text_col),
+        (
+            f"{id_col} bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, "
+            f"score double, notices string"
+        ),
+        factory,
+    )
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

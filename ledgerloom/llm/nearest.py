@@ -191,7 +191,10 @@ def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
 
     def with_norm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array((stacked(t.column(1), dim) ** 2).sum(1), pa.float64())], names=["id", "v", "norm2"])
+            yield pa.RecordBatch.from_arrays(
+                [t.column(0), t.column(1), pa.array((stacked(t.column(1), dim) ** 2).sum(1), pa.float64())],
+                names=["id", "v", "norm2"],
+            )
 
     found = checkpointed(found.where(F.col("dim") == dim).select("id", "v").mapInArrow(with_norm, "id bigint, v binary, norm2 double"))
     index = fitted(found, total, dim, k)
@@ -204,7 +207,10 @@ def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
         index = load()
         for t in batches:
             if t.num_rows:
-                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(index.lists_of(stacked(t.column(1), dim)), pa.int32())], names=["id", "v", "list"])
+                yield pa.RecordBatch.from_arrays(
+                    [t.column(0), t.column(1), pa.array(index.lists_of(stacked(t.column(1), dim)), pa.int32())],
+                    names=["id", "v", "list"],
+                )
 
     def probing(every_list: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +221,10 @@ def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
                     q = stacked(part.column(1), dim)
                     lists = np.tile(np.arange(len(index.centres)), (len(q), 1)) if every_list else index.probed(q)
                     tau = np.full(len(q), -np.inf) if every_list else index.thresholds(q, lists)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(tau), pa.array(lists.tolist(), pa.list_(pa.int32()))], names=["id", "v", "tau", "lists"])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), part.column(1), pa.array(tau), pa.array(lists.tolist(), pa.list_(pa.int32()))],
+                        names=["id", "v", "tau", "lists"],
+                    )
 
         return run
 
@@ -257,11 +266,34 @@ def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
         cut = F.broadcast(spark.createDataFrame(cuts, "list int, segments int, blocks int"))  # LISTS_MOST rows at most
         upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         spread = F.xxhash64("id", F.lit(3))
-        candidates = dealt.join(cut, "list").withColumn("segment", F.pmod(spread, F.col("segments")).cast("int")).withColumn("block", upto("blocks")).select("list", "segment", "block", F.lit(0).alias("side"), "id", "v", F.lit(0.0).alias("tau"))
-        seekers = asked.select("id", "v", "tau", F.explode("lists").alias("list")).join(cut, "list").withColumn("block", F.pmod(spread, F.col("blocks")).cast("int")).withColumn("segment", upto("segments")).select("list", "segment", "block", F.lit(1).alias("side"), "id", "v", "tau")
+        candidates = dealt.join(cut, "list").withColumn("segment", F.pmod(spread, F.col("segments")).cast("int")).withColumn("block", upto("blocks")).select(
+            "list",
+            "segment",
+            "block",
+            F.lit(0).alias("side"),
+            "id",
+            "v",
+            F.lit(0.0).alias("tau"),
+        )
+        seekers = asked.select("id", "v", "tau", F.explode("lists").alias("list")).join(cut, "list").withColumn("block", F.pmod(spread, F.col("blocks")).cast("int")).withColumn("segment", upto("segments")).select(
+            "list",
+            "segment",
+            "block",
+            F.lit(1).alias("side"),
+            "id",
+            "v",
+            "tau",
+        )
         near = candidates.unionByName(seekers).groupBy("list", "segment", "block").applyInArrow(measured, "query_id bigint, vec_id bigint, score double")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return checkpointed(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+        return checkpointed(
+            near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
+                "query_id",
+                F.col("rank").cast("int").alias("rank"),
+                "vec_id",
+                "score",
+            ),
+        )
 
     queries = found.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v"))
     if queries.isEmpty():

@@ -98,7 +98,29 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 LABELS = ("other", *KINDS)
 L = len(LABELS)
-FEATURES = ("bias", "at", "letters", "hex", "three_dots", "octets", "plus", "parenthesis", "dash", "luhn", "d1", "d4", "d7", "d9", "d13", "d20", "cue_email", "cue_ip", "cue_card", "cue_phone", "long")
+FEATURES = (
+    "bias",
+    "at",
+    "letters",
+    "hex",
+    "three_dots",
+    "octets",
+    "plus",
+    "parenthesis",
+    "dash",
+    "luhn",
+    "d1",
+    "d4",
+    "d7",
+    "d9",
+    "d13",
+    "d20",
+    "cue_email",
+    "cue_ip",
+    "cue_card",
+    "cue_phone",
+    "long",
+)
 INDEX = {name: i for i, name in enumerate(FEATURES)}
 # Words that announce a kind, in four languages.
 CUES = {
@@ -117,7 +139,25 @@ def starting_weights() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights before fitting, and all there is if the sample holds no token: (features x labels, chain, skip)."""
     w = np.zeros((len(FEATURES), L))
     w[INDEX["bias"], 0] = 3.0
-    for name, label, value in (("at", 1, 2.0), ("octets", 2, 4.0), ("luhn", 3, 2.5), ("d13", 3, 1.5), ("plus", 4, 1.5), ("parenthesis", 4, 1.0), ("dash", 4, 0.5), ("d9", 4, 0.5), ("cue_email", 1, 1.0), ("cue_ip", 2, 1.0), ("cue_card", 3, 1.0), ("cue_phone", 4, 1.5), ("letters", 0, 1.0), ("hex", 0, 2.0), ("d1", 0, 2.0), ("d20", 0, 2.0), ("long", 0, 1.0)):
+    for name, label, value in (
+        ("at", 1, 2.0),
+        ("octets", 2, 4.0),
+        ("luhn", 3, 2.5),
+        ("d13", 3, 1.5),
+        ("plus", 4, 1.5),
+        ("parenthesis", 4, 1.0),
+        ("dash", 4, 0.5),
+        ("d9", 4, 0.5),
+        ("cue_email", 1, 1.0),
+        ("cue_ip", 2, 1.0),
+        ("cue_card", 3, 1.0),
+        ("cue_phone", 4, 1.5),
+        ("letters", 0, 1.0),
+        ("hex", 0, 2.0),
+        ("d1", 0, 2.0),
+        ("d20", 0, 2.0),
+        ("long", 0, 1.0),
+    ):
         w[INDEX[name], label] += value
     chain, skip = np.zeros((L, L)), np.zeros((L, L))
     chain[4, 4] = 1.0
@@ -148,13 +188,17 @@ def features_of(text: str, start: int, stop: int, before: str) -> list[int]:
     letters = any(c.isalpha() for c in token)
     n = len(digits)
     names = ["bias", "d1" if n < 4 else "d4" if n < 7 else "d7" if n < 9 else "d9" if n < 13 else "d13" if n < 20 else "d20"]
-    names += ["at"] * ("@" in token) + ["letters"] * letters + ["hex"] * (letters and n > 0 and len(token) >= 16 and re.fullmatch(r"[0-9a-fA-F]+", token) is not None)
+    names += ["at"] * ("@" in token) + ["letters"] * letters + ["hex"] * (
+        letters and n > 0 and len(token) >= 16 and re.fullmatch(r"[0-9a-fA-F]+", token) is not None
+    )
     if token.count(".") == 3:
         names.append("three_dots")
         parts = token.split(".")
         if all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts):
             names.append("octets")
-    names += ["plus"] * ("+" in token) + ["parenthesis"] * ("(" in token or ")" in token) + ["dash"] * ("-" in token) + ["luhn"] * (13 <= n <= 19 and not letters and luhn(digits)) + ["long"] * (len(token) > 40)
+    names += ["plus"] * ("+" in token) + ["parenthesis"] * ("(" in token or ")" in token) + ["dash"] * ("-" in token) + ["luhn"] * (
+        13 <= n <= 19 and not letters and luhn(digits)
+    ) + ["long"] * (len(token) > 40)
     if cue := CUE_OF.get(before.strip(EDGE).lower()):
         names.append(cue)
     return [INDEX[x] for x in names]
@@ -349,9 +393,15 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
                 digests = pa.array([sha256_hex(write(base)) for base, _ in found])
                 spans = pa.array([write(base + added) for base, added in found])
-                yield pa.RecordBatch.from_arrays([part.column(0), *counts, digests, spans, pa.array([len(a) for _, a in found], pa.int64())], names=[id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *counts, digests, spans, pa.array([len(a) for _, a in found], pa.int64())],
+                    names=[id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"],
+                )
 
-    return long_text(docs, id_col, text_col).mapInArrow(run, f"{id_col} bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint")
+    return long_text(docs, id_col, text_col).mapInArrow(
+        run,
+        f"{id_col} bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint",
+    )
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -377,7 +427,10 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs with personal data in text replaced by [KIND]; n_chars, if there is one, follows the text."""
     model = model or fit(docs)
     out = docs.withColumn("text", redact_column(model)(docs["text"]))
-    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
+    return out.withColumn(
+        "n_chars",
+        F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)),
+    ) if "n_chars" in docs.columns else out
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

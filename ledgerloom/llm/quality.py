@@ -61,7 +61,11 @@ def bucket_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return work
 
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in scan_many(texts, "bucket bigint, raw bigint, good bigint", factory).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect():
+    for r in scan_many(
+        texts,
+        "bucket bigint, raw bigint, good bigint",
+        factory,
+    ).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect():
         raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["good"]
     return raw, good
 
@@ -85,7 +89,17 @@ def kth_largest(keys: DataFrame, k: int) -> float | None:
     while high > low:
         width = (high - low) / BINS
         at = F.least(F.floor((F.col("key") - F.lit(low)) / F.lit(width)), F.lit(BINS - 1))
-        bins = sorted(((r["bin"], r["count"], r["least"], r["most"]) for r in keys.where(inside).groupBy(at.alias("bin")).agg(F.count("*").alias("count"), F.min("key").alias("least"), F.max("key").alias("most")).collect()), reverse=True)
+        bins = sorted(
+            (
+                (r["bin"], r["count"], r["least"], r["most"])
+                for r in keys.where(inside).groupBy(at.alias("bin")).agg(
+                    F.count("*").alias("count"),
+                    F.min("key").alias("least"),
+                    F.max("key").alias("most"),
+                ).collect()
+            ),
+            reverse=True,
+        )
         for _, count, least, most in bins:
             if k <= count:
                 low, high = least, most
@@ -103,7 +117,13 @@ def importance(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", t
     marks = target_ids.select(F.col("id").alias("__target")).where("__target IS NOT NULL").distinct()
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     few = marks.limit(IDS_MOST + 1).count() <= IDS_MOST
-    raw, good = bucket_counts(texts.join(F.broadcast(marks) if few else marks, texts["id"] == marks["__target"], "left").select(F.col("__target").isNotNull().alias("target"), "text"))
+    raw, good = bucket_counts(
+        texts.join(
+            F.broadcast(marks) if few else marks,
+            texts["id"] == marks["__target"],
+            "left",
+        ).select(F.col("__target").isNotNull().alias("target"), "text"),
+    )
     ratio = np.log((good + SMOOTHING) / (good.sum() + SMOOTHING * BUCKETS)) - np.log((raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS))
     kept = docs.sparkSession.sparkContext.broadcast(ratio.tobytes())
 

@@ -164,7 +164,13 @@ def random_spans(text: str, lengths: Callable[[str], list[int]], most: float = C
     return sorted(out, key=lambda s: s[1:])
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, chars_per_token: float = CHARS_PER_TOKEN) -> DataFrame:
+def find_secrets(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    vocabulary: str | None = None,
+    chars_per_token: float = CHARS_PER_TOKEN,
+) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random for every row of docs."""
 
     def factory() -> Callable:
@@ -186,7 +192,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return work
 
-    return scan(long_text(docs, id_col, text_col), f"{id_col} bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_random bigint", factory)
+    return scan(
+        long_text(docs, id_col, text_col),
+        f"{id_col} bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_random bigint",
+        factory,
+    )
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -416,8 +416,16 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             values = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=pa.array([t is None for t in texts]))
-            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array([None if t is None else t == b for t, b in zip(texts, back, strict=True)], pa.bool_())]
-            return pa.RecordBatch.from_arrays(columns + [pa.array(back, pa.string())] * with_text, names=[id_col, "n_tokens", "tokens", "round_trip"] + ["decoded"] * with_text)
+            columns = [
+                pa.array(ids, pa.int64()),
+                pa.array(sizes, pa.int64()),
+                lists,
+                pa.array([None if t is None else t == b for t, b in zip(texts, back, strict=True)], pa.bool_()),
+            ]
+            return pa.RecordBatch.from_arrays(
+                columns + [pa.array(back, pa.string())] * with_text,
+                names=[id_col, "n_tokens", "tokens", "round_trip"] + ["decoded"] * with_text,
+            )
 
         ids, texts, chars = [], [], 0
         for batch in batches:
@@ -431,7 +439,10 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if ids:
             yield made(ids, texts)
 
-    return long_text(docs, id_col, text_col).mapInArrow(run, f"{id_col} bigint, n_tokens bigint, tokens array<int>, round_trip boolean" + ", decoded string" * with_text)
+    return long_text(docs, id_col, text_col).mapInArrow(
+        run,
+        f"{id_col} bigint, n_tokens bigint, tokens array<int>, round_trip boolean" + ", decoded string" * with_text,
+    )
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

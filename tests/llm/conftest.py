@@ -21,7 +21,23 @@ def make(spark):
 def odd(make):
     """Nulls in any column, empty and very long texts, repeated rows, ties."""
     long = "lorem ipsum dolor " * 40_000
-    return make([(1, None), (2, ""), (3, " \n\t "), (4, long), (5, "one two"), (5, "one two"), (None, "one two"), (None, None), (6, "ünï 漢字 \U0001f600 x"), (7, "a" * 300_000), (8, "1" * 300_000), (9, "@" * 50_000), (10, "one two", None)])
+    return make(
+        [
+            (1, None),
+            (2, ""),
+            (3, " \n\t "),
+            (4, long),
+            (5, "one two"),
+            (5, "one two"),
+            (None, "one two"),
+            (None, None),
+            (6, "ünï 漢字 \U0001f600 x"),
+            (7, "a" * 300_000),
+            (8, "1" * 300_000),
+            (9, "@" * 50_000),
+            (10, "one two", None),
+        ],
+    )
 
 
 @pytest.fixture(scope="session")

@@ -38,7 +38,13 @@ def naive(docs, bench, width=10):
 
 def cases(seed):
     r = random.Random(seed)
-    bench = [(i, " ".join(words(r, r.choice((3, 9, 10, 11, 25)), 30))) for i in range(12)] + [(50, None), (51, "..."), (None, "w1 w2"), (52, "W7"), (53, bytes("Ünï w1", "utf8").decode())]
+    bench = [(i, " ".join(words(r, r.choice((3, 9, 10, 11, 25)), 30))) for i in range(12)] + [
+        (50, None),
+        (51, "..."),
+        (None, "w1 w2"),
+        (52, "W7"),
+        (53, bytes("Ünï w1", "utf8").decode()),
+    ]
     docs = []
     for i in range(60):
         w = words(r, r.randrange(0, 60), 30)

@@ -10,7 +10,10 @@ WANT = "Title & more\nFirst line.\nSecond link one.\nitem a\nitem b"
 
 
 def page(body, article=ARTICLE, wrap="<article>{}</article>"):
-    return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href=/>Home</a></ul></nav><header>Site</header>{body}{wrap.format(article)}<footer>&copy; x</footer>"
+    return (
+        f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t='</p>';</script></head><body><nav><ul><li><a "
+        f"href=/>Home</a></ul></nav><header>Site</header>{body}{wrap.format(article)}<footer>&copy; x</footer>"
+    )
 
 
 def pages(spark, rows):
@@ -18,7 +21,10 @@ def pages(spark, rows):
 
 
 def test_article_without_boilerplate(spark):
-    rows = [(1, "http://a.b/c", page("<div class='ad'>Buy <p>now</p></div>")), (2, "http://a.b/d", page("<form>x</form>", wrap="<div class='post-12 body'>{}</div>"))]
+    rows = [
+        (1, "http://a.b/c", page("<div class='ad'>Buy <p>now</p></div>")),
+        (2, "http://a.b/d", page("<form>x</form>", wrap="<div class='post-12 body'>{}</div>")),
+    ]
     got = {r.page_id: r for r in html.main_text(pages(spark, rows)).collect()}
     assert got[1].text == got[2].text == WANT and got[1].n_chars == len(WANT)
     assert got[1].url == "http://a.b/c"
@@ -102,7 +108,10 @@ def test_names_alone_take_no_article_text(inside, want):
 
 def test_hosts_of_any_url(spark):
     urls = {"http://A.b/c": "a.b", "//a.b/c": "a.b", "a.b/c?x#y": "a.b", "a.b:80/c": "a.b", "ftp://u:p@a.b:21/": "a.b", "": None, "/c": None, None: None}
-    got = spark.createDataFrame(list(urls.items()), "url string, want string").select("want", html.F.lower(html.F.nullif(html.F.regexp_extract("url", html.HOST, 1), html.F.lit(""))).alias("got")).collect()
+    got = spark.createDataFrame(list(urls.items()), "url string, want string").select(
+        "want",
+        html.F.lower(html.F.nullif(html.F.regexp_extract("url", html.HOST, 1), html.F.lit(""))).alias("got"),
+    ).collect()
     assert all(r.want == r.got for r in got), got
 
 

@@ -23,14 +23,24 @@ def test_held_out_accuracy(spark):
 
 
 def test_labels_of_held_out_rows_and_names_play_no_part(spark, make):
-    rows = [(i, "the quick brown fox and the dog " * 3 if i % 2 else "der schnelle braune fuchs und der hund " * 3, "en" if i % 2 else "de") for i in range(100)]
+    rows = [
+        (i, "the quick brown fox and the dog " * 3 if i % 2 else "der schnelle braune fuchs und der hund " * 3, "en" if i % 2 else "de")
+        for i in range(100)
+    ]
     changed = [(i, t, "zz" if zlib.crc32(str(i).encode()) % 5 == 0 else lang) for i, t, lang in rows]
     a, b = ({r.doc_id: (r.lang_pred, r.score) for r in language.identify(make(x)).collect()} for x in (rows, changed))
     assert a == b and all(a[i][0] == ("en" if i % 2 else "de") for i in range(100))
 
 
 def test_families_and_many_languages(make):
-    samples = {"en": "the house and the garden of the king", "de": "das haus und der garten des koenigs", "fr": "la maison et le jardin du roi avec", "es": "la casa y el jardin del rey con una", "ru": "дом и сад царя и ещё", "xx": "qwx zzk vvp kkq wxz"}
+    samples = {
+        "en": "the house and the garden of the king",
+        "de": "das haus und der garten des koenigs",
+        "fr": "la maison et le jardin du roi avec",
+        "es": "la casa y el jardin del rey con una",
+        "ru": "дом и сад царя и ещё",
+        "xx": "qwx zzk vvp kkq wxz",
+    }
     rows = [(n * 10 + k, f"{text} {text.split()[k % 5]}", lang) for n in range(12) for k, (lang, text) in enumerate(samples.items())]
     got = {r.doc_id: r.lang_pred for r in language.identify(make(rows)).collect()}
     assert all(got[i] == lang for i, _, lang in rows)
@@ -69,7 +79,10 @@ def test_the_prediction_decides_what_stays(make):
 
 def test_whole_query_is_brute_force(make):
     """Every row's prediction from the learned weights, with features counted one by one."""
-    rows = two_languages(60) + [(300 + i, f"la maison du roi et le jardin {i}", "fr") for i in range(20)] + [(400, "Hund - FOX, 12", None), (401, "12 ..", "en"), (402, None, "en")]
+    rows = two_languages(60) + [
+        (300 + i, f"la maison du roi et le jardin {i}", "fr")
+        for i in range(20)
+    ] + [(400, "Hund - FOX, 12", None), (401, "12 ..", "en"), (402, None, "en")]
     model = language.learn(make(rows))
 
     def naive(text):

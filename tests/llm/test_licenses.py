@@ -16,7 +16,10 @@ def naive(text):
 def test_base_is_brute_force(make):
     r = random.Random(4)
     vocabulary = "under the mit license apache version 2 2.0 cc by nc cc-by-nc BY Nc x".split()
-    docs = [(i, r.choice((" ", "-", ", ")).join(r.choice(vocabulary) for _ in range(r.randrange(60)))) for i in range(80)] + [(90, "cc by nc by cc by nc cc by nc")]
+    docs = [
+        (i, r.choice((" ", "-", ", ")).join(r.choice(vocabulary) for _ in range(r.randrange(60))))
+        for i in range(80)
+    ] + [(90, "cc by nc by cc by nc cc by nc")]
     got = {x.doc_id: x for x in licenses.scan_licenses(make(docs)).collect()}
     for i, text in docs:
         x = got[i]

@@ -9,7 +9,10 @@ SCHEMA = "vec_id long, embedding array<float>, label int, query_id long, rank in
 
 
 def rows_of(x, ids=None):
-    return [(i, None if v is None else [None if c is None else float(c) for c in v], 0, 1, 2, 0.5, "x", "y") for i, v in zip(ids or range(len(x)), x, strict=True)]
+    return [
+        (i, None if v is None else [None if c is None else float(c) for c in v], 0, 1, 2, 0.5, "x", "y")
+        for i, v in zip(ids or range(len(x)), x, strict=True)
+    ]
 
 
 def brute(x, q, k):

@@ -22,7 +22,12 @@ def naive(text: str) -> list[tuple[str, int, int]]:
     for kind, pattern in NAIVE.items():
         for m in re.finditer(pattern, text):
             digits = re.sub("[^0-9]", "", m.group())
-            ok = {"email": True, "ip": all(int(p) <= 255 for p in m.group().split(".")) if kind == "ip" else False, "card": 13 <= len(digits) <= 19 and pii.luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            ok = {
+                "email": True,
+                "ip": all(int(p) <= 255 for p in m.group().split(".")) if kind == "ip" else False,
+                "card": 13 <= len(digits) <= 19 and pii.luhn(digits),
+                "phone": 9 <= len(digits) <= 15,
+            }[kind]
             if ok:
                 out.append((kind, *m.span()))
     return out
@@ -53,7 +58,16 @@ def test_rows_and_odd_texts(odd, none):
 
 
 def test_skip_edges_carry_labels(make):
-    lines = [(i, f"call +1 (017) 555-77{i:02d} or mail a{i}@b{i}.example.com from 10.0.0.{i} pay 4111111111111111 on page {i} of {i + 3} in {1900 + i} with id {i}af3c9e{i}b77aa01 9") for i in range(40)]
+    lines = [
+        (
+            i,
+            (
+                f"call +1 (017) 555-77{i:02d} or mail a{i}@b{i}.example.com from 10.0.0.{i} pay 4111111111111111 on page {i} of {i + 3} in "
+                f"{1900 + i} with id {i}af3c9e{i}b77aa01 9"
+            ),
+        )
+        for i in range(40)
+    ]
     again = (100, "reach me: +1 (017) 555-7713 today. It was 17 or 2019. Then ask for 1 017 555 7713 and 1-017-555-7713 again")
     got = {r.doc_id: r for r in pii.find_personal_data(make([*lines, again, (101, "in 2019 we saw 17 of 300 at 3.5 or 7/8")])).collect()}
     assert all(got[i].n_phone == got[i].n_email == got[i].n_ip == got[i].n_card == 1 for i in range(40))
@@ -98,7 +112,13 @@ def planted(r, n=150):
         card += next(c for c in "0123456789" if pii.luhn(card + c))
         other = "".join(c for c in phone if c.isdigit())
         other = f"{other[:2]}-{other[2:5]}-{other[5:]}"
-        parts = [f"call {phone} today,", f"mail a{i}@b.example.com", f"pay {card} from 10.0.{i % 200}.7", f"then {other} once more", f"page {i} of {r.randrange(10**6)} id {r.randrange(16**15):x}a7 ref {r.randrange(10**9, 10**10)}"]
+        parts = [
+            f"call {phone} today,",
+            f"mail a{i}@b.example.com",
+            f"pay {card} from 10.0.{i % 200}.7",
+            f"then {other} once more",
+            f"page {i} of {r.randrange(10**6)} id {r.randrange(16**15):x}a7 ref {r.randrange(10**9, 10**10)}",
+        ]
         text = " and ".join(parts)
         at = text.index(f"then {other}") + 5
         rows.append((i, text))
@@ -140,7 +160,10 @@ def test_edge_weights_are_learned(make):
 
 def test_neighbours_join_only_to_valid_spans(make):
     card = ["7536784127813050", "4845168114407329"]
-    rows = [(i, f"pay 4111111111111111 now {i}") for i in range(30)] + [(100 + i, f"{a} first, {b} then; last {a} {b} end") for i, (a, b) in enumerate([card, card[::-1]])]
+    rows = [(i, f"pay 4111111111111111 now {i}") for i in range(30)] + [
+        (100 + i, f"{a} first, {b} then; last {a} {b} end")
+        for i, (a, b) in enumerate([card, card[::-1]])
+    ]
     for r in pii.find_personal_data(make(rows)).collect():
         for kind, a, b in (s.split(":") for s in r.spans.split(",") if s):
             if kind == "card":

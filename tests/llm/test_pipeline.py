@@ -31,7 +31,18 @@ def test_stages_and_run(spark, small, tmp_path):
 def test_odd_and_planted_rows(spark, small, tmp_path, make):
     item = spark.read.parquet(f"{small}/benchmark.parquet").first().text
     words = " ".join(f"clean words number w{i}" for i in range(30))
-    rows = [(1, None), (2, ""), (3, "12 34 !!"), (4, words), (5, words), (6, words + " more"), (7, f"so {item} it goes"), (8, "write to a.b@c.example.org now please"), (8, "write to a.b@c.example.org now please"), (None, "without an id but with words")]
+    rows = [
+        (1, None),
+        (2, ""),
+        (3, "12 34 !!"),
+        (4, words),
+        (5, words),
+        (6, words + " more"),
+        (7, f"so {item} it goes"),
+        (8, "write to a.b@c.example.org now please"),
+        (8, "write to a.b@c.example.org now please"),
+        (None, "without an id but with words"),
+    ]
     got = {r.doc_id: r for r in staged(spark, tmp_path, make(rows), small)[-1].collect()}
     assert set(got) == {4, 8, None} and got[8].decoded == "write to [EMAIL] now please"
     assert got[4].decoded == words

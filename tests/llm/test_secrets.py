@@ -11,7 +11,13 @@ from hypothesis import strategies as st
 from ledgerloom.llm import secrets
 
 NAIVE = (
-    ("assign", re.compile(r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), lambda m: len(m.group(2)) >= 12),
+    (
+        "assign",
+        re.compile(
+            r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
+        ),
+        lambda m: len(m.group(2)) >= 12,
+    ),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m.group()) >= 18),
     ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m.group()) >= 16),
 )
@@ -22,7 +28,31 @@ def naive(text):
     return [(kind, a, b) for a, _, b, kind in sorted(found)]
 
 
-PARTS = st.sampled_from(["token", "ToKen", "passwd", "api_key", "apikey", "secret", "=", " = ", ":", '"', "'", "AKIA", "AKIAAB12CD34EF56GH", "deadbeef", "0123456789abcdef", "abcdefgh1234", " ", "X", "ſecret", "toKen=", "é"])
+PARTS = st.sampled_from(
+    [
+        "token",
+        "ToKen",
+        "passwd",
+        "api_key",
+        "apikey",
+        "secret",
+        "=",
+        " = ",
+        ":",
+        '"',
+        "'",
+        "AKIA",
+        "AKIAAB12CD34EF56GH",
+        "deadbeef",
+        "0123456789abcdef",
+        "abcdefgh1234",
+        " ",
+        "X",
+        "ſecret",
+        "toKen=",
+        "é",
+    ],
+)
 
 
 @settings(max_examples=500, deadline=None)
@@ -48,14 +78,26 @@ def test_random_strings_and_identifiers(make):
 def test_words_joined_to_a_random_string_do_not_hide_it():
     lengths, r = secrets.token_lengths(secrets.vocabulary_path()), random.Random(3)
     made = ["".join(r.choice(string.ascii_letters + string.digits) for _ in range(20)) for _ in range(100)]
-    for before, after in (("", ""), ("connection-string=", ""), ("docs/articles/published/", ""), ("the/longest/path/of/all/the/documentation/articles/", "/published/version"), ("123e4567-e89b-12d3-a456-426614174000_", "")):
+    for before, after in (
+        ("", ""),
+        ("connection-string=", ""),
+        ("docs/articles/published/", ""),
+        ("the/longest/path/of/all/the/documentation/articles/", "/published/version"),
+        ("123e4567-e89b-12d3-a456-426614174000_", ""),
+    ):
         hit = [any(a < len(before) + 20 and len(before) < b for _, a, b in secrets.random_spans(before + x + after, lengths)) for x in made]
         assert sum(hit) >= 98, (before, sum(hit))
 
 
 def test_paths_numbers_and_identifiers_are_not_random():
     lengths = secrets.token_lengths(secrets.vocabulary_path())
-    for text in ("docs/2024/01/15/publishing-articles-on-time", "123e4567-e89b-12d3-a456-426614174000", "id-123e4567-e89b-12d3-a456-426614174000", "connection-string=the_documentation_of_all", "path/to/commit/d670460b4b4aece5915caf5c68d12f560a9fe3e4/documentation/of/the/configuration"):
+    for text in (
+        "docs/2024/01/15/publishing-articles-on-time",
+        "123e4567-e89b-12d3-a456-426614174000",
+        "id-123e4567-e89b-12d3-a456-426614174000",
+        "connection-string=the_documentation_of_all",
+        "path/to/commit/d670460b4b4aece5915caf5c68d12f560a9fe3e4/documentation/of/the/configuration",
+    ):
         assert secrets.random_spans(text, lengths) == [], text
 
 
@@ -65,8 +107,25 @@ def test_odd_rows(odd, none):
     assert secrets.find_secrets(none).count() == 0
 
 
-ALPHABETS = {"mixed": string.ascii_letters + string.digits, "lower": string.ascii_lowercase, "upper": string.ascii_uppercase, "base32": string.ascii_uppercase + "234567", "url": string.ascii_letters + string.digits + "-_", "hex-like": "0123456789abcdef"}
-PLAIN = ("internationalisation-of-the-configuration", "2024-01-15T10-20-30-report", "backup_2023-12-31_final_version", "src/main/resources/templates/index", "GetElementsByClassName", "THE_LONGEST_CONSTANT_NAME", "item-12-of-300-in-total-2024", "1234567890123456789012345", "einlichheitenverantwortung")
+ALPHABETS = {
+    "mixed": string.ascii_letters + string.digits,
+    "lower": string.ascii_lowercase,
+    "upper": string.ascii_uppercase,
+    "base32": string.ascii_uppercase + "234567",
+    "url": string.ascii_letters + string.digits + "-_",
+    "hex-like": "0123456789abcdef",
+}
+PLAIN = (
+    "internationalisation-of-the-configuration",
+    "2024-01-15T10-20-30-report",
+    "backup_2023-12-31_final_version",
+    "src/main/resources/templates/index",
+    "GetElementsByClassName",
+    "THE_LONGEST_CONSTANT_NAME",
+    "item-12-of-300-in-total-2024",
+    "1234567890123456789012345",
+    "einlichheitenverantwortung",
+)
 
 
 def test_recall_and_precision_of_planted_strings(make):
@@ -91,7 +150,22 @@ def test_recall_and_precision_of_planted_strings(make):
 
 def test_whole_query_base_is_brute_force(make):
     r = random.Random(12)
-    parts = ["token", "passwd", "api_key", "=", ": ", '"', "AKIAAB12CD34EF56GH", "deadbeef", "0123456789abcdef", "abcdefgh1234", " ", "Zx9qT4vLm2KpR8wYb3NcJ7dH5sG1fA0e", "words here", "é"]
+    parts = [
+        "token",
+        "passwd",
+        "api_key",
+        "=",
+        ": ",
+        '"',
+        "AKIAAB12CD34EF56GH",
+        "deadbeef",
+        "0123456789abcdef",
+        "abcdefgh1234",
+        " ",
+        "Zx9qT4vLm2KpR8wYb3NcJ7dH5sG1fA0e",
+        "words here",
+        "é",
+    ]
     rows = [(i, "".join(r.choice(parts) for _ in range(r.randrange(14)))) for i in range(300)] + [(300, None), (301, ""), (5, "again secret = abcdefgh1234")]
     got = sorted(secrets.find_secrets(make(rows)).collect(), key=lambda x: (x.doc_id, x.base_sha256))
     want = []

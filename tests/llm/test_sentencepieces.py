@@ -24,7 +24,24 @@ def check(both, texts):
 
 
 def test_known_texts(both):
-    check(both, ["", " ", "a", " a ", "\n\n\t x", "日本語 テキスト é ß", "def f(x):\n    return x  +  1;  // ok", "\x00a", "😀😀 a😀", "<s></s><0x0A><unk>", "hello▁world", "  12345.67  ", "x" * 5000])
+    check(
+        both,
+        [
+            "",
+            " ",
+            "a",
+            " a ",
+            "\n\n\t x",
+            "日本語 テキスト é ß",
+            "def f(x):\n    return x  +  1;  // ok",
+            "\x00a",
+            "😀😀 a😀",
+            "<s></s><0x0A><unk>",
+            "hello▁world",
+            "  12345.67  ",
+            "x" * 5000,
+        ],
+    )
     check(both, [" " * k + "x" for k in range(70)] + [" " * k for k in range(70)])
 
 
