@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 stage's docs. All stages but the last return the columns of documents; the last returns each document's tokens.
 
 Stages work on whole texts and handle nulls, empty tables and repeated rows as their operators state. Documents with
-null text go in the first stage, which keeps what has a language, unless no row has a label to learn from: then all stay. The stages set their session's Arrow batches to a few
-hundred rows, so that workers need little memory beside executors whose heap is full.
+null text go in the first stage, which keeps what has a language, unless no row has a label to learn from: then all
+stay. The stages set their session's Arrow batches to a few hundred rows, so that workers need little memory beside
+executors whose heap is full.
 """
 
 from __future__ import annotations
