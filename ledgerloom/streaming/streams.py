@@ -122,24 +122,33 @@ def alert_payloads(ticks: DataFrame) -> DataFrame:
     return rows.select("user_id", F.to_json(F.struct(*ALERT_MESSAGE)).alias("payload"))
 
 
-def run_orders(orders: DataFrame, ticks: DataFrame, balance: float) -> DataFrame:
+def run_orders(orders: DataFrame, ticks: DataFrame, balance: float, merge_every: int = 20) -> DataFrame:
     """Outcomes of orders executed as they come. orders: (id, user_id, ticker, side, quantity, price, ts), a stream; ticks:
     the table of ticks (ticker, ts, event_id, price) that holds all up to the orders' times.
 
-    Each batch folds its orders onto the accounts that the batch before has left, as a table: users stream through sorted
-    partitions, so a batch may hold any number of a user's orders. A repeated batch overwrites its own folders only, so results
-    are exact after a restart."""
+    Each batch folds its orders onto the accounts that the batches before have left, as tables: users stream through sorted
+    partitions, so a batch may hold any number of a user's orders. A batch writes the accounts that it changed, and one of
+    so many batches those of all users. A repeated batch overwrites its own folders only, so results are exact after a restart."""
     spark, path = orders.sparkSession, shared_folder(orders.sparkSession)
     result = T.StructType.fromDDL(RESULT)
-    accounts = T.StructType.fromDDL("user_id bigint, balance double, held string")
+    accounts = T.StructType.fromDDL("user_id bigint, balance double, held string, number bigint")
+
+    def accounts_before(number: int) -> DataFrame:
+        since = (number - 1) // merge_every * merge_every
+        folders = [f"{path}/accounts/{n}" for n in range(since, number)] if number else []
+        rows = spark.read.schema(accounts).parquet(*folders) if folders else spark.createDataFrame([], accounts)
+        latest = F.max_by(F.struct("balance", "held"), "number")
+        return rows.groupBy("user_id").agg(latest.alias("a")).select("user_id", "a.*")
 
     def step(batch: DataFrame, number: int) -> None:
-        before = spark.read.schema(accounts).parquet(f"{path}/accounts/{number - 1}") if number else spark.createDataFrame([], accounts)
+        before = accounts_before(number)
         users = batch.select("user_id").distinct().join(before, "user_id", "left").withColumn("balance", F.coalesce("balance", F.lit(balance)))
         executed(batch, users, ticks).write.mode("overwrite").parquet(f"{path}/batch/{number}")
         done = spark.read.parquet(f"{path}/batch/{number}")
         after = done.where("status = 'STATE'").select("user_id", F.col("virtual_balance_after").alias("balance"), F.col("state").alias("held"))
-        before.join(after, "user_id", "left_anti").unionByName(after).write.mode("overwrite").parquet(f"{path}/accounts/{number}")
+        if number % merge_every == 0:
+            after = before.join(after, "user_id", "left_anti").unionByName(after)
+        after.withColumn("number", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/accounts/{number}")
         done.where("status <> 'STATE'").select(*result.names).write.mode("overwrite").parquet(f"{path}/out/number={number}")
 
     orders.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()

@@ -201,15 +201,15 @@ def test_execution_is_the_replay_in_batch_and_stream(spark, small):
 
 
 def test_accounts_go_from_batch_to_batch(spark, small, tmp_path):
-    """The stream's files come one by one, so that users' accounts pass through several batches."""
+    """The stream's files come one by one, so that users' accounts pass through several batches, merged or not."""
     rows = tables.trades(spark, small).withColumnRenamed("fill_price", "price").orderBy("ts", "id")
     parts = [r for r in rows.collect()]
-    for i in range(3):
-        spark.createDataFrame(parts[i * 60 : i * 60 + 60], rows.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for i in range(5):
+        spark.createDataFrame(parts[i * 36 : i * 36 + 36], rows.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     ticks = tables.ticks(spark, small).select("ticker", "ts", "event_id", "price")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     want = replayed([r.asDict() for r in parts[:180]], [r.asDict() for r in ticks.collect()], 4000.0)
-    assert outcomes(streams.run_orders(stream, ticks, 4000.0)) == want
+    assert outcomes(streams.run_orders(stream, ticks, 4000.0, merge_every=2)) == want
 
 
 def test_unknown_user(spark):
