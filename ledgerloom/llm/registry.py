@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, jaccard, language, licenses, nearest, pii, quality, secrets, sentencepieces
+from . import audit, decontaminate, html, jaccard, language, licenses, nearest, pii, quality, secrets, sentencepieces
 
-MODULES = (pii, decontaminate, licenses, sentencepieces, nearest, html, quality, language, secrets, jaccard)
+MODULES = (pii, decontaminate, licenses, sentencepieces, nearest, html, quality, language, secrets, jaccard, audit)
 
 
 def queries() -> dict:
