@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audit, decontaminate, html, jaccard, language, licenses, nearest, packing, pii, quality, secrets, sentencepieces
+from . import audit, conversations, decontaminate, html, jaccard, language, licenses, nearest, packing, pii, quality, secrets, sentencepieces
 
-MODULES = (pii, decontaminate, licenses, sentencepieces, nearest, html, quality, language, secrets, jaccard, packing, audit)
+MODULES = (pii, decontaminate, licenses, sentencepieces, nearest, html, quality, language, secrets, jaccard, conversations, packing, audit)
 
 
 def queries() -> dict:
