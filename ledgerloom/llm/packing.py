@@ -14,7 +14,7 @@ sequence's id is the partition's number times 2^33 plus a count. A task that run
 sequences if its partition gives them in the same order, as files do; rows that come from a shuffle should be written or checkpointed first.
 
 Words are looked up in a memo that a worker keeps from task to task, of bounded size; the tokenizer itself runs once for
-each new word. Splitting at ASCII white space and between a small letter and a run of full stops, commas and the like that ends a word is
+each new word. Splitting at ASCII white space and between a letter A to Z and a run of full stops, commas and the like that ends a word is
 exact, as the vocabulary's own rule splits there too; A-Z become small first unless the text has a combining mark or the start of a special token's
 name, where that might change the result. All else is the library's.
 
@@ -148,9 +148,10 @@ class Tokens:
 
     def of(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        # before ascii_lower, which reads slices wrongly: the result starts at offset 0
+        texts = pc.replace_substring_regex(texts, r"([A-Za-z])([.,;:!?]+)(\s|$)", r"\1 \2\3")
         plain = pc.invert(pc.match_substring_regex(texts, r"\p{M}|<\|"))
         texts = pc.if_else(plain, pc.ascii_lower(texts), texts)
-        texts = pc.replace_substring_regex(texts, r"([a-z])([.,;:!?]+)(\s|$)", r"\1 \2\3")
         parts = pc.ascii_split_whitespace(texts)
         bounds = parts.offsets.to_numpy(zero_copy_only=False)
         words = parts.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()

@@ -39,6 +39,9 @@ def test_ids_are_the_librarys(library):
     alphabet = ["a", "B", "é", "É", ".", ",", "'", " ", "\n", "́", "̱", "1", "İ", "<|", "|>", "s", "t", "漢", "!", " "]
     texts = HARD + ["".join(r.choice(alphabet) for _ in range(r.randrange(60))) for _ in range(600)]
     tokens = packing.Tokens(PATH, {})
+    assert [g.tolist() for g in tokens.of(pa.array([*texts, "Last."]).slice(len(HARD), 300))] == [
+        library.encode(t, add_special_tokens=False).ids for t in texts[len(HARD) : len(HARD) + 300]
+    ]
     for _ in range(2):  # the second time from the memo
         got = tokens.of(pa.array([*texts, None]))
         assert [g.tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
