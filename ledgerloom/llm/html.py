@@ -1,15 +1,17 @@
 """Main text of web pages by consensus host paths.
 
 1. Each page's containers (elements that hold blocks of text) are scored: by their own running text outside boilerplate,
-   less link text. The best container's path (tags with their generalised classes, from body down) is the page's vote.
+   less link text. From the best one the choice climbs to the lowest element that holds all running text that isn't boilerplate
+   (within article and main if the best one is there, so text beside them stays out). That element's path (tags with their
+   generalised classes, from body down) is the page's vote, as a digest of fixed length.
 2. Spark sums votes by host and path; each host's winning path is the one with the most pages, then the largest score,
-   then the smallest path. Sums have map-side combination, so one host with a third of the pages is no hot key.
-3. Each page is extracted again along its host's winning path; a page without such an element by its own best container.
+   then the smallest digest. Sums have map-side combination, so one host with a third of the pages is no hot key.
+3. Each page is extracted again along its host's winning path; a page without such an element by its own choice.
 
-Winning paths are broadcast while they are few (HOSTS_MOST), joined by host beyond.
+Winning paths are broadcast while their hosts and digests have HOSTS_BYTES at most, joined by host beyond.
 
 Within the main element, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are left out, by element or by name (a wrapper that holds the article stays, whatever its name; so does a passage of the article
+are left out, by element or by name (an article's own header is text; a wrapper that holds the article stays, whatever its name; so does a passage of the article
 that is named like furniture of a page but has no links or form fields to show for it). Inline elements count too, by name.
 Character references are decoded, white space within a block becomes one space, blocks are joined by one newline.
 
@@ -27,15 +29,16 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, scan, table
 
-#: Hosts whose winning paths are broadcast at most; a path and host take up to some hundred bytes.
-HOSTS_MOST = 20_000
+#: Bytes of hosts and digests that are broadcast at most.
+HOSTS_BYTES = 4 << 20
+#: Entries of a task's memo of keys and of one of names; at so many it begins anew.
+MEMO_MOST = 8192
 
 # Elements by their roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,23 +53,31 @@ OUTSIDE = frozenset("nav header footer aside form button menu dialog head label"
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Words of class, id or role that mark what is not main text.
 BOILERPLATE = frozenset(
-    "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social comment comments respond disqus cookie cookies consent gdpr notice notification popup modal newsletter subscribe signup login search pagination pager toolbar skip".split(),
+    "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social comment comments commentlist respond disqus reply replies reviews discussion cookie cookies consent gdpr notice notification popup modal newsletter subscribe signup login search pagination pager toolbar skip".split(),
 )
 #: Those of them that name running text; the others need links or form fields to show that they are furniture, within an article
 #: or on a paragraph, heading or inline element.
 SPOKEN = frozenset(
-    "ad ads advert adverts advertisement advertising adbox sponsor sponsored promo comment comments respond disqus cookie cookies consent gdpr notice notification popup modal newsletter subscribe".split(),
+    "ad ads advert adverts advertisement advertising adbox sponsor sponsored promo comment comments commentlist respond disqus reply replies reviews discussion cookie cookies consent gdpr notice notification popup modal newsletter subscribe".split(),
 )
+#: Words that name a section of an article as well: furniture only with several entries alike, or form fields.
+LISTED = frozenset("reply replies reviews discussion".split())
+#: What readers say; several entries alike, or form fields, show that a longer name means just that.
+REPLIES = frozenset("comment comments commentlist disqus reply replies reviews discussion".split())
 PASSAGES = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote figcaption pre".split())
 #: Parts that may follow such a word in a longer name, and parts whose names tell of a state or of the content instead.
 FURNITURE = frozenset(
-    "area bar body block bottom box button buttons col column container form group holder inner item items left link links list outer panel right section slot top unit wrap wrapper".split(),
+    "area bar body block bottom box button buttons col column container form group holder inner item items left link links list outer panel right section slot thread threads top unit wrap wrapper".split(),
 )
 STATES = frozenset("content has have hide is layout no non not off on with without".split())
 PARTS = re.compile(r"[_-]+")
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# quotes delimit a value only right after the equals sign; within an unquoted one they are characters
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"'][^\s<>]*)?|[^<>=])*+)>",
+    re.S,
+)
+ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 NAMING = re.compile("class|id|role|hidden", re.I)
 BLANKS = re.compile(r"\s+")
@@ -75,13 +86,13 @@ HOST = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:(?=//))?(?://)?(?:[^/?#@]*@)?([^/?#:@\s]
 
 
 class Node:
-    __slots__ = ("forms", "inline", "key", "links", "named", "outside", "pieces", "spoken", "step", "tag", "text", "up")
+    __slots__ = ("forms", "inline", "key", "links", "listed", "named", "outside", "pieces", "replies", "spoken", "step", "tag", "text", "up")
 
     def __init__(self, tag: str, step: str, up: Node | None, outside: bool, named: int = 0, spoken: bool = False, inline: bool = False) -> None:
         self.tag, self.step, self.up, self.outside = tag, step, up, outside
         self.key = key_of(up.key if up else "", step)
         self.named, self.spoken = named, spoken  # as boilerplate, see named_as()
-        self.inline, self.forms = inline, False
+        self.inline, self.forms, self.listed, self.replies = inline, False, False, False
         self.text = 0.0  # characters of own running text less links; then of blocks inside
         self.links = 0  # characters of own links
         self.pieces: list = []  # in page order: strings, BREAK, or nodes
@@ -97,9 +108,18 @@ class Node:
         return "".join(f"/{x}" for x in reversed(steps))
 
 
-@lru_cache(8192)  # pages of a host share their paths
+_KEYS: dict[tuple[str, str], str] = {}  # pages of a host share their paths; it travels with the functions, empty
+_NAMES: dict[str, tuple[tuple[int, str], ...]] = {}
+
+
 def key_of(key: str, step: str) -> str:
-    return hashlib.blake2b(f"{key}/{step}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest() if step else key
+    if not step:
+        return key
+    if (found := _KEYS.get((key, step))) is None:
+        if len(_KEYS) >= MEMO_MOST:
+            _KEYS.clear()
+        found = _KEYS[key, step] = hashlib.blake2b(f"{key}/{step}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+    return found
 
 
 def key_of_path(path: str) -> str:
@@ -112,9 +132,12 @@ def key_of_path(path: str) -> str:
 BREAK = None
 
 
-@lru_cache(4096)
 def words_named(label: str) -> tuple[tuple[int, str], ...]:
     """(2, word) for each name in a label that is a word of boilerplate, (1, word) for each longer name that ends in one."""
+    if (known := _NAMES.get(label)) is not None:
+        return known
+    if len(_NAMES) >= MEMO_MOST:
+        _NAMES.clear()
     found = []
     for name in label.lower().split():
         parts = PARTS.split(name.strip("_-"))
@@ -125,7 +148,8 @@ def words_named(label: str) -> tuple[tuple[int, str], ...]:
                 parts.pop()
             if parts[-1] in BOILERPLATE:
                 found.append((1, parts[-1]))
-    return tuple(found)
+    _NAMES[label] = tuple(found)
+    return _NAMES[label]
 
 
 def named_as(label: str) -> int:
@@ -144,9 +168,20 @@ def unsupported(nodes: list[Node]) -> None:
         if n.up is not None:
             for of in (links, plain, forms):
                 of[id(n.up)] += of[id(n)]
+    entries = set()  # elements that hold two alike, anywhere inside
+    for n in reversed(nodes):
+        alike = Counter(p.step for p in n.pieces if isinstance(p, Node) and p.tag in ("li", "div", "article", "section", "dd"))
+        if any(c > 1 for c in alike.values()) or id(n) in entries:
+            entries.add(id(n))
+            if n.up is not None:
+                entries.add(id(n.up))
     for n in nodes:
         k = id(n)
-        if n.named and not n.spoken and (article[k] or n.tag in PASSAGES or n.inline) and not forms[k] and 2 * links[k] < plain[k]:
+        if n.listed and k not in entries and not forms[k]:
+            n.named = 0
+        elif n.named and n.replies and (k in entries or forms[k]):
+            n.named = 2
+        elif n.named and not n.spoken and (article[k] or n.tag in PASSAGES or n.inline) and not forms[k] and 2 * links[k] < plain[k]:
             n.named = 0
 
 
@@ -242,10 +277,11 @@ def parse(page: str, by_names: bool = True) -> Node:
         if tag == "br" or tag == "wbr" or tag in VOID and tag != "hr":
             top.pieces.append(" " if tag != "wbr" else "")
             continue
-        names = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m.group(3))} if m.group(3) and NAMING.search(m.group(3)) else {}
+        names = {a[0].lower(): a[1] or a[2] or a[3] for a in reversed(ATTRIBUTE.findall(m.group(3)))} if m.group(3) and NAMING.search(m.group(3)) else {}
         label = f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}".strip()
         words = words_named(label) if label and tag not in ("html", "body") else ()
         named, spoken = max((n for n, _ in words), default=0), any(w in SPOKEN for _, w in words)
+        listed, replies = bool(words) and all(w in LISTED for _, w in words), bool(words) and all(w in REPLIES for _, w in words)
         if tag == "a":
             links += 1
         if tag not in BLOCKS and tag not in OUTSIDE:
@@ -253,6 +289,7 @@ def parse(page: str, by_names: bool = True) -> Node:
                 inline[tag] += 1
             elif named or "hidden" in names:
                 top = Node(tag, tag, top, top.outside or "hidden" in names, named, spoken, True)
+                top.listed, top.replies = listed, replies
                 stack[-1].pieces.append(top)
                 stack.append(top)
                 opened[tag] += 1
@@ -273,10 +310,12 @@ def parse(page: str, by_names: bool = True) -> Node:
         if tag == "hr":
             top.pieces.append(BREAK)
             continue
-        outside = top.outside or tag in OUTSIDE or "hidden" in names
+        own_header = tag == "header" and (opened["article"] or opened["main"])
+        outside = top.outside or tag in OUTSIDE and not own_header or "hidden" in names
         classes = ".".join(sorted(set(DIGITS.sub("0", names.get("class", "")).lower().replace("/", "|").split())))
         step = "" if tag in ("html", "body") else f"{tag}{'.' + classes if classes else ''}".replace("/", "|")
         node = Node(tag, step, top, outside, named, spoken)
+        node.listed, node.replies = listed, replies
         top.pieces.append(node)
         stack.append(node)
         opened[tag] += 1
@@ -311,6 +350,47 @@ def best_container(root: Node) -> tuple[Node, float]:
     return best, max(most, 0.0)
 
 
+def chosen(root: Node) -> tuple[list[Node], float]:
+    """The elements that hold the main text, and the best container's score. What lies beside the best container and holds links alone
+    is marked as outside."""
+    best, score = best_container(root)
+    nodes = nodes_of(root)
+    above = set()
+    n = best
+    while n is not None:
+        above.add(id(n))
+        n = n.up
+    within: dict[int, bool] = {}  # in article or main
+    beside: dict[int, bool] = {}  # not in the best container
+    for n in nodes:
+        up = n.up
+        within[id(n)] = up is not None and within[id(up)] or n.tag in ("article", "main")
+        beside[id(n)] = n is not best and (up is None or beside[id(up)])
+    running = {id(n): int(not n.outside and n.text > 0) for n in nodes}
+    linked = {id(n): n.links for n in nodes}
+    wanted = dict(running)
+    if within[id(best)]:
+        for n in nodes:
+            own_title = n.tag == "h1" and not n.outside and n.up is not None and id(n.up) in above and n.up.tag not in ("html", "body")
+            wanted[id(n)] = running[id(n)] if within[id(n)] else int(own_title)
+    for n in reversed(nodes):
+        if n.up is not None:
+            for of in (running, linked, wanted):
+                of[id(n.up)] += of[id(n)]
+    for n in nodes:
+        k = id(n)
+        if beside[k] and k not in above and linked[k] and not running[k] and n.tag in ("ul", "ol", "dl", "table", "div", "section", "td", "li"):
+            n.outside = True
+    if within[id(best)]:
+        tops = [n for n in nodes if n.tag in ("article", "main") and not n.outside and wanted[id(n)] and not (n.up is not None and within[id(n.up)])]
+        if tops and sum(wanted[id(n)] for n in tops) == wanted[id(root)]:
+            return tops, score
+    n = best
+    while n.up is not None and wanted[id(n)] < wanted[id(root)]:
+        n = n.up
+    return [n], score
+
+
 def text_of(nodes: list[Node]) -> str:
     """Blocks of the nodes in page order, without what is outside the main text."""
     blocks, line = [], []
@@ -340,58 +420,63 @@ def text_of(nodes: list[Node]) -> str:
     return "\n".join(blocks)
 
 
-def extract(page: str | None, path: str | None) -> str:
-    """The main text: of the outermost elements at the path, or of the page's own best container; where all text is in
-    elements named as boilerplate, names don't count."""
+def extracted(page: str | None, key: str | None) -> tuple[str, str | None]:
+    """The main text and the path that gave it: of the outermost elements at the path that a key names, or (None) of the page's own
+    choice; where all text is in elements named as boilerplate, names don't count."""
     if not page:
-        return ""
+        return "", None
     root = parse(page)
-    if path is not None:
-        found, stack, key = [], [root], key_of_path(path)
+    own, _ = chosen(root)
+    if key is not None:
+        found, stack = [], [root]
         while stack:
             n = stack.pop()
-            if n.key == key and not n.outside and n.tag in CONTAINERS | {"html"}:
+            if n.key == key and not n.outside and not n.inline:
                 found.append(n)
             else:
                 stack += [p for p in reversed(n.pieces) if isinstance(p, Node)]
         if found and (text := text_of(found)):
-            return text
-    return text_of([best_container(root)[0]]) or text_of([best_container(parse(page, False))[0]])
+            return text, found[0].path
+    return text_of(own) or text_of(chosen(parse(page, False))[0]), None
+
+
+def extract(page: str | None, key: str | None) -> str:
+    return extracted(page, key)[0]
 
 
 def host_votes(pages: DataFrame) -> DataFrame:
-    """(host, path, votes, score) from pages (url, html)."""
+    """(host, key, votes, score) from pages (url, html)."""
 
     def factory() -> Callable:
         def work(host: str | None, page: str | None) -> tuple:
             if not page:
                 return host, None, 0.0
-            node, score = best_container(parse(page))
-            return host, node.path, float(score)
+            nodes, score = chosen(parse(page))
+            return host, nodes[0].key, float(score)
 
         return work
 
-    votes = scan(pages.select("host", "html"), "host string, path string, score double", factory).where("host IS NOT NULL AND path IS NOT NULL AND score > 0")
-    return votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
+    votes = scan(pages.select("host", "html"), "host string, key string, score double", factory).where("host IS NOT NULL AND key IS NOT NULL AND score > 0")
+    return votes.groupBy("host", "key").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
 
 
 def winning_paths(votes: DataFrame) -> DataFrame:
-    """(host, path): one winner for each host."""
-    best = F.max_by("path", F.struct(F.col("votes"), F.round("score").alias("score"), F.col("path")))
-    return votes.groupBy("host").agg(best.alias("path"))
+    """(host, key): one winner for each host."""
+    best = F.max_by("key", F.struct(F.col("votes"), F.round("score").alias("score"), F.col("key")))
+    return votes.groupBy("host").agg(best.alias("key"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars, path for every row of pages."""
+    """page_id, url, text, n_chars, path (null where the page's own choice gave the text) for every row of pages."""
     rows = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
     rows = rows.withColumn("host", F.lower(F.nullif(F.regexp_extract("url", HOST, 1), F.lit(""))))
     winners = checkpointed(winning_paths(host_votes(rows)))
-    few = winners.limit(HOSTS_MOST + 1).count() <= HOSTS_MOST
-    joined = rows.join(F.broadcast(winners) if few else winners, "host", "left").select("id", "url", "html", "path")
+    size = winners.agg(F.sum(F.octet_length("host") + F.octet_length("key") + F.lit(32))).first()[0] or 0
+    joined = rows.join(F.broadcast(winners) if size <= HOSTS_BYTES else winners, "host", "left").select("id", "url", "html", "key")
 
     def factory() -> Callable:
-        def work(page_id, url, page, path) -> tuple:
-            text = extract(page, path)
+        def work(page_id, url, page, key) -> tuple:
+            text, path = extracted(page, key)
             return page_id, url, text, len(text), path
 
         return work

@@ -77,7 +77,7 @@ def test_empty_table(spark):
 
 
 def test_hosts_by_join(spark, monkeypatch):
-    monkeypatch.setattr(html, "HOSTS_MOST", 0)
+    monkeypatch.setattr(html, "HOSTS_BYTES", 0)
     assert [r.text for r in html.main_text(pages(spark, [(1, "http://a.b/c", page(""))])).collect()] == [WANT]
 
 
@@ -143,3 +143,50 @@ def test_keys_are_of_paths():
     for n in html.nodes_of(root):
         assert n.key == html.key_of_path(n.path)
     assert html.nodes_of(root)[-1].path == "/div.a0.b/section/p"
+
+
+@pytest.mark.parametrize("body, want", [
+    ("<div id=content><h1>Title</h1><div class=entry><p>one</p><p>two</p></div></div>", "Title\none\ntwo"),
+    ("<div><p>left column of text</p></div><div><p>right</p></div>", "left column of text\nright"),
+    ("<section><p>first part</p></section><section><p>2</p></section>", "first part\n2"),
+    ("<table><tr><td><p>cell one, long</p></td><td>cell two</td></tr></table>", "cell one, long\ncell two"),
+    ("<article><p>the longer article</p></article><article><p>short</p></article>", "the longer article\nshort"),
+    ("<div><p>said</p><blockquote>a much longer quotation than the text</blockquote></div>", "said\na much longer quotation than the text"),
+    ("<article><header><h1>Title</h1></header><p>text</p></article>", "Title\ntext"),
+    ("<div id=content><h1>Title</h1><article><p>text of some length</p></article></div><div><p>beside the article</p></div>", "Title\ntext of some length"),
+    ("<main><h1>T</h1><article><p>text</p></article></main><div>beside</div>", "T\ntext"),
+    ("<div><p title=don't>one</p><p title=a'b\"c class=x>two</p><p title='a > b'>three</p></div>", "one\ntwo\nthree"),
+    ("<div><p title='x class=ad'>one</p><p data-x=\"hidden\">two</p></div>", "one\ntwo"),
+    ("<div><p>text</p></div><div><a href=a>Home</a> <a href=b>News</a></div><ul><li><a href=c>More</a></ul>", "text"),
+])
+def test_whole_article(body, want):
+    assert html.extract(f"<body><header>Site</header><nav><a href=/>x</a></nav>{body}<footer>f</footer>", None) == want
+
+
+@pytest.mark.parametrize("name", ["id=disqus_thread", "class=commentlist", "class=user-reviews", "class=reply-list", "class=discussion", "id=comments", "class=replies"])
+def test_reader_comments(name):
+    for wrap in ("<div class=post>{}</div>", "<article>{}</article>"):
+        for where in ("{}" + f"<div {name}>" + "<div class=c>I like it, really.</div>" * 3 + "</div>",):
+            inside = where.format("<h1>Title</h1><p>The text itself.</p>")
+            assert html.extract(f"<body>{wrap.format(inside)}", None) == "Title\nThe text itself."
+
+
+def test_a_discussion_within_an_article():
+    assert html.extract("<article><p>Results.</p><section class=discussion><h2>Discussion</h2><p>We see.</p></section></article>", None) == "Results.\nDiscussion\nWe see."
+
+
+def test_votes_are_of_fixed_length(spark):
+    deep = "<div class='a b'>" * 3000 + "<p>deep text</p>"
+    (vote,) = html.host_votes(spark.createDataFrame([("h", deep)], "host string, html string")).collect()
+    assert len(vote["key"]) == 24
+    (row,) = html.main_text(pages(spark, [(1, "http://a.b/c", deep)])).collect()
+    assert row.text == "deep text"
+
+
+def test_tags_are_found_in_linear_time():
+    import time
+
+    for page in ("<p=x" * 50_000, "<p a='" * 50_000, '<p a="' * 50_000, "<p =" * 50_000, "<a b=c'" * 50_000 + ">"):
+        began = time.time()
+        html.extract(page, None)
+        assert time.time() - began < 10
