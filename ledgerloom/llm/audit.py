@@ -6,7 +6,7 @@ how many orders reach a state, backward counts how many ways lead on from it; th
 and a filter's weighted sum is its Shapley value (times the number of orders). The steps of each single order are read from the
 same edges, so no order is ever run over the documents.
 
-Spark reads texts once, in a scan that gives each row's word count, failures and a digest of the text, and shuffles no text. The
+Spark reads texts once, in a scan whose checkpoint has each row's failures and a digest of the text, and shuffles no text. The
 filter for repeated texts compares each row's id with the smallest id of its digest, found by an aggregate that combines within
 tasks and joined only where a digest has several rows (a join that adaptive execution may split, as one side has each digest
 once). All that is left are counts for each part and set of failures, at most
@@ -28,7 +28,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scan, table
+from .common import checkpointed, scan, table
 
 FILTERS = "ABCDE"
 WORDS_LEAST = 200
@@ -62,7 +62,7 @@ def failed_sets(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.coalesce(docs["source"].cast("string"), F.lit("")).alias("part"),
         docs["text"].cast("binary").alias("text"),
     )
-    rows = scan(texts, "id bigint, part string, fails int, digest binary", factory)
+    rows = checkpointed(scan(texts, "id bigint, part string, fails int, digest binary", factory))
     marks = labels.where(labels["doc_id"].isNotNull()).groupBy(labels["doc_id"].cast("long").alias("id")).agg(
         F.max((F.coalesce(labels["quality"], F.lit(0)) == 1).cast("long")).alias("good"),
         F.max((F.coalesce(labels["toxic"], F.lit(0)) == 1).cast("long")).alias("toxic"),
