@@ -26,7 +26,9 @@ columns may have any name.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+import os
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ END_ID = 2
 #: A group's tails: so many tokens and tails at most (and one tail more).
 GROUP_TOKENS, GROUP_TAILS = 1 << 20, 4096
 #: Different words that a worker remembers, and the longest of them in bytes.
-MEMO_WORDS, MEMO_BYTES = 400_000, 64
+MEMO_WORDS, MEMO_BYTES = 1_000_000, 64
 #: Rows that are split at once.
 ROWS = 256
 
@@ -128,22 +130,30 @@ class Tokens:
     def __init__(self, path: str, memo: dict[str, bytes]) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.memo = memo
 
-    def _new(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha() and word.islower():
-            ids = [t.id for t in self.tokenizer.model.tokenize(word)]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        found = self.memo.get(word)
-        if found is None:
-            found = self._new(word)
-            if len(word) <= MEMO_BYTES and len(self.memo) < MEMO_WORDS:
-                self.memo[word] = found
+    def _new(self, words: list[str]) -> list[bytes]:
+        out: list = [None] * len(words)
+        others = []
+        for i, word in enumerate(words):
+            if word.isascii() and word.isalpha() and word.islower():
+                out[i] = array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+            else:
+                others.append(i)
+        for i, made in zip(others, self.tokenizer.encode_batch_fast([words[i] for i in others], add_special_tokens=False), strict=True):
+            out[i] = array("I", made.ids).tobytes()
+        return out
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        get = self.memo.get
+        found = [get(w) for w in words]
+        missing = [i for i, f in enumerate(found) if f is None]
+        for i, new in zip(missing, self._new([words[i] for i in missing]), strict=True):
+            found[i] = new
+            if len(words[i]) <= MEMO_BYTES and len(self.memo) < MEMO_WORDS:
+                self.memo[words[i]] = new
         return found
 
     def of(self, texts: pa.Array) -> list[np.ndarray]:
@@ -155,7 +165,7 @@ class Tokens:
         parts = pc.ascii_split_whitespace(texts)
         bounds = parts.offsets.to_numpy(zero_copy_only=False)
         words = parts.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-        known = [self._word(w) if w else b"" for w in words.dictionary.to_pylist()]
+        known = self._known(words.dictionary.to_pylist())
         lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
         flat = np.frombuffer(b"".join(known), "<u4")
         starts = np.cumsum(lengths) - lengths
