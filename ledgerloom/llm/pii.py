@@ -1,10 +1,12 @@
 """Personal data by a skip-chain conditional random field.
 
 Nodes are the tokens (between white space) that hold a digit or an @; every other token is certainly ordinary text and
-cuts the chain. Chain edges join neighbouring nodes. Skip edges join a token to the next one in the document with the
-same characters, or that ends a number with the same last digits in another format, so a value that is recognised in
-one place is recognised where its format alone doesn't tell. Loopy sum-product messages run over all documents of a slice at
-once; beliefs give the labels.
+cuts the chain. Skip edges join a token to the next one in the document with the same characters, or that ends a number with
+the same last digits in another format, so a value that is recognised in one place is recognised where its format alone doesn't
+tell. Chain edges join neighbours that something else shows to be one value: parts of a base span, parts of a number whose digits
+repeat those at the other end of a skip edge, or what follows a word that announces a phone or card. Numbers that merely stand side by side, as
+in tables, dates and ranges of years, don't support each other, and tokens that repeat each other without more are as
+ready to agree on being ordinary as on a kind. Only what edges join to a base span or to a cue may get a label. Loopy sum-product messages run over all documents of a slice at once; beliefs give the labels.
 
 The base patterns give the kinds email, ip, card and phone; their spans always stay and hold their tokens' labels. The
 field adds spans over tokens that no base span covers; neighbours of one label are one span as long as it has no more digits than
@@ -21,6 +23,7 @@ proportional to their tokens with a digit or an @. Only id and text are read, so
 
 from __future__ import annotations
 
+import os.path
 import re
 from collections.abc import Callable, Iterator
 
@@ -130,6 +133,10 @@ CUES = {
     "cue_phone": ("phone", "tel", "tel.", "telephone", "call", "fax", "mobile", "telefon", "teléfono", "téléphone"),
 }
 CUE_OF = {word: cue for cue, words in CUES.items() for word in words}
+#: Cues of values that may take several tokens.
+CUE_CARD = INDEX["cue_card"]
+ANNOUNCING = frozenset((CUE_CARD, INDEX["cue_phone"]))
+ANY_CUE = frozenset(INDEX[cue] for cue in CUES)
 SPOT = re.compile(r"[0-9@]")
 SPACE = re.compile(r"\s")
 EDGE = "\"'`()[]{}<>|,;:!?*#$%&=."
@@ -160,7 +167,7 @@ def starting_weights() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ):
         w[INDEX[name], label] += value
     chain, skip = np.zeros((L, L)), np.zeros((L, L))
-    chain[4, 4] = 1.0
+    chain[3, 3] = chain[4, 4] = 2.0  # parts of one value
     skip[np.arange(1, L), np.arange(1, L)] = 4.0
     return w, chain, skip
 
@@ -218,9 +225,15 @@ class Graph:
 
     def __init__(self, texts: list[str], base: list[list[tuple[str, int, int]]]) -> None:
         self.doc, self.start, self.stop, self.feats, self.base = [], [], [], [], []
-        self.chain, self.skip = [], []
+        self.chain, self.skip, self.alike = [], [], []  # alike: skip edges of values that nothing else shows
+        self.shown: set[int] = set()  # what may get a label: see _shown
         for d, text in enumerate(texts):
             last: dict = {}
+            first_node, skips = len(self.doc), []
+            near: set[int] = set()  # nodes with a neighbour before them
+            parts: set[tuple[int, int]] = set()  # chain edges within one value
+            digits_of: dict[int, str] = {}
+            announced = 0  # digits that a cue may still cover
             spans = sorted(((a, b, 1 + KINDS.index(k)) for k, a, b in base[d]))
             first, end, run = 0, -1, ""
             for start, stop in tokens_of(text):
@@ -236,16 +249,54 @@ class Graph:
                 self.base.append(next((k for a, b, k in spans[first : first + 4] if a < stop and start < b), -1))
                 token = text[start:stop]
                 digits = re.sub(r"[^0-9]", "", token)
+                digits_of[i] = digits
                 if gap is not None and len(gap) <= 3 and not gap.strip(EDGE + " \t\n"):
-                    self.chain.append((i - 1, i))
+                    near.add(i)
                     run = (run + digits)[-RUN:]
+                    covered = 0 < len(digits) <= announced
+                    if covered or self.base[i] > 0 and self.base[i - 1] == self.base[i]:
+                        parts.add((i - 1, i))
+                    announced = announced - len(digits) if covered else 0
                 else:
                     run = digits[-RUN:]
+                    announced = 0
+                if not ANNOUNCING.isdisjoint(self.feats[i]):
+                    announced = max(0, MOST_DIGITS["card" if CUE_CARD in self.feats[i] else "phone"] - len(digits))
                 for key in keys_of(token, run):
-                    if key in last and (not self.skip or self.skip[-1] != (last[key], i)):
-                        self.skip.append((last[key], i))
-                    last[key] = i
+                    if key in last:
+                        j, other = last[key]
+                        if not skips or skips[-1] != (j, i):
+                            skips.append((j, i))
+                        if key[0] == "tail":
+                            alike = len(os.path.commonprefix([run[::-1], other[::-1]]))
+                            for at in (i, j):  # back over the tokens that the digits in common cover whole
+                                n = len(digits_of[at])
+                                while at in near and digits_of[at - 1] and n + len(digits_of[at - 1]) <= alike:
+                                    parts.add((at - 1, at))
+                                    at -= 1
+                                    n += len(digits_of[at])
+                    last[key] = i, run
                 end = stop
+            self.chain += sorted(parts)
+            shown = self._shown(first_node, [*skips, *parts])
+            self.shown |= shown
+            for pair in skips:
+                (self.skip if pair[0] in shown else self.alike).append(pair)
+
+    def _shown(self, first: int, edges: list[tuple[int, int]]) -> set[int]:
+        """Nodes from the first one on that have a base label or a cue, or that edges join to such a node."""
+        around: dict[int, list[int]] = {}
+        for i, j in edges:
+            around.setdefault(i, []).append(j)
+            around.setdefault(j, []).append(i)
+        todo = [i for i in range(first, len(self.doc)) if self.base[i] > 0 or not ANY_CUE.isdisjoint(self.feats[i])]
+        shown = set(todo)
+        while todo:
+            for j in around.get(todo.pop(), ()):
+                if j not in shown:
+                    shown.add(j)
+                    todo.append(j)
+        return shown
 
     def unary(self, w: np.ndarray) -> np.ndarray:
         out = np.zeros((len(self.doc), L))
@@ -299,12 +350,12 @@ def spans_of(texts: list[str | None], model: Model) -> list[tuple[list, list]]:
     w, chain, skip = model
     added: list[list] = [[] for _ in texts]
     if g.doc:
-        p = beliefs(g.unary(w), [(g.chain, chain), (g.skip, skip)])
+        p = beliefs(g.unary(w), [(g.chain, chain), (g.skip, skip), (g.alike, np.eye(L) * skip.max())])
         label = np.where(p[:, 1:].max(axis=1) >= LEAST_BELIEF, 1 + p[:, 1:].argmax(axis=1), 0)
         linked = set(g.chain)
         n_digits = lambda d, a, b: sum(c.isdigit() for c in texts[d][a:b])
         for i, k in enumerate(label):
-            if not k or g.base[i] > 0:
+            if not k or g.base[i] > 0 or i not in g.shown:
                 continue
             own = added[g.doc[i]]
             joins = own and (i - 1, i) in linked and label[i - 1] == k and g.base[i - 1] <= 0
@@ -330,9 +381,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
                 base = [base_spans(t) for t in batch]
                 g = Graph(batch, base)
                 y = [max(0, b) for b in g.base]
-                unclear = {i for pair in g.skip for i, j in (pair, pair[::-1]) if not y[i] and y[j]}
+                unclear = {i for pair in (*g.skip, *g.alike) for i, j in (pair, pair[::-1]) if not y[i] and y[j]}
                 near = [[[0] * L, [0] * L] for _ in y]
-                for kind, pairs in ((0, g.chain), (1, g.skip)):
+                for kind, pairs in ((0, g.chain), (1, g.skip), (1, g.alike)):
                     for i, j in pairs:
                         for a, b in ((i, j), (j, i)):
                             if b not in unclear:
@@ -340,6 +391,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
                 out = [(f, c, s, k) for i, (f, (c, s), k) in enumerate(zip(g.feats, near, y, strict=True)) if i not in unclear]
                 for text, spans in zip(batch, base, strict=True):
                     for kind, a, b in spans:
+                        pieces = [x for x in re.findall(r"[0-9]+", text[a:b])] if kind in ("card", "phone") else []
+                        if len(pieces) > 1:  # the parts of a repetition with bare digits: neighbours of one label, the skip edge at the last
+                            k = 1 + KINDS.index(kind)
+                            for i, piece in enumerate(pieces):
+                                beside, skipped = [0] * L, [0] * L
+                                beside[k] = (i > 0) + (i < len(pieces) - 1)
+                                skipped[k] = int(i == len(pieces) - 1)
+                                out.append((features_of(piece, 0, len(piece), ""), beside, skipped, k))
                         bare, k = re.sub(r"[^0-9]", "", text[a:b]) if kind in ("card", "phone") else "", 1 + KINDS.index(kind)
                         seen = features_of(bare, 0, len(bare), "") if bare else [INDEX["bias"]]
                         out.append((seen, [0] * L, [int(x == k) for x in range(L)], k))
