@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from ledgerloom.sources.tables import BASELINE_INDICES, DEFAULT_TICKERS
 
 
+def instant(time: str = "ts", order: str = "event_id") -> Column:
+    """Time and then order as one number, by which max_by and min_by aggregate by hash; a struct there makes them sort."""
+    return F.unix_micros(F.col(time).cast("timestamp")).cast("decimal(38,0)") * F.lit("20000000000000000000").cast("decimal(20,0)") + F.col(order)
+
+
 def live_price(ticks: DataFrame) -> DataFrame:
     """ticker, price: the latest tick of each ticker; one aggregate with map-side combination."""
-    return ticks.groupBy("ticker").agg(F.max_by("price", F.struct("ts", "event_id")).alias("price"))
+    return ticks.groupBy("ticker").agg(F.max_by("price", instant()).alias("price"))
 
 
 def fresh_price(ticks: DataFrame, now: str, seconds: int) -> DataFrame:
@@ -27,7 +32,7 @@ def latest_price(quotes: DataFrame, bars: DataFrame) -> DataFrame:
 
 def bars(ticks: DataFrame, interval: str) -> DataFrame:
     """ticker, bar_ts, open, high, low, close, volume (ticks) of tumbling windows."""
-    at = F.struct("ts", "event_id")
+    at = instant()
     window = F.window(F.col("ts"), interval)
     return (
         ticks.groupBy("ticker", window.alias("w")) .agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import half_up
@@ -48,6 +48,29 @@ def volume_series(bars: DataFrame) -> DataFrame:
     return rows.select("ticker", "ts", "event_id", "volume_c", spike.alias("spike"))
 
 
+def checked(closes: Column, volumes: Column) -> tuple[Column, Column]:
+    """(rsi, spike) of a ticker's last bars, as arrays in order: what rsi_series and volume_series give for the last of them."""
+    n = F.size(closes)
+    ends = F.slice(closes, F.greatest(n - RSI_PERIOD, F.lit(1)), RSI_PERIOD + 1)
+    changes = F.transform(F.sequence(F.lit(1), F.lit(RSI_PERIOD)), lambda i: F.get(ends, i) - F.get(ends, i - 1))
+    total = lambda up: F.aggregate(changes, F.lit(0).cast("long"), lambda s, x: s + F.greatest(x if up else -x, F.lit(0).cast("long")))
+    gain, loss = total(True), total(False)
+    rsi = F.when((n > RSI_PERIOD) & (loss > 0), 100 - 100 / (1 + (gain / 14.0) / F.when(loss > 0, loss / 14.0)))
+    m = F.size(volumes)
+    before = F.aggregate(F.slice(volumes, F.greatest(m - VOLUME_DAYS, F.lit(1)), VOLUME_DAYS), F.lit(0).cast("long"), lambda s, x: s + x)
+    spike = F.when(m > VOLUME_DAYS, F.get(volumes, m - 1) * VOLUME_DAYS > before * VOLUME_TIMES)
+    return rsi, spike
+
+
+def latest_features(bars: DataFrame) -> DataFrame:
+    """ticker, rsi, spike at each ticker's last bar, from its last 21; no more bars of a ticker leave a task. bars: (ticker, ts,
+    event_id, close_c, volume_c)."""
+    last = latest_k(bars.select("ticker", "ts", "event_id", "close_c", "volume_c"), "ticker", VOLUME_DAYS + 1, "ts", "event_id")
+    rows = last.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "close_c", "volume_c"))).alias("b"))
+    rsi, spike = checked(F.col("b.close_c"), F.col("b.volume_c"))
+    return rows.select("ticker", rsi.alias("rsi"), spike.alias("spike"))
+
+
 def sentiment_change(scores: DataFrame) -> DataFrame:
     """ticker, change: the latest score less the one before, whatever their age; none with a single score."""
     last = latest_k(scores.select("ticker", "ts", "id", "score"), "ticker", 2, "ts", "id")
@@ -70,10 +93,22 @@ def stop_target(positions: DataFrame, live: DataFrame, limits: DataFrame) -> Dat
     )
 
 
-def all_alerts(positions: DataFrame, live: DataFrame, limits: DataFrame, change: DataFrame, rsi: DataFrame, spikes: DataFrame) -> DataFrame:
-    """user_id, ticker, alert_type, signal, message, price: every check in one pass over open positions. change, rsi and
-    spikes hold one row for each ticker at most: (ticker, change), (ticker, rsi), (ticker, spike)."""
-    rows = stop_target(positions, live, limits).join(change, "ticker", "left").join(rsi, "ticker", "left").join(spikes, "ticker", "left")
+def all_alerts(
+    positions: DataFrame,
+    live: DataFrame,
+    limits: DataFrame,
+    change: DataFrame,
+    features: DataFrame,
+    spikes: DataFrame | None = None,
+) -> DataFrame:
+    """user_id, ticker, alert_type, signal, message, price: every check in one pass over open positions. change, features and
+    spikes hold one row for each ticker at most: (ticker, change), (ticker, rsi), (ticker, spike); features has both without spikes."""
+    rows = stop_target(positions, live, limits).join(change, "ticker", "left").join(features, "ticker", "left")
+    return alerts_of(rows if spikes is None else rows.join(spikes, "ticker", "left"))
+
+
+def alerts_of(rows: DataFrame, *more: str) -> DataFrame:
+    """The alerts of rows (user_id, ticker, price, sl_price, tg_price, change, rsi, spike), with the columns named in more."""
     two = lambda c: F.format_string("%.2f", half_up(F.col(c)))
     one = F.format_string("%.1f", half_up(F.col("rsi"), 1))
     t = F.col("ticker")
@@ -124,4 +159,5 @@ def all_alerts(positions: DataFrame, live: DataFrame, limits: DataFrame, change:
             ],
         ),
     )
-    return rows.select("user_id", "ticker", "price", F.explode(made).alias("a")).select("user_id", "ticker", "a.alert_type", "a.signal", "a.message", "price")
+    exploded = rows.select("user_id", "ticker", "price", *more, F.explode(made).alias("a"))
+    return exploded.select("user_id", "ticker", "a.alert_type", "a.signal", "a.message", "price", *more)

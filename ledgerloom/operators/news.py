@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.scalars import clean_text, keyword, lexicon_score
 
 
+def ranked_by_source(articles: DataFrame, ranks: DataFrame) -> DataFrame:
+    """All articles with source_rank, the place of their source in ranks (source, source_rank; one row a source, few); null for a
+    source that is not there or null. One scan, where the articles of all sources lie in one table."""
+    return articles.join(F.broadcast(ranks) if ranks.limit(10_001).count() <= 10_000 else ranks, "source", "left")
+
+
 def union_sources(*sources: DataFrame) -> DataFrame:
     """All rows of the sources with source_rank, the place of their source; duplicates stay."""
     ranked = [s.withColumn("source_rank", F.lit(i)) for i, s in enumerate(sources)]
@@ -20,10 +26,12 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 
 
 def first_of_each(articles: DataFrame) -> DataFrame:
-    """Of articles with one text (by MD5 of its bytes) the first by seq; aggregation keeps one row for each text in each
-    task, so a text repeated very often is no hot key."""
-    rows = F.struct("seq", *[c for c in articles.columns if c != "seq"])
-    return articles.groupBy(F.md5("text").alias("__digest")).agg(F.min(rows).alias("r")).select("r.*").select(*articles.columns)
+    """Of articles with one text (by MD5 of its bytes) the first by seq, which is unique. Digests and numbers alone are aggregated,
+    by hash and within tasks first, so a text repeated very often is no hot key; texts meet only the numbers that go."""
+    marked = articles.select(F.coalesce(F.md5("text"), F.lit("")).alias("__digest"), F.col("seq").alias("__seq"))  # null texts are one text
+    first = marked.groupBy("__digest").agg(F.min("__seq").alias("__first"), F.max("__seq").alias("__last")).where("__first < __last")
+    gone = marked.join(first.drop("__last"), "__digest").where("__seq > __first").select("__seq")
+    return articles.join(gone, articles["seq"] == gone["__seq"], "left_anti")
 
 
 def mentions(articles: DataFrame, tickers: list[str]) -> DataFrame:

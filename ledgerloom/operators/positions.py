@@ -9,18 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import ratio_percent
+from ledgerloom.operators.market import instant
 
 
 def average_cost(trades: DataFrame) -> DataFrame:
     """user_id, ticker, quantity, avg_cost after all trades: a buy averages, a sale keeps the average, none left resets.
     It is the last of each pair's states, so a pair's trades never meet in one array."""
-    last = F.max_by(F.struct("qty", "avg"), F.struct("ts", "id"))
-    return position_states(trades).groupBy("user_id", "ticker").agg(last.alias("s")).select(
-        "user_id",
-        "ticker",
-        F.col("s.qty").alias("quantity"),
-        F.col("s.avg").alias("avg_cost"),
-    )
+    at = instant("ts", "id")
+    return position_states(trades).groupBy("user_id", "ticker").agg(F.max_by("qty", at).alias("quantity"), F.max_by("avg", at).alias("avg_cost"))
 
 
 def position_states(trades: DataFrame) -> DataFrame:

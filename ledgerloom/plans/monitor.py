@@ -46,10 +46,6 @@ def _ticker_number(spark: SparkSession, d: str) -> DataFrame:
     return held.join(change.withColumnRenamed("ticker", "news"), "news").select("ticker", "change")
 
 
-def _last(series: DataFrame, value: str) -> DataFrame:
-    return series.where(F.col("ts") < F.lit(BARS_BEFORE).cast("timestamp_ntz")).groupBy("ticker").agg(F.max_by(value, F.struct("ts", "event_id")).alias(value))
-
-
 def rsi14_series(spark: SparkSession, d: str) -> DataFrame:
     return monitor.rsi_series(walk_bars(spark, d)).where("rsi IS NOT NULL").select("ticker", "event_id", scalars.half_up(F.col("rsi"), 6).alias("rsi"))
 
@@ -60,14 +56,13 @@ def volume_spike_series(spark: SparkSession, d: str) -> DataFrame:
 
 def alert_messages(spark: SparkSession, d: str) -> DataFrame:
     """All six kinds of alerts of every open position, with their messages."""
-    bars = walk_bars(spark, d)
+    features = monitor.latest_features(walk_bars(spark, d).where(F.col("ts") < F.lit(BARS_BEFORE).cast("timestamp_ntz")))
     return monitor.all_alerts(
         _open(spark, d),
         market.live_price(src.ticks(spark, d)),
         src.limits(spark, d),
         _ticker_number(spark, d),
-        _last(monitor.rsi_series(bars), "rsi"),
-        _last(monitor.volume_series(bars), "spike"),
+        features,
     )
 
 

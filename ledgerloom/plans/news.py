@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars
@@ -15,8 +15,9 @@ SOURCES = tuple(f"src{i}" for i in range(20))
 
 
 def articles_union(spark: SparkSession, d: str) -> DataFrame:
-    rows = src.articles(spark, d)
-    return news.union_sources(*[rows.where(F.col("source") == s) for s in SOURCES]).select("seq", "source_rank")
+    """Every article with the place of its source in the fixed order; in one scan, as all sources lie in one table."""
+    ranks = spark.createDataFrame([(s, i) for i, s in enumerate(SOURCES)], "source string, source_rank int")
+    return news.ranked_by_source(src.articles(spark, d), ranks).select("seq", "source_rank")
 
 
 def dedupe_md5(spark: SparkSession, d: str) -> DataFrame:
@@ -47,8 +48,9 @@ def news_top10_per_ticker(spark: SparkSession, d: str) -> DataFrame:
 
 
 def key_round_robin(spark: SparkSession, d: str) -> DataFrame:
-    """Which key asks for which ticker: in the order of the keyword list, indices left out, .NS removed."""
-    asked = spark.createDataFrame([(i, k) for i, k in enumerate(k for k in src.KEYWORDS if not k.startswith("^"))], "idx bigint, ticker string")
+    """Which key asks for which traded ticker: in the tickers' order, indices left out, .NS removed."""
+    traded = src.ticks(spark, d).select("ticker").distinct().where("NOT startswith(ticker, '^')")
+    asked = traded.withColumn("idx", F.row_number().over(Window.orderBy("ticker")) - 1)  # one row a ticker
     return asked.select(F.replace("ticker", F.lit(".NS"), F.lit("")).alias("query"), src.pick(API_KEYS, F.pmod("idx", F.lit(len(API_KEYS)))).alias("api_key"))
 
 
@@ -130,7 +132,7 @@ QUERIES = {
 
 _LOGITS = "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings"
 SQL = {
-    "articles_union": "SELECT seq, CAST(substr(source, 4) AS INT) AS source_rank FROM v_articles",
+    "articles_union": "SELECT seq, CASE WHEN regexp_full_match(source, 'src1?[0-9]') THEN CAST(substr(source, 4) AS INT) END AS source_rank FROM v_articles",
     "dedupe_md5": "SELECT seq, md5(text) AS digest FROM v_dedup",
     "articles_per_source": "SELECT source, count(*) AS n FROM v_dedup GROUP BY source",
     "rss_recent": "SELECT seq, published FROM v_articles WHERE published IS NULL OR published >= TIMESTAMP '2024-01-29 22:00:00'",
@@ -141,8 +143,8 @@ SQL = {
         "FROM v_articles a JOIN v_keywords k ON contains(upper(a.text), k.keyword) WHERE NOT starts_with(k.ticker, '^') QUALIFY n <= 10"
     ),
     "key_round_robin": (
-        "SELECT * FROM (VALUES ('ITC', 'key-a'), ('LT', 'key-b'), ('ERING', 'key-c'), ('ONING', 'key-a'), ('THING', 'key-b')) t(query, "
-        "api_key)"
+        "SELECT replace(ticker, '.NS', '') AS query, (['key-a', 'key-b', 'key-c'])[(row_number() OVER (ORDER BY ticker) - 1) % 3 + 1] AS api_key "
+        "FROM (SELECT DISTINCT ticker FROM v_ticks WHERE NOT starts_with(ticker, '^'))"
     ),
     "article_text": (
         "SELECT conv_id, turn, coalesce(CASE WHEN turn % 3 <> 0 THEN role END, 'None') || '. ' || coalesce(CASE WHEN turn % 2 = 0 THEN "

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerloom.operators.market import instant
 from ledgerloom.operators.trading import RESULT, executed
 from ledgerloom.sources.tables import ALERT_MESSAGE, ALERT_SIGNALS, ALERT_TYPES, pick
 
@@ -88,7 +89,7 @@ def run_complete(stream: DataFrame) -> DataFrame:
 
 def bars(ticks: DataFrame, interval: str) -> DataFrame:
     """Bars of closed windows only: a window closes when an event comes that is later than its end by DELAY."""
-    at = F.struct("ts", "event_id")
+    at = instant()
     rows = ticks.withWatermark("ts", DELAY).groupBy("ticker", F.window("ts", interval).alias("w"))
     made = rows.agg(
         F.min_by("price", at).alias("open"),
@@ -101,7 +102,7 @@ def bars(ticks: DataFrame, interval: str) -> DataFrame:
 
 
 def live_prices(ticks: DataFrame) -> DataFrame:
-    return ticks.groupBy("ticker").agg(F.max_by("price", F.struct("ts", "event_id")).alias("price"))
+    return ticks.groupBy("ticker").agg(F.max_by("price", instant()).alias("price"))
 
 
 def unique_texts(articles: DataFrame) -> DataFrame:
