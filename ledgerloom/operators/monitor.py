@@ -81,8 +81,8 @@ def sentiment_change(scores: DataFrame) -> DataFrame:
     return both.where("before IS NOT NULL").select("ticker", (F.col("now") - F.col("before")).alias("change"))
 
 
-def stop_target(positions: DataFrame, live: DataFrame, limits: DataFrame) -> DataFrame:
-    """user_id, ticker, price, sl_price, tg_price of open positions with a live price."""
+def stop_target(positions: DataFrame, live: DataFrame, limits: DataFrame, *more: str) -> DataFrame:
+    """user_id, ticker, price, sl_price, tg_price of open positions with a live price, with the columns of live named in more."""
     rows = positions.where("quantity > 0").join(live, "ticker").join(limits, ["user_id", "ticker"], "left")
     return rows.select(
         "user_id",
@@ -90,6 +90,7 @@ def stop_target(positions: DataFrame, live: DataFrame, limits: DataFrame) -> Dat
         "price",
         (F.col("avg_cost") * (1 - F.col("sl_pct") / 100)).alias("sl_price"),
         (F.col("avg_cost") * (1 + F.col("tg_pct") / 100)).alias("tg_price"),
+        *more,
     )
 
 

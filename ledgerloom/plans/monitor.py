@@ -14,11 +14,15 @@ from ledgerloom.sources import tables as src
 BARS_BEFORE, SCORES_UNTIL = "2024-01-30 00:00:00", "2024-01-29 22:55:00"
 
 
+#: Where each ticker's walk begins, in cents.
+WALK_BASE = 1000000
+
+
 def walk_bars(spark: SparkSession, d: str) -> DataFrame:
     """A random walk of each ticker from its ticks: up by clicks and purchases, down by others."""
     step = F.when(F.col("event_type").isin("click", "purchase"), F.col("price_c")).otherwise(-F.col("price_c"))
     rows = market.running_sum(src.ticks(spark, d), ["ticker"], "ts", "event_id", step, "1 day")
-    return rows.select("ticker", "ts", "event_id", (F.lit(1000000) + F.col("running")).alias("close_c"), F.col("price_c").alias("volume_c"))
+    return rows.select("ticker", "ts", "event_id", (F.lit(WALK_BASE) + F.col("running")).alias("close_c"), F.col("price_c").alias("volume_c"))
 
 
 def sentiment_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -54,16 +58,16 @@ def volume_spike_series(spark: SparkSession, d: str) -> DataFrame:
     return monitor.volume_series(walk_bars(spark, d)).where("spike IS NOT NULL").select("ticker", "event_id", "spike")
 
 
+def held_at_monitor(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Positions, limits and sentiment changes that the monitor joins."""
+    return _open(spark, d), src.limits(spark, d), _ticker_number(spark, d)
+
+
 def alert_messages(spark: SparkSession, d: str) -> DataFrame:
     """All six kinds of alerts of every open position, with their messages."""
     features = monitor.latest_features(walk_bars(spark, d).where(F.col("ts") < F.lit(BARS_BEFORE).cast("timestamp_ntz")))
-    return monitor.all_alerts(
-        _open(spark, d),
-        market.live_price(src.ticks(spark, d)),
-        src.limits(spark, d),
-        _ticker_number(spark, d),
-        features,
-    )
+    held, limits, change = held_at_monitor(spark, d)
+    return monitor.all_alerts(held, market.live_price(src.ticks(spark, d)), limits, change, features)
 
 
 def _kinds(*kinds: str):
@@ -193,7 +197,7 @@ _RSI = """SELECT ticker, ts, event_id, CASE WHEN n = 14 AND l > 0 THEN 100 - 100
 SELECT ticker, ts, event_id, count(d) OVER w AS n, CAST(sum(CASE WHEN d > 0 THEN d ELSE 0 END) OVER w AS BIGINT) AS g, CAST(sum(CASE WHEN d < 0 THEN -d ELSE 0 END) OVER w AS BIGINT) AS l
 FROM (SELECT *, close_c - lag(close_c) OVER (PARTITION BY ticker ORDER BY ts, event_id) AS d FROM v_bars) WINDOW w AS (PARTITION BY ticker ORDER BY ts, event_id ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))"""
 _VOLUME = "SELECT ticker, ts, event_id, CASE WHEN n = 20 THEN volume_c * 20 > t * 3 END AS spike FROM (SELECT ticker, ts, event_id, volume_c, count(*) OVER w AS n, CAST(sum(volume_c) OVER w AS BIGINT) AS t FROM v_bars WINDOW w AS (PARTITION BY ticker ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"
-_ALERTS = f"""WITH rsi AS (SELECT ticker, arg_max_null(rsi, (ts, event_id)) AS rsi FROM ({_RSI}) WHERE ts < TIMESTAMP '{BARS_BEFORE}' GROUP BY ticker),
+ALERTS_SQL = f"""WITH rsi AS (SELECT ticker, arg_max_null(rsi, (ts, event_id)) AS rsi FROM ({_RSI}) WHERE ts < TIMESTAMP '{BARS_BEFORE}' GROUP BY ticker),
 vol AS (SELECT ticker, arg_max_null(spike, (ts, event_id)) AS spike FROM ({_VOLUME}) WHERE ts < TIMESTAMP '{BARS_BEFORE}' GROUP BY ticker),
 two AS (SELECT ticker, score, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, id DESC) AS n FROM v_sentiment WHERE ts <= TIMESTAMP '{SCORES_UNTIL}' QUALIFY n <= 2),
 chg AS (SELECT a.ticker, a.score - b.score AS change FROM two a JOIN two b ON a.ticker = b.ticker AND a.n = 1 AND b.n = 2),
@@ -210,19 +214,19 @@ UNION ALL SELECT user_id, ticker, 'VOLUME_SPIKE', 'HOLD', 'Unusual volume detect
 
 
 def _kind_sql(*kinds: str) -> str:
-    return _ALERTS + f"SELECT user_id, ticker, alert_type, signal, price FROM a WHERE alert_type IN ({', '.join(repr(k) for k in kinds)})"
+    return ALERTS_SQL + f"SELECT user_id, ticker, alert_type, signal, price FROM a WHERE alert_type IN ({', '.join(repr(k) for k in kinds)})"
 
 
 SQL = {
     "rsi14_series": f"SELECT ticker, event_id, floor(rsi * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS rsi FROM ({_RSI}) WHERE rsi IS NOT NULL",
     "volume_spike_series": f"SELECT ticker, event_id, spike FROM ({_VOLUME}) WHERE spike IS NOT NULL",
-    "alert_messages": _ALERTS + "SELECT user_id, ticker, alert_type, signal, message, price FROM a",
+    "alert_messages": ALERTS_SQL + "SELECT user_id, ticker, alert_type, signal, message, price FROM a",
     "alerts_stop_target": _kind_sql("STOP_LOSS_BREACH", "TARGET_HIT"),
     "alerts_sentiment_crash": _kind_sql("SENTIMENT_CRASH"),
     "alerts_rsi": _kind_sql("RSI_OVERBOUGHT", "RSI_OVERSOLD"),
     "alerts_volume": _kind_sql("VOLUME_SPIKE"),
-    "alerts_summary": _ALERTS + "SELECT alert_type, count(*) AS n FROM a GROUP BY alert_type",
-    "alert_payload_json": _ALERTS + """SELECT '{"user_id":' || user_id || ',"alert_type":"' || alert_type || '","ticker":"' || ticker || '","message":"' || message || '","signal":"' || signal || '"}' AS payload FROM a""",
+    "alerts_summary": ALERTS_SQL + "SELECT alert_type, count(*) AS n FROM a GROUP BY alert_type",
+    "alert_payload_json": ALERTS_SQL + """SELECT '{"user_id":' || user_id || ',"alert_type":"' || alert_type || '","ticker":"' || ticker || '","message":"' || message || '","signal":"' || signal || '"}' AS payload FROM a""",
     "ws_route": """WITH s AS (SELECT id, unnest(['a', 'b']) AS conn FROM v_users)
 SELECT id, conn, 'price_update' AS event, '{"ticker":"' || ticker || '","price":' || price || '}' AS data FROM v_live, s
 UNION ALL SELECT s.id, conn, 'alert', '{"user_id":' || a.user_id || ',"alert_type":"' || alert_type || '","ticker":"' || ticker || '","message":"' || message || '","signal":"' || signal || '"}'

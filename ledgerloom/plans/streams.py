@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.plans import monitor as monitor_plans
 from ledgerloom.plans import portfolio
 from ledgerloom.sources import tables as src
-from ledgerloom.streaming import streams
+from ledgerloom.streaming import monitoring, streams
 
 
 def stream_ohlcv(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +51,32 @@ def stream_price_expiry(spark: SparkSession, d: str) -> DataFrame:
     return last.select("ticker", "s.price", "s.live")
 
 
-QUERIES = {f.__name__: f for f in (stream_ohlcv, stream_live_price, stream_dedupe, stream_alerts, stream_execute_trades, stream_price_expiry)}
+def walk_ticks(spark: SparkSession, d: str) -> DataFrame:
+    """The ticks as a stream of bars of each ticker's walk: changes and volumes in cents."""
+    cents = src.cents(F.col("price"))
+    change = F.when(F.col("event_type").isin("click", "purchase"), cents).otherwise(-cents)
+    return streams.tick_stream(spark, d).select("ticker", "ts", "event_id", "price", change.alias("change"), cents.alias("volume"))
+
+
+def stream_monitor(spark: SparkSession, d: str) -> DataFrame:
+    """alert_messages from the stream of ticks: all there is comes in one batch, after which the monitor looks once."""
+    held, limits, change = monitor_plans.held_at_monitor(spark, d)
+    found = monitoring.run_monitor(walk_ticks(spark, d), held, limits, change, base=monitor_plans.WALK_BASE, bars_before=monitor_plans.BARS_BEFORE)
+    return found.select("user_id", "ticker", "alert_type", "signal", "message", "price")
+
+
+COOLDOWN_HOURS = 72
+
+
+def stream_cooldown(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts of a user, ticker and kind, three days apart at least."""
+    kind = src.pick(src.ALERT_TYPES, F.col("event_id") % 6)
+    found = streams.tick_stream(spark, d).where("event_type = 'error'")
+    found = found.select("user_id", "ticker", kind.alias("alert_type"), "ts", F.col("event_id").alias("id"))
+    return streams.run_append(monitoring.cooled(found, COOLDOWN_HOURS * 3600)).select("user_id", "ticker", "alert_type", "id")
+
+
+QUERIES = {f.__name__: f for f in (stream_ohlcv, stream_live_price, stream_dedupe, stream_alerts, stream_execute_trades, stream_price_expiry, stream_monitor, stream_cooldown)}
 
 SQL = {
     "stream_ohlcv": (
@@ -62,6 +88,14 @@ SQL = {
     "stream_dedupe": "SELECT DISTINCT md5(text) AS digest FROM documents",
     "stream_alerts": """SELECT user_id, '{"user_id":' || user_id || ',"alert_type":"' || alert_type || '","ticker":"' || ticker || '","message":"' || message || '","signal":"' || signal || '"}' AS payload FROM v_alerts WHERE user_id > 0""",
     "stream_execute_trades": portfolio.REPLAYED,
+    "stream_monitor": monitor_plans.SQL["alert_messages"],
+    "stream_cooldown": (
+        "WITH RECURSIVE s AS (SELECT user_id, ticker, alert_type, created_at AS seen, id, row_number() OVER (PARTITION BY user_id, ticker, alert_type "
+        "ORDER BY created_at, id) AS n FROM v_alerts), r AS (SELECT user_id, ticker, alert_type, n, seen, id, seen AS passed, true AS let FROM s WHERE n = 1 "
+        "UNION ALL SELECT s.user_id, s.ticker, s.alert_type, s.n, s.seen, s.id, CASE WHEN s.seen >= r.passed + INTERVAL 72 HOURS THEN s.seen ELSE r.passed "
+        "END, s.seen >= r.passed + INTERVAL 72 HOURS FROM r JOIN s ON s.user_id = r.user_id AND s.ticker = r.ticker AND s.alert_type = r.alert_type AND "
+        "s.n = r.n + 1) SELECT user_id, ticker, alert_type, id FROM r WHERE let"
+    ),
     "stream_price_expiry": (
         "SELECT ticker, arg_max(price, (ts, event_id)) AS price, max(ts) + INTERVAL 60 SECONDS >= (SELECT max(ts) FROM v_ticks) - INTERVAL "
         "1 HOUR AS live FROM v_ticks GROUP BY ticker"
