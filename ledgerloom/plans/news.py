@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import scalars
+from ledgerloom.functions import scalars, sentiment
 from ledgerloom.operators import market, news
 from ledgerloom.plans.monitor import sentiment_scores
 from ledgerloom.sources import tables as src
@@ -77,6 +77,17 @@ def lexicon_table_score(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("seq", scalars.half_up(F.col("score"), 9).alias("score"))
 
 
+#: Words of the invented prose in the parts of a lexicon and of the rules' words.
+RULE_LEXICON = {"thing": 1.5, "ering": -1.5, "oning": -0.8, "tion": 1.1, "eau": 0.9, "der": -0.4, "la": 0.3, "that": -0.6, "was": 0.7, "ing": 2.1, "ed": -1.9}
+RULES = sentiment.Rules({"re": sentiment.BOOST, "en": sentiment.BOOST, "er": -sentiment.BOOST, "a": -sentiment.BOOST}, ("un", "is", "no", "nicht", "never"), "ou")
+
+
+def vader_compound(spark: SparkSession, d: str) -> DataFrame:
+    """Compound score of every different article by lexicon and rules of context."""
+    rows = sentiment.with_compound(news.first_of_each(src.articles(spark, d)), scalars.clean_text(F.col("text")), RULE_LEXICON, RULES)
+    return rows.select("seq", scalars.half_up(F.col("compound"), 6).alias("compound"))
+
+
 def softmax_net_score(spark: SparkSession, d: str) -> DataFrame:
     """The first three components of each embedding as logits."""
     at = lambda i: F.col("embedding")[i].cast("double")
@@ -121,6 +132,7 @@ QUERIES = {
         article_text,
         lexicon_score,
         lexicon_table_score,
+        vader_compound,
         softmax_net_score,
         sentiment_band,
         lang_filter,
@@ -131,7 +143,48 @@ QUERIES = {
 }
 
 _LOGITS = "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings"
+_OF = lambda words: "MAP {" + ", ".join(f"'{w}': {float(v)}::DOUBLE" for w, v in words.items()) + "}"
+
+
+def _after(back: int, v: str) -> str:
+    """The rules for the word so many before word i, on the valence v."""
+    word = lambda k: f"ws[CASE WHEN i > {k} THEN i - {k} END]"
+    p = word(back)
+    low = lambda k: f"coalesce({word(k)}.low, '')"
+    so = lambda k: f"{low(k)} IN ('so', 'this')"
+    if back == 1:
+        turned = f"CASE WHEN {p}.negates THEN -0.74::DOUBLE ELSE 1.0::DOUBLE END"
+    else:
+        never = f"{low(back)} = 'never' AND ({so(1) if back == 2 else so(2) + ' OR ' + so(1)})"
+        doubt = f"{low(back)} = 'without' AND ({low(1)} = 'doubt'" + ("" if back == 2 else f" OR {low(2)} = 'doubt'") + ")"
+        turned = f"CASE WHEN {never} THEN 1.25::DOUBLE WHEN {doubt} THEN 1.0::DOUBLE WHEN {p}.negates THEN -0.74::DOUBLE ELSE 1.0::DOUBLE END"
+    loud = f"CASE WHEN {p}.up AND mixed THEN CASE WHEN v > 0 THEN 0.733::DOUBLE ELSE -0.733::DOUBLE END ELSE 0.0::DOUBLE END"
+    damping = {1: 1.0, 2: 0.95, 3: 0.9}[back]
+    boost = f"CASE WHEN {p}.b IS NULL THEN 0.0::DOUBLE ELSE ({p}.b * CASE WHEN v < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END + {loud}) * {damping}::DOUBLE END"
+    return f"SELECT * REPLACE (CASE WHEN {p}.low IS NOT NULL AND {p}.val IS NULL THEN (v + {boost}) * {turned} ELSE v END AS v) FROM ({v})"
+
+
+_VADER = rf"""WITH w AS (
+  SELECT seq, clean, list_transform(list_filter(string_split(clean, ' '), lambda x: x <> ''),
+    lambda x: CASE WHEN length(regexp_replace(x, '^[.,!?]+|[.,!?]+$', '', 'g')) > 2 THEN regexp_replace(x, '^[.,!?]+|[.,!?]+$', '', 'g') ELSE x END) AS ww FROM v_clean),
+t AS (
+  SELECT seq, clean, list_transform(ww, lambda x: {{'low': lower(x), 'up': x = upper(x) AND x <> lower(x), 'val': {_OF(RULE_LEXICON)}[lower(x)],
+    'b': {_OF(RULES.boosters)}[lower(x)], 'negates': lower(x) IN {RULES.negations}}}) AS ws FROM w),
+m AS (SELECT seq, clean, ws, len(list_filter(ws, lambda x: x.up)) > 0 AND len(list_filter(ws, lambda x: x.up)) < len(ws) AS mixed,
+  list_position(list_transform(ws, lambda x: x.low), '{RULES.contrast}') AS cut FROM t),
+e AS (SELECT seq, clean, ws, mixed, cut, unnest(generate_series(1, len(ws))) AS i FROM m),
+h AS (SELECT *, ws[i].val + CASE WHEN ws[i].up AND mixed THEN CASE WHEN ws[i].val > 0 THEN 0.733::DOUBLE ELSE -0.733::DOUBLE END ELSE 0.0::DOUBLE END AS v FROM e WHERE ws[i].val IS NOT NULL AND ws[i].b IS NULL),
+r AS ({_after(3, _after(2, _after(1, "SELECT * FROM h")))}),
+x AS (SELECT seq, i, CASE WHEN cut IS NULL OR cut = 0 THEN v WHEN i < cut THEN v * 0.5 WHEN i > cut THEN v * 1.5 ELSE v END AS v FROM r),
+s AS (SELECT seq, list_reduce(list_prepend(0.0::DOUBLE, list(v ORDER BY i)), lambda a, b: a + b) AS total FROM x GROUP BY seq),
+q AS (SELECT w.seq, coalesce(total, 0.0) AS total, least(len(clean) - len(replace(clean, '!', '')), 4) * 0.292::DOUBLE +
+  CASE WHEN len(clean) - len(replace(clean, '?', '')) > 3 THEN 0.96::DOUBLE WHEN len(clean) - len(replace(clean, '?', '')) > 1
+  THEN (len(clean) - len(replace(clean, '?', ''))) * 0.18::DOUBLE ELSE 0.0::DOUBLE END AS marks FROM w LEFT JOIN s ON s.seq = w.seq),
+z AS (SELECT seq, total + CASE WHEN total > 0 THEN marks WHEN total < 0 THEN -marks ELSE 0.0 END AS s FROM q)
+SELECT seq, floor(s / sqrt(s * s + 15.0::DOUBLE) * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS compound FROM z"""
+
 SQL = {
+    "vader_compound": _VADER,
     "articles_union": "SELECT seq, CASE WHEN regexp_full_match(source, 'src1?[0-9]') THEN CAST(substr(source, 4) AS INT) END AS source_rank FROM v_articles",
     "dedupe_md5": "SELECT seq, md5(text) AS digest FROM v_dedup",
     "articles_per_source": "SELECT source, count(*) AS n FROM v_dedup GROUP BY source",
