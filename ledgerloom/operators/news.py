@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,85 @@ def mentions(articles: DataFrame, tickers: list[str]) -> DataFrame:
     return articles.withColumn("ticker", F.explode(found))
 
 
+#: Bytes of keywords and tickers that one automaton holds at most; more of them are matched in several passes.
+AUTOMATON_BYTES = 16 << 20
+
+
+class Automaton:
+    """Keywords as one trie with failure links: a text is read once, whatever the number of keywords. States are numbered; a
+    state's edges, its link, and the keywords that end in it, directly or by links, are lists by number."""
+
+    def __init__(self, keywords: list[str]) -> None:
+        self.edges: list[dict[str, int]] = [{}]
+        self.ends: list[list[int]] = [[]]
+        self.empty = [i for i, word in enumerate(keywords) if not word]
+        for i, word in enumerate(keywords):
+            at = 0
+            for c in word:
+                if c not in self.edges[at]:
+                    self.edges[at][c] = len(self.edges)
+                    self.edges.append({})
+                    self.ends.append([])
+                at = self.edges[at][c]
+            if word:
+                self.ends[at].append(i)
+        self.link = [0] * len(self.edges)
+        todo = list(self.edges[0].values())
+        for at in todo:  # by depth, as it grows
+            for c, child in self.edges[at].items():
+                up = self.link[at]
+                while up and c not in self.edges[up]:
+                    up = self.link[up]
+                self.link[child] = self.edges[up].get(c, 0)
+                self.ends[child] = self.ends[child] + self.ends[self.link[child]]
+                todo.append(child)
+
+    def found(self, text: str) -> set[int]:
+        """Numbers of the keywords that are substrings of the text."""
+        out, at, edges, link, ends = set(self.empty), 0, self.edges, self.link, self.ends
+        for c in text:
+            while at and c not in edges[at]:
+                at = link[at]
+            at = edges[at].get(c, 0)
+            if ends[at]:
+                out.update(ends[at])
+        return out
+
+
+def _matched(kept: Broadcast) -> Callable[[Column], Column]:
+    """A column function from a text in upper case to the tickers that it mentions; kept: pairs of keyword and ticker."""
+
+    @F.arrow_udf("array<string>")
+    def matched(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, list[str]] = {}
+        for word, ticker in kept.value:
+            known.setdefault(word, []).append(ticker)
+        words = list(known)
+        automaton = Automaton(words)
+        for batch in texts:
+            rows = [sorted(t for k in automaton.found(x) for t in known[words[k]]) if x is not None else [] for x in batch.to_pylist()]
+            yield pa.array(rows, pa.list_(pa.string()))
+
+    return matched
+
+
+def mentions_of_many(articles: DataFrame, tickers: DataFrame, most_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """mentions for a table of tickers of any length (column ticker): one reading of each text against an automaton of all keywords,
+    which is broadcast up to so many bytes and dealt over several passes beyond. A null text mentions none."""
+    spark = articles.sparkSession
+    names = tickers.select("ticker").where("ticker IS NOT NULL").distinct()
+    total = names.agg(F.sum(F.octet_length("ticker") + F.lit(8))).first()[0] or 0
+    passes = max(1, -(-total // most_bytes))
+    out = None
+    for i in range(passes):
+        mine = names.where(F.pmod(F.xxhash64("ticker"), F.lit(passes)) == i) if passes > 1 else names
+        kept = spark.sparkContext.broadcast([(r.word, r.ticker) for r in mine.select(keyword(F.col("ticker")).alias("word"), "ticker").collect()])
+
+        rows = articles.withColumn("ticker", F.explode(_matched(kept)(F.upper("text"))))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def scored(articles: DataFrame, lexicon: dict[str, float], model: Callable[[Column], Column] | None = None) -> DataFrame:
     """articles with the score of their cleaned text and its confidence, 0.5 for the lexicon. model: the net score of a cleaned
     text as a column, say a Pandas UDF; where it gives null the lexicon scores, at the confidence 1.0 of a model all the same."""

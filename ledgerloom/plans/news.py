@@ -42,6 +42,13 @@ def mention_match(spark: SparkSession, d: str) -> DataFrame:
     return news.mentions(news.first_of_each(src.articles(spark, d)), list(src.KEYWORDS)).select("seq", "ticker")
 
 
+def mention_match_many(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions of some thousand tickers: the different words of the benchmark's texts, of five characters or more, with an exchange."""
+    words = src.read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))).alias("word"))
+    tickers = words.select(F.concat(F.upper("word"), F.lit(".NS")).alias("ticker")).distinct()
+    return news.mentions_of_many(news.first_of_each(src.articles(spark, d)), tickers).select("seq", "ticker")
+
+
 def news_top10_per_ticker(spark: SparkSession, d: str) -> DataFrame:
     rows = news.mentions(src.articles(spark, d), [k for k in src.KEYWORDS if not k.startswith("^")])
     return news.top_articles(rows).select("ticker", "seq", "n")
@@ -127,6 +134,7 @@ QUERIES = {
         rss_recent,
         clean_text,
         mention_match,
+        mention_match_many,
         news_top10_per_ticker,
         key_round_robin,
         article_text,
@@ -191,6 +199,10 @@ SQL = {
     "rss_recent": "SELECT seq, published FROM v_articles WHERE published IS NULL OR published >= TIMESTAMP '2024-01-29 22:00:00'",
     "clean_text": "SELECT seq, clean FROM v_clean",
     "mention_match": "SELECT a.seq, k.ticker FROM v_dedup a JOIN v_keywords k ON contains(upper(a.text), k.keyword)",
+    "mention_match_many": (
+        "SELECT a.seq, k.word || '.NS' AS ticker FROM v_dedup a JOIN (SELECT DISTINCT upper(word) AS word FROM (SELECT unnest(regexp_extract_all(text, "
+        "'[A-Za-z]{5,}')) AS word FROM benchmark)) k ON contains(upper(a.text), k.word)"
+    ),
     "news_top10_per_ticker": (
         "SELECT k.ticker, a.seq, CAST(row_number() OVER (PARTITION BY k.ticker ORDER BY a.published DESC NULLS LAST, a.seq) AS INT) AS n "
         "FROM v_articles a JOIN v_keywords k ON contains(upper(a.text), k.keyword) WHERE NOT starts_with(k.ticker, '^') QUALIFY n <= 10"
