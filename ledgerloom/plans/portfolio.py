@@ -133,6 +133,12 @@ def trade_validation(spark: SparkSession, d: str) -> DataFrame:
     return trading.validated(orders, src.TRADING_BALANCE).select("id", "status")
 
 
+def avg_cost_sliced(spark: SparkSession, d: str) -> DataFrame:
+    """avg_cost_positions by the scan that composes, every pair in slices of a day; averages to six decimals."""
+    rows = positions.last_states(positions.sliced_states(src.trades(spark, d)))
+    return rows.select("user_id", "ticker", "quantity", scalars.half_up(F.col("avg_cost"), 6).alias("avg_cost"))
+
+
 def execute_trades(spark: SparkSession, d: str) -> DataFrame:
     orders = src.trades(spark, d).withColumnRenamed("fill_price", "price")
     balances = src.users(spark, d).select(F.col("id").alias("user_id"), F.lit(src.TRADING_BALANCE).alias("balance"))
@@ -203,6 +209,7 @@ QUERIES = {
         user_upsert,
         fill_price,
         trade_validation,
+        avg_cost_sliced,
         execute_trades,
         recent_trades,
         running_cash,
@@ -260,6 +267,7 @@ REPLAYED = _REPLAY + "SELECT id, user_id, ticker, side, quantity, fill_price, sl
 
 SQL = {
     "avg_cost_positions": "SELECT user_id, ticker, quantity, avg_cost FROM v_positions",
+    "avg_cost_sliced": "SELECT user_id, ticker, quantity, floor(avg_cost * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS avg_cost FROM v_positions",
     "open_positions": "SELECT user_id, ticker, quantity, avg_cost FROM v_open",
     "holdings_valuation": _VALUED,
     "portfolio_value": (
