@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars
-from ledgerloom.operators import analytics, market, positions
+from ledgerloom.operators import advice, analytics, market, positions
 from ledgerloom.plans import portfolio
 from ledgerloom.plans.monitor import SQL as MONITOR_SQL
 from ledgerloom.plans.monitor import quiet_portfolios, sentiment_scores
@@ -98,6 +98,25 @@ def signal_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return sums.select("signal", "n", scalars.half_up(F.col("ok") / F.col("n") * 100).alias("accuracy"), "avoided_c")
 
 
+def alert_engagement(spark: SparkSession, d: str) -> DataFrame:
+    """By type of alert: which were answered by a trade within a day, which answers led to a loss a week later, and ratings."""
+    alerts, ticks = src.alert_log(spark, d), src.ticks(spark, d)
+    answered = advice.answers(alerts, src.trades(spark, d))
+    return advice.engagement(alerts, advice.lost(answered, ticks), src.ratings(spark, d))
+
+
+def advice_equity(spark: SparkSession, d: str) -> DataFrame:
+    """The daily return, equity and rolling Sharpe ratio of following all signals."""
+    returns = analytics.daily_returns(market.bars(src.ticks(spark, d), "1 day"))
+    return advice.equity_curve(advice.followed(src.signals(spark, d), returns))
+
+
+def portfolio_var(spark: SparkSession, d: str) -> DataFrame:
+    """Value at risk of each user's holdings by historical simulation."""
+    returns = analytics.daily_returns(market.bars(src.ticks(spark, d), "1 day"))
+    return advice.portfolio_var(portfolio.holdings_valuation(spark, d), returns)
+
+
 def eod_digest(spark: SparkSession, d: str) -> DataFrame:
     """Each user's holdings at the last close of the data against the close a day before, in cents."""
     daily = market.bars(src.ticks(spark, d), "1 day")
@@ -166,6 +185,9 @@ QUERIES = {
         sentiment_delta_2h,
         signal_outcome,
         signal_accuracy,
+        alert_engagement,
+        advice_equity,
+        portfolio_var,
         eod_digest,
         rag_top5,
     )
@@ -176,7 +198,36 @@ _RETURNS = f"SELECT ticker, bar_ts, close / before - 1 AS ret FROM (SELECT *, la
 _OUTCOMES = """WITH s AS (SELECT *, created_at + INTERVAL 7 DAYS AS ts FROM v_signals), p AS (SELECT ticker, ts, arg_max(price, event_id) AS price FROM v_ticks GROUP BY ALL),
 j AS (SELECT s.id, s.signal, s.price_at_signal AS b, CASE WHEN s.ts <= (SELECT max(ts) FROM v_ticks) THEN p.price END AS a FROM s ASOF LEFT JOIN p ON p.ticker = s.ticker AND s.ts >= p.ts),
 o AS (SELECT *, CASE WHEN a IS NULL THEN NULL WHEN CASE signal WHEN 'BUY' THEN a > b WHEN 'SELL' THEN a < b ELSE abs(a - b) * 100 <= b * 2 END THEN 'CORRECT' ELSE 'WRONG' END AS outcome FROM j) """
+_R = f"SELECT ticker, bar_ts, CAST(floor(ret * 1000000.0::DOUBLE + 0.5) AS BIGINT) AS r FROM ({_RETURNS})"
 SQL = {
+    "alert_engagement": """WITH m AS (SELECT t.id AS trade_id, t.side, t.fill_price, t.ticker, t.ts, a.id, a.created_at FROM v_trades t ASOF JOIN v_alerts a
+  ON a.user_id = t.user_id AND a.ticker = t.ticker AND t.ts > a.created_at),
+f AS (SELECT * FROM m WHERE ts <= created_at + INTERVAL 24 HOURS QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts, trade_id) = 1),
+p AS (SELECT ticker, ts, arg_max(price, event_id) AS price FROM v_ticks GROUP BY ALL),
+l AS (SELECT f.id, f.side, f.fill_price, f.ticker, f.ts + INTERVAL 7 DAYS AS until FROM f),
+r AS (SELECT l.id, CASE WHEN until <= (SELECT max(ts) FROM v_ticks) THEN CASE WHEN side = 'BUY' THEN p.price < fill_price ELSE p.price > fill_price END END AS loss
+  FROM l ASOF LEFT JOIN p ON p.ticker = l.ticker AND l.until >= p.ts),
+s AS (SELECT a.alert_type, count(*) AS n, count(r.id) AS answered, count(loss) AS known, CAST(sum(CASE WHEN loss THEN 1 ELSE 0 END) AS BIGINT) AS losses
+  FROM v_alerts a LEFT JOIN r ON r.id = a.id GROUP BY 1),
+q AS (SELECT alert_type, count(*) AS rated, CAST(sum(CASE WHEN is_positive THEN 1 ELSE 0 END) AS BIGINT) AS positive FROM v_feedback GROUP BY 1)
+SELECT s.alert_type, n, answered, floor(answered / n::DOUBLE * 100 * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS engagement_pct, known, losses,
+  CASE WHEN known > 0 THEN floor(losses / known::DOUBLE * 100 * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE END AS false_pct,
+  coalesce(rated, 0) AS rated, coalesce(positive, 0) AS positive FROM s LEFT JOIN q ON q.alert_type = s.alert_type""",
+    "advice_equity": f"""WITH g AS (SELECT ticker, created_at, arg_max(signal, id) AS signal FROM v_signals WHERE signal <> 'HOLD' GROUP BY ALL),
+h AS (SELECT x.bar_ts, x.r, g.signal FROM ({_R}) x ASOF LEFT JOIN g ON g.ticker = x.ticker AND x.bar_ts > g.created_at),
+d AS (SELECT bar_ts, CAST(sum(CASE WHEN signal = 'BUY' THEN 1 ELSE 0 END) AS BIGINT) AS n_held, CAST(sum(CASE WHEN signal = 'BUY' THEN r ELSE 0 END) AS BIGINT) AS t FROM h GROUP BY 1),
+e AS (SELECT bar_ts, n_held, CASE WHEN n_held > 0 THEN CAST(floor(t / n_held::DOUBLE + 0.5) AS BIGINT) ELSE 0 END AS r FROM d)
+SELECT bar_ts, n_held, r, floor(CASE WHEN min(r) OVER a <= -1000000 THEN 0.0 ELSE exp(sum(CASE WHEN r > -1000000 THEN ln(1 + r / 1000000.0::DOUBLE) END) OVER a) END * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS equity,
+  CASE WHEN count(*) OVER w = 10 THEN floor((sum(r) OVER w / 10.0::DOUBLE) / sqrt(CASE WHEN sum(r * r) OVER w * 10 - sum(r) OVER w * sum(r) OVER w > 0
+    THEN (sum(r * r) OVER w * 10 - sum(r) OVER w * sum(r) OVER w) END / 90.0::DOUBLE) * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE END AS sharpe
+FROM e WINDOW a AS (ORDER BY bar_ts ROWS UNBOUNDED PRECEDING), w AS (ORDER BY bar_ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",
+    "portfolio_var": f"""WITH c AS (SELECT user_id, ticker, CAST(floor(current_value * 100 + 0.5) AS BIGINT) AS c FROM ({portfolio.SQL['holdings_valuation']})),
+t AS (SELECT user_id, CAST(sum(c) AS BIGINT) AS t FROM c GROUP BY 1),
+m AS (SELECT user_id, bar_ts, CAST(sum(c * r) AS BIGINT) AS m FROM c JOIN ({_R}) x ON x.ticker = c.ticker GROUP BY 1, 2),
+k AS (SELECT user_id, m, row_number() OVER (PARTITION BY user_id ORDER BY m) AS i, count(*) OVER (PARTITION BY user_id) AS n_days FROM m)
+SELECT k.user_id, n_days, floor(m / t::DOUBLE / 1000000.0::DOUBLE * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS var_5,
+  floor(m / t::DOUBLE / 1000000.0::DOUBLE * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE >= -0.15 AS "within" FROM k JOIN t ON t.user_id = k.user_id
+WHERE i = ceil(n_days * 0.05::DOUBLE)""",
     "high_low_52w": (
         "SELECT key, d, value, max(value) OVER w AS high_52w, min(value) OVER w AS low_52w FROM (SELECT o_orderpriority AS key, " "o_orderdate AS d, max(o_totalprice) AS value FROM orders GROUP BY 1, 2) WINDOW w AS (PARTITION BY key ORDER BY d RANGE BETWEEN " "INTERVAL 364 DAYS PRECEDING AND CURRENT ROW)"
     ),
