@@ -22,7 +22,9 @@ A document is the set of its distinct 5-word shingles (64-bit hashes); two link
 5. A second wave takes all keys whose classes are still in different components. Trees on bitmaps alone name the classes
    that have a possible partner in another component; only their sets are fetched, and trees on them give links as before.
    In a large key, classes outside its largest component meet with all others, block by block; large keys of one largest
-   component are joined as one, where that is less. Components are final.
+   component are joined as one, where that is less. Before they are cut into blocks, bitmaps alone are walked in coarse units
+   of COARSE classes, and only classes that have a possible partner there go on: a group that shares keys but doesn't link
+   is copied once for each COARSE of its classes. Components are final.
 
 Null and empty texts have no shingles and link with nothing; an empty table gives an empty result. Rows that share a doc_id
 are one document: it links by any of its texts. A null doc_id never names a class; its component_id is that of its equal
@@ -60,6 +62,8 @@ CHUNK, LOCAL_LEAST = 1_000_000, 4
 FIRST = 2
 #: Classes and shingles of a unit, about; and the classes that all blocks of a cut key share, about.
 BLOCK, BLOCK_TOKENS, ANCHORS = 128, 1 << 21, 8
+#: The same of a unit of bitmaps alone (two bytes a shingle at most).
+COARSE, COARSE_TOKENS = 8192, 1 << 23
 #: Rows that are broadcast at most to pick out documents (at most 64 bytes each); beyond it, they are joined.
 IDS_MOST = 1 << 18
 
@@ -482,23 +486,30 @@ def cut_sizes(found: DataFrame) -> DataFrame:
     return found.withColumn("cost", F.col("all") * F.col("left_blocks") + outside * F.col("blocks"))
 
 
-def second_links(texts: DataFrame, keyed: DataFrame, labels: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Links between the components (labels: node, component) that meet under some key.
-
-    A key of one block is a unit. In larger ones, classes outside the key's largest component meet with all others. Keys of
-    several blocks whose largest component is the same (as all keys of a group of copies) are joined as one, if the union
-    of their classes makes fewer rows than the keys one by one."""
-    rows = keyed.join(units_of(keyed), "key").join(labels, keyed["id"] == labels["node"], "left")
-    rows = checkpointed(rows.select("key", "blocks", "id", "cls", "n", F.coalesce("component", "id").alias("comp")))
-    counts = rows.groupBy("key", "comp").agg(F.count("*").alias("own"), F.first("blocks").alias("blocks"))
+def keys_apart(rows: DataFrame, block: int, block_tokens: int) -> DataFrame:
+    """(key, main, all, most, size, blocks, left_blocks, cost) of keys whose classes are in several components; main is the largest.
+    rows: (key, id, cls, n, comp)."""
+    counts = rows.groupBy("key", "comp").agg(F.count("*").alias("own"), F.sum("n").alias("tokens"))
     keys = counts.groupBy("key").agg(
         F.max_by("comp", F.struct("own", "comp")).alias("main"),
         F.sum("own").alias("all"),
         F.max("own").alias("most"),
-        F.first("blocks").alias("blocks"),
+        F.sum("tokens").alias("size"),
     )
-    keys = checkpointed(cut_sizes(keys.where("most < all")))
-    classes = rows.drop("blocks").join(keys, "key")
+    return checkpointed(cut_sizes(with_blocks(keys.where("most < all"), block, block_tokens)))
+
+
+def with_blocks(sizes: DataFrame, block: int, block_tokens: int) -> DataFrame:
+    return sizes.withColumn("blocks", F.greatest(F.ceil(F.col("all") / block), F.ceil(F.col("size") / block_tokens)).cast("bigint"))
+
+
+def meeting(rows: DataFrame, keys: DataFrame, block: int, block_tokens: int) -> DataFrame:
+    """Units (key, l, r, side, id, cls, comp, n) in which classes of different components meet.
+
+    A key of one block is a unit. In larger ones, classes outside the key's largest component meet with all others. Keys of
+    several blocks whose largest component is the same (as all keys of a group of copies) are joined as one, if the union
+    of their classes makes fewer rows than the keys one by one."""
+    classes = rows.join(keys, "key")
     whole = classes.where("blocks = 1").select(
         "key",
         F.lit(0).cast("bigint").alias("l"),
@@ -509,11 +520,10 @@ def second_links(texts: DataFrame, keyed: DataFrame, labels: DataFrame, bitmaps:
         "comp",
         "n",
     )
-
     large = classes.where("blocks > 1")
     union = checkpointed(large.select("main", "id", "cls", "n", "comp").distinct())
     sizes = union.groupBy("main").agg(F.count("*").alias("all"), F.count(F.when(F.col("comp") == F.col("main"), 1)).alias("most"), F.sum("n").alias("size"))
-    sizes = cut_sizes(sizes.withColumn("blocks", F.greatest(F.ceil(F.col("all") / BLOCK), F.ceil(F.col("size") / BLOCK_TOKENS))))
+    sizes = cut_sizes(with_blocks(sizes, block, block_tokens))
     apart = keys.where("blocks > 1").groupBy("main").agg(F.sum("cost").alias("apart"))
     sizes = checkpointed(sizes.join(apart, "main").withColumn("together", F.col("cost") < F.col("apart")))
     columns = ["key", "main", "blocks", "left_blocks", "id", "cls", "comp", "n"]
@@ -528,7 +538,24 @@ def second_links(texts: DataFrame, keyed: DataFrame, labels: DataFrame, bitmaps:
     cut = one_by_one.withColumn("kind", F.lit(0)).unionByName(together.withColumn("kind", F.lit(1)))
     cut = cut.select("key", "id", "cls", "comp", "n", "kind", F.explode(places).alias("p"))
     cut = cut.select("key", F.when(F.col("kind") == 0, F.col("p.l")).otherwise(-1 - F.col("p.l")).alias("l"), "p.r", "p.side", "id", "cls", "comp", "n")
-    found = candidates_by_unit(whole.unionByName(cut).join(bitmaps, ["id", "cls"]))
+    return whole.unionByName(cut)
+
+
+def second_links(texts: DataFrame, keyed: DataFrame, labels: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Links between the components (labels: node, component) that meet under some key. Of keys that need several blocks, only
+    classes that have a possible partner by their bitmaps, in coarse units, are cut into blocks."""
+    rows = keyed.join(units_of(keyed), "key").join(labels, keyed["id"] == labels["node"], "left")
+    rows = checkpointed(rows.select("key", "id", "cls", "n", F.coalesce("component", "id").alias("comp")))
+    keys = keys_apart(rows, BLOCK, BLOCK_TOKENS)
+    large = keys.where("blocks > 1").select("key")
+    if not large.isEmpty():
+        of_large = rows.join(large, "key", "left_semi")
+        coarse = meeting(of_large, keys_apart(of_large, COARSE, COARSE_TOKENS), COARSE, COARSE_TOKENS)
+        marked = checkpointed(candidates_by_unit(coarse.join(bitmaps, ["id", "cls"])).select("id", "cls").distinct())
+        rows = rows.join(keys.where("blocks = 1").select("key"), "key", "left_semi").unionByName(of_large.join(marked, ["id", "cls"], "left_semi").select(*rows.columns))
+        rows = checkpointed(rows)
+        keys = keys_apart(rows, BLOCK, BLOCK_TOKENS)
+    found = candidates_by_unit(meeting(rows, keys, BLOCK, BLOCK_TOKENS).join(bitmaps, ["id", "cls"]))
     return links_by_unit(with_sets(texts, checkpointed(found)))
 
 
