@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -145,6 +147,17 @@ def execute_trades(spark: SparkSession, d: str) -> DataFrame:
     return trading.execute_trades(orders, balances, src.ticks(spark, d).select("ticker", "ts", "event_id", "price"))
 
 
+#: The design's gates on the traded tickers: T0 to T18 are listed, and their sectors are those of sector_weight.
+GATES = replace(trading.DESIGN, tickers="T1?[0-8]|T9", sectors={f"T{n}": f"S{n % 4}" for n in range(20)})
+
+
+def execute_gated(spark: SparkSession, d: str) -> DataFrame:
+    """execute_trades with the design's gates: listed tickers, market hours, share of an order and of a sector."""
+    orders = src.trades(spark, d).withColumnRenamed("fill_price", "price")
+    balances = src.users(spark, d).select(F.col("id").alias("user_id"), F.lit(src.TRADING_BALANCE).alias("balance"))
+    return trading.execute_trades(orders, balances, src.ticks(spark, d).select("ticker", "ts", "event_id", "price"), GATES)
+
+
 def recent_trades(spark: SparkSession, d: str) -> DataFrame:
     return src.trades(spark, d).where("user_id = 7").orderBy(F.desc("ts"), F.desc("id")).limit(50)
 
@@ -211,6 +224,7 @@ QUERIES = {
         trade_validation,
         avg_cost_sliced,
         execute_trades,
+        execute_gated,
         recent_trades,
         running_cash,
         cash_asof,
@@ -262,6 +276,22 @@ s AS (
 done AS (SELECT o.id, o.user_id, o.ticker, o.side, o.quantity, o.ts, s.status, s.balance,
     CASE WHEN s.status = 'OK' THEN CASE WHEN o.side = 'BUY' THEN {_BUY} ELSE {_SELL} END END AS fill_price,
     CASE WHEN s.status = 'OK' THEN {scalars.SLIPPAGE}::DOUBLE END AS slippage FROM o JOIN s ON s.id = o.id) """
+_LOCAL = "(ts + INTERVAL 330 MINUTES)"  # the zone has no summer time
+_MINUTE = f"(hour({_LOCAL}) * 3600 + minute({_LOCAL}) * 60 + floor(second({_LOCAL})))"
+_TOTAL = "(list_sum(list_transform(held, lambda x, k: CASE WHEN x > 0 THEN x * quotes[k] ELSE 0 END)) + balance)"
+_GATED = (
+    _REPLAY.replace(
+        "WHEN NOT quantity > 0",
+        f"WHEN NOT regexp_full_match(ticker, '{GATES.tickers}') THEN 'BAD_TICKER' WHEN isodow({_LOCAL}) > 5 OR NOT {_MINUTE} BETWEEN "
+        f"{GATES.hours[0] * 60} AND {GATES.hours[1] * 60} THEN 'CLOSED' WHEN NOT quantity > 0",
+    )
+    .replace("WHEN (held[i] * price", f"WHEN buy * quantity / {_TOTAL} > {GATES.order_share}::DOUBLE THEN 'ORDER_CAP' WHEN (held[i] * price")
+    .replace(
+        "THEN 'STOCK_CAP'",
+        f"THEN 'STOCK_CAP' WHEN (list_sum(list_transform(held, lambda x, k: CASE WHEN x > 0 AND k % 4 = i % 4 THEN x * CASE WHEN k = i THEN price ELSE "
+        f"quotes[k] END ELSE 0 END)) + buy * quantity) / {_TOTAL} > {GATES.sector_share}::DOUBLE THEN 'SECTOR_CAP'",
+    )
+)
 #: Every user of the orders has an account.
 REPLAYED = _REPLAY + "SELECT id, user_id, ticker, side, quantity, fill_price, slippage, ts, balance AS virtual_balance_after, status FROM done"
 
@@ -321,6 +351,9 @@ SQL = {
     "execute_trades": _REPLAY + """SELECT d.id, user_id, ticker, side, quantity, CASE WHEN u.id IS NOT NULL THEN fill_price END AS fill_price,
     CASE WHEN u.id IS NOT NULL THEN slippage END AS slippage, ts, CASE WHEN u.id IS NOT NULL THEN balance END AS virtual_balance_after,
     CASE WHEN u.id IS NOT NULL THEN status ELSE 'NO_USER' END AS status FROM done d LEFT JOIN v_users u ON u.id = d.user_id""",
+    "execute_gated": _GATED + """SELECT d.id, user_id, ticker, side, quantity, CASE WHEN u.id IS NOT NULL THEN fill_price END AS fill_price,
+    CASE WHEN u.id IS NOT NULL THEN slippage END AS slippage, ts, CASE WHEN u.id IS NOT NULL THEN balance END AS virtual_balance_after,
+    CASE WHEN u.id IS NOT NULL THEN status ELSE 'NO_USER' END AS status FROM done d LEFT JOIN v_users u ON u.id = d.user_id""",
     "recent_trades": "SELECT id, user_id, ticker, side, quantity, fill_price, ts FROM v_trades WHERE user_id = 7 ORDER BY ts DESC, id DESC LIMIT 50",
     "running_cash": f"SELECT id, user_id, CAST(cash_c AS DOUBLE) / 100.0 AS cash FROM ({_CASH})",
     "cash_asof": (
