@@ -108,8 +108,10 @@ def all_alerts(
     return alerts_of(rows if spikes is None else rows.join(spikes, "ticker", "left"))
 
 
-def alerts_of(rows: DataFrame, *more: str) -> DataFrame:
-    """The alerts of rows (user_id, ticker, price, sl_price, tg_price, change, rsi, spike), with the columns named in more."""
+def alerts_of(rows: DataFrame, *more: str, overbought: Column | None = None) -> DataFrame:
+    """The alerts of rows (user_id, ticker, price, sl_price, tg_price, change, rsi, spike), with the columns named in more.
+    overbought: the RSI above which to warn, where feedback has moved it."""
+    overbought = F.lit(OVERBOUGHT) if overbought is None else overbought
     two = lambda c: F.format_string("%.2f", half_up(F.col(c)))
     one = F.format_string("%.1f", half_up(F.col("rsi"), 1))
     t = F.col("ticker")
@@ -134,7 +136,7 @@ def alerts_of(rows: DataFrame, *more: str) -> DataFrame:
             F.concat(F.lit("Sudden drop in sentiment for "), t, F.lit(". Recent news is highly negative.")),
         ),
         (
-            F.col("rsi") > OVERBOUGHT,
+            F.col("rsi") > overbought,
             "RSI_OVERBOUGHT",
             "SELL",
             F.concat(t, F.lit(" RSI is "), one, F.lit(" (Overbought). Consider booking profits.")),

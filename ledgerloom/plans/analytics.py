@@ -133,6 +133,30 @@ def eod_digest(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def eod_digest_holdings(spark: SparkSession, d: str) -> DataFrame:
+    """The digest's rows: each holding's profit of the day in cents, the latest score of the news ticker that its ticker follows, and how many
+    signals of each kind its ticker had in the day."""
+    daily = market.bars(src.ticks(spark, d), "1 day")
+    last = market.latest_k(daily, "ticker", 2, "bar_ts").groupBy("ticker").agg(
+        F.max(F.when(F.col("n") == 1, F.col("bar_ts"))).alias("day"),
+        F.max(F.when(F.col("n") == 1, F.col("close"))).alias("now"),
+        F.max(F.when(F.col("n") == 2, F.col("close"))).alias("before"),
+    )
+    scores = market.latest_k(sentiment_scores(spark, d), "ticker", 1, "ts", "id").select(F.col("ticker").alias("news"), scalars.half_up(F.col("score"), 6).alias("score"))
+    marks = src.signals(spark, d).withColumn("day", F.date_trunc("day", "created_at").cast("timestamp_ntz"))
+    kinds = [F.count(F.when(F.col("signal") == s, 1)).alias(f"n_{s.lower()}") for s in ("BUY", "SELL", "HOLD")]
+    tickers = last.withColumn("news", src.pick(src.KEYWORDS, F.substring("ticker", 2, 9).cast("int") % 6)).join(scores, "news", "left")
+    tickers = tickers.join(marks.groupBy("ticker", "day").agg(*kinds), ["ticker", "day"], "left")
+    held = positions.average_cost(src.trades(spark, d)).where("quantity > 0").join(tickers, "ticker")
+    return held.select(
+        "user_id",
+        "ticker",
+        F.floor(F.col("quantity") * (F.col("now") - F.col("before")) * 100 + 0.5).alias("day_pnl_c"),
+        "score",
+        *[F.coalesce(F.col(f"n_{s}"), F.lit(0)).alias(f"n_{s}") for s in ("buy", "sell", "hold")],
+    )
+
+
 def rag_top5(spark: SparkSession, d: str) -> DataFrame:
     rows = src.read(spark, d, "embeddings")
     query = rows.where("vec_id = 3").select(F.col("embedding").alias("q"))
@@ -189,6 +213,7 @@ QUERIES = {
         advice_equity,
         portfolio_var,
         eod_digest,
+        eod_digest_holdings,
         rag_top5,
     )
 }
@@ -248,6 +273,13 @@ WHERE i = ceil(n_days * 0.05::DOUBLE)""",
     "eod_digest": (
         f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY bar_ts DESC) AS n FROM ({_DAILY})), l AS (SELECT ticker, " f"max(CASE WHEN n = 1 THEN close END) AS now_, max(CASE WHEN n = 2 THEN close END) AS before_ FROM k GROUP BY ticker) SELECT " f"user_id, count(*) AS n, CAST(sum(CAST(floor(quantity * (now_ - before_) * 100 + 0.5) AS BIGINT)) AS BIGINT) AS day_pnl_c, " f"CAST(sum(CAST(floor(quantity * now_ * 100 + 0.5) AS BIGINT)) AS BIGINT) AS value_c FROM v_open JOIN l USING (ticker) GROUP BY " f"user_id"
     ),
+    "eod_digest_holdings": f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY bar_ts DESC) AS n FROM ({_DAILY})),
+l AS (SELECT ticker, max(CASE WHEN n = 1 THEN bar_ts END) AS day_, max(CASE WHEN n = 1 THEN close END) AS now_, max(CASE WHEN n = 2 THEN close END) AS before_ FROM k GROUP BY ticker),
+s AS (SELECT ticker, floor(score * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS score FROM v_sentiment QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, id DESC) = 1),
+g AS (SELECT ticker, CAST(date_trunc('day', created_at) AS TIMESTAMP) AS day_, count(*) FILTER (signal = 'BUY') AS b, count(*) FILTER (signal = 'SELL') AS c, count(*) FILTER (signal = 'HOLD') AS h FROM v_signals GROUP BY ALL)
+SELECT user_id, o.ticker, CAST(floor(quantity * (now_ - before_) * 100 + 0.5) AS BIGINT) AS day_pnl_c, s.score, coalesce(b, 0) AS n_buy, coalesce(c, 0) AS n_sell, coalesce(h, 0) AS n_hold
+FROM v_open o JOIN l ON l.ticker = o.ticker LEFT JOIN s ON s.ticker = (['ITC.NS', 'LT.NS', 'ERING.NS', 'ONING.NS', 'THING.NS', '^NSEI'])[CAST(substr(o.ticker, 2) AS INT) % 6 + 1]
+LEFT JOIN g ON g.ticker = o.ticker AND g.day_ = l.day_""",
     "rag_top5": (
         "WITH q AS (SELECT [CAST(x AS DOUBLE) for x in embedding] AS q FROM embeddings WHERE vec_id = 3), r AS (SELECT vec_id AS id, " "[CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings WHERE vec_id <> 3) SELECT id, floor(list_inner_product(v, q) / " "(sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q))) * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS cosine FROM " "r, q ORDER BY cosine DESC, id LIMIT 5"
     ),

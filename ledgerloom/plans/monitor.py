@@ -157,6 +157,16 @@ def feedback_tuning(spark: SparkSession, d: str) -> DataFrame:
     return sums.select("alert_type", "n", "bad", F.when(tune, 80).otherwise(75).alias("threshold"))
 
 
+def alerts_rsi_tuned(spark: SparkSession, d: str) -> DataFrame:
+    """RSI alerts at the threshold to which feedback has moved the overbought check."""
+    features = monitor.latest_features(walk_bars(spark, d).where(F.col("ts") < F.lit(BARS_BEFORE).cast("timestamp_ntz")))
+    held, limits, change = held_at_monitor(spark, d)
+    rows = monitor.stop_target(held, market.live_price(src.ticks(spark, d)), limits).join(change, "ticker", "left").join(features, "ticker", "left")
+    tuned = feedback_tuning(spark, d).where("alert_type = 'RSI_OVERBOUGHT'").agg(F.max("threshold").alias("threshold"))  # one row
+    made = monitor.alerts_of(rows.crossJoin(F.broadcast(tuned)), overbought=F.coalesce("threshold", F.lit(monitor.OVERBOUGHT)))
+    return made.where(F.col("alert_type").isin("RSI_OVERBOUGHT", "RSI_OVERSOLD")).select("user_id", "ticker", "alert_type", "message")
+
+
 def quiet_portfolios(spark: SparkSession, d: str) -> DataFrame:
     """Users without an alert in the week before January 30th."""
     at = F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")
@@ -183,6 +193,7 @@ QUERIES = {
         recent_alerts,
         feedback_owned,
         feedback_tuning,
+        alerts_rsi_tuned,
         quiet_portfolios,
     )
 }
@@ -257,3 +268,7 @@ FROM v_alerts a JOIN s ON s.id = a.user_id WHERE a.user_id > 0""",
         "TIMESTAMP '2024-01-30')"
     ),
 }
+SQL["alerts_rsi_tuned"] = (
+    ALERTS_SQL.replace("FROM pos WHERE rsi > 75", f"FROM pos WHERE rsi > coalesce((SELECT threshold FROM ({SQL['feedback_tuning']}) WHERE alert_type = 'RSI_OVERBOUGHT'), 75)")
+    + "SELECT user_id, ticker, alert_type, message FROM a WHERE alert_type IN ('RSI_OVERBOUGHT', 'RSI_OVERSOLD')"
+)
