@@ -76,14 +76,22 @@ class Automaton:
                 self.link[child] = self.edges[up].get(c, 0)
                 self.ends[child] = self.ends[child] + self.ends[self.link[child]]
                 todo.append(child)
+        self.steps = [dict(e) for e in self.edges]  # with those by links as they come up
+
+    def _step(self, at: int, c: str) -> int:
+        """The state after a character that a state has no edge for."""
+        up = at
+        while up and c not in self.edges[up]:
+            up = self.link[up]
+        self.steps[at][c] = self.edges[up].get(c, 0)
+        return self.steps[at][c]
 
     def found(self, text: str) -> set[int]:
         """Numbers of the keywords that are substrings of the text."""
-        out, at, edges, link, ends = set(self.empty), 0, self.edges, self.link, self.ends
+        out, at, steps, ends = set(self.empty), 0, self.steps, self.ends
         for c in text:
-            while at and c not in edges[at]:
-                at = link[at]
-            at = edges[at].get(c, 0)
+            after = steps[at].get(c)
+            at = self._step(at, c) if after is None else after
             if ends[at]:
                 out.update(ends[at])
         return out

@@ -163,6 +163,14 @@ def rag_top5(spark: SparkSession, d: str) -> DataFrame:
     return analytics.top_cosine(rows.where("vec_id <> 3").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), query, 5)
 
 
+def rag_top5_own(spark: SparkSession, d: str) -> DataFrame:
+    """The scope of one owner: the five most similar of the rows that carry the query's label."""
+    rows = src.read(spark, d, "embeddings")
+    query = rows.where("vec_id = 3").select(F.col("embedding").alias("q"), F.col("label").alias("owner"))
+    own = rows.where("vec_id <> 3").join(F.broadcast(query.select("owner")), F.col("label") == F.col("owner"), "left_semi")
+    return analytics.top_cosine(own.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), query.select("q"), 5)
+
+
 # Alerts beyond the monitor's checks, and their priorities.
 MORE_ALERTS = {
     "SENTIMENT_SURGE": "MEDIUM",
@@ -215,6 +223,7 @@ QUERIES = {
         eod_digest,
         eod_digest_holdings,
         rag_top5,
+        rag_top5_own,
     )
 }
 
@@ -285,6 +294,8 @@ LEFT JOIN g ON g.ticker = o.ticker AND g.day_ = l.day_""",
     ),
 }
 
+SQL["rag_top5_own"] = SQL["rag_top5"].replace("WHERE vec_id <> 3", "WHERE vec_id <> 3 AND label = (SELECT label FROM embeddings WHERE vec_id = 3)")
+
 _LAST = f"(SELECT key, arg_max(value, d) AS value, arg_max(high_52w, d) AS high_52w, arg_max(low_52w, d) AS low_52w FROM ({SQL['high_low_52w']}) GROUP BY key)"
 SQL["more_alerts"] = " UNION ALL ".join(
     f"SELECT '{kind}' AS alert_type, CAST({user} AS BIGINT) AS user_id, CAST({subject} AS VARCHAR) AS subject, '{MORE_ALERTS[kind]}' AS priority FROM {rows}"
