@@ -45,8 +45,8 @@ END_ID = 2
 GROUP_TOKENS, GROUP_TAILS = 1 << 20, 4096
 #: Different words that a worker remembers, and the longest of them in bytes.
 MEMO_WORDS, MEMO_BYTES = 1_000_000, 64
-#: Rows that are split at once.
-ROWS = 256
+#: Rows, and bytes of their texts (but for one text), that are split at once.
+ROWS, ROWS_BYTES = 1024, 4 << 20
 
 
 def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,6 +177,18 @@ class Tokens:
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
+def stretches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of stretches of ROWS rows and ROWS_BYTES bytes, or of one longer text."""
+    first, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > first and (i - first >= ROWS or size + n > ROWS_BYTES):
+            yield first, i - first
+            first, size = i, 0
+        size += n
+    if len(texts) > first:
+        yield first, len(texts) - first
+
+
 def packed(
     docs: DataFrame,
     tokenizer_path: str,
@@ -225,8 +237,8 @@ def packed(
             held = 0
 
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for at, n in stretches(batch.column(1)):
+                part = batch.slice(at, n)
                 for doc_id, ids in zip(part.column(0).to_pylist(), tokens.of(part.column(1)), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
                     whole = len(ids) // capacity * capacity

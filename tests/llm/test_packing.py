@@ -148,3 +148,14 @@ def test_many_groups_and_whole_sequences(spark, make, library, monkeypatch):
     assert all(len(r.ids) == 4 * r.length for r in rows)
     total = pieces.groupBy("sequence_id").count().count()
     assert total == len(rows)
+
+
+def test_stretches_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(packing, "ROWS", 3)
+    monkeypatch.setattr(packing, "ROWS_BYTES", 10)
+    texts = pa.array(["a" * n if n >= 0 else None for n in (1, 2, 3, 4, 5, 6, 30, 2, -1, 11, 0, 0, 0, 0)]).slice(1)
+    got = list(packing.stretches(texts))
+    assert [at for at, _ in got] == [0, *[at + n for at, n in got][:-1]] and got[-1][0] + got[-1][1] == len(texts)
+    sizes = [[len(x or "") for x in texts.slice(at, n).to_pylist()] for at, n in got]
+    assert all(len(s) <= 3 and (sum(s) <= 10 or len(s) == 1) for s in sizes)
+    assert list(packing.stretches(pa.array([], pa.string()))) == []
