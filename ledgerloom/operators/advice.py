@@ -83,16 +83,23 @@ def followed(signals: DataFrame, returns: DataFrame) -> DataFrame:
 
 
 def equity_curve(daily: DataFrame, days: int = 10) -> DataFrame:
-    """daily (bar_ts, n_held, r) with equity, what one unit has become, and sharpe over the last so many days, null with fewer. One row
-    a day, in one task."""
+    """daily (bar_ts, n_held, r) with equity, what one unit has become, its logarithm (null once nothing is left), and sharpe over the last
+    so many days, null with fewer. One row a day, in one task."""
     by = Window.partitionBy(F.lit(0)).orderBy("bar_ts")
     last, all_of = by.rowsBetween(1 - days, 0), by.rowsBetween(Window.unboundedPreceding, 0)
     n, s, q = F.count("*").over(last), F.sum("r").over(last), F.sum(F.col("r") * F.col("r")).over(last)
     spread = q * days - s * s
     sharpe = (s / float(days)) / F.sqrt(F.when(spread > 0, spread) / float(days * (days - 1)))
     growth = F.when(F.col("r") > -PPM, F.log(1 + F.col("r") / float(PPM)))
-    equity = F.when(F.min("r").over(all_of) <= -PPM, 0.0).otherwise(F.exp(F.sum(growth).over(all_of)))
-    return daily.select("bar_ts", "n_held", "r", half_up(equity, 6).alias("equity"), F.when(n == days, half_up(sharpe, 6)).alias("sharpe"))
+    log_equity = F.when(F.min("r").over(all_of) > -PPM, F.sum(growth).over(all_of))
+    return daily.select(
+        "bar_ts",
+        "n_held",
+        "r",
+        half_up(F.coalesce(F.exp(log_equity), F.lit(0.0)), 6).alias("equity"),
+        half_up(log_equity, 6).alias("log_equity"),
+        F.when(n == days, half_up(sharpe, 6)).alias("sharpe"),
+    )
 
 
 def portfolio_var(valued: DataFrame, returns: DataFrame) -> DataFrame:

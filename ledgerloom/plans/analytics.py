@@ -106,9 +106,9 @@ def alert_engagement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def advice_equity(spark: SparkSession, d: str) -> DataFrame:
-    """The daily return, equity and rolling Sharpe ratio of following all signals."""
+    """The daily return, equity (as its logarithm, which is as exact for large values) and rolling Sharpe ratio of following all signals."""
     returns = analytics.daily_returns(market.bars(src.ticks(spark, d), "1 day"))
-    return advice.equity_curve(advice.followed(src.signals(spark, d), returns))
+    return advice.equity_curve(advice.followed(src.signals(spark, d), returns)).drop("equity")
 
 
 def portfolio_var(spark: SparkSession, d: str) -> DataFrame:
@@ -251,7 +251,7 @@ SELECT s.alert_type, n, answered, floor(answered / n::DOUBLE * 100 * 100.0::DOUB
 h AS (SELECT x.bar_ts, x.r, g.signal FROM ({_R}) x ASOF LEFT JOIN g ON g.ticker = x.ticker AND x.bar_ts > g.created_at),
 d AS (SELECT bar_ts, CAST(sum(CASE WHEN signal = 'BUY' THEN 1 ELSE 0 END) AS BIGINT) AS n_held, CAST(sum(CASE WHEN signal = 'BUY' THEN r ELSE 0 END) AS BIGINT) AS t FROM h GROUP BY 1),
 e AS (SELECT bar_ts, n_held, CASE WHEN n_held > 0 THEN CAST(floor(t / n_held::DOUBLE + 0.5) AS BIGINT) ELSE 0 END AS r FROM d)
-SELECT bar_ts, n_held, r, floor(CASE WHEN min(r) OVER a <= -1000000 THEN 0.0 ELSE exp(sum(CASE WHEN r > -1000000 THEN ln(1 + r / 1000000.0::DOUBLE) END) OVER a) END * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS equity,
+SELECT bar_ts, n_held, r, floor(CASE WHEN min(r) OVER a > -1000000 THEN sum(CASE WHEN r > -1000000 THEN ln(1 + r / 1000000.0::DOUBLE) END) OVER a END * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS log_equity,
   CASE WHEN count(*) OVER w = 10 THEN floor((sum(r) OVER w / 10.0::DOUBLE) / sqrt(CASE WHEN sum(r * r) OVER w * 10 - sum(r) OVER w * sum(r) OVER w > 0
     THEN (sum(r * r) OVER w * 10 - sum(r) OVER w * sum(r) OVER w) END / 90.0::DOUBLE) * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE END AS sharpe
 FROM e WINDOW a AS (ORDER BY bar_ts ROWS UNBOUNDED PRECEDING), w AS (ORDER BY bar_ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",
