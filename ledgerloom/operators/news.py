@@ -9,7 +9,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import clean_text, keyword, lexicon_score
+from ledgerloom.functions.scalars import clean_text, keyword, lexicon_score, upper_each
 
 
 def ranked_by_source(articles: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def first_of_each(articles: DataFrame) -> DataFrame:
 def mentions(articles: DataFrame, tickers: list[str]) -> DataFrame:
     """articles x tickers whose keyword is a substring of the text, any case; tickers are a list of bounded length, so
     they are matched in place, without a join."""
-    text = F.upper("text")
+    text = upper_each(F.col("text"))
     found = F.filter(F.array(*[F.lit(t) for t in tickers]), lambda t: F.contains(text, keyword(t)))
     return articles.withColumn("ticker", F.explode(found))
 
@@ -126,7 +126,7 @@ def mentions_of_many(articles: DataFrame, tickers: DataFrame, most_bytes: int =
         mine = names.where(F.pmod(F.xxhash64("ticker"), F.lit(passes)) == i) if passes > 1 else names
         kept = spark.sparkContext.broadcast([(r.word, r.ticker) for r in mine.select(keyword(F.col("ticker")).alias("word"), "ticker").collect()])
 
-        rows = articles.withColumn("ticker", F.explode(_matched(kept)(F.upper("text"))))
+        rows = articles.withColumn("ticker", F.explode(_matched(kept)(upper_each(F.col("text")))))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -143,7 +143,7 @@ def scored(articles: DataFrame, lexicon: dict[str, float], model: Callable[[Colu
 def scored_mentions(articles: DataFrame, tickers: list[str], lexicon: dict[str, float], model: Callable[[Column], Column] | None = None) -> DataFrame:
     """articles x mentioned tickers with score; articles that mention none are dropped before they are scored, and the
     others are scored once each."""
-    text = F.upper("text")
+    text = upper_each(F.col("text"))
     found = F.filter(F.array(*[F.lit(t) for t in tickers]), lambda t: F.contains(text, keyword(t)))
     some = articles.withColumn("tickers", found).where(F.size("tickers") > 0)
     return scored(some, lexicon, model).withColumn("ticker", F.explode("tickers")).drop("tickers")

@@ -49,3 +49,15 @@ def test_cost_hardly_grows_with_the_number_of_tickers():
         return time.process_time() - began
 
     assert min(took(words) for _ in range(3)) < 8 * min(took(words[:6]) for _ in range(3))
+
+
+def test_capitals_add_no_characters(spark):
+    """A sharp s is no SS and a ligature no FI, as in the SQL's upper; what has one capital is found in any case."""
+    texts = ["a schoßchen", "ﬁnance", "ẗ lẗ", "GROß \U0001f4c8", "ᾀ ﬁ", "schön été"]
+    words = ["SSCHE", "FINANCE", "LT", "groß", "ᾈ", "SCHÖN", "étÉ"]
+    articles = spark.createDataFrame(list(enumerate(texts)), "seq long, text string")
+    tickers = [f"{w}.NS" for w in words]
+    want = [(3, "groß.NS"), (4, "ᾈ.NS"), (5, "SCHÖN.NS"), (5, "étÉ.NS")]
+    table = spark.createDataFrame([(t,) for t in tickers], "ticker string")
+    for found in (news.mentions(articles, tickers), news.mentions_of_many(articles, table), news.scored_mentions(articles, tickers, {"a": 1.0})):
+        assert sorted((r.seq, r.ticker) for r in found.collect()) == want
