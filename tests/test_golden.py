@@ -385,3 +385,22 @@ def test_markets_close_on_holidays(spark):
     rows = spark.createDataFrame([(dt.datetime(2024, 1, 25, 6),), (dt.datetime(2024, 1, 26, 6),), (dt.datetime(2024, 1, 25, 20),)], "ts timestamp_ntz")
     assert [r[0] for r in rows.select(scalars.market_open(F.col("ts"), ["2024-01-26"])).collect()] == [True, False, False]
     assert [r[0] for r in rows.select(scalars.market_open(F.col("ts"))).collect()] == [True, True, False]
+
+
+def test_history_prices_where_users_meet(spark):
+    """Positions at instants are priced and added up in place: joined prices give the same, but by a shuffle of all of them."""
+    day = dt.datetime(2024, 1, 1)
+    at = lambda h: day + dt.timedelta(hours=h)
+    rows = [(i, i % 5, f"T{i * 7 % 4}", "SELL" if i % 3 == 2 else "BUY", float(i % 4 + 1), 10.0 + i % 6, at(i % 40)) for i in range(120)]
+    trades = spark.createDataFrame(rows, "id long, user_id long, ticker string, side string, quantity double, fill_price double, ts timestamp_ntz")
+    bars = [(f"T{t}", at(h), 8.0 + (h * 3 + t) % 7) for t in range(3) for h in range(t, 60, t + 1)]
+    prices = spark.createDataFrame(bars, "ticker string, ts timestamp_ntz, close double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        near = history.history(trades, prices, 1000.0, "2024-02-01 00:00:00")
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(ticker#" not in "".join(x for x in plan.splitlines() if "ts#" in x.partition("hashpartitioning")[2].partition(")")[0])
+        joined = history.history(trades, prices, 1000.0, "2024-02-01 00:00:00", prices_most=0)
+        assert sorted(map(tuple, near.collect())) == sorted(map(tuple, joined.collect())) != []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
