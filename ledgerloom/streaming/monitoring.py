@@ -5,8 +5,8 @@ the bars that are kept, and the sum doesn't depend on order. The state ends when
 (event time, by a timer). Each batch gives one row for each ticker that had a bar; it is joined to positions, limits and sentiment,
 which are tables and are read anew for each batch, and the checks of the batch monitor follow.
 
-Cooldown keeps, for each user, ticker and kind of alert, when one was last let through; a timer clears it when it no longer
-holds anything back, so its state is bounded by the alerts of one cooldown.
+Cooldown keeps, for each user, ticker and kind of alert, when one was last let through, in buckets: a bucket that gets alerts drops what
+no longer holds anything back, and a timer clears one whose last entry doesn't, so its state is bounded by the alerts of two cooldowns.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from ledgerloom.streaming.streams import DELAY, shared_folder
 
 #: Days without a bar after which a ticker's state goes.
 FORGOTTEN = 90
+#: States of a cooldown at most; a checkpoint depends on it.
+COOLDOWN_BUCKETS = 4096
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FEATURES = "ticker string, ts timestamp, price double, closes array<bigint>, volumes array<bigint>, n_bars bigint"
 _MICROS = 1_000_000
@@ -91,31 +93,43 @@ class TickerFeatures(StatefulProcessor):
 
 
 class Cooldown(StatefulProcessor):
-    """Of the rows of a key in order of time, those that come so many seconds after the last one let through, or later."""
+    """Of the alerts of a user, ticker and kind in order of time, those that come so many seconds after the last one let through, or later.
+    A state is that of a bucket of them: when each was last let through, as long as that holds anything back."""
 
     def __init__(self, seconds: int) -> None:
         self.wait = seconds * _MICROS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.passed = handle.getValueState("passed", "at bigint")
+        self.passed = handle.getValueState("passed", "user_id array<string>, ticker array<string>, alert_type array<string>, at array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = sorted(x for t in rows for x in zip(_micros(t.ts), t.id.tolist(), strict=True))
-        last = self.passed.get()[0] if self.passed.exists() else None
+        batch = []
+        for t in rows:
+            batch += zip(_micros(t.ts), t.id.tolist(), zip(t.user_id, t.ticker, t.alert_type, strict=True), strict=True)
+        batch.sort(key=lambda x: x[:2])
+        gone = timerValues.getCurrentWatermarkInMs() * 1000 - self.wait  # what was let through until then holds nothing back
+        kept = self.passed.get() if self.passed.exists() else ((), (), (), ())
+        last = {x[:3]: x[3] for x in zip(*kept, strict=True) if x[3] > gone}
         let = []
-        for at, number in batch:
-            if last is None or at >= last + self.wait:
-                last = at
-                let.append((at, number))
-        self.passed.update((last,))
+        for at, number, own in batch:
+            if own not in last or at >= last[own] + self.wait:
+                last[own] = at
+                let.append((*own, at, number))
+        self.passed.update(tuple(list(c) for c in zip(*((*own, at) for own, at in last.items()), strict=True)))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer((last + self.wait) // 1000 + 1)
+        self.handle.registerTimer((max(last.values()) + self.wait) // 1000 + 1)
         if let:
-            names = ("user_id", "ticker", "alert_type")
+            users, tickers, kinds, at, ids = zip(*let, strict=True)
             yield pd.DataFrame(
-                {n: [v] * len(let) for n, v in zip(names, key, strict=True)} | {"ts": [pd.Timestamp(a * 1000) for a, _ in let], "id": [i for _, i in let]},
+                {
+                    "user_id": pd.array([None if u is None else int(u) for u in users], dtype="Int64"),
+                    "ticker": tickers,
+                    "alert_type": kinds,
+                    "ts": [pd.Timestamp(a * 1000) for a in at],
+                    "id": ids,
+                },
             )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -181,10 +195,19 @@ def read_batches(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 def cooled(found: DataFrame, seconds: int) -> DataFrame:
     """user_id, ticker, alert_type, ts, id of the alerts that no alert of their user, ticker and kind let through has come before within so
-    many seconds. found: a stream of these columns. A key's times in one batch, 16 bytes each, are sorted at once."""
+    many seconds. found: a stream of these columns. Each state is a bucket of many users, tickers and kinds, as calls and states cost
+    far more than rows; a bucket's alerts in one batch are sorted at once."""
     found.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    rows = found.select("user_id", "ticker", "alert_type", "ts", "id").withWatermark("ts", DELAY)
-    return rows.groupBy("user_id", "ticker", "alert_type").transformWithStateInPandas(
+    own = ("user_id", "ticker", "alert_type")
+    rows = found.select(
+        F.pmod(F.xxhash64(*own), F.lit(COOLDOWN_BUCKETS)).cast("int").alias("bucket"),
+        F.col("user_id").cast("string").alias("user_id"),  # pandas makes doubles of numbers with nulls
+        "ticker",
+        "alert_type",
+        "ts",
+        "id",
+    )
+    return rows.withWatermark("ts", DELAY).groupBy("bucket").transformWithStateInPandas(
         Cooldown(seconds),
         outputStructType="user_id bigint, ticker string, alert_type string, ts timestamp, id bigint",
         outputMode="Append",

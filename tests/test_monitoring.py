@@ -101,3 +101,23 @@ def test_cooldown(spark, tmp_path):
             last[u, t, a] = at
             want.append(i)
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(want)
+
+
+def test_cooldown_states_are_buckets(spark, tmp_path, monkeypatch):
+    """Hundreds of users keep a few states, over several batches; ids of any length and alerts without a user are as others."""
+    monkeypatch.setattr(monitoring, "COOLDOWN_BUCKETS", 8, raising=False)
+    r = random.Random(5)
+    schema = "user_id long, ticker string, alert_type string, ts timestamp, id long"
+    users = [None, *[2**60 + i for i in range(150)]]
+    rows = sorted(((r.choice(users), "T", r.choice("ab"), BEGAN + timedelta(minutes=r.randrange(600)), i) for i in range(900)), key=lambda x: x[3:])
+    for n in range(3):
+        spark.createDataFrame(rows[n * 300 : n * 300 + 300], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    given = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = monitoring.cooled(given, 86400).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log")
+    query = query.trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 8 * 3
+    want = {}
+    for u, _, a, _, i in rows:
+        want.setdefault((u, a), i)
+    assert sorted((r.user_id or 0, r.alert_type, r.id) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted((u or 0, a, i) for (u, a), i in want.items())
