@@ -149,14 +149,25 @@ def scored_mentions(articles: DataFrame, tickers: list[str], lexicon: dict[str,
     return scored(some, lexicon, model).withColumn("ticker", F.explode("tickers")).drop("tickers")
 
 
-def scored_by_table(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
+#: Words of a lexicon that are broadcast at once; more of them are looked up in several passes.
+WORDS_MOST = 1 << 18
+
+
+def scored_by_table(articles: DataFrame, lexicon: DataFrame, most_words: int = WORDS_MOST) -> DataFrame:
     """seq, score of the cleaned text by a lexicon table of any size (token, valence); of equal tokens the smallest valence counts.
-    An article's words are counted before they meet the lexicon, and sums are in hundredths, so their order doesn't matter."""
+    Words meet the lexicon, which is broadcast, where their text is read, and are added up at once: a number for each article is all that
+    is kept or shuffled. Sums are in hundredths, so their order doesn't matter."""
     valence = lexicon.groupBy(F.lower("token").alias("word")).agg(F.min(F.round(F.col("valence") * 100).cast("long")).alias("v"))
-    words = articles.select("seq", F.explode(F.split(F.lower(clean_text(F.col("text"))), " ")).alias("word"))
-    sums = words.groupBy("seq", "word").count().join(valence, "word").groupBy("seq").agg(F.sum(F.col("count") * F.col("v")).alias("c"))
+    words = articles.select("seq", F.explode_outer(F.split(F.lower(clean_text(F.col("text"))), " ")).alias("word"))
+    passes = max(1, -(-valence.count() // most_words))
+    found = None
+    for i in range(passes):
+        mine = valence.where(F.pmod(F.xxhash64("word"), F.lit(passes)) == i) if passes > 1 else valence
+        rows = words.join(F.broadcast(mine), "word", "left").groupBy("seq").agg(F.sum("v").alias("c"))
+        found = rows if found is None else found.unionByName(rows)
+    sums = found.groupBy("seq").agg(F.sum("c").alias("c")) if passes > 1 else found
     s = F.coalesce("c", F.lit(0)) / F.lit(100.0)
-    return articles.select("seq").join(sums, "seq", "left").select("seq", (s / F.sqrt(s * s + 15.0)).alias("score"))
+    return sums.select("seq", (s / F.sqrt(s * s + 15.0)).alias("score"))
 
 
 def top_articles(articles: DataFrame, k: int = 10) -> DataFrame:

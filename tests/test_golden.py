@@ -404,3 +404,19 @@ def test_history_prices_where_users_meet(spark):
         assert sorted(map(tuple, near.collect())) == sorted(map(tuple, joined.collect())) != []
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lexicon_words_are_added_up_where_they_are_read(spark):
+    """No row for each different word of an article is kept or shuffled; several passes of a lexicon give what one gives."""
+    rows = spark.createDataFrame([(i, " ".join(f"w{i * k % 50}" for k in range(40))) for i in range(30)] + [(99, None)], "seq long, text string")
+    lexicon = spark.createDataFrame([(f"W{i}", (i - 20) / 10) for i in range(45)] + [("w3", 9.0)], "token string, valence double")
+    found = news.scored_by_table(rows, lexicon)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any("seq#" in x and "word#" in x for x in plan.splitlines() if "HashAggregate(keys" in x.partition("functions=")[0])
+    want = {r.seq: r.score for r in found.collect()}
+    valence = {f"w{i}": i * 10 - 200 for i in range(45)}
+    for i in range(30):
+        s = sum(valence.get(f"w{i * k % 50}", 0) for k in range(40)) / 100
+        assert want[i] == pytest.approx(s / (s * s + 15) ** 0.5)
+    assert len(want) == 31 and want[99] == 0
+    assert {r.seq: r.score for r in news.scored_by_table(rows, lexicon, most_words=7).collect()} == want
