@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,13 +54,18 @@ class TickerFeatures(StatefulProcessor):
         last = tuple(self.last.get()) if self.last.exists() else None
         heapq.heapify(ring)
         for t in rows:
-            at = _micros(t.ts)
-            for x in zip(at, t.event_id.tolist(), t.change.tolist(), t.volume.tolist(), t.price.tolist(), strict=True):
-                if last is None or x[:2] > last[:2]:
-                    last = (x[0], x[1], x[4])
-                if self.bars_before is None or x[0] < self.bars_before:
-                    total, n = total + x[2], n + 1
-                    (heapq.heappush if len(ring) < self.bars else heapq.heappushpop)(ring, x[:4])
+            at, number = t.ts.to_numpy().astype("datetime64[us]").astype("int64"), t.event_id.to_numpy()
+            newest = max(np.flatnonzero(at == at.max()), key=lambda i: number[i])
+            if last is None or (at[newest], number[newest]) > last[:2]:
+                last = (int(at[newest]), int(number[newest]), float(t.price.iloc[newest]))
+            if self.bars_before is not None and not (inside := at < self.bars_before).all():
+                t, at = t[inside], at[inside]
+            total, n = total + int(t.change.sum()), n + len(at)
+            if len(at) > self.bars:  # no others can be among the last
+                late = at >= np.partition(at, -self.bars)[-self.bars]
+                t, at = t[late], at[late]
+            for x in zip(at.tolist(), t.event_id.tolist(), t.change.tolist(), t.volume.tolist(), strict=True):
+                (heapq.heappush if len(ring) < self.bars else heapq.heappushpop)(ring, x)
         ring.sort()
         self.total.update((total, n))
         self.last.update(last)

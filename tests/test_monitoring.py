@@ -121,3 +121,29 @@ def test_cooldown_states_are_buckets(spark, tmp_path, monkeypatch):
     for u, _, a, _, i in rows:
         want.setdefault((u, a), i)
     assert sorted((r.user_id or 0, r.alert_type, r.id) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted((u or 0, a, i) for (u, a), i in want.items())
+
+
+def test_only_latest_mentions_are_scored(spark, small, monkeypatch):
+    """Two scores a ticker make the change, so no other text is scored."""
+    from ledgerloom.operators import news
+    from ledgerloom.plans import monitor as plans
+
+    scored, given = news.scored, []
+    monkeypatch.setattr(news, "scored", lambda articles, *more: given.append(articles.count()) or scored(articles, *more))
+    want = {
+        r.ticker: r.change
+        for r in monitor.sentiment_change(plans.sentiment_scores(spark, small).where(F.col("ts") <= F.lit(plans.SCORES_UNTIL).cast("timestamp_ntz"))).collect()
+    }
+    given.clear()
+    kept = plans._ticker_number(spark, small)
+    assert given and given[0] <= 2 * len(plans.src.KEYWORDS)
+    got = {r.change for r in kept.collect()}
+    assert want and got <= set(want.values())
+
+
+def test_many_bars_of_a_batch(spark, held, tmp_path):
+    """More bars of a ticker than are kept, many of them at one instant."""
+    folder, given = str(tmp_path), [(t, BEGAN + timedelta(minutes=i // 30), i, p, c, v) for t, _, i, p, c, v in bars(6, 1500)]
+    written(spark, folder, 0, given)
+    found = monitoring.run_monitor(stream(spark, folder), *held, folder=folder)
+    assert sorted(map(tuple, found.drop("ts", "number").collect())) == expected(spark, given, held)
